@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framefold.llm import quality
+from framefold.llm import chat, pii, quality, shards
+from framefold.llm.common import only, written
 from framefold.sources.tables import table
 
 
@@ -15,7 +16,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.sharded(table(spark, sf_dir, "documents"))
+
+
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return pii.pseudonymised(docs, pii.secret_key(docs))
+
+
+def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    awkward = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", awkward), (-7, 1, "assistant", awkward)], "conv_id long, turn long, role string, text string")
+    rows = only(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.formatted(written(chat.linear(rows), "turns")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pseudonyms": op3_pseudonyms,
+    "op8_reply_trees": op8_reply_trees,
+    "op9_virtual_slots": op9_virtual_slots,
     "op10_quality_rules": op10_quality_rules,
 }
 

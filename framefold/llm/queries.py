@@ -4,13 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from framefold.llm import chat, pii, quality, shards
+from framefold.llm import bpe, chat, html, packing, pii, quality, shards, simhash, warc
 from framefold.llm.common import only, written
 from framefold.sources.tables import table
 
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(only(table(spark, sf_dir, "documents"), "doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op4_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the rank file, which holds the same vocabulary as byte_bpe_50k.json; tests/llm compares the ids with that."""
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -33,7 +56,12 @@ def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe_tree": op2_bpe_tree,
     "op3_pseudonyms": op3_pseudonyms,
+    "op4_bin_completion": op4_bin_completion,
+    "op5_simhash": op5_simhash,
+    "op6_main_text": op6_main_text,
+    "op7_warc": op7_warc,
     "op8_reply_trees": op8_reply_trees,
     "op9_virtual_slots": op9_virtual_slots,
     "op10_quality_rules": op10_quality_rules,

@@ -1,0 +1,214 @@
+"""SimHash near-duplicates by the generalised pigeonhole principle.
+
+Fingerprints of 64 bits link at `distance` or fewer differing bits.  The bits are grouped, correlated ones
+together, into m parts; part i gets a threshold t[i] >= -1 with sum(t[i] + 1) = distance + 1.  Two
+fingerprints within `distance` then differ in at most t[i] bits of some part i, so it suffices to look, in
+each part, for those within its threshold: every fingerprint is indexed under its bits of the part, probes
+all values within t[i] flips, and each meeting is verified on all 64 bits.  Parts differ in how evenly
+they spread the fingerprints, so the thresholds are unequal: dynamic programming picks them, and the best
+m is taken, by the estimated cost of probes and candidates.  Estimates cover all fingerprints: exact
+counts of equal parts, carried on to more flips by how often each bit is set.
+
+Equal fingerprints are one node, so copies cost one row each and no pairs.  Links become components by
+distributed stars; nothing but statistics of 64 * 64 numbers and a few counts reaches the driver.
+
+Defined cases: null and empty texts have no words and fingerprint zero, and link like any other; fewer
+than three words are one shingle; a null doc_id gets a fingerprint but no component, and takes no part in
+linking; rows with one doc_id twice are both nodes of that id; empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
+from math import comb
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from framefold.llm.common import components, only, written
+
+BITS = 64
+#: Shingles whose bits are counted at a time; bounds the memory of very long texts.
+BLOCK = 1 << 15
+#: What a shuffled probe costs, in verified candidates.
+PROBE_COST = 400
+
+
+def shingle_hashes(text: bytes, width: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of the lower-cased word shingles, in blocks.  bytes.split() parts at exactly the six white space bytes."""
+    words = text.lower().split()
+    if not words:
+        return
+    digest = xxhash.xxh64_intdigest
+    count = max(1, len(words) - width + 1)
+    for begin in range(0, count, BLOCK):
+        end = min(begin + BLOCK, count)
+        part = words[begin : end + width - 1]
+        joined = zip(*(part[i:] for i in range(width)), strict=False) if count > 1 or len(words) == width else [tuple(words)]
+        yield np.fromiter((digest(b" ".join(x), seed) for x in joined), dtype="<u8", count=end - begin)
+
+
+def fingerprint(text: bytes) -> int:
+    """Bit b is set if it is set in over half of the shingles' hashes."""
+    total, n = np.zeros(BITS, np.int64), 0
+    for block in shingle_hashes(text):
+        total += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(block)
+    return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0]) if n else 0
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp): fp as a signed long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            made = np.fromiter((fingerprint(x or b"") for x in texts), dtype=np.uint64, count=len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
+
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return slim.mapInArrow(run, "doc_id long, fp long")
+
+
+def together(nodes: DataFrame) -> tuple[int, np.ndarray]:
+    """How many fingerprints, and how many have bits i and j both set: at most 64 * 64 numbers, summed on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((BITS, BITS))
+        for batch in batches:
+            column = np.asarray(batch.column(0), dtype=np.int64)
+            for begin in range(0, len(column), BLOCK):
+                bits = np.unpackbits(column[begin : begin + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+                sums += bits.T @ bits
+        cells = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(sums.ravel()[cells].astype(np.int64))], names=["cell", "n"])
+
+    table = np.zeros(BITS * BITS)
+    for row in nodes.select("fp").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        table[row["cell"]] = row["n"]
+    return nodes.count(), table.reshape(BITS, BITS)
+
+
+def grouped(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
+    """The bits in `parts` groups of near equal size, each grown by the bit that correlates most with it."""
+    p = np.diag(both) / max(n, 1)
+    spread = np.sqrt(np.outer(p * (1 - p), p * (1 - p)))
+    like = np.abs(np.divide(both / max(n, 1) - np.outer(p, p), spread, out=np.zeros_like(spread), where=spread > 0))
+    left, out = list(range(BITS)), []
+    for k in range(parts):
+        width = len(left) // (parts - k)
+        seed = max(left, key=lambda b: (like[b, left].sum() - like[b, b], -b))
+        group = [seed]
+        left.remove(seed)
+        while len(group) < width:
+            best = max(left, key=lambda b: (like[b, group].mean(), -b))
+            group.append(best)
+            left.remove(best)
+        out.append(sorted(group))
+    return out
+
+
+def as_mask(bits: list[int] | tuple[int, ...]) -> int:
+    """The bits as a signed long."""
+    return int(np.array([sum(1 << b for b in bits)], np.uint64).view(np.int64)[0])
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Groups of bits, their thresholds, and the cost that was estimated."""
+
+    groups: tuple[tuple[int, ...], ...]
+    thresholds: tuple[int, ...]
+    cost: float
+
+
+def allocated(n: int, both: np.ndarray, groups: list[list[int]], equal: list[int], distance: int) -> Plan:
+    """The cheapest thresholds, by dynamic programming over parts and the sum of t + 1 spent so far.
+
+    equal: pairs of fingerprints that agree in all bits of a part.  Pairs within t flips are estimated by
+    the share of pairs within t flips over that of equal ones, were the bits independent.
+    """
+    p = np.diag(both) / max(n, 1)
+    costs = []
+    for group, pairs in zip(groups, equal, strict=True):
+        flips = np.zeros(distance + 1)  # chances of 0, 1, ... differing bits
+        flips[0] = 1.0
+        for b in group:
+            q = 2 * p[b] * (1 - p[b])
+            flips[1:] = flips[1:] * (1 - q) + flips[:-1] * q
+            flips[0] *= 1 - q
+        more = np.cumsum(flips) / max(flips[0], 1e-300)
+        one = [0.0]
+        for t in range(distance + 1):
+            probes = sum(comb(len(group), k) for k in range(t + 1))
+            one.append(n * (probes + 1) * PROBE_COST + max(pairs, n * (n - 1) / 2 * flips[0]) * more[t])
+        costs.append(one)  # by t + 1
+    best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
+    for one in costs:
+        after: dict[int, tuple[float, tuple[int, ...]]] = {}
+        for spent, (cost, chosen) in best.items():
+            for add in range(distance + 2 - spent):
+                option = (cost + one[add], (*chosen, add - 1))
+                if spent + add not in after or option < after[spent + add]:
+                    after[spent + add] = option
+        best = after
+    cost, thresholds = best[distance + 1]
+    return Plan(tuple(map(tuple, groups)), thresholds, cost)
+
+
+def planned(nodes: DataFrame, distance: int, choices: tuple[int, ...] = (2, 3, 4)) -> Plan:
+    """The cheapest plan over the numbers of parts in choices."""
+    n, both = together(nodes)
+    ways = [grouped(n, both, m) for m in choices]
+    masks = [(w, k, as_mask(g)) for w, groups in enumerate(ways) for k, g in enumerate(groups)]
+    keys = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for w, k, m in masks])
+    each = nodes.select(F.explode(keys).alias("e")).groupBy("e.w", "e.k", "e.key").count()
+    pairs = {(r["w"], r["k"]): int(r["pairs"]) for r in each.groupBy("w", "k").agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs")).collect()}
+    plans = [allocated(n, both, groups, [pairs.get((w, k), 0) for k in range(len(groups))], distance) for w, groups in enumerate(ways)]
+    return min(plans, key=lambda x: x.cost)
+
+
+def links(nodes: DataFrame, distance: int, plan: Plan) -> DataFrame:
+    """(a, b): the reps of nodes (fp, rep) whose fingerprints differ in at most `distance` bits, each pair once or more."""
+    used = [(i, as_mask(g), g, t) for i, (g, t) in enumerate(zip(plan.groups, plan.thresholds, strict=True)) if t >= 0]
+    index = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m, _, _ in used])
+    stored = nodes.select("fp", "rep", F.explode(index).alias("e")).select("e.part", "e.key", F.col("fp").alias("fp2"), F.col("rep").alias("b"))
+    flips = [(i, m, as_mask(c)) for i, m, g, t in used for k in range(t + 1) for c in combinations(g, k)]
+    table = nodes.sparkSession.createDataFrame([(i, m, x) for i, m, x in flips], "part int, mask long, flip long")
+    # As many flips as the plan has, whatever the input: at most a few thousand rows.
+    near = nodes.crossJoin(F.broadcast(table)).select("part", F.col("fp").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip")).alias("key"), "fp", F.col("rep").alias("a"))
+    met = near.join(stored, ["part", "key"]).filter((F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= distance))
+    return met.select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id: one row for each document."""
+    rows = written(fingerprints(only(docs, "doc_id", "text")), "fingerprints")
+    nodes = written(rows.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    joined = components(links(nodes, distance, planned(nodes, distance)))
+    named = nodes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    out = rows.join(named, "fp", "left")
+    shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return out.select("doc_id", shown.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, distance: int = 3) -> DataFrame:
+    """docs, one document of each component: the one with the smallest doc_id.
+
+    Documents without a doc_id stay.  Of rows with one doc_id the one with the least text stays.
+    """
+    groups = written(near_duplicates(docs, distance), "groups")
+    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    out = docs.join(kept, "doc_id", "left_semi")
+    known = groups.filter("doc_id is not null")
+    if known.count() != known.select("doc_id").distinct().count():
+        from pyspark.sql import Window as W
+
+        first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.asc_nulls_first("text")))
+        out = out.withColumn("_first", first).filter("_first = 1").drop("_first")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id is null"))

@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framefold.llm import bpe, chat, html, packing, pii, quality, shards, simhash, warc
+from framefold.llm import bpe, chat, ego, html, packing, pii, quality, shards, simhash, warc
 from framefold.llm.common import only, written
 from framefold.sources.tables import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(only(table(spark, sf_dir, "documents"), "doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -56,6 +60,7 @@ def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_grid_order": op1_grid_order,
     "op2_bpe_tree": op2_bpe_tree,
     "op3_pseudonyms": op3_pseudonyms,
     "op4_bin_completion": op4_bin_completion,

@@ -103,8 +103,10 @@ def counted(scores: DataFrame, group: list[str], threshold: float, k: float = 1.
 def checked(scores: DataFrame, least: int) -> DataFrame:
     """the scores, or an error when the query runs if there are fewer than `least`."""
     n = scores.agg(F.count(F.lit(1)).alias("_n"))
-    enough = F.when(F.col("_n") >= least, F.lit(True)).otherwise(F.raise_error(F.format_string("only %d sharp frames, %d are needed", "_n", F.lit(least))).cast("boolean"))
-    return n.withColumn("_ok", enough).filter("_ok").join(scores, F.lit(True)).drop("_n", "_ok")
+    message = F.format_string("only %d sharp frames, %d are needed", "_n", F.lit(least))
+    # A branch of its own, which gives no rows: the check stays where the other branch is known to be empty.
+    none = n.filter(F.when(F.col("_n") < least, F.raise_error(message).cast("boolean")).otherwise(F.lit(False)))
+    return scores.unionByName(none.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in scores.schema.fields]))
 
 
 def middle_frame(scores: DataFrame, group: list[str]) -> DataFrame:

@@ -36,12 +36,16 @@ REMEMBERED, LONGEST = 400_000, 64
 _NONE = sys.maxsize
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as file:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+
+
 class Ranks:
     """Tokens by rank, and the merges: (rank, rank) to the rank of the joined bytes."""
 
     def __init__(self, path: str) -> None:
-        with open(path, "rb") as file:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        self.ranks = read_ranks(path)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         singles = [self.ranks[bytes([b])] for b in range(256)]
         if sorted(singles) != list(range(256)):

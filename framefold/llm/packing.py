@@ -26,12 +26,14 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framefold.llm.bpe import packed_ids
+from framefold.llm.bpe import read_ranks
 from framefold.llm.common import only, ranked, written
 
 CAPACITY = 2048
@@ -41,6 +43,12 @@ PART = 200_000
 Pattern = tuple[tuple[int, ...], int]
 
 
+@lru_cache(maxsize=4)
+def encoding(path: str, pattern: str) -> tiktoken.Encoding:
+    """The library's encoder for a file of ranks, without special tokens: their strings are ordinary text."""
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+
+
 def cut(total: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces: all full but the first."""
     first = total % capacity or min(total, capacity)
@@ -52,10 +60,11 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, e
     mark = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoding(path, pattern)
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = packed_ids(text or "", path, pattern) + mark
+                ids = encoder.encode_to_numpy(text or "", disallowed_special=()).astype("<u4", copy=False).tobytes() + mark
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + length)]
                     for column, value in zip(out, (doc, k, start, length, zlib.crc32(part), part), strict=True):

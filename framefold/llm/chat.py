@@ -68,9 +68,12 @@ def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             return tables, step.filter("up is null")
         open_before = left
         tables.append(step)
+        # Only nodes that haven't met their root go on, so a round costs what is deeper than its jump.
+        active, done = step.filter("up is not null"), step.filter("up is null")
         on = step.select(F.col("conv_id").alias("oc"), F.col("node").alias("on"), F.col("up").alias("oup"), F.col("depth").alias("odepth"), F.col("score").alias("oscore"))
-        joined = step.join(on, step.conv_id.eqNullSafe(F.col("oc")) & (step.up == F.col("on")), "left")
-        step = written(joined.select("conv_id", "node", F.col("oup").alias("up"), (F.col("depth") + F.coalesce("odepth", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("oscore", F.lit(0.0))).alias("score")), "jump")
+        joined = active.join(on, active.conv_id.eqNullSafe(F.col("oc")) & (active.up == F.col("on")))
+        moved = joined.select("conv_id", "node", F.col("oup").alias("up"), (F.col("depth") + F.col("odepth")).alias("depth"), (F.col("score") + F.col("oscore")).alias("score"))
+        step = written(moved.union(done), "jump")
 
 
 def branches(messages: DataFrame, best: int | None = 1) -> DataFrame:

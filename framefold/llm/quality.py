@@ -162,10 +162,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> Da
 def quality_filter(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """The documents that quality_rules() keeps, with their own columns.
 
-    The statistics are computed a second time over the texts, which costs less than shuffling the texts.
+    Documents and statistics are written to the shared folder: cutoffs read the statistics alone, and the
+    verdict's filter stands on stored columns (over the expressions it would be pushed down into each).
     """
-    slim = measured(only(docs, "doc_id", "text", "lang")).drop("text")
-    good = scored(slim, risk).filter(~base_failed()).join(labelled_good(labels), "doc_id")
-    limits = written(cutoffs(good, risk), "cutoffs")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "lang")
-    return judged(measured(whole), limits, risk).filter("kept").select("row.*")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.col("text"), "lang")
+    stats = written(measured(whole).drop("text"), "quality")
+    good = scored(stats.drop("row"), risk).filter(~base_failed()).join(labelled_good(labels), "doc_id")
+    return judged(stats, written(cutoffs(good, risk), "cutoffs"), risk).filter("kept").select("row.*")

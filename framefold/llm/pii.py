@@ -176,24 +176,22 @@ def pseudonym(m: str, kind: str, back: bool = False) -> str:
     )
 
 
-def found(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus _m: the candidates, _k: their kinds, _p: what stands between them."""
-    col = F.col(f"`{text}`")
-    return (
-        docs.withColumn("_m", F.regexp_extract_all(col, F.lit(_joined()), F.lit(0)))
-        .withColumn("_p", F.when(F.size("_m") > 0, F.split(col, _joined(), -1)))
-        .withColumn("_k", F.expr(f"transform(_m, m -> {kind_of('m')})"))
-    )
-
-
-def pseudonymised(docs: DataFrame, key: Column | str, text: str = "text", back: bool = False) -> DataFrame:
-    """docs with the text replaced, and found_<kind>: how many of each kind it held.  back: undo it with the key."""
-    rows = found(docs, text).withColumn("_key", F.lit(key) if isinstance(key, str) else key)
+def pseudonymised(docs: DataFrame, key: Column | str, text: str = "text", back: bool = False, counts: bool = True) -> DataFrame:
+    """docs with the text replaced; counts adds found_<kind>, how many of each kind it held.  back: undo it with the key.
+
+    A row's own columns travel in one struct meanwhile, so none can clash; counts replace columns of their names.
+    """
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(given, F.col(f"`{text}`").cast("string").alias("_text"), (F.lit(key) if isinstance(key, str) else key).alias("_key"))
+    # _m: the candidates, _k: their kinds, _p: what stands between them.
+    rows = rows.withColumn("_m", F.regexp_extract_all("_text", F.lit(_joined()), F.lit(0)))
+    rows = rows.withColumn("_p", F.when(F.size("_m") > 0, F.split("_text", _joined(), -1))).withColumn("_k", F.expr(f"transform(_m, m -> {kind_of('m')})"))
     new = f"transform(zip_with(_m, _k, (m, k) -> named_struct('m', m, 'k', k)), z -> {pseudonym('z.m', 'z.k', back)})"
     whole = f"array_join(zip_with(_p, {new}, (p, o) -> concat(p, coalesce(o, ''))), '')"
-    counts = {f"found_{k}": F.expr(f"coalesce(size(filter(_k, k -> k = '{k}')), 0)") for k in KINDS}
-    changed = F.when(F.size("_m") > 0, F.expr(whole)).otherwise(F.col(f"`{text}`"))
-    return rows.select(*[changed.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], *[v.alias(k) for k, v in counts.items()])
+    changed = F.when(F.size("_m") > 0, F.expr(whole)).otherwise(F.col("_text"))
+    sizes = {f"found_{k}": F.expr(f"coalesce(size(filter(_k, k -> k = '{k}')), 0)") for k in KINDS} if counts else {}
+    kept = [changed.alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns if c not in sizes]
+    return rows.select(*kept, *[v.alias(k) for k, v in sizes.items()])
 
 
 def secret_key(docs: DataFrame) -> str:

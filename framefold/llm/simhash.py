@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framefold.llm.common import components, only, written
@@ -207,8 +208,7 @@ def deduplicated(docs: DataFrame, distance: int = 3) -> DataFrame:
     out = docs.join(kept, "doc_id", "left_semi")
     known = groups.filter("doc_id is not null")
     if known.count() != known.select("doc_id").distinct().count():
-        from pyspark.sql import Window as W
-
+        rows = out.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
         first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.asc_nulls_first("text")))
-        out = out.withColumn("_first", first).filter("_first = 1").drop("_first")
+        out = rows.withColumn("first", first).filter("first = 1").select("row.*")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id is null"))

@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framefold.llm.common import sliced
+
 #: Bytes that are merged directly.
 LEAF = 48
 #: Distinct matches that a worker remembers, and the longest of them in characters; bounds its memory.
@@ -172,7 +174,7 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): the tokens of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = [np.frombuffer(packed_ids(x or "", path, pattern), "<u4") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -184,7 +186,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = loaded(path)
-        for batch in batches:
+        for batch in sliced(batches):
             made = [ranks.decoded(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "bytes"])
 
@@ -197,7 +199,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matches, tokens = _decimal(path)
         find = splitter(pattern).findall
-        for batch in batches:
+        for batch in sliced(batches):
             counts, ids_sha, text_sha = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = " ".join(map(matches.__getitem__, find(text or "")))

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,22 +24,54 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_open: ContextVar[list[str] | None] = ContextVar("open", default=None)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df into the shared folder and read it again: lineage ends here and survives lost executors."""
+    """Write df into the shared folder and read it again: lineage ends here and survives lost executors.
+
+    What a query returns may read such tables, so they stay; within temporary() they go when it ends.
+    """
     path = f"{shared_folder(df.sparkSession)}/framefold-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (paths := _open.get()) is not None:
+        paths.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._framefold_path = path  # for discard()
     return out
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a path of any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what written() made, once nothing reads it any more."""
     path = getattr(df, "_framefold_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        removed(df.sparkSession, path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all that was written() inside.  What is to stay is written after it, or by other means."""
+    token = _open.set([])
+    try:
+        yield
+    finally:
+        paths = _open.get() or []
+        _open.reset(token)
+        for path in paths:
+            removed(spark, path)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that the Python values of few texts exist at a time."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
 
 
 def only(df: DataFrame, *cols: str) -> DataFrame:

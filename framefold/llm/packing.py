@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framefold.llm.bpe import read_ranks
-from framefold.llm.common import only, ranked, written
+from framefold.llm.common import only, ranked, sliced, written
 
 CAPACITY = 2048
 #: Pieces of one length that are numbered in one task, about.
@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoding(path, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encoder.encode_to_numpy(text or "", disallowed_special=()).astype("<u4", copy=False).tobytes() + mark

@@ -33,7 +33,7 @@ ROUNDS = 10
 #: Patterns of the kinds, tried in this order at each place.
 _LOCAL = r"[\p{L}\p{N}._%+\-]"
 PATTERNS: dict[str, str] = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++){{1,126}}+",
     "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_\-]?key))\s{0,3}[=:]\s{0,3}[\x22\x27]?[A-Za-z0-9+/_\-]{6,}",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "hex": r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])",
@@ -65,7 +65,10 @@ def _raw(text: str) -> str:
 
 
 def feistel(v: str, r: str, kind: str, back: bool = False) -> str:
-    """SQL: the permuted digits v in radices r; _key is the key's column.  back: undo it."""
+    """SQL: the permuted digits v in radices r; _key is the key's column.  back: undo it.
+
+    r is read for each digit, so it is a variable or a constant, never something to compute.
+    """
     rounds = f"reverse(sequence(0, {ROUNDS - 1}))" if back else f"sequence(0, {ROUNDS - 1})"
     sign = "-" if back else "+"
     seen = f"sha2(concat_ws(',', _key, '{kind}', cast(k as string), transform(filter(a, (x, i) -> i % 2 <> k % 2), x -> cast(x as string))), 256)"
@@ -84,7 +87,7 @@ def _chars(text: str, alphabets: tuple[str, ...], kind: str, back: bool) -> str:
     value = "case " + " ".join(f"when instr('{a}', c) > 0 then instr('{a}', c) - 1" for a in alphabets) + " end"
     radix = "case " + " ".join(f"when instr('{a}', c) > 0 then {len(a)}" for a in alphabets) + " end"
     letter = "case " + " ".join(f"when instr('{a}', s[i]) > 0 then substr('{a}', int(x) + 1, 1)" for a in alphabets) + " end"
-    permuted = feistel(f"transform(s, c -> bigint({value}))", f"transform(s, c -> {radix})", kind, back)
+    permuted = _let(f"transform(s, c -> {radix})", "r", feistel(f"transform(s, c -> bigint({value}))", "r", kind, back))
     made = f"transform({permuted}, (x, i) -> {letter})"
     woven = f"array_join(zip_with(split({text}, '{one}', -1), {made}, (f, n) -> concat(f, coalesce(n, ''))), '')"
     return f"if({text} rlike '{one}', {_let(f"split(regexp_replace({text}, '{rest}', ''), '')", 's', woven)}, {text})"
@@ -104,7 +107,8 @@ def _mod97(text: str) -> str:
 
 def _card(m: str, back: bool) -> str:
     digits = f"transform(split(regexp_replace({m}, '[^0-9]', ''), ''), c -> bigint(c))"
-    moved = _let(feistel("slice(s, 1, size(s) - 1)", "transform(s, x -> 10)", "card", back), "p", f"transform(concat(p, array({_luhn_digit('p')})), x -> cast(x as string))")
+    permuted = _let("transform(s, x -> 10)", "r", feistel("slice(s, 1, size(s) - 1)", "r", "card", back))
+    moved = _let(permuted, "p", f"transform(concat(p, array({_luhn_digit('p')})), x -> cast(x as string))")
     return _let(digits, "s", f"array_join(zip_with(split({m}, '[0-9]', -1), {moved}, (f, n) -> concat(f, coalesce(n, ''))), '')")
 
 

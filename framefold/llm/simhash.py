@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framefold.llm.common import components, only, written
+from framefold.llm.common import components, only, sliced, written
 
 BITS = 64
 #: Shingles whose bits are counted at a time; bounds the memory of very long texts.
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): fp as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             made = np.fromiter((fingerprint(x or b"") for x in texts), dtype=np.uint64, count=len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])

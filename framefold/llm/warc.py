@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framefold.llm.common import only, written
+from framefold.llm.common import only, sliced, written
 
 ARCHIVE_BYTES = 8 << 20
 #: Compressed bytes that the reader inflates at a time.
@@ -90,7 +90,7 @@ def archives(rows: DataFrame, date: str = "1970-01-01T00:00:00Z", archive_bytes:
             made, size, count = [], 0, count + 1
             return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{count:06d}.warc.gz"]), pa.array([len(content)], pa.int64()), pa.array([content], pa.binary())], names=["path", "length", "content"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for page_id, url, html, sha1, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not made:
                     made.append(member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:archive:{part}:{count}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))

@@ -183,6 +183,65 @@ def aligned(pairs: DataFrame, key: list[str], motion: str = "translation") -> Da
     return pairs.mapInArrow(run, schema)
 
 
+def fallbacks(ref: np.ndarray, image: np.ndarray, motion: str, rounds: int, epsilon: float, limits: tuple[float, float, float], most: int = 500) -> list[tuple[str, np.ndarray | None]]:
+    """Candidates in order: correlation from a start that features give, the features alone, the identity.
+
+    Each is None where it isn't found or isn't valid (limits: scale, shift, determinant).  With a start, the
+    correlation gets half of the rounds.
+    """
+    (qa, _, qc), (ta, _, tc) = corners(ref, most), corners(image, most)
+    start = rough = None
+    if len(qa) >= 10 and len(ta) >= 10:
+        distance = np.bitwise_count(qc.view(np.uint64)[:, None] ^ tc.view(np.uint64)[None]).sum(axis=2, dtype=np.int64)
+        near, back = distance.argmin(axis=1), distance.argmin(axis=0)
+        mutual = np.flatnonzero(back[near] == np.arange(len(qa)))
+        order = mutual[np.argsort(distance[mutual, near[mutual]], kind="stable")]
+        order = order[: min(len(order), max(10, int(0.3 * len(order))))]
+        if len(order) >= 10:
+            model = "homography" if motion == "homography" else "similarity"
+            rough, _ = ransac(model, qa[order].astype(float), ta[near[order]].astype(float), 3.0, 2000, 0.995, len(order))
+    if rough is not None:
+        start = _parameters(motion, rough)
+    fine, rho = ecc(ref, image, motion, rounds // 2 if start is not None else rounds, epsilon, 3, start)
+    ok = lambda m: m if m is not None and np.isfinite(m).all() and _valid(m, *limits) else None
+    return [("correlation", ok(fine if np.isfinite(rho) else None)), ("features", ok(rough)), ("identity", np.eye(3))]
+
+
+def _valid(m: np.ndarray, scale: float, shift: float, determinant: float) -> bool:
+    sides = np.hypot(m[0, 0], m[1, 0]), np.hypot(m[0, 1], m[1, 1])
+    det = abs(m[0, 0] * m[1, 1] - m[0, 1] * m[1, 0])
+    return all(1 / scale <= s <= scale for s in sides) and np.hypot(m[0, 2], m[1, 2]) <= shift and 1 / determinant <= det <= determinant
+
+
+def _parameters(motion: str, m: np.ndarray) -> np.ndarray:
+    """The parameters of the motion that are nearest to a transform."""
+    if motion == "translation":
+        return m[:2, 2].copy()
+    if motion == "euclidean":
+        return np.array([np.arctan2(m[1, 0] - m[0, 1], m[0, 0] + m[1, 1]), m[0, 2], m[1, 2]])
+    flat = (m / m[2, 2] - np.eye(3)).ravel()
+    return flat[:6] if motion == "affine" else flat[:8]
+
+
+def registered(pairs: DataFrame, key: list[str], motion: str = "euclidean", rounds: int = 200, epsilon: float = 1e-6, limits: tuple[float, float, float] = (1.5, 500.0, 2.5)) -> DataFrame:
+    """(key..., way, m00 .. m12) of rows (key..., h, w, c, data, ref): the first way of the ladder that is valid."""
+    names = ["m00", "m01", "m02", "m10", "m11", "m12"]
+    kinds = pairs.select(*key).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                image, ref = (grey(unpacked(r[c], r["h"], r["w"], r["c"]).astype(float)) for c in ("data", "ref"))
+                way, m = next((w, m) for w, m in fallbacks(ref, image, motion, rounds, epsilon, limits) if m is not None)
+                out.append({k: r[k] for k in key} | {"way": way} | dict(zip(names, m[:2].ravel().tolist(), strict=True)))
+            fields = [batch.schema.field(k) for k in key] + [pa.field("way", pa.string())] + [pa.field(n, pa.float64()) for n in names]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema(fields))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds.fields) + ", way string, " + ", ".join(f"{n} double" for n in names)
+    return pairs.mapInArrow(run, schema)
+
+
 #: Places, around a keypoint, that its descriptor compares: 256 pairs from a fixed seed, drawn near the middle.
 _PLACES = np.clip(np.rint(np.random.default_rng(7).normal(0, 4, (256, 4))), -9, 9).astype(int)
 

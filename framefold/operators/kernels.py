@@ -107,11 +107,11 @@ def collapsed(pyramid: list[np.ndarray], clip: bool = True) -> np.ndarray:
     return image
 
 
-def resized(image: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Bilinear, pixel centres aligned."""
+def resized(image: np.ndarray, h: int, w: int, taps: Callable | None = None) -> np.ndarray:
+    """Pixel centres aligned; bilinear, or with lanczos_taps the high quality form."""
     y = np.clip((np.arange(h) + 0.5) * image.shape[0] / h - 0.5, 0, image.shape[0] - 1)
     x = np.clip((np.arange(w) + 0.5) * image.shape[1] / w - 0.5, 0, image.shape[1] - 1)
-    return sampled(image, *np.meshgrid(y, x, indexing="ij"), linear_taps, edge=True)
+    return sampled(image, *np.meshgrid(y, x, indexing="ij"), taps or linear_taps, edge=True)
 
 
 def area_resized(image: np.ndarray, h: int, w: int) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framefold.functions import paths
 from framefold.functions.stencils import grey
 from framefold.operators import catalog, estimation, fusion, kernels, matching, sharpness, transforms
-from framefold.plans import views
+from framefold.plans import previews, views
 from framefold.sources.rasters import exploded, frames
 from framefold.sources.tables import table
 
@@ -572,6 +572,8 @@ _kernel_query("unsharp", lambda image: kernels.sharpened(image, 1.0))
 _kernel_query("warp_lanczos", lambda image: kernels.to_bytes(kernels.warped(image.astype(float), kernels.np.array([[1, 0, 0.5], [0, 1, -0.25]]))))
 _kernel_query("warp_bilinear", lambda image: kernels.to_bytes(kernels.warped(image.astype(float), kernels.np.array([[1, 0, 0.5], [0, 1, -0.25]]), taps=kernels.linear_taps)))
 _kernel_query("resize_bilinear", lambda image: kernels.to_bytes(kernels.resized(image, 5, 6)))
+_kernel_query("resize_lanczos", lambda image: kernels.to_bytes(kernels.resized(image, 12, 10, kernels.lanczos_taps)))
+_kernel_query("thumbnail_rgba", lambda image: previews.thumbnail(image, 4))
 _kernel_query("thumbnail_area", lambda image: kernels.to_bytes(kernels.area_resized(image, 3, 3)))
 
 
@@ -594,3 +596,11 @@ def ecc_translation(spark: SparkSession, d: str) -> DataFrame:
 def corner_features(spark: SparkSession, d: str) -> DataFrame:
     """A25, in the form that we have: corners with binary descriptors."""
     return estimation.features(_packed(spark, d).select("img", "h", "w", "c", "data"), 20)
+
+
+@query("registration_ladder")
+def registration_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """A22-A24 over each frame and the first of its stack."""
+    rows = _packed(spark, d).filter("img % 20 = 0").select("stack", "img", "h", "w", "c", "data")
+    first = rows.groupBy("stack").agg(F.min_by("data", "img").alias("ref"))
+    return estimation.registered(rows.join(first, "stack"), ["stack", "img"])

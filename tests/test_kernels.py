@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from framefold.operators import estimation, kernels
+from framefold.plans import previews
 from framefold.sources import images
 
 RNG = np.random.default_rng(1)
@@ -108,6 +109,29 @@ def test_ecc_recovers_a_shift(motion):
     assert np.isnan(estimation.ecc(np.full((16, 16), 5.0), np.full((16, 16), 5.0))[1])
 
 
+def test_ladder():
+    image = scene(96, 96) + RNG.normal(0, 2, (96, 96))
+    moved = kernels.warped(image, np.array([[1, 0, 3.0], [0, 1, -2.0]]), taps=kernels.linear_taps)
+    ways = dict(estimation.fallbacks(image[10:-10, 10:-10], moved[10:-10, 10:-10], "translation", 200, 1e-8, (1.5, 500.0, 2.5)))
+    assert np.allclose(ways["correlation"][:2, 2], [3, -2], atol=0.1)
+    flat = np.full((32, 32), 7.0)
+    ways = estimation.fallbacks(flat, flat, "affine", 10, 1e-6, (1.5, 500.0, 2.5))
+    assert [m is None for _, m in ways] == [True, True, False]
+    ways = dict(estimation.fallbacks(image, moved, "translation", 200, 1e-8, (1.5, 1.0, 2.5)))
+    assert ways["correlation"] is None and ways["features"] is None  # too far
+
+
+def test_previews():
+    image = picture(40, 60, 3)
+    assert previews.thumbnail(image, 30).shape == (20, 30, 4) and previews.thumbnail(image, 120).shape == (80, 120, 4)
+    assert previews.preview(image, 61, 41) is image and previews.preview(image, 30, 30).shape == (20, 30, 3)
+    assert (previews.rgba(image)[..., :3] == image[..., ::-1]).all()
+    with pytest.raises(ValueError):
+        previews.rgba(np.zeros((2, 2, 2), np.uint8))
+    wide = np.tile(np.arange(16.0), (3, 1))
+    assert np.allclose(kernels.resized(wide, 3, 16, kernels.lanczos_taps), wide)
+
+
 def test_corners_keep_their_descriptors():
     image = kernels.to_bytes(scene()).astype(float)
     points, response, codes = estimation.corners(image, 20)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from framefold.config import Settings
 from framefold.functions import paths
 from framefold.operators import catalog, fusion, kernels, sharpness, transforms
-from framefold.plans import align, stack
-from framefold.sources import images
+from framefold.plans import align, control, stack
+from framefold.sources import images, scores
 from framefold.streaming import ingest
 
 
@@ -137,6 +137,29 @@ def test_files_round_trip(spark, tmp_path):
     assert images.read_spark(spark, str(tmp_path)).count() == 3
 
 
+def test_records_round_trip(spark, tmp_path):
+    rows = [("a.jpg", 8785.1, 1232.63, 5.0, 4, "2024-01-01T00:00:00+01:00", 2624, 1750), ("b.c.png", 1.0, 0.5, 1.0, 8, "t", 10, 20)]
+    df = spark.createDataFrame(rows, "image_filename string, max_regional_sharpness double, global_sharpness double, sharp_region_count double, grid_size long, timestamp string, width int, height int")
+    images.write_files(scores.as_files(df), str(tmp_path))
+    (tmp_path / "broken.yml").write_text("nothing: here")
+    (tmp_path / "quoted.yaml").write_text("image_filename: 'q r.tif'\nmax_regional_sharpness: 7\nimage_size: [3, 4]\n")
+    back = {r.image_filename: r for r in scores.read_records(spark, str(tmp_path)).collect()}
+    assert {tuple(back[r[0]][n] for n in [*scores.FIELDS, "width", "height"]) for r in rows} == set(rows)
+    assert set(back) == {"a.jpg", "b.c.png", "q r.tif"} and (back["q r.tif"].width, back["q r.tif"].height) == (3, 4)
+    scores.replace_table(df, str(tmp_path / "t"))
+    scores.replace_table(df.limit(1), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+
+
+def test_progress_and_selection(spark):
+    df, seen = control.counted(spark.range(7), "n", top=F.max("id"))
+    with control.cancellable(spark, "job"):
+        assert len(df.collect()) == 7
+    assert seen.get == {"rows": 7, "top": 6}
+    assert control.cancel(spark, "job") == [] and control.selected(df, False).count() == 0
+    assert control.may_run(spark.range(1), False) and not control.may_run(spark.range(0), False) and not control.may_run(spark.range(1), True)
+
+
 def test_stream_of_scores(spark, tmp_path):
     source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     schema = "img long, h int, w int, p array<int>"

@@ -8,7 +8,8 @@ get equal pseudonyms in every document, different ones different pseudonyms, the
 cards, IBANs, dates, addresses and numbers stay valid.
 
 Kinds, and what is permuted:
-  card    all digits but the last, which is computed anew (Luhn)
+  card    numbers in an issuer's range that pass Luhn's check: what follows the first four digits; the last digit
+          is computed anew
   iban    what follows the check digits, letters and digits apart; the check digits are computed anew
   ssn     area, group and serial within the ranges in use
   phone   the digits after the country code
@@ -44,6 +45,8 @@ PATTERNS: dict[str, str] = {
     "date": r"(?<![0-9.\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9\-/])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])",
 }
+#: How payment card numbers begin.
+ISSUERS = r"^(?:4|3[04-9]|5[0-8]|6[0-9]|2(?:2[2-9]|[3-6][0-9]|7[0-2]))"
 KINDS = ("email", "secret", "key", "iban", "phone", "ipv4", "ssn", "date", "card")
 #: Alphabets of characters that change into one another.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -107,8 +110,9 @@ def _mod97(text: str) -> str:
 
 def _card(m: str, back: bool) -> str:
     digits = f"transform(split(regexp_replace({m}, '[^0-9]', ''), ''), c -> bigint(c))"
-    permuted = _let("transform(s, x -> 10)", "r", feistel("slice(s, 1, size(s) - 1)", "r", "card", back))
-    moved = _let(permuted, "p", f"transform(concat(p, array({_luhn_digit('p')})), x -> cast(x as string))")
+    permuted = _let("transform(s, x -> 10)", "r", feistel("slice(s, 5, size(s) - 5)", "r", "card", back))
+    payload = f"concat(slice(s, 1, 4), {permuted})"
+    moved = _let(payload, "p", f"transform(concat(p, array({_luhn_digit('p')})), x -> cast(x as string))")
     return _let(digits, "s", f"array_join(zip_with(split({m}, '[0-9]', -1), {moved}, (f, n) -> concat(f, coalesce(n, ''))), '')")
 
 
@@ -160,7 +164,7 @@ def kind_of(m: str) -> str:
     return (
         f"case when {like('email')} then 'email' when {like('secret')} or {like('hex')} then 'secret' when {like('key')} then 'key' when {iban} then 'iban' "
         f"when {like('phone')} then 'phone' when {like('ipv4')} then 'ipv4' when {ssn} then 'ssn' when {date} then 'date' "
-        f"when {like('card')} and luhn_check({bare}) then 'card' end"
+        f"when {like('card')} and {bare} rlike {_raw(ISSUERS)} and luhn_check({bare}) then 'card' end"
     )
 
 

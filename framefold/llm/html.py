@@ -41,6 +41,10 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}
 UNLIKELY = re.compile(
     r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|advertising|adsense|adbox|banner|sponsor(?:ed|s)?|promo(?:tion)?s?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|toast|newsletter|subscribe|subscription|signup|sign-up|login|share|sharing|social|follow|comments?|comment-?list|replies|responses|discussion|disqus|respond|related|recommended|recommendations|more-?stories|trending|popular|outbrain|taboola|sidebar|side-?bar|widgets?|rail|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|paging|footer|foot|masthead|site-?header|page-?header|topbar|toolbar|skip-?link|tags?|tag-?list|meta-?data|legal|copyright|disclaimer|paywall|hidden|sr-only|visually-?hidden)(?:$|[^a-z])"
 )
+#: Whole classes or ids of what isn't the article, though they occur inside the names of what is.
+ALONE = frozenset("header top hdr bottom left right meta teaser teasers announcement warning".split())
+#: Parts of names that tell what stands beside or isn't there.
+BESIDE = re.compile(r"(?<![a-z])(?:has|no|with|without|hide|show|is|js)-[a-z-]+")
 LIKELY = re.compile(r"(?:^|[^a-z])(?:article|body|content|entry|main|page|post|story|text|blog|column)(?:$|[^a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
@@ -132,8 +136,8 @@ def parsed(html: str) -> Node:
     return root
 
 
-def dropped(node: Node) -> bool:
-    """Whether an element can't be of the article."""
+def dropped(node: Node, by_name: bool = True) -> bool:
+    """Whether an element can't be of the article, by element and role, and by words in class and id."""
     tag, attrs = node.tag, node.attrs
     if tag in DROPPED:
         return True
@@ -143,11 +147,13 @@ def dropped(node: Node) -> bool:
         return True
     if tag in ("html", "body", "main", "p") or tag in HEADINGS or tag == "article" and "comment" not in attrs.get("class", "") + attrs.get("id", ""):
         return False
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".replace("_", "-")
-    return bool(UNLIKELY.search(names)) and not (tag == "section" and "article" in names)
+    if not by_name:
+        return False
+    names = BESIDE.sub("", f"{attrs.get('class', '')} {attrs.get('id', '')}".replace("_", "-"))
+    return bool(UNLIKELY.search(names)) and not (tag == "section" and "article" in names) or not ALONE.isdisjoint(names.split())
 
 
-def pruned(node: Node) -> None:
+def pruned(node: Node, by_name: bool = True) -> None:
     """Removes what can't be of the article; of a header, its headings stay if it stands in an article."""
     stack: list[tuple[Node, bool, bool]] = [(node, False, False)]
     while stack:
@@ -157,7 +163,7 @@ def pruned(node: Node) -> None:
             if isinstance(child, str):
                 if not header:
                     kept.append(child)
-            elif dropped(child) or (child.tag in ("header", "hgroup") and not inside):
+            elif dropped(child, by_name) or (child.tag in ("header", "hgroup") and not inside):
                 kept.append(" ")
             else:
                 heading = child.tag in HEADINGS
@@ -232,7 +238,7 @@ def chosen(best: Node) -> list[Node]:
         if isinstance(x, str):
             continue
         few = x.linked < 0.25 * max(x.size, 1)
-        if x is best or x.tag == "h1" or few and (x.points >= max(10.0, 0.2 * best.points) or x.tag == "p" and x.size > 80):
+        if x is best or x.tag == "h1" or few and (x.points >= 0.2 * best.points or x.tag == "p" and x.size > 80):
             out.append(x)
     return out
 
@@ -266,6 +272,10 @@ def main_text(html: str | None) -> str:
     root = parsed(html)
     pruned(root)
     best = scored(root)
+    if not best:  # all that the page has is named like something else
+        root = parsed(html)
+        pruned(root, by_name=False)
+        best = scored(root)
     return "\n\n".join(x for node in chosen(best) for x in blocks(node)) if best else ""
 
 

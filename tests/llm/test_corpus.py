@@ -330,6 +330,23 @@ def test_main_text_without_article_element():
     assert html.main_text(page) == "Some words, and more of them, in a long first paragraph.\n\nThen, as it goes, another one that is long enough."
 
 
+P1, P2 = "Some words, and more of them, in a long first paragraph.", "Then, as it goes, another one that is long enough."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='header'><h1>Site</h1></div><div class='content has-sidebar'><div class=main><p>{P1}<p>{P2}</div><div class=sidebar><p>Popular, things, here, and, there, for, you, today.</p></div></div>",
+        f"<main><div class=share-buttons>Share</div><p>{P1}</p><blockquote>{P2}</blockquote><div class=reader-comments><p>No, no, and no, I say, with many, many words, again.</p></div></main>",
+        f"<table><tr><td id=nav><a href=1>One, two</a><br><a href=2>Three</a></td><td><p>{P1}</p><p>{P2}</p></td></tr></table>",
+        f"<body><div id=wrapper><div id=col1><section><p>{P1}</p></section><section><p>{P2}</p></section></div><div id=disqus_thread><p>I, too, have, something, to, say, about, this, and that.</p></div></div><div role=dialog><p>Sign, up, now, please, for, all, of, this.</p></div>",
+        f"<div class=ad><p>{P1}</p><p>{P2}</p></div>",
+    ],
+)
+def test_layouts(page):
+    assert html.main_text(page) == f"{P1}\n\n{P2}"
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("<", "<"), ("plain", "plain"), ("<p>cut off <b>he", "cut off he"), ("<script>x", ""), ("<p>a</p>b&lt;", "a\n\nb<")])
 def test_odd_pages(page, text):
     assert html.main_text(page) == text

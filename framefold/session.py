@@ -7,6 +7,18 @@ import os
 from pyspark.sql import SparkSession
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers find this package where it lies now, whatever the working directory.
+
+    That does for one machine, or a path that all share; other clusters get the package by --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+    return spark
+
+
 def local_session(cpus: int = 8, name: str = "framefold", **extra: str) -> SparkSession:
     """A single-JVM session with adaptive execution, UTC and as many shuffle partitions as cores."""
     conf = {
@@ -25,4 +37,4 @@ def local_session(cpus: int = 8, name: str = "framefold", **extra: str) -> Spark
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return reachable(spark)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framefold.llm import bpe, chat, ego, html, packing, pii, quality, shards, simhash, warc
+from framefold.llm import bpe, chat, ego, html, oracles, packing, pii, quality, shards, simhash, warc
 from framefold.llm.common import only, written
 from framefold.sources.tables import table
 
@@ -40,7 +40,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rules = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum")
 
 
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_grid_order": oracles.GRID_ORDER,
+    "op7_warc": oracles.WARC,
+    "op8_reply_trees": oracles.CHAT,
+    "op10_quality_rules": oracles.quality(),
+}

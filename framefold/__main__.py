@@ -19,14 +19,14 @@ def main(args: list[str] | None = None) -> int:
         print(f"{folder} is no folder", file=sys.stderr)
         return 1
     from framefold.operators.catalog import classified, scan
-    from framefold.operators.kernels import energies
+    from framefold.operators.kernels import regional
     from framefold.session import local_session
     from framefold.sources.images import read_png
 
     spark = local_session(os.cpu_count() or 2)
     files = classified(scan(spark, folder)).orderBy("path")
-    scores = energies(read_png(spark, folder).withColumnRenamed("path", "file"))
-    rows = files.join(scores, files.path == F.col("file"), "left").select("path", "kind", "length", F.col("lap_var").alias("score")).orderBy("path")
+    scores = regional(read_png(spark, folder).withColumnRenamed("path", "file"), 4)
+    rows = files.join(scores, files.path == F.col("file"), "left").select("path", "kind", "length", F.col("max_regional").alias("score")).orderBy("path")
     if given.out:
         rows.write.mode("overwrite").parquet(given.out)
     else:

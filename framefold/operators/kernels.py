@@ -16,14 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framefold.functions.stencils import LAPLACE5
+from framefold.functions.stencils import DERIVE3, LAPLACE5, SMOOTH3
 
 BANDS = 7
 
 
 def reflected(image: np.ndarray, reach: int) -> np.ndarray:
     """The image with a border that mirrors it without its edge pixels; a side of one pixel is repeated."""
-    pads = [(reach, reach), (reach, reach)] + [(0, 0)] * (image.ndim - 2)
     out = image
     for axis in (0, 1):
         n = image.shape[axis]
@@ -34,7 +33,6 @@ def reflected(image: np.ndarray, reach: int) -> np.ndarray:
             at = np.abs(at) % (2 * (n - 1))
             at = np.where(at >= n, 2 * (n - 1) - at, at)
         out = np.take(out, at, axis=axis)
-    assert out.shape[0] == image.shape[0] + 2 * pads[0][0]
     return out
 
 
@@ -61,8 +59,11 @@ def laplacian(image: np.ndarray) -> np.ndarray:
 
 
 def grey(image: np.ndarray) -> np.ndarray:
-    """P10: luminance of blue, green and red; a single channel as it is."""
-    return image if image.ndim == 2 else image[..., :3] @ np.array([0.114, 0.587, 0.299], image.dtype)
+    """P10: luminance of blue, green and red, rounded for bytes; a single channel as it is."""
+    if image.ndim == 2:
+        return image
+    bright = image[..., :3].astype(float) @ np.array([0.114, 0.587, 0.299])
+    return np.floor(bright + 0.5).astype(np.uint8) if image.dtype == np.uint8 else bright
 
 
 _BLUR3, _PYR = np.array([0.25, 0.5, 0.25]), np.array([1, 4, 6, 4, 1]) / 16.0
@@ -306,19 +307,53 @@ def stacked(rasters: DataFrame, group: list[str], size: int = 12, overlap: int =
     return rows
 
 
-def energies(rasters: DataFrame) -> DataFrame:
-    """Sharpness of packed rasters by the same formula as operators/sharpness.py: (keys..., lap_var)."""
+def score(image: np.ndarray) -> tuple[float, float, float, float]:
+    """A1-A4: variance of the Laplacian, Tenengrad, modified Laplacian, and their combination, as operators/sharpness.py has them."""
+    real = grey(image).astype(float)
+    variance = float(laplacian(filtered(real, _BLUR3, _BLUR3)).var())
+    gx, gy = filtered(real, np.array(SMOOTH3), np.array(DERIVE3)), filtered(real, np.array(DERIVE3), np.array(SMOOTH3))
+    gradient = float((gx * gx + gy * gy).mean())
+    modified = float(np.minimum(255, np.minimum(255, np.abs(gx)) + np.minimum(255, np.abs(gy))).mean())
+    return variance, gradient, modified, (0.4 * variance + 0.3 * gradient + 0.3 * modified) / max(np.sqrt(real.size / 1e6), 0.5)
+
+
+def regions(image: np.ndarray, grid: int, least: int = 100) -> tuple[float, float, int]:
+    """A5: the best cell's score, the whole raster's, and how many cells have 0.7 of the best; (whole, whole, 1) for small rasters."""
+    whole = score(image)[3]
+    h, w = image.shape[:2]
+    g = min(max(grid, 2), h // least, w // least)
+    if g < 1:
+        return whole, whole, 1
+    ch, cw = h // g, w // g
+    each = [score(image[i * ch : (i + 1) * ch, j * cw : (j + 1) * cw])[3] for i in range(g) for j in range(g)]
+    return max(each), whole, sum(v >= 0.7 * max(each) for v in each)
+
+
+def _per_raster(rasters: DataFrame, kernel: Callable[[np.ndarray], tuple], columns: dict[str, str]) -> DataFrame:
+    """Numbers of each packed raster, beside what else its row has."""
     keys = [f for f in rasters.schema.fields if f.name not in ("h", "w", "c", "data")]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys) + ", lap_var double"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys) + ", " + ", ".join(f"{k} {t}" for k, t in columns.items())
+    kinds = [{"double": pa.float64(), "long": pa.int64()}[t] for t in columns.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [float(laplacian(filtered(grey(unpacked(r["data"], r["h"], r["w"], r["c"]).astype(float)), _BLUR3, _BLUR3)).var()) for r in batch.select(["h", "w", "c", "data"]).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keys], pa.array(scores)], names=[*[f.name for f in keys], "lap_var"])
+            made = [kernel(unpacked(r["data"], r["h"], r["w"], r["c"])) for r in batch.select(["h", "w", "c", "data"]).to_pylist()]
+            found = [pa.array([m[i] for m in made], t) for i, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keys], *found], names=[*[f.name for f in keys], *columns])
 
     return rasters.mapInArrow(run, schema)
 
 
+def measures(rasters: DataFrame) -> DataFrame:
+    """(keys..., lap_var, tenengrad, mod_laplacian, score) of packed rasters."""
+    return _per_raster(rasters, score, {"lap_var": "double", "tenengrad": "double", "mod_laplacian": "double", "score": "double"})
+
+
+def regional(rasters: DataFrame, grid: int, least: int = 100) -> DataFrame:
+    """(keys..., max_regional, global_score, sharp_areas) of packed rasters."""
+    return _per_raster(rasters, lambda image: regions(image, grid, least), {"max_regional": "double", "global_score": "double", "sharp_areas": "long"})
+
+
 def in_reverse(frames: DataFrame, group: list[str], seq: str = "img") -> DataFrame:
     """Ord counts from the last frame down."""
     return frames.withColumn("ord", (F.row_number().over(W.partitionBy(*group).orderBy(F.desc(seq))) - 1).cast("long"))

@@ -18,14 +18,20 @@ from framefold.config import Settings
 from framefold.operators import estimation, kernels, matching, sharpness, transforms
 
 
+def scores(frames: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(keys..., score, global_score, sharp_areas): a frame's score is that of its best region."""
+    return kernels.regional(frames, settings.grid_size).withColumnRenamed("max_regional", "score")
+
+
 def sharp_frames(frames: DataFrame, settings: Settings = Settings(), cached: DataFrame | None = None) -> DataFrame:
     """(stack, img, score) of the frames that pass the threshold and the quartile filter; cached scores are taken first."""
+    slim = frames.select("stack", "img", "h", "w", "c", "data")
     if cached is None:
-        scores = kernels.energies(frames.select("stack", "img", "h", "w", "c", "data")).withColumnRenamed("lap_var", "score")
+        found = scores(slim, settings).select("stack", "img", "score")
     else:
-        todo = frames.join(cached.select("stack", "img"), ["stack", "img"], "left_anti")
-        scores = kernels.energies(todo.select("stack", "img", "h", "w", "c", "data")).withColumnRenamed("lap_var", "score").unionByName(cached.select("stack", "img", "score"))
-    return sharpness.without_outliers(scores, ["stack"], settings.sharpness_threshold, settings.iqr_multiplier).select("stack", "img", "score")
+        todo = slim.join(cached.select("stack", "img"), ["stack", "img"], "left_anti")
+        found = scores(todo, settings).select("stack", "img", "score").unionByName(cached.select("stack", "img", "score"))
+    return sharpness.without_outliers(found, ["stack"], settings.sharpness_threshold, settings.iqr_multiplier).select("stack", "img", "score")
 
 
 def pair_transforms(frames: DataFrame, settings: Settings = Settings(), most: int = 5000) -> DataFrame:

@@ -546,7 +546,14 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
 @query("packed_laplacian_variance", f"WITH {_PX}, {_MEASURES} SELECT img, round(lap_var, 4) AS lap_var FROM measures")
 def packed_laplacian_variance(spark: SparkSession, d: str) -> DataFrame:
     """The packed form of laplacian_variance, which real rasters take."""
-    return kernels.energies(_packed(spark, d).select("img", "h", "w", "c", "data")).select("img", F.round("lap_var", 4).alias("lap_var"))
+    return kernels.measures(_packed(spark, d).select("img", "h", "w", "c", "data")).select("img", F.round("lap_var", 4).alias("lap_var"))
+
+
+@query("packed_regional_sharpness", ORACLES["regional_sharpness"])
+def packed_regional_sharpness(spark: SparkSession, d: str) -> DataFrame:
+    """The packed form of regional_sharpness."""
+    rows = kernels.regional(_packed(spark, d).select("img", "h", "w", "c", "data"), 4, least=4)
+    return rows.select("img", F.round("max_regional", 4).alias("max_regional"), "sharp_areas")
 
 
 @query("pyramid_stack")

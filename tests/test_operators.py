@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from framefold.config import Settings
 from framefold.functions import paths
 from framefold.operators import catalog, fusion, kernels, sharpness, transforms
-from framefold.plans import align, control, stack
+from framefold.plans import align, control, series, stack
 from framefold.sources import images, scores
 from framefold.streaming import ingest
 
@@ -90,9 +90,13 @@ def test_ties_go_to_the_last_frame(spark):
 def test_array_and_packed_forms_agree(spark):
     rng = np.random.default_rng(2)
     rows = spark.createDataFrame([(i, 16, 12, rng.integers(0, 256, 192).tolist()) for i in range(5)], "img long, h int, w int, p array<int>")
-    a = {r.img: r.lap_var for r in sharpness.measures(rows).collect()}
-    b = {r.img: r.lap_var for r in kernels.energies(kernels.packed(rows)).collect()}
-    assert a == pytest.approx(b)
+    for name in ("lap_var", "tenengrad", "mod_laplacian", "score"):
+        a = {r.img: r[name] for r in sharpness.measures(rows).collect()}
+        assert a == pytest.approx({r.img: r[name] for r in kernels.measures(kernels.packed(rows)).collect()})
+    for least in (3, 100):
+        a = {r.img: (r.max_regional, r.global_score, r.sharp_areas) for r in sharpness.regional(rows, 4, least).collect()}
+        b = {r.img: (r.max_regional, r.global_score, r.sharp_areas) for r in kernels.regional(kernels.packed(rows), 4, least).collect()}
+        assert all(a[i] == pytest.approx(b[i]) for i in a) and len(a) == len(b) == 5
 
 
 def pictures(spark, n=5, size=96):
@@ -137,6 +141,26 @@ def test_files_round_trip(spark, tmp_path):
     assert images.read_spark(spark, str(tmp_path)).count() == 3
 
 
+def test_a_whole_series(spark, tmp_path):
+    frames, _ = pictures(spark, 4, 64)
+    folder = str(tmp_path)
+    images.write_files(images.as_png(frames.select(F.format_string("f%02d.png", "img").alias("name"), "h", "w", "c", "data")), folder)
+    settings = Settings(sharpness_threshold=10, iqr_multiplier=5)
+    assert series.run(spark, folder, settings, most=200).endswith("final/result_0001.png")
+    first = spark.read.parquet(f"{folder}/aligned").select("img", "out_name").collect()
+    assert series.run(spark, folder, settings, most=200).endswith("final/result_0002.png")
+    again = spark.read.parquet(f"{folder}/aligned").select("img", "out_name").collect()
+    assert sorted(first) == sorted(again) and len(first) == 4  # nothing was warped twice
+    (tmp_path / "final" / "result_0001.png").unlink()
+    assert series.run(spark, folder, settings, resume=False, most=200).endswith("final/result_0001.png")
+    out = images.decoded((tmp_path / "final" / "result_0002.png").read_bytes())
+    assert out.shape[2] == 4 and 50 <= out.shape[0] < 64
+    (tmp_path / "flat").mkdir()
+    (tmp_path / "flat" / "a.png").write_bytes(images.encoded(np.full((32, 32), 9, np.uint8)))
+    with pytest.raises(ValueError, match="no frame"):
+        series.run(spark, f"{folder}/flat", settings, most=200)
+
+
 def test_records_round_trip(spark, tmp_path):
     rows = [("a.jpg", 8785.1, 1232.63, 5.0, 4, "2024-01-01T00:00:00+01:00", 2624, 1750), ("b.c.png", 1.0, 0.5, 1.0, 8, "t", 10, 20)]
     df = spark.createDataFrame(rows, "image_filename string, max_regional_sharpness double, global_sharpness double, sharp_region_count double, grid_size long, timestamp string, width int, height int")

@@ -102,6 +102,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     collected, and a round's links are written to the shared folder.  Nodes without links don't occur.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(rounds):
         # Large star: every larger neighbour of a node goes to the least of the node and its neighbours.
         low = edges.groupBy("u").agg(F.min("v").alias("m"))  # nodes that have a smaller neighbour

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from framefold.llm.common import sliced
 
-#: Bytes that are merged directly.
-LEAF = 48
+#: Bytes that are merged directly: a leaf of the tree; and from how many on a window is merged by a heap.
+LEAF, HEAP = 12, 192
 #: Distinct matches that a worker remembers, and the longest of them in characters; bounds its memory.
 REMEMBERED, LONGEST = 400_000, 64
 _NONE = sys.maxsize
@@ -60,7 +60,7 @@ class Ranks:
     def merged(self, data: bytes) -> list[int]:
         """The encoding, by merging the pair of least rank, the leftmost first, while there is one."""
         ids = list(data.translate(self.singles))
-        if len(ids) > 4 * LEAF:
+        if len(ids) > HEAP:
             return self._merged_by_heap(ids)
         get = self.merges.get
         open_ = [get(pair, _NONE) for pair in zip(ids, ids[1:], strict=False)]

@@ -27,6 +27,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from math import isqrt
 
 import pyarrow as pa
 import tiktoken
@@ -37,8 +38,6 @@ from framefold.llm.bpe import read_ranks
 from framefold.llm.common import only, ranked, sliced, written
 
 CAPACITY = 2048
-#: Pieces of one length that are numbered in one task, about.
-PART = 200_000
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -242,7 +241,7 @@ def placed(parts: DataFrame, capacity: int = CAPACITY, steps: int = 6000) -> Dat
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     schema = "length long, first long, beyond long, sequence long, each long, offsets array<long>"
     table = parts.sparkSession.createDataFrame(ranges(packed_counts(counts, capacity, steps)), schema)
-    salts = max(1, -(-max(counts.values(), default=1) // PART))
+    salts = isqrt(max(counts.values(), default=1)) + 1  # parts of the most frequent length are as many as they are large
     order = [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")]
     rows = ranked(parts, ["length"], F.xxhash64("doc_id", "piece", "ids_crc32"), salts, order, "_nr")
     found = rows.join(F.broadcast(table.withColumnRenamed("length", "_length")), (F.col("length") == F.col("_length")) & (F.col("_nr") >= F.col("first")) & (F.col("_nr") < F.col("beyond")))

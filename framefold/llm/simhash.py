@@ -12,6 +12,10 @@ counts of equal parts, carried on to more flips by how often each bit is set.
 Equal fingerprints are one node, so copies cost one row each and no pairs.  Links become components by
 distributed stars; nothing but statistics of 64 * 64 numbers and a few counts reaches the driver.
 
+near_duplicates() links by fingerprints of 64 bits.  similar() is for documents that are alike by a share of their
+shingles, which differ in more bits than a search can afford: it probes several fingerprints in the same way,
+and verifies on all of them.
+
 Defined cases: null and empty texts have no words and fingerprint zero, and link like any other; fewer
 than three words are one shingle; a null doc_id gets a fingerprint but no component, and takes no part in
 linking; rows with one doc_id twice are both nodes of that id; empty tables give empty results.
@@ -22,7 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb
+from math import acos, comb, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -198,12 +202,82 @@ def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     return out.select("doc_id", shown.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """docs, one document of each component: the one with the smallest doc_id.
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Another 64 bits for each hash (the finaliser of splitmix64, from a start that k shifts); the hashes themselves for k = 0."""
+    if not k:
+        return hashes
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: bytes, width: int, words: int) -> np.ndarray:
+    """`words` independent fingerprints of the text's shingles, as signed longs."""
+    total, n = np.zeros(words * BITS, np.int64), 0
+    for block in shingle_hashes(text, width):
+        for k in range(words):
+            bits = np.unpackbits(mixed(block, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total[k * BITS : (k + 1) * BITS] += bits.sum(axis=0, dtype=np.int64)
+        n += len(block)
+    return np.packbits(total * 2 > n, bitorder="little").view("<i8") if n else np.zeros(words, np.int64)
+
+
+def wide_limit(least: float, words: int) -> int:
+    """Differing bits of pairs whose shingles have Jaccard similarity `least`: the mean and half a deviation.
+
+    Sets of equal size with similarity s have cosine 2s / (1 + s), and a bit differs with the angle over pi.
+    """
+    q, n = acos(2 * least / (1 + least)) / pi, words * BITS
+    return int(n * q + 0.5 * sqrt(n * q * (1 - q)))
+
 
-    Documents without a doc_id stay.  Of rows with one doc_id the one with the least text stays.
+def similar(docs: DataFrame, least: float = 0.8, width: int = 5, words: int = 4, distance: int = 3, parts: int = 4) -> DataFrame:
+    """(doc_id, component_id): documents whose shingles of `width` words are estimated to be `least` alike or more.
+
+    Such pairs differ in a seventh of the bits, so `words` fingerprints are made.  Each is planned and probed as
+    in links(), which meets all pairs within `distance` bits of one of them, and most that are alike: a pair is
+    missed only if it differs in all of the words * parts parts.  At the defaults 70 in 100 pairs of
+    similarity 0.8 meet, 84 of 0.85, 95 of 0.9 and 99.7 of 0.95.  Whoever meets is verified on all bits.
+    """
+    names = [f"f{k}" for k in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            made = np.stack([wide_fingerprint(x or b"", width, words) for x in texts]) if texts else np.zeros((0, words), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(made[:, k]) for k in range(words)]], names=["doc_id", *names])
+
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = written(slim.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
+    nodes = written(rows.filter("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("rep")), "nodes")
+    used = []
+    for k, name in enumerate(names):
+        plan = planned(nodes.select(F.col(name).alias("fp")), distance, (parts,))
+        used += [(k, len(used) + i, g, t) for i, (g, t) in enumerate(zip(plan.groups, plan.thresholds, strict=True)) if t >= 0]
+    index = F.array(*[F.struct(F.lit(part).alias("part"), F.col(names[k]).bitwiseAND(F.lit(as_mask(g))).alias("key")) for k, part, g, _ in used])
+    stored = nodes.select(F.explode(index).alias("e"), *[F.col(n).alias(f"g{n}") for n in names], F.col("rep").alias("b")).select("e.part", "e.key", *[f"g{n}" for n in names], "b")
+    flips = [(k, part, as_mask(g), as_mask(c)) for k, part, g, t in used for n in range(t + 1) for c in combinations(g, n)]
+    table = nodes.sparkSession.createDataFrame(flips, "word int, part int, mask long, flip long")  # as many rows as the plans have flips
+    own = F.element_at(F.array(*names), F.col("word") + 1).bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip"))
+    near = nodes.crossJoin(F.broadcast(table)).select("part", own.alias("key"), *names, F.col("rep").alias("a"))
+    bits = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"g{n}"))) for n in names), F.lit(0))
+    met = near.join(stored, ["part", "key"]).filter((F.col("a") < F.col("b")) & (bits <= wide_limit(least, words)))
+    joined = components(met.select("a", "b"))
+    named = nodes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(*[F.col(n).alias(f"g{n}") for n in names], F.coalesce("component", "rep").alias("component_id"))
+    same = F.lit(True)
+    for n in names:
+        same = same & (F.col(n) == F.col(f"g{n}"))
+    return rows.join(named, same, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """docs, one document of each group (doc_id, component_id): the one with the smallest doc_id.
+
+    Groups are those of similar() where none are given.  Documents without a doc_id stay.  Of rows with one
+    doc_id the one with the least text stays.
     """
-    groups = written(near_duplicates(docs, distance), "groups")
+    groups = written(similar(only(docs, "doc_id", "text")) if groups is None else groups, "groups")
     kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
     out = docs.join(kept, "doc_id", "left_semi")
     known = groups.filter("doc_id is not null")

@@ -243,9 +243,7 @@ def test_best_fit_holds_every_length(counts):
     assert collections.Counter({x: sum(p.count(x) * n for p, n in made) for x in counts}) == collections.Counter(counts) and all(sum(p) <= 64 for p, _ in made)
 
 
-@pytest.mark.parametrize("part", [3, packing.PART])
-def test_packing_documents(spark, docs, monkeypatch, part):
-    monkeypatch.setattr(packing, "PART", part)
+def test_packing_documents(spark, docs):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     library.encode_special_tokens = True
     got = rows(packing.packed(docs, RANKS, PATTERN, 512, keep_ids=True))
@@ -254,9 +252,9 @@ def test_packing_documents(spark, docs, monkeypatch, part):
         ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 0]
         told += [(r.doc_id, k, s, n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids), 512))]
     assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got), key=repr) == sorted(told, key=repr)
-    for _, part_ in itertools.groupby(sorted(got, key=lambda r: (r["sequence_id"], r["offset"])), key=lambda r: r["sequence_id"]):
+    for _, part in itertools.groupby(sorted(got, key=lambda r: (r["sequence_id"], r["offset"])), key=lambda r: r["sequence_id"]):
         at = 0
-        for r in part_:
+        for r in part:
             assert r["offset"] == at
             at += r["length"]
         assert at <= 512
@@ -286,12 +284,46 @@ def test_fingerprints_and_groups(spark, docs):
     for d, f in known:
         least[group[f]] = min(least.get(group[f], d), d)
     assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got), key=repr) == sorted(((d, f"{f:016x}", None if d is None else least[group[f]]) for d, f in table), key=repr)
-    kept = rows(simhash.deduplicated(docs))
+    kept = rows(simhash.deduplicated(docs, simhash.near_duplicates(docs)))
     ids = [r["doc_id"] for r in kept]
     assert set(ids) == {None, *least.values()} and len(ids) == len(set(ids)) and all(r["fp"] in ("clash", "c") for r in kept)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 == simhash.deduplicated(docs.limit(0)).count()
 
 
+def edited(words, share, rng):
+    return " ".join(w if rng.random() > share else f"new{rng.randrange(10**6)}" for w in words)
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_documents_meet(spark):
+    rng = random.Random(8)
+    table, pairs = [], []
+    for i in range(0, 400, 2):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(150, 400))]
+        table += [(i, " ".join(words)), (i + 1, edited(words, rng.choice([0.0, 0.003, 0.01, 0.2]), rng))]
+        pairs.append(jaccard(table[-1][1], table[-2][1]))
+    df = spark.createDataFrame(table, "doc_id long, text string").withColumn("f0", F.lit("clash"))
+    group = {r["doc_id"]: r["component_id"] for r in rows(simhash.similar(df.select("doc_id", "text")))}
+    met = [group[2 * k + 1] == 2 * k for k in range(200)]
+    assert all(group[2 * k] == 2 * k for k in range(200))  # no two different originals
+    assert all(m for m, j in zip(met, pairs, strict=True) if j == 1) and not any(m for m, j in zip(met, pairs, strict=True) if j < 0.55)
+    close = [m for m, j in zip(met, pairs, strict=True) if 0.85 <= j < 1]
+    assert len(close) > 40 and sum(close) >= 0.85 * len(close)
+    kept = rows(simhash.deduplicated(df))
+    assert {r["doc_id"] for r in kept} == set(group.values()) and all(r["f0"] == "clash" for r in kept)
+
+
+def test_similar_edge_cases(spark, docs):
+    got = rows(simhash.similar(docs))
+    assert len(got) == docs.count() and {r["component_id"] for r in got if r["doc_id"] in (0, 1, 2)} == {0} and {r["component_id"] for r in got if r["doc_id"] in (5, 6, 7)} == {5}
+    assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
+    assert simhash.similar(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("distance", [0, 1, 3, 5])
 def test_no_link_is_lost(spark, distance):
     rng = random.Random(distance)
@@ -538,10 +570,13 @@ def test_pipeline_stages(spark, tmp_path):
     texts = {r.doc_id: r.text for r in docs.collect()}
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     after_rules = {r["doc_id"] for r in rows(quality.quality_rules(docs, labels)) if r["kept"]}
-    fp = {d: brute_fingerprint(texts[d]) for d in after_rules}
-    group = brute_components([(a, b) for a, b in itertools.combinations(sorted(after_rules), 2) if bin(fp[a] ^ fp[b]).count("1") <= 3])
-    left = {d for d in after_rules if group.get(d, d) == d}
-    assert kept[0][1] == len(after_rules) and kept[1][1] == kept[2][1] == len(left) and {r["doc_id"] for r in rows(at)} == left
+    # Held against every pair: what went has a similar document that is smaller, and no very similar pair stayed.
+    wide = {d: simhash.wide_fingerprint(texts[d].encode(), 5, 4).view(np.uint64) for d in after_rules}
+    bits = {(a, b): int(np.bitwise_count(wide[a] ^ wide[b]).sum()) for a, b in itertools.combinations(sorted(after_rules), 2)}
+    group = brute_components([p for p, n in bits.items() if n <= simhash.wide_limit(0.8, 4)])
+    left = {r["doc_id"] for r in rows(at)}
+    assert kept[0][1] == len(after_rules) and kept[1][1] == kept[2][1] == len(left)
+    assert all(group.get(d, d) < d for d in after_rules - left) and not any(n <= 15 and a in left and b in left for (a, b), n in bits.items())
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == kept[3][1]
     assert at.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
 

@@ -141,7 +141,8 @@ def neighbours(files: DataFrame, group: list[str]) -> DataFrame:
 
 def tumbling(rows: DataFrame, group: list[str], order: list[Column], size: int) -> DataFrame:
     """Batches of `size` rows in order."""
-    return rows.withColumn("batch", F.expr("int(rn div {n})".format(n=size))) if "rn" in rows.columns else tumbling(rows.withColumn("rn", F.row_number().over(W.partitionBy(*group).orderBy(*order)) - 1), group, order, size).drop("rn")
+    place = F.row_number().over(W.partitionBy(*group).orderBy(*order)) - 1
+    return rows.withColumn("batch", F.floor(place / size).cast("int"))
 
 
 def overlapping(rows: DataFrame, group: list[str], order: list[Column], size: int, overlap: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -530,8 +531,8 @@ def raw_demosaic_2x2(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("img", F.col("y").cast("long"), F.col("x").cast("long"), "b", "g", "r")
 
 
-@query("erased_stage_counts", f"WITH {_FILES} SELECT stage, count(*) AS files, count(*) FILTER (WHERE {_STD}) AS standard, count(*) FILTER (WHERE {_RAW}) AS raw FROM files GROUP BY stage")
-def erased_stage_counts(spark: SparkSession, d: str) -> DataFrame:
+@query("stage_counts", f"WITH {_FILES} SELECT stage, count(*) AS files, count(*) FILTER (WHERE {_STD}) AS standard, count(*) FILTER (WHERE {_RAW}) AS raw FROM files GROUP BY stage")
+def stage_counts(spark: SparkSession, d: str) -> DataFrame:
     """What each stage folder holds."""
     return catalog.classified(views.files(spark, d)).groupBy("stage").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("kind") == "standard").alias("standard"), F.count_if(F.col("kind") == "raw").alias("raw"))
 
@@ -576,8 +577,8 @@ def _kernel_query(name: str, kernel: Callable) -> None:
 _kernel_query("clahe", lambda image: kernels.equalised(image, tiles=2))
 _kernel_query("bilateral", lambda image: kernels.bilateral(image, 1.0))
 _kernel_query("unsharp", lambda image: kernels.sharpened(image, 1.0))
-_kernel_query("warp_lanczos", lambda image: kernels.to_bytes(kernels.warped(image.astype(float), kernels.np.array([[1, 0, 0.5], [0, 1, -0.25]]))))
-_kernel_query("warp_bilinear", lambda image: kernels.to_bytes(kernels.warped(image.astype(float), kernels.np.array([[1, 0, 0.5], [0, 1, -0.25]]), taps=kernels.linear_taps)))
+_kernel_query("warp_lanczos", lambda image: kernels.to_bytes(kernels.warped(image.astype(float), np.array([[1, 0, 0.5], [0, 1, -0.25]]))))
+_kernel_query("warp_bilinear", lambda image: kernels.to_bytes(kernels.warped(image.astype(float), np.array([[1, 0, 0.5], [0, 1, -0.25]]), taps=kernels.linear_taps)))
 _kernel_query("resize_bilinear", lambda image: kernels.to_bytes(kernels.resized(image, 5, 6)))
 _kernel_query("resize_lanczos", lambda image: kernels.to_bytes(kernels.resized(image, 12, 10, kernels.lanczos_taps)))
 _kernel_query("thumbnail_rgba", lambda image: previews.thumbnail(image, 4))

@@ -1,16 +1,17 @@
 """The image catalogue: scans, caches, selections and names as DataFrame operators.
 
-Catalogue tables have a row for each file; nothing here gathers them in one task, but for window
-operators over one folder's ordered list, which is the unit that is numbered.
+Catalogue tables have a row for each file.  Nothing here gathers a collection in one task, but for
+neighbours(), which orders the file names of one folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framefold.functions import paths
+from framefold.operators.ranking import numbered
 
 
 def scan(spark: SparkSession, folder: str, raw: bool = True) -> DataFrame:
@@ -139,24 +140,23 @@ def neighbours(files: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def tumbling(rows: DataFrame, group: list[str], order: list[Column], size: int) -> DataFrame:
+def tumbling(rows: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:
     """Batches of `size` rows in order."""
-    place = F.row_number().over(W.partitionBy(*group).orderBy(*order)) - 1
-    return rows.withColumn("batch", F.floor(place / size).cast("int"))
+    return numbered(rows, group, order, "_place").withColumn("batch", F.expr(f"_place div {size}")).drop("_place")
 
 
-def overlapping(rows: DataFrame, group: list[str], order: list[Column], size: int, overlap: int) -> DataFrame:
+def overlapping(rows: DataFrame, group: list[str], order: list[str], size: int, overlap: int) -> DataFrame:
     """Chunks of `size` rows that share `overlap` with the one before, until one reaches the end.
 
     A row in the overlap occurs once for each of its chunks; place is its rank in the group.
     """
     if size <= overlap:
         raise ValueError("a chunk must be larger than the overlap")
-    by, step = W.partitionBy(*group), size - overlap
-    ranked = rows.withColumn("place", F.row_number().over(by.orderBy(*order)) - 1).withColumn("n", F.count(F.lit(1)).over(by))
-    last = f"greatest(0, int(ceil((n - {size}) / {step}D)))"
-    lowest = f"greatest(0, int(ceil((place - {size - 1}) / {step}D)))"
-    return ranked.withColumn("chunk", F.explode(F.expr(f"sequence({lowest}, least({last}, int(place div {step})))"))).drop("n")
+    step = size - overlap
+    ranked = numbered(rows, group, order, "place", "_n")
+    last = f"greatest(0L, bigint(ceil((_n - {size}) / {step}D)))"
+    lowest = f"greatest(0L, bigint(ceil((place - {size - 1}) / {step}D)))"
+    return ranked.withColumn("chunk", F.explode(F.expr(f"sequence({lowest}, least({last}, place div {step}))"))).drop("_n")
 
 
 def reset_targets(first_input_stage: str, resume: bool) -> tuple[str, ...]:

@@ -301,7 +301,7 @@ def stacked(rasters: DataFrame, group: list[str], size: int = 12, overlap: int =
     while longest > 1:
         if longest <= size:
             return fused_once(rows, group, compat)
-        chunks = overlapping(rows, group, [F.col("ord")], size, overlap)
+        chunks = overlapping(rows, group, ["ord"], size, overlap)
         rows = fused_once(chunks, [*group, "chunk"], compat).withColumn("ord", F.col("chunk").cast("long")).drop("chunk")
         longest = 1 + -(-(longest - size) // (size - overlap))
     return rows

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framefold.functions.stencils import GAUSS3, LAPLACE5, SOBEL_X, SOBEL_Y, convolved, magnitude
+from framefold.operators.ranking import numbered
 
 
 def energy(rasters: DataFrame, p: str = "p") -> DataFrame:
@@ -65,20 +65,22 @@ def regional(rasters: DataFrame, grid: int, least: int = 100, p: str = "p") -> D
 
 
 def statistics(scores: DataFrame, group: list[str]) -> DataFrame:
-    """N, mean, median, stddev (population), q1, q3, low, high; quartiles are the values at sorted places n/2, n/4, 3n/4.
-
-    Places come from a window of counts over distinct values, so ties are one row and no list is gathered.
-    """
-    each = scores.groupBy(*group, "score").agg(F.count(F.lit(1)).alias("c"))
-    by = W.partitionBy(*group)
-    upto = each.withColumn("beyond", F.sum("c").over(by.orderBy("score"))).withColumn("n", F.sum("c").over(by))
+    """N, mean, median, stddev (population), q1, q3, low, high; quartiles are the values at sorted places n/2, n/4, 3n/4."""
+    ranked = numbered(scores.select(*group, "score"), group, ["score"], "place", "n")
 
     def at(place: str) -> Column:
-        return F.min(F.when(F.col("beyond") > F.expr(place), F.col("score")))
+        return F.max(F.when(F.col("place") == F.expr(place), F.col("score")))
 
-    places = upto.groupBy(*group).agg(F.max("n").alias("n"), at("n div 2").alias("median"), at("n div 4").alias("q1"), at("(3 * n) div 4").alias("q3"))
-    plain = scores.groupBy(*group).agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("stddev"), F.min("score").alias("low"), F.max("score").alias("high"))
-    return places.join(plain, group)
+    return ranked.groupBy(*group).agg(
+        F.max("n").alias("n"),
+        at("n div 2").alias("median"),
+        at("n div 4").alias("q1"),
+        at("(3 * n) div 4").alias("q3"),
+        F.avg("score").alias("mean"),
+        F.stddev_pop("score").alias("stddev"),
+        F.min("score").alias("low"),
+        F.max("score").alias("high"),
+    )
 
 
 def above(scores: DataFrame, threshold: float) -> DataFrame:
@@ -111,9 +113,7 @@ def checked(scores: DataFrame, least: int) -> DataFrame:
 
 def middle_frame(scores: DataFrame, group: list[str]) -> DataFrame:
     """The frame at place n/2 by falling score, earlier frames first among equals."""
-    by = W.partitionBy(*group)
-    ranked = scores.withColumn("rn", F.row_number().over(by.orderBy(F.desc("score"), "seq"))).withColumn("n", F.count(F.lit(1)).over(by))
-    return ranked.filter("rn = n div 2 + 1").drop("rn", "n")
+    return numbered(scores, group, ["-score", "seq"], "_place", "_n").filter("_place = _n div 2").drop("_place", "_n")
 
 
 def first_frame(scores: DataFrame, group: list[str]) -> DataFrame:

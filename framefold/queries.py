@@ -260,19 +260,19 @@ def cyclic_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return catalog.neighbours(rows, ["folder"]).withColumn("progress", F.col("progress").cast("double"))
 
 
-@query("tumbling_batches", f"WITH {_SCORES} SELECT collection, seq, CAST((row_number() OVER (PARTITION BY collection ORDER BY seq) - 1) // 12 AS INTEGER) AS batch FROM scores")
+@query("tumbling_batches", f"WITH {_SCORES} SELECT collection, seq, (row_number() OVER (PARTITION BY collection ORDER BY seq) - 1) // 12 AS batch FROM scores")
 def tumbling_batches(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.tumbling(views.scores(spark, d), ["collection"], [F.col("seq")], 12).select("collection", "seq", "batch")
+    return catalog.tumbling(views.scores(spark, d), ["collection"], ["seq"], 12).select("collection", "seq", "batch")
 
 
 @query(
     "overlap_chunks",
     f"""WITH {_SCORES}, r AS (SELECT collection, seq, row_number() OVER (PARTITION BY collection ORDER BY seq) - 1 AS place, count(*) OVER (PARTITION BY collection) AS n FROM scores),
   c AS (SELECT DISTINCT collection, n, unnest(range(greatest(0, CAST(ceil((n - 12) / 10.0) AS BIGINT)) + 1)) AS chunk FROM r)
-  SELECT r.collection, r.seq, CAST(r.place AS INTEGER) AS place, CAST(c.chunk AS INTEGER) AS chunk FROM r JOIN c ON c.collection = r.collection AND r.place BETWEEN c.chunk * 10 AND c.chunk * 10 + 11""",
+  SELECT r.collection, r.seq, r.place, c.chunk FROM r JOIN c ON c.collection = r.collection AND r.place BETWEEN c.chunk * 10 AND c.chunk * 10 + 11""",
 )
 def overlap_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.overlapping(views.scores(spark, d), ["collection"], [F.col("seq")], 12, 2).select("collection", "seq", "place", "chunk")
+    return catalog.overlapping(views.scores(spark, d), ["collection"], ["seq"], 12, 2).select("collection", "seq", "place", "chunk")
 
 
 # Sharpness

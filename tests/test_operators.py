@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from framefold.config import Settings
 from framefold.functions import paths
 from framefold.operators import catalog, fusion, kernels, sharpness, transforms
+from framefold.operators.ranking import numbered
 from framefold.plans import align, control, series, stack
 from framefold.sources import images, scores
 from framefold.streaming import ingest
@@ -34,10 +35,23 @@ def test_resize_target(spark, spec, out):
 
 def test_overlapping_chunks(spark):
     rows = spark.range(25).withColumn("g", F.lit(1))
-    got = catalog.overlapping(rows, ["g"], [F.col("id")], 12, 2).groupBy("chunk").agg(F.min("place"), F.max("place")).orderBy("chunk").collect()
+    got = catalog.overlapping(rows, ["g"], ["id"], 12, 2).groupBy("chunk").agg(F.min("place"), F.max("place")).orderBy("chunk").collect()
     assert [tuple(r) for r in got] == [(0, 0, 11), (1, 10, 21), (2, 20, 24)]
     with pytest.raises(ValueError):
-        catalog.overlapping(rows, ["g"], [F.col("id")], 2, 2)
+        catalog.overlapping(rows, ["g"], ["id"], 2, 2)
+
+
+@pytest.mark.parametrize("order", [["v", "k"], ["-v", "k"], ["k"]])
+def test_numbered(spark, order):
+    rng = np.random.default_rng(6)
+    table = [(None if i % 3 else "a", i, None if i % 50 == 0 else float(rng.integers(0, 30))) for i in range(700)]
+    got = numbered(spark.createDataFrame(table, "g string, k long, v double"), ["g"], order, "at", "n", parts=7).collect()
+    down = order[0] == "-v"
+    key = (lambda r: r[1]) if order == ["k"] else lambda r: ((r[2] is None) == down, (-1 if down else 1) * (r[2] or 0), r[1])
+    for g in (None, "a"):
+        own = sorted((r for r in table if r[0] == g), key=key)
+        assert {r.k: (r.at, r.n) for r in got if r.g == g} == {r[1]: (i, len(own)) for i, r in enumerate(own)}
+    assert numbered(spark.createDataFrame([], "g string, k long"), ["g"], ["k"]).count() == 0
 
 
 def test_free_number(spark):

@@ -571,12 +571,12 @@ def test_pipeline_stages(spark, tmp_path):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     after_rules = {r["doc_id"] for r in rows(quality.quality_rules(docs, labels)) if r["kept"]}
     # Held against every pair: what went has a similar document that is smaller, and no very similar pair stayed.
-    wide = {d: simhash.wide_fingerprint(texts[d].encode(), 5, 8).view(np.uint64) for d in after_rules}
+    wide = {d: simhash.wide_fingerprint(texts[d].encode(), 5, 6).view(np.uint64) for d in after_rules}
     bits = {(a, b): int(np.bitwise_count(wide[a] ^ wide[b]).sum()) for a, b in itertools.combinations(sorted(after_rules), 2)}
-    group = brute_components([p for p, n in bits.items() if n <= simhash.wide_limit(0.8, 8)])
+    group = brute_components([p for p, n in bits.items() if n <= simhash.wide_limit(0.8, 6)])
     left = {r["doc_id"] for r in rows(at)}
     assert kept[0][1] == len(after_rules) and kept[1][1] == kept[2][1] == len(left)
-    assert all(group.get(d, d) < d for d in after_rules - left) and not any(n <= 31 and a in left and b in left for (a, b), n in bits.items())
+    assert all(group.get(d, d) < d for d in after_rules - left) and not any(n <= 23 and a in left and b in left for (a, b), n in bits.items())
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == kept[3][1]
     assert at.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
 

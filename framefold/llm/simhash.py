@@ -283,8 +283,7 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5, words: int = 6,
     met = x.join(y, meeting & (differing("x.{}", "y.{}") <= limit)).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
     # Components of components, then back to their members.
     over = components(met.distinct()).select(F.col("node").alias("c"), F.col("component").alias("top"))
-    joined = nodes.join(over, "c", "left").select(F.col("rep").alias("node"), F.coalesce("top", "c").alias("component"))
-    named = nodes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(*[F.col(n).alias(f"g{n}") for n in names], F.coalesce("component", "rep").alias("component_id"))
+    named = nodes.join(over, "c", "left").select(*[F.col(n).alias(f"g{n}") for n in names], F.coalesce("top", "c").alias("component_id"))
     same = F.lit(True)
     for n in names:
         same = same & (F.col(n) == F.col(f"g{n}"))

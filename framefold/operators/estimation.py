@@ -47,13 +47,40 @@ def moved(m: np.ndarray, points: np.ndarray) -> np.ndarray:
         return out[:, :2] / out[:, 2:]
 
 
+def _best_similarity(a: np.ndarray, b: np.ndarray, threshold: float, rounds: int, rng: np.random.Generator) -> tuple[np.ndarray | None, np.ndarray]:
+    """The similarity through two points with the most points near, over all pairs of points, or `rounds` random ones
+    where there are more; as complex numbers w = c z + t, many pairs at a time.
+    """
+    z, w, n = a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1], len(a)
+    if n * (n - 1) // 2 <= rounds:
+        i, j = np.triu_indices(n, 1)
+    else:
+        i = rng.integers(0, n, rounds)
+        j = (i + rng.integers(1, n, rounds)) % n
+    best, inside = None, np.zeros(n, bool)
+    for k in range(0, len(i), 512):
+        p, q = i[k : k + 512], j[k : k + 512]
+        apart = z[q] != z[p]
+        p, q = p[apart], q[apart]
+        c = (w[q] - w[p]) / (z[q] - z[p])
+        t = w[p] - c * z[p]
+        near = np.abs(c[:, None] * z + t[:, None] - w) <= threshold
+        counts = near.sum(axis=1)
+        if len(counts) and counts.max() > inside.sum():
+            at = int(counts.argmax())
+            best, inside = np.array([[c[at].real, -c[at].imag, t[at].real], [c[at].imag, c[at].real, t[at].imag], [0, 0, 1.0]]), near[at]
+    return best, inside
+
+
 def ransac(model: str, a: np.ndarray, b: np.ndarray, threshold: float, rounds: int, confidence: float, seed: int) -> tuple[np.ndarray | None, np.ndarray]:
     """The transform with the most points within `threshold`, refined on those; None below four points."""
     need, inside = MODELS[model], np.zeros(len(a), bool)
     if len(a) < 4:
         return None, inside
     rng, best, k, limit = np.random.default_rng(seed), None, 0, rounds
-    while k < limit:
+    if model == "similarity":
+        best, inside = _best_similarity(a, b, threshold, rounds, rng)
+    while k < limit and model != "similarity":
         k += 1
         pick = rng.choice(len(a), need, replace=False)
         m = solved(model, a[pick], b[pick])

@@ -13,8 +13,9 @@ Equal fingerprints are one node, so copies cost one row each and no pairs.  Link
 distributed stars; nothing but statistics of 64 * 64 numbers and a few counts reaches the driver.
 
 near_duplicates() links by fingerprints of 64 bits.  similar() is for documents that are alike by a share of their
-shingles, which differ in more bits than a search can afford: it probes several fingerprints in the same way,
-and verifies on all of them.
+shingles, which differ in more bits than a search can afford, and which fingerprints only estimate: it finds
+them by prefixes of their sets of shingles, and verifies on the sets.  wide_fingerprint() and wide_limit() are
+that estimate; tests hold similar() against it.
 
 Defined cases: null and empty texts have no words and fingerprint zero, and link like any other; fewer
 than three words are one shingle; a null doc_id gets a fingerprint but no component, and takes no part in
@@ -26,7 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import acos, comb, pi, sqrt
+from math import acos, ceil, comb, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ from framefold.llm.common import components, only, sliced, written
 BITS = 64
 #: Shingles whose bits are counted at a time; bounds the memory of very long texts.
 BLOCK = 1 << 15
+#: Texts from which similar() learns which shingles are frequent, and how many of these it knows at most.
+SAMPLE, FREQUENT = 50_000, 50_000
 #: What a shuffled probe costs, in verified candidates.
 PROBE_COST = 400
 
@@ -213,14 +216,14 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def wide_fingerprint(text: bytes, width: int, words: int) -> np.ndarray:
-    """`words` independent fingerprints of the text's shingles, as signed longs."""
-    total, n = np.zeros(words * BITS, np.int64), 0
-    for block in shingle_hashes(text, width):
+    """`words` independent fingerprints of the text's distinct shingles, as signed longs: a repeated one counts once."""
+    hashes = shingle_set(text, width) if text.split() else np.zeros(0, "<u8")
+    total = np.zeros(words * BITS, np.int64)
+    for begin in range(0, len(hashes), BLOCK):
         for k in range(words):
-            bits = np.unpackbits(mixed(block, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            bits = np.unpackbits(mixed(hashes[begin : begin + BLOCK], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             total[k * BITS : (k + 1) * BITS] += bits.sum(axis=0, dtype=np.int64)
-        n += len(block)
-    return np.packbits(total * 2 > n, bitorder="little").view("<i8") if n else np.zeros(words, np.int64)
+    return np.packbits(total * 2 > len(hashes), bitorder="little").view("<i8") if len(hashes) else np.zeros(words, np.int64)
 
 
 def wide_limit(least: float, words: int) -> int:
@@ -232,62 +235,109 @@ def wide_limit(least: float, words: int) -> int:
     return int(n * q + 0.5 * sqrt(n * q * (1 - q)))
 
 
-def similar(docs: DataFrame, least: float = 0.8, width: int = 5, words: int = 6, distance: int = 3, parts: int = 4) -> DataFrame:
-    """(doc_id, component_id): documents whose shingles of `width` words are estimated to be `least` alike or more.
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The distinct hashes of the text's shingles, ascending; a text without words has one, the empty shingle."""
+    blocks = list(shingle_hashes(text, width))
+    return np.unique(np.concatenate(blocks)) if blocks else np.array([xxhash.xxh64_intdigest(b"", 42)], "<u8")
+
+
+def digested(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, digest, text, ..) of rows with a doc_id: equal texts have equal digests, and null is as the empty text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("digest"), text.alias("text"), *more).filter("doc_id is not null")
 
-    Such pairs differ in a seventh of the bits, so `words` fingerprints are made.  Each is planned and probed as
-    in links(), which meets all pairs within `distance` bits of one of them, and most that are alike: a pair is
-    missed only if it differs in all of the words * parts parts.  At the defaults 83 in 100 pairs of
-    similarity 0.8 meet, 94 of 0.85, 99 of 0.9.  Whoever meets is verified on all bits.
-    """
-    names = [f"f{k}" for k in range(words)]
+
+def frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts have, ascending, and their ranks; from some SAMPLE texts, as they only order the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            made = np.stack([wide_fingerprint(x or b"", width, words) for x in texts]) if texts else np.zeros((0, words), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(made[:, k]) for k in range(words)]], names=["doc_id", *names])
+            made = [shingle_set(x or b"", width) for x in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64) if made else np.zeros(0, np.int64))], names=["token"])
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = written(slim.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
-    nodes = written(rows.filter("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("rep")), "nodes")
-    used = []
-    for k, name in enumerate(names):
-        plan = planned(nodes.select(F.col(name).alias("fp")), distance, (parts,))
-        used += [(k, len(used) + i, g, t) for i, (g, t) in enumerate(zip(plan.groups, plan.thresholds, strict=True)) if t >= 0]
-    flips = [(k, part, as_mask(g), as_mask(c)) for k, part, g, t in used for n in range(t + 1) for c in combinations(g, n)]
-
-    table = nodes.sparkSession.createDataFrame(flips, "word int, part int, mask long, flip long")  # as many rows as the plans have flips
-    limit = wide_limit(least, words)
-
-    def keyed(of: DataFrame, probes: bool) -> DataFrame:
-        own = F.element_at(F.array(*names), F.col("word") + 1).bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip"))
-        ways = table if probes else table.filter("flip = 0")
-        return of.crossJoin(F.broadcast(ways)).withColumn("key", own).drop("word", "mask", "flip")
-
-    def differing(left: str, right: str) -> Column:
-        return sum((F.bit_count(F.col(left.format(n)).bitwiseXOR(F.col(right.format(n)))) for n in names), F.lit(0))
-
-    # First each fingerprint is held against the least one under its key: a star, not pairs, for groups of copies.
-    first = W.partitionBy("part", "key").orderBy("rep").rowsBetween(W.unboundedPreceding, 0)
-    led = keyed(nodes, False).select("rep", *names, F.first(F.struct("rep", *names)).over(first).alias("l"))
-    stars = written(led.filter((F.col("rep") > F.col("l.rep")) & (differing("{}", "l.{}") <= limit)).select(F.col("l.rep").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    known = components(stars).withColumnRenamed("node", "rep")
-    nodes = written(nodes.join(known, "rep", "left").select("rep", *names, F.coalesce("component", "rep").alias("c")), "nodes")
-    # Then pairs of different components only; under a key the component of its least fingerprint isn't paired with itself.
-    stored = keyed(nodes, False).withColumn("lc", F.first("c").over(first))
-    wide = any(f for *_, f in flips)
-    y = (stored if not wide else keyed(nodes, True)).alias("y")
-    x = stored.filter("c <> lc").alias("x") if not wide else stored.alias("x")
-    meeting = (F.col("x.part") == F.col("y.part")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c"))
-    met = x.join(y, meeting & (differing("x.{}", "y.{}") <= limit)).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+    every = max(1, rows.count() // SAMPLE)
+    some = rows.filter(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(every)) == 0).select("text")
+    counts = some.mapInArrow(run, "token long").groupBy("token").count().filter("count > 2")
+    top = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
+    tokens, ranks = top["token"].to_numpy().view(np.uint64), top["count"].to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], ranks[order]
+
+
+def similar_nodes(docs: DataFrame, least: float, width: int) -> DataFrame:
+    """(digest, rep, component): each text with its smallest doc_id and the group of texts that it belongs to."""
+    rows = digested(docs)
+    common, ranks = frequent(rows, width)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            sizes, made = [], []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                tokens = shingle_set(text or b"", width)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+                    tokens = tokens[np.argsort(np.where(common[at] == tokens, ranks[at], 0), kind="stable")]
+                sizes.append(len(tokens))
+                made.append(tokens[: len(tokens) - ceil(least * len(tokens) - 1e-6) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "digest", "size", "prefix"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            made = [shingle_set(x or b"", width).view(np.int64) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "tokens"])
+
+    each = rows.mapInArrow(prefixes, "doc_id long, digest binary, size int, prefix array<long>")
+    nodes = each.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # Under a shingle that several texts have in their prefixes, that with the fewest rarer ones leads.
+    under = W.partitionBy("token")
+    met = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "token"))
+    met = met.withColumn("n", F.count(F.lit(1)).over(under)).withColumn("l", F.min(F.struct("pos", "node", "size")).over(under)).filter("n > 1").drop("n")
+    met = written(met, "met")
+    wanted = met.select("node").distinct().join(nodes.select("node", "rep", "digest").hint("merge"), "node").select("node", F.col("rep").alias("doc_id"), "digest")
+    held = written(rows.join(wanted.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node long, tokens array<long>"), "sets")
+
+    def possible(m: str, pos: str, n: str, other: str) -> Column:
+        """Whether sizes m and n, and what is left after the places of the first common shingle, allow the similarity."""
+        m, pos, n, other = F.col(m), F.col(pos), F.col(n), F.col(other)
+        return (F.least(m, n) >= least * F.greatest(m, n) - 1e-6) & (F.least(m - pos, n - other) >= least / (1 + least) * (m + n) - 1e-6)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, ..) whose sets of shingles have a Jaccard similarity of `least` or more."""
+        b, a = held.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), held.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
+        both = pairs.distinct().join(b.hint("merge"), "b").join(a.hint("merge"), "a").withColumn("o", F.size(F.array_intersect("ta", "tb")))
+        return both.filter(F.col("o") / (F.size("ta") + F.size("tb") - F.col("o")) >= least).select(*pairs.columns)
+
+    # First each text is held against the one that leads: a star, not pairs, for groups of copies.
+    led = met.filter((F.col("node") != F.col("l.node")) & possible("size", "pos", "l.size", "l.pos")).select(F.col("l.node").alias("a"), F.col("node").alias("b"))
+    known = components(verified(led)).withColumnRenamed("component", "c")
+    # Then pairs of different components only; the leader's component isn't paired with itself.
+    in_known = met.join(known.hint("merge"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    stored = in_known.withColumn("lc", F.max(F.when(F.col("node") == F.col("l.node"), F.col("c"))).over(under)).drop("l")
+    x, y = stored.filter("c <> lc").alias("x"), stored.alias("y")
+    meeting = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & possible("x.size", "x.pos", "y.size", "y.pos")
+    pairs = x.join(y.hint("merge"), meeting).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
+    swap = F.col("a") > F.col("b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("ca"), F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("cb"))
     # Components of components, then back to their members.
-    over = components(met.distinct()).select(F.col("node").alias("c"), F.col("component").alias("top"))
-    named = nodes.join(over, "c", "left").select(*[F.col(n).alias(f"g{n}") for n in names], F.coalesce("top", "c").alias("component_id"))
-    same = F.lit(True)
-    for n in names:
-        same = same & (F.col(n) == F.col(f"g{n}"))
-    return rows.join(named, same, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    over = components(verified(pairs).select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("top"))
+    named = nodes.select("node", "digest", "rep").join(known.hint("merge"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    return named.join(over.hint("merge"), "c", "left").select("digest", "rep", F.coalesce("top", "c").alias("component"))
+
+
+def similar(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+    """(doc_id, component_id): documents whose sets of `width` words' shingles have a Jaccard similarity of `least` or more.
+
+    By prefixes: in any one order of all shingles, two sets that are so alike share one of their first
+    size - ceil(least * size) + 1 each.  Rare ones come first, so few sets meet.  All pairs are found, and each
+    is verified on the whole sets (of 64-bit hashes).  Texts are the nodes, not doc_ids: a doc_id with different
+    texts links none of them.  A group's component_id is its smallest doc_id.
+    """
+    nodes = written(similar_nodes(docs, least, width), "named")
+    tops = nodes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = nodes.join(tops, "component").select("digest", "component_id")
+    linked = digested(docs).select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
+    return linked.unionByName(docs.filter("doc_id is null").select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("component_id")))
 
 
 def deduplicated(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:

@@ -324,6 +324,14 @@ def test_similar_edge_cases(spark, docs):
     assert simhash.similar(docs.limit(0)).count() == 0
 
 
+def test_repeated_lines_link_nothing(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(200)) + " -" * n for n in (40, 100) for name in "ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # The same words with 40 and with 100 of the filler are one set of shingles.
+    assert {r["doc_id"]: r["component_id"] for r in rows(simhash.similar(df))} == {0: 0, 1: 1, 2: 0, 3: 1}
+    assert {r["doc_id"] for r in rows(simhash.deduplicated(df))} == {0, 1}
+
+
 @pytest.mark.parametrize("distance", [0, 1, 3, 5])
 def test_no_link_is_lost(spark, distance):
     rng = random.Random(distance)
@@ -344,6 +352,7 @@ def test_no_link_is_lost(spark, distance):
 ARTICLE = "<article><h1>Title &amp; more</h1><p>First, long paragraph with, commas and words that go on for a while.<br>Second\n  line</p><p>Short.</p></article>"
 
 
+
 @pytest.mark.parametrize(
     "html_",
     [

@@ -332,6 +332,22 @@ def test_repeated_lines_link_nothing(spark):
     assert {r["doc_id"] for r in rows(simhash.deduplicated(df))} == {0, 1}
 
 
+def test_all_similar_pairs_and_no_others(spark):
+    rng = random.Random(21)
+    table = []
+    for i in range(0, 600, 2):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 300))]
+        table += [(i, " ".join(words)), (i + 1, edited(words, rng.choice([0.01, 0.02, 0.025, 0.03]), rng))]
+    pairs = {2 * k: jaccard(table[2 * k][1], table[2 * k + 1][1]) for k in range(300)}
+    table += [(600 + k, edited(table[0][1].split(), 0.03, rng)) for k in range(40)]  # one group around a text
+    cluster = [table[0], table[1], *table[600:]]
+    told = brute_components([(a, b) for (a, s), (b, t) in itertools.combinations(cluster, 2) if jaccard(s, t) >= 0.8])
+    told |= {2 * k + 1: 2 * k for k in range(1, 300) if pairs[2 * k] >= 0.8}
+    got = {r["doc_id"]: r["component_id"] for r in rows(simhash.similar(spark.createDataFrame(table, "doc_id long, text string")))}
+    assert got == {d: told.get(d, d) for d, _ in table}
+    assert sum(0.8 <= j < 0.85 for j in pairs.values()) > 20 < sum(0.7 <= j < 0.8 for j in pairs.values())
+
+
 @pytest.mark.parametrize("distance", [0, 1, 3, 5])
 def test_no_link_is_lost(spark, distance):
     rng = random.Random(distance)

@@ -560,7 +560,7 @@ def packed_regional_sharpness(spark: SparkSession, d: str) -> DataFrame:
 @query("pyramid_stack")
 def pyramid_stack(spark: SparkSession, d: str) -> DataFrame:
     """A12-A14 over each stack at once."""
-    rows = kernels.in_reverse(_packed(spark, d).filter("img % 20 < 2"), ["stack"])
+    rows = kernels.in_reverse(_packed(spark, d), ["stack"])
     return kernels.fused_once(rows, ["stack"])
 
 
@@ -595,7 +595,7 @@ def ransac_affine(spark: SparkSession, d: str) -> DataFrame:
 @query("ecc_translation")
 def ecc_translation(spark: SparkSession, d: str) -> DataFrame:
     """Each frame against the first of its stack."""
-    rows = _packed(spark, d).filter("img % 20 = 0").select("stack", "img", "h", "w", "c", "data")
+    rows = _packed(spark, d).select("stack", "img", "h", "w", "c", "data")
     first = rows.groupBy("stack").agg(F.min_by("data", "img").alias("ref"))
     return estimation.aligned(rows.join(first, "stack"), ["stack", "img"], "translation")
 
@@ -609,6 +609,6 @@ def corner_features(spark: SparkSession, d: str) -> DataFrame:
 @query("registration_ladder")
 def registration_ladder(spark: SparkSession, d: str) -> DataFrame:
     """A22-A24 over each frame and the first of its stack."""
-    rows = _packed(spark, d).filter("img % 20 = 0").select("stack", "img", "h", "w", "c", "data")
+    rows = _packed(spark, d).select("stack", "img", "h", "w", "c", "data")
     first = rows.groupBy("stack").agg(F.min_by("data", "img").alias("ref"))
     return estimation.registered(rows.join(first, "stack"), ["stack", "img"])

@@ -44,3 +44,10 @@ def test_entry_points(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 640
+
+
+def test_every_frame_is_processed(spark):
+    frames = {(r.stack, r.img) for r in queries.frames(spark, DATA).select("stack", "img").collect()}
+    for name in ("ecc_translation", "registration_ladder"):
+        assert {(r.stack, r.img) for r in queries.QUERIES[name](spark, DATA).select("stack", "img").collect()} == frames, name
+    assert {r.stack for r in queries.QUERIES["pyramid_stack"](spark, DATA).select("stack").collect()} == {s for s, _ in frames}

@@ -341,12 +341,23 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """docs, one document of each group (doc_id, component_id): the one with the smallest doc_id.
+    """docs, one document of each group: the one with the smallest doc_id.  Documents without a doc_id stay.
 
-    Groups are those of similar() where none are given.  Documents without a doc_id stay.  Of rows with one
-    doc_id the one with the least text stays.
+    Groups are those of texts as in similar(), so that of a doc_id with different texts each stays, or goes, with
+    its own group.  Where groups (doc_id, component_id) are given, of rows with one doc_id the one with the least
+    text stays.
     """
-    groups = written(similar(only(docs, "doc_id", "text")) if groups is None else groups, "groups")
+    if groups is None:
+        nodes = similar_nodes(only(docs, "doc_id", "text"), 0.8, 5)
+        kept = written(nodes.groupBy("component").agg(F.min(F.struct("rep", "digest")).alias("k")).select(F.col("k.rep").alias("doc_id"), "k.digest"), "kept")
+        keys = ["doc_id", "digest"]
+        whole = digested(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "row")
+        rows = whole.join(kept.hint("merge"), keys, "left_semi")
+        # Rows that are equal in doc_id and text are one document.
+        first = F.row_number().over(W.partitionBy(*keys).orderBy(F.asc_nulls_first("text")))
+        out = rows.withColumn("first", first).filter("first = 1").select("row.*")
+        return out.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
+    groups = written(groups, "groups")
     kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
     # The same join at every size: neither side is known to stay small.
     out = docs.join(kept.hint("merge"), "doc_id", "left_semi")

@@ -348,6 +348,19 @@ def test_all_similar_pairs_and_no_others(spark):
     assert sum(0.8 <= j < 0.85 for j in pairs.values()) > 20 < sum(0.7 <= j < 0.8 for j in pairs.values())
 
 
+def test_texts_of_one_doc_id_are_apart(spark):
+    rng = random.Random(4)
+    one, two = ([f"{c}{i}" for i in range(200)] for c in "ab")
+    near_one, near_two = (" ".join([*x[:-1], "end"]) for x in (one, two))
+    table = [(5, " ".join(one)), (5, " ".join(two)), (5, " ".join(two)), (7, near_one), (9, near_two), (4, edited(one, 0.5, rng))]
+    kept = rows(simhash.deduplicated(spark.createDataFrame(table, "doc_id long, text string")))
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted({*table[:2], table[5]})
+    # Groups that share no text don't bridge by a doc_id of both.
+    table = [(5, " ".join(one)), (5, " ".join(two)), (3, near_one), (9, near_two)]
+    kept = rows(simhash.deduplicated(spark.createDataFrame(table, "doc_id long, text string")))
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([table[1], table[2]])
+
+
 @pytest.mark.parametrize("distance", [0, 1, 3, 5])
 def test_no_link_is_lost(spark, distance):
     rng = random.Random(distance)

@@ -21,7 +21,7 @@ Kinds, and what is permuted:
   secret  values after password=, token = and the like, and hexadecimal runs of 32 or more
 
 Defined cases: a null text stays null with no findings; an empty text stays empty; a candidate that fails
-its validation stays as it is; white space, quotes and separators stay; repeated rows are each replaced.
+its validation stays as it is, but for what stands inside it; white space, quotes and separators stay; repeated rows are each replaced.
 """
 
 from __future__ import annotations
@@ -47,6 +47,12 @@ PATTERNS: dict[str, str] = {
 }
 #: How payment card numbers begin.
 ISSUERS = r"^(?:4|3[04-9]|5[0-8]|6[0-9]|2(?:2[2-9]|[3-6][0-9]|7[0-2]))"
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 KINDS = ("email", "secret", "key", "iban", "phone", "ipv4", "ssn", "date", "card")
 #: Alphabets of characters that change into one another.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -58,8 +64,8 @@ _FROM, _DAYS = "1800-01-01", 189 * 773
 
 
 def _joined() -> str:
-    """All patterns as one, in KINDS' order; groups are counted for card's back reference."""
-    return "|".join(PATTERNS.values())
+    """All patterns as one, in KINDS' order, found without being passed over; groups are counted for card's back reference."""
+    return f"(?=({'|'.join(PATTERNS.values())}))".replace(r"\1", r"\2")
 
 
 def _raw(text: str) -> str:
@@ -151,6 +157,30 @@ def _date(m: str, back: bool) -> str:
     return _let(_date_form(m), "f", f"if(f = 'MM/dd/yyyy', {month_first}, {by_day})")
 
 
+def resolved(m: str) -> str:
+    """SQL: candidate m, or the part of it that is a valid IBAN of its country's length and ends before a space.
+
+    A short word or number that follows an IBAN looks like more of it.
+    """
+    length = "case " + " ".join(f"when substr({m}, 1, 2) in ({', '.join(repr(x) for x in c.split())}) then {n}" for n, c in IBAN_LENGTHS.items()) + " else 0 end"
+    ends = "transform(sequence(1, size(w)), n -> array_join(slice(w, 1, n), ' '))"
+    valid = f"filter({ends}, x -> length(replace(x, ' ')) = c and {_mod97("concat(substr(replace(x, ' '), 5), substr(x, 1, 4))")} = 1)"
+    best = _let(length, "c", _let(f"split({m}, ' ')", "w", f"coalesce(get({valid}, 0), {m})"))
+    return f"if({m} rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9 ]+$', {best}, {m})"
+
+
+def _taken(candidates: str) -> str:
+    """SQL: candidates (m, k, t) from the left; a valid one is taken with its text, so that t is what follows it.
+
+    A failed candidate takes nothing, so what stands inside it counts.  left: how much of the last taken one is still to pass.
+    """
+    size, held = "length(z.t)", "length(z.m)"
+    passing = f"struct(a.left - least(a.left, {size}) as left, concat(a.out, array(named_struct('m', z.m, 'k', cast(null as string), 't', substr(z.t, a.left + 1)))) as out)"
+    taking = f"struct(greatest({held} - {size}, 0) as left, concat(a.out, array(named_struct('m', z.m, 'k', z.k, 't', substr(z.t, {held} + 1)))) as out)"
+    start = "struct(0 as left, cast(array() as array<struct<m: string, k: string, t: string>>) as out)"
+    return f"aggregate({candidates}, {start}, (a, z) -> if(a.left > 0 or z.k is null, {passing}, {taking}), a -> a.out)"
+
+
 def kind_of(m: str) -> str:
     """SQL: the kind of candidate m, or null if it fails its validation."""
 
@@ -191,13 +221,15 @@ def pseudonymised(docs: DataFrame, key: Column | str, text: str = "text", back:
     """
     given = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(given, F.col(f"`{text}`").cast("string").alias("_text"), (F.lit(key) if isinstance(key, str) else key).alias("_key"))
-    # _m: the candidates, _k: their kinds, _p: what stands between them.
-    rows = rows.withColumn("_m", F.regexp_extract_all("_text", F.lit(_joined()), F.lit(0)))
-    rows = rows.withColumn("_p", F.when(F.size("_m") > 0, F.split("_text", _joined(), -1))).withColumn("_k", F.expr(f"transform(_m, m -> {kind_of('m')})"))
-    new = f"transform(zip_with(_m, _k, (m, k) -> named_struct('m', m, 'k', k)), z -> {pseudonym('z.m', 'z.k', back)})"
-    whole = f"array_join(zip_with(_p, {new}, (p, o) -> concat(p, coalesce(o, ''))), '')"
-    changed = F.when(F.size("_m") > 0, F.expr(whole)).otherwise(F.col("_text"))
-    sizes = {f"found_{k}": F.expr(f"coalesce(size(filter(_k, k -> k = '{k}')), 0)") for k in KINDS} if counts else {}
+    # _m: the candidates at every place, those inside others too; _t: the text from each up to the next, _h: up to the first.
+    rows = rows.withColumn("_m", F.expr(f"transform(regexp_extract_all(_text, {_raw(_joined())}, 1), m -> {resolved('m')})"))
+    rows = rows.withColumn("_p", F.when(F.size("_m") > 0, F.split("_text", _joined(), -1)))
+    rows = rows.withColumn("_t", F.expr("if(size(_p) = size(_m), _p, slice(_p, 2, size(_m)))")).withColumn("_h", F.expr("if(size(_p) = size(_m), '', _p[0])"))
+    # _k: for each candidate its kind, null where it fails or stands in one that was taken, and what follows it.
+    rows = rows.withColumn("_c", F.expr(f"zip_with(_m, _t, (m, t) -> named_struct('m', m, 'k', {kind_of('m')}, 't', t))")).withColumn("_k", F.expr(_taken("_c")))
+    new = f"transform(_k, z -> if(z.k is null, z.t, concat({pseudonym('z.m', 'z.k', back)}, z.t)))"
+    changed = F.when(F.size("_m") > 0, F.expr(f"concat(_h, array_join({new}, ''))")).otherwise(F.col("_text"))
+    sizes = {f"found_{k}": F.expr(f"if(_k is null, 0, size(filter(_k, z -> z.k = '{k}')))") for k in KINDS} if counts else {}
     kept = [changed.alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns if c not in sizes]
     return rows.select(*kept, *[v.alias(k) for k, v in sizes.items()])
 

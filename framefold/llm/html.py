@@ -1,7 +1,7 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree; what can't be the article goes (scripts, forms, navigation, notices, comments and the
-like, by element, role, and words in class or id).  Then every paragraph passes points to its ancestors: one,
+like, by element, role, and words in class or id), but for a form or container that holds most of the text.  Then every paragraph passes points to its ancestors: one,
 one more for each comma and for each hundred characters up to three; the parent gets all of them, the
 grandparent half, those above (LEVELS at most) a third by level.  A container's points are discounted by its
 link density (the share of its text inside links).  The container with the most points is the article; it is
@@ -46,8 +46,13 @@ ALONE = frozenset("header top hdr bottom left right meta teaser teasers announce
 #: Parts of names that tell what stands beside or isn't there.
 BESIDE = re.compile(r"(?<![a-z])(?:has|no|with|without|hide|show|is|js)-[a-z-]+")
 LIKELY = re.compile(r"(?:^|[^a-z])(?:article|body|content|entry|main|page|post|story|text|blog|column)(?:$|[^a-z])")
+#: Words in class or id of what readers say, which may be longer than the article.
+TALK = re.compile(r"(?:^|[^a-z])(?:comments?|comment-?list|replies|responses|discussion|disqus|respond)(?:$|[^a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
+#: A form or container of an unlikely name that holds more of the page's text than this may be the article's; with
+#: less than FEW of it left, names say nothing.
+MOST, FEW = 0.5, 0.1
 #: Ancestors above the parent that a paragraph's points reach.
 LEVELS = 6
 
@@ -153,8 +158,38 @@ def dropped(node: Node, by_name: bool = True) -> bool:
     return bool(UNLIKELY.search(names)) and not (tag == "section" and "article" in names) or not ALONE.isdisjoint(names.split())
 
 
-def pruned(node: Node, by_name: bool = True) -> None:
-    """Removes what can't be of the article; of a header, its headings stay if it stands in an article."""
+def names_of(node: Node) -> str:
+    return BESIDE.sub("", f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".replace("_", "-")) if node.attrs else ""
+
+
+def weighed(root: Node) -> None:
+    """Sets size: characters of text outside links, comments and what can't be of the article by element or role."""
+    nodes: list[Node] = []
+    stack = [root]
+    while stack:
+        one = stack.pop()
+        nodes.append(one)
+        stack.extend(x for x in one.children if not isinstance(x, str) and x.tag != "a" and not (dropped(x, False) and x.tag != "form") and not TALK.search(names_of(x)))
+    for node in reversed(nodes):
+        node.size += sum(len(x.strip()) for x in node.children if isinstance(x, str))
+        if node.parent:
+            node.parent.size += node.size
+
+
+def holds(node: Node, least: float) -> bool:
+    """Whether a form, or a container whose name also tells of an article or that has one inside, holds `least` characters or more."""
+    if node.size <= least or dropped(node, False) and (node.tag != "form" or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or HIDDEN.search(node.attrs.get("style", ""))):
+        return False
+    return node.tag == "form" or bool(LIKELY.search(names_of(node))) or any(x.tag in ("article", "main") for x in in_order(node))
+
+
+def pruned(node: Node, by_name: bool = True, talk: bool = True) -> int:
+    """Removes what can't be of the article; of a header, its headings stay if it stands in an article.
+
+    A form, or a container by its name, stays if it holds most of the page's text.  Without talk, comments go in any case.  The result is how much text the page had, as weighed().
+    """
+    weighed(node)
+    most = MOST * node.size
     stack: list[tuple[Node, bool, bool]] = [(node, False, False)]
     while stack:
         one, inside, header = stack.pop()
@@ -163,7 +198,7 @@ def pruned(node: Node, by_name: bool = True) -> None:
             if isinstance(child, str):
                 if not header:
                     kept.append(child)
-            elif dropped(child, by_name) or (child.tag in ("header", "hgroup") and not inside):
+            elif dropped(child, by_name) and not holds(child, most) or not talk and child.tag in BLOCK and TALK.search(names_of(child)) or (child.tag in ("header", "hgroup") and not inside):
                 kept.append(" ")
             else:
                 heading = child.tag in HEADINGS
@@ -171,6 +206,7 @@ def pruned(node: Node, by_name: bool = True) -> None:
                 stack.append((child, inside or child.tag in ("article", "main"), below))
                 kept.append(child)
         one.children = kept
+    return node.size
 
 
 def in_order(node: Node) -> Iterator[Node]:
@@ -185,6 +221,8 @@ def in_order(node: Node) -> Iterator[Node]:
 def scored(root: Node) -> Node | None:
     """Sets size, linked and points; the best container, or None without any text."""
     nodes = list(in_order(root))
+    for node in nodes:
+        node.size = 0
     direct: dict[int, list[str]] = {}
     for node in reversed(nodes):
         own = [x for x in node.children if isinstance(x, str)]
@@ -218,7 +256,7 @@ def scored(root: Node) -> Node | None:
             continue
         names = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}" if node.attrs else ""
         bonus = (25 if node.tag == "article" else 15 if node.tag == "main" else 0) + (10 if names.strip() and LIKELY.search(names) else 0)
-        node.points = (node.points + bonus) * (1 - node.linked / max(node.size, 1))
+        node.points = (node.points + bonus) * (1 - node.linked / max(node.size, 1)) * (0.5 if node.tag == "form" else 1)
         if node.tag not in ("html", "ul", "ol", "table", "tbody", "tr", "p") and (best is None or node.points > best.points):
             best = node
     return best or (root if root.size else None)
@@ -270,12 +308,13 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parsed(html)
-    pruned(root)
+    whole = pruned(root)
     best = scored(root)
-    if not best:  # all that the page has is named like something else
-        root = parsed(html)
-        pruned(root, by_name=False)
-        best = scored(root)
+    for talk in (False, True):  # what the page has is named like something else
+        if not best or root.size < FEW * whole:
+            root = parsed(html)
+            pruned(root, by_name=False, talk=talk)
+            best = scored(root) or best
     return "\n\n".join(x for node in chosen(best) for x in blocks(node)) if best else ""
 
 

@@ -394,6 +394,16 @@ def test_no_link_is_lost(spark, distance):
 ARTICLE = "<article><h1>Title &amp; more</h1><p>First, long paragraph with, commas and words that go on for a while.<br>Second\n  line</p><p>Short.</p></article>"
 
 
+@pytest.mark.parametrize("before, after", [("<form id='aspnetForm'><input name='v'><div id='c'>", "</div></form>"), ("<div class='post hentry tag-news'>", "</div>"), ("<div class='content sidebar-right'>", "</div>"), ("<div class='outer sidebar-right'>", "</div>"), ("<form><div class='outer hidden-print'>", "</div></form>")])
+def test_containers_of_the_article_stay(before, after):
+    body = "".join(f"<p>Paragraph {i}, with some words, and commas that go on for a good while.</p>" for i in range(6))
+    page = f"<body><nav><a href='/'>Home</a></nav>{before}{body}{after}<p>Small print.</p><div class='comments'><p>{'A long remark, and more. ' * 60}</p></div></body>"
+    text = html.main_text(page)
+    assert all(f"Paragraph {i}" in text for i in range(6)) and "remark" not in text and "Home" not in text
+    search = "<form action='/find'><p>Find, here</p></form>"
+    assert "Find" not in html.main_text(page.replace("<p>Small", search + "<p>Small").replace("<form id='aspnetForm'>", "").replace("<form><div", "<div"))
+
+
 
 @pytest.mark.parametrize(
     "html_",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,6 +55,12 @@ def discard(df: DataFrame) -> None:
         removed(df.sparkSession, path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now: its cleaner waits for the driver's garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end all that was written() inside.  What is to stay is written after it, or by other means."""

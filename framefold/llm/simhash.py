@@ -14,8 +14,7 @@ distributed stars; nothing but statistics of 64 * 64 numbers and a few counts re
 
 near_duplicates() links by fingerprints of 64 bits.  similar() is for documents that are alike by a share of their
 shingles, which differ in more bits than a search can afford, and which fingerprints only estimate: it finds
-them by prefixes of their sets of shingles, and verifies on the sets.  wide_fingerprint() and wide_limit() are
-that estimate; tests hold similar() against it.
+them by prefixes of their sets of shingles, and verifies on the sets.
 
 Defined cases: null and empty texts have no words and fingerprint zero, and link like any other; fewer
 than three words are one shingle; a null doc_id gets a fingerprint but no component, and takes no part in
@@ -27,7 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import acos, ceil, comb, pi, sqrt
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framefold.llm.common import components, only, sliced, written
+from framefold.llm.common import components, only, sliced, swept, written
 
 BITS = 64
 #: Shingles whose bits are counted at a time; bounds the memory of very long texts.
 BLOCK = 1 << 15
-#: Texts from which similar() learns which shingles are frequent, and how many of these it knows at most.
-SAMPLE, FREQUENT = 50_000, 50_000
+#: For similar(): how many frequent shingles it knows at most, how many shingles a task counts at a time, and rows of a
+#: frequent shingle in one part.
+FREQUENT, TALLY, CHUNK = 50_000, 1 << 21, 2000
 #: What a shuffled probe costs, in verified candidates.
 PROBE_COST = 400
 
@@ -205,122 +205,167 @@ def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     return out.select("doc_id", shown.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Another 64 bits for each hash (the finaliser of splitmix64, from a start that k shifts); the hashes themselves for k = 0."""
-    if not k:
-        return hashes
-    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def wide_fingerprint(text: bytes, width: int, words: int) -> np.ndarray:
-    """`words` independent fingerprints of the text's distinct shingles, as signed longs: a repeated one counts once."""
-    hashes = shingle_set(text, width) if text.split() else np.zeros(0, "<u8")
-    total = np.zeros(words * BITS, np.int64)
-    for begin in range(0, len(hashes), BLOCK):
-        for k in range(words):
-            bits = np.unpackbits(mixed(hashes[begin : begin + BLOCK], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            total[k * BITS : (k + 1) * BITS] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(total * 2 > len(hashes), bitorder="little").view("<i8") if len(hashes) else np.zeros(words, np.int64)
-
-
-def wide_limit(least: float, words: int) -> int:
-    """Differing bits of pairs whose shingles have Jaccard similarity `least`: the mean and half a deviation.
-
-    Sets of equal size with similarity s have cosine 2s / (1 + s), and a bit differs with the angle over pi.
-    """
-    q, n = acos(2 * least / (1 + least)) / pi, words * BITS
-    return int(n * q + 0.5 * sqrt(n * q * (1 - q)))
-
-
 def shingle_set(text: bytes, width: int) -> np.ndarray:
     """The distinct hashes of the text's shingles, ascending; a text without words has one, the empty shingle."""
     blocks = list(shingle_hashes(text, width))
     return np.unique(np.concatenate(blocks)) if blocks else np.array([xxhash.xxh64_intdigest(b"", 42)], "<u8")
 
 
-def digested(docs: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, digest, text, ..) of rows with a doc_id: equal texts have equal digests, and null is as the empty text."""
+def digested(docs: DataFrame, *more: str | Column) -> DataFrame:
+    """(doc_id, digest, ..) of rows with a doc_id: equal texts have equal digests, and null is as the empty text."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("digest"), text.alias("text"), *more).filter("doc_id is not null")
+    return docs.select(F.col("doc_id").cast("long"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("digest"), *more).filter("doc_id is not null")
 
 
-def frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many texts have, ascending, and their ranks; from some SAMPLE texts, as they only order the shingles."""
+def tallied(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each token once, ascending, with the sum of its counts."""
+    order = np.argsort(tokens)
+    tokens, n = tokens[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+    return tokens[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts have, ascending, and in how many they were counted; at most FREQUENT of them.
+
+    Every text is counted.  A task forgets what it saw but once among some TALLY shingles, so its memory is bounded
+    and what it sends on is few; a shingle may be counted too low thereby.  Counts only order the shingles and deal
+    frequent ones over tasks: any order finds the same pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        new: list[np.ndarray] = []
+
+        def settled() -> tuple[np.ndarray, np.ndarray]:
+            tokens, n = tallied(np.concatenate([known, *new]), np.concatenate([counts, np.ones(sum(map(len, new)), np.int64)]))
+            often = n > 1
+            return tokens[often], n[often]
+
         for batch in sliced(batches):
-            made = [shingle_set(x or b"", width) for x in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64) if made else np.zeros(0, np.int64))], names=["token"])
-
-    every = max(1, rows.count() // SAMPLE)
-    some = rows.filter(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(every)) == 0).select("text")
-    counts = some.mapInArrow(run, "token long").groupBy("token").count().filter("count > 2")
-    top = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
-    tokens, ranks = top["token"].to_numpy().view(np.uint64), top["count"].to_numpy()
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                new.append(shingle_set(text or b"", width))
+            if sum(map(len, new)) >= TALLY:
+                known, counts = settled()
+                new = []
+        known, counts = settled()
+        yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(counts)], names=["token", "n"])
+
+    counted = texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 2")
+    top = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+    tokens, counts = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(tokens)
-    return tokens[order], ranks[order]
+    return tokens[order], counts[order]
 
 
-def similar_nodes(docs: DataFrame, least: float, width: int) -> DataFrame:
-    """(digest, rep, component): each text with its smallest doc_id and the group of texts that it belongs to."""
-    rows = digested(docs)
-    common, ranks = frequent(rows, width)
+def prefixed(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], least: float, width: int) -> DataFrame:
+    """(doc_id, digest, size, prefix, salts): the first shingles of each text's set, rare ones first.
+
+    Of two sets with a Jaccard similarity of `least` or more, these share one.  salts deals the rows of a frequent
+    shingle over as many parts as hold some CHUNK each; null if a text has none of these.
+    """
+    known, counts = common
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sizes, made = [], []
-            for text in batch.column(2).cast(pa.binary()).to_pylist():
+            sizes, prefixes, salts = [], [], []
+            for digest, text in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 tokens = shingle_set(text or b"", width)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-                    tokens = tokens[np.argsort(np.where(common[at] == tokens, ranks[at], 0), kind="stable")]
+                often = np.zeros(len(tokens), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                    often = np.where(known[at] == tokens, counts[at], 0)
+                first = np.argsort(often, kind="stable")[: len(tokens) - ceil(least * len(tokens) - 1e-6) + 1]
+                parts = often[first] // CHUNK + 1
                 sizes.append(len(tokens))
-                made.append(tokens[: len(tokens) - ceil(least * len(tokens) - 1e-6) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "digest", "size", "prefix"])
+                prefixes.append(tokens[first].view(np.int64))
+                salts.append((int.from_bytes(digest[:7], "little") % parts).astype(np.int32) if parts.max() > 1 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))], names=["doc_id", "digest", "size", "prefix", "salts"])
+
+    return rows.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, size int, prefix array<long>, salts array<int>")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
+    """The pairs (a, b, ..) of nodes whose texts (node, text) have sets of shingles with a Jaccard similarity of `least` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}  # one of two texts is often the same from row to row
+        for batch in sliced(batches, 200):
+            held = []
+            for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True):
+                if a not in seen:
+                    if len(seen) >= 64:
+                        seen.clear()
+                    seen[a] = shingle_set((ta or "").encode(), width)
+                x, y = seen[a], shingle_set((tb or "").encode(), width)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                held.append(both / (len(x) + len(y) - both) >= least)
+            yield batch.select(names).filter(pa.array(held, pa.bool_()))
+
+    names = pairs.columns
+    b, a = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    both = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select(*names, "ta", "tb")
+    return both.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            made = [shingle_set(x or b"", width).view(np.int64) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "tokens"])
 
-    each = rows.mapInArrow(prefixes, "doc_id long, digest binary, size int, prefix array<long>")
-    nodes = each.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+def similar_nodes(docs: DataFrame, least: float, width: int) -> DataFrame:
+    """(digest, rep, component): each text with its smallest doc_id and the group of texts that it belongs to."""
+    spark = docs.sparkSession
+    rows = digested(docs, F.col("text").cast("string").alias("text"))
+    common = frequent(rows.select("text"), width)
+    each = prefixed(rows, common, least, width)
+    nodes = each.groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "prefix", "salts")])
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    # Under a shingle that several texts have in their prefixes, that with the fewest rarer ones leads.
-    under = W.partitionBy("token")
-    met = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "token"))
-    met = met.withColumn("n", F.count(F.lit(1)).over(under)).withColumn("l", F.min(F.struct("pos", "node", "size")).over(under)).filter("n > 1").drop("n")
-    met = written(met, "met")
-    wanted = met.select("node").distinct().join(nodes.select("node", "rep", "digest").hint("merge"), "node").select("node", F.col("rep").alias("doc_id"), "digest")
-    held = written(rows.join(wanted.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node long, tokens array<long>"), "sets")
+    swept(spark)
 
     def possible(m: str, pos: str, n: str, other: str) -> Column:
         """Whether sizes m and n, and what is left after the places of the first common shingle, allow the similarity."""
         m, pos, n, other = F.col(m), F.col(pos), F.col(n), F.col(other)
         return (F.least(m, n) >= least * F.greatest(m, n) - 1e-6) & (F.least(m - pos, n - other) >= least / (1 + least) * (m + n) - 1e-6)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, ..) whose sets of shingles have a Jaccard similarity of `least` or more."""
-        b, a = held.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), held.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-        both = pairs.distinct().join(b.hint("merge"), "b").join(a.hint("merge"), "a").withColumn("o", F.size(F.array_intersect("ta", "tb")))
-        return both.filter(F.col("o") / (F.size("ta") + F.size("tb") - F.col("o")) >= least).select(*pairs.columns)
-
-    # First each text is held against the one that leads: a star, not pairs, for groups of copies.
-    led = met.filter((F.col("node") != F.col("l.node")) & possible("size", "pos", "l.size", "l.pos")).select(F.col("l.node").alias("a"), F.col("node").alias("b"))
-    known = components(verified(led)).withColumnRenamed("component", "c")
+    # Under a shingle that several texts have in their prefixes, that with the fewest rarer ones leads: in each part
+    # of a frequent shingle first.  The shorter text of a pair has the shingle among the first of its prefix.
+    under = W.partitionBy("token", "salt")
+    salt = F.coalesce(F.get("salts", F.col("pos")), F.lit(0))
+    met = nodes.select("node", "size", "salts", F.posexplode("prefix").alias("pos", "token")).withColumn("salt", salt).drop("salts")
+    short = F.col("size") - F.col("pos") >= 2 * least / (1 + least) * F.col("size") - 1e-6
+    met = met.withColumn("n", F.count(F.lit(1)).over(under)).withColumn("s", F.max(short).over(under)).withColumn("l", F.min(F.struct("pos", "node", "size")).over(under))
+    hot = F.broadcast(spark.createDataFrame([(int(t),) for t in common[0].view(np.int64)[common[1] >= CHUNK]], "hot long"))  # at most FREQUENT rows
+    met = met.join(hot, F.col("token") == F.col("hot"), "left").withColumn("hot", F.col("hot").isNotNull())
+    met = written(met.filter("hot or n > 1 and s").select("token", "node", "size", "pos", F.col("l.node").alias("lnode"), F.col("l.pos").alias("lpos"), F.col("l.size").alias("lsize"), "hot"), "met")
+    wanted = met.select("node").distinct().join(nodes.select("node", "rep", "digest").hint("merge"), "node").select("node", F.col("rep").alias("doc_id"), "digest")
+    texts = written(rows.join(wanted.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    swept(spark)
+    # First each text is held against the one that leads, and the leaders of a frequent shingle's parts against the
+    # least of them: stars, not pairs, for groups of copies.
+    led = met.filter((F.col("node") != F.col("lnode")) & possible("size", "pos", "lsize", "lpos")).select(F.col("lnode").alias("a"), F.col("node").alias("b"))
+    leaders = met.filter("hot and node = lnode")
+    top = leaders.groupBy("token").agg(F.min(F.struct("pos", "node", "size")).alias("t"))
+    tops = leaders.join(F.broadcast(top), "token").filter((F.col("node") != F.col("t.node")) & possible("size", "pos", "t.size", "t.pos"))
+    pairs = written(led.union(tops.select(F.col("t.node").alias("a"), F.col("node").alias("b"))).distinct(), "led")
+    known = components(written(verified(pairs, texts, least, width), "links")).withColumnRenamed("component", "c")
+    swept(spark)
     # Then pairs of different components only; the leader's component isn't paired with itself.
-    in_known = met.join(known.hint("merge"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    stored = in_known.withColumn("lc", F.max(F.when(F.col("node") == F.col("l.node"), F.col("c"))).over(under)).drop("l")
-    x, y = stored.filter("c <> lc").alias("x"), stored.alias("y")
+    named = met.select("token", "node", "size", "pos", "lnode", "hot").join(known.hint("merge"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    lead = known.select(F.col("node").alias("lnode"), F.col("c").alias("lc"))
+    stored = named.join(lead.hint("merge"), "lnode", "left").withColumn("lc", F.coalesce("lc", "lnode"))
+    stored = written(stored.select("token", "node", "size", "pos", "c", "lc", "hot"), "named")
+    # A token whose rows are all of one component has no such pair; a frequent one's parts have leaders of their own.
+    mixed = stored.filter("hot or c <> lc").select("token").distinct()
+    # Of several components under a frequent shingle any one may be the leader's.
+    one = stored.filter("hot").groupBy("token").agg(F.min("lc").alias("hc"))
+    left = stored.join(mixed.hint("merge"), "token", "left_semi").join(F.broadcast(one), "token", "left").withColumn("lc", F.coalesce("hc", "lc")).drop("hc", "hot")
+    x, y = left.filter("c <> lc").alias("x"), left.alias("y")
     meeting = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & possible("x.size", "x.pos", "y.size", "y.pos")
     pairs = x.join(y.hint("merge"), meeting).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
     swap = F.col("a") > F.col("b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("ca"), F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("cb"))
+    pairs = written(pairs.distinct(), "pairs")
+    swept(spark)
+    some = written(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("merge"), "node"), "texts")
     # Components of components, then back to their members.
-    over = components(verified(pairs).select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("top"))
+    over = components(written(verified(pairs, some, least, width).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")).select(F.col("node").alias("c"), F.col("component").alias("top"))
+    swept(spark)
     named = nodes.select("node", "digest", "rep").join(known.hint("merge"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     return named.join(over.hint("merge"), "c", "left").select("digest", "rep", F.coalesce("top", "c").alias("component"))
 
@@ -332,38 +377,31 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
     size - ceil(least * size) + 1 each.  Rare ones come first, so few sets meet.  All pairs are found, and each
     is verified on the whole sets (of 64-bit hashes).  Texts are the nodes, not doc_ids: a doc_id with different
     texts links none of them.  A group's component_id is its smallest doc_id.
+
+    Defined cases: null and empty texts are one text, without words, and those of fewer than `width` words are one
+    shingle; a very long text is a set like any other; a null doc_id has no group; equal rows are one node; an empty
+    table gives an empty result; other columns aren't read, so their names can't clash.
     """
-    nodes = written(similar_nodes(docs, least, width), "named")
+    slim = only(docs, "doc_id", "text")
+    nodes = written(similar_nodes(slim, least, width), "named")
     tops = nodes.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = nodes.join(tops, "component").select("digest", "component_id")
-    linked = digested(docs).select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
-    return linked.unionByName(docs.filter("doc_id is null").select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("component_id")))
+    linked = digested(slim).join(named, "digest").select("doc_id", "component_id")
+    return linked.unionByName(slim.filter("doc_id is null").select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("component_id")))
 
 
-def deduplicated(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame) -> DataFrame:
     """docs, one document of each group: the one with the smallest doc_id.  Documents without a doc_id stay.
 
-    Groups are those of texts as in similar(), so that of a doc_id with different texts each stays, or goes, with
-    its own group.  Where groups (doc_id, component_id) are given, of rows with one doc_id the one with the least
-    text stays.
+    Groups are those of texts as in similar(), with its defined cases, so that of a doc_id with different texts each
+    stays, or goes, with its own group.  Rows that are equal in doc_id and text are one document.
     """
-    if groups is None:
-        nodes = similar_nodes(only(docs, "doc_id", "text"), 0.8, 5)
-        kept = written(nodes.groupBy("component").agg(F.min(F.struct("rep", "digest")).alias("k")).select(F.col("k.rep").alias("doc_id"), "k.digest"), "kept")
-        keys = ["doc_id", "digest"]
-        whole = digested(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "row")
-        rows = whole.join(kept.hint("merge"), keys, "left_semi")
-        # Rows that are equal in doc_id and text are one document.
-        first = F.row_number().over(W.partitionBy(*keys).orderBy(F.asc_nulls_first("text")))
-        out = rows.withColumn("first", first).filter("first = 1").select("row.*")
-        return out.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
-    groups = written(groups, "groups")
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    nodes = similar_nodes(only(docs, "doc_id", "text"), 0.8, 5)
+    kept = written(nodes.groupBy("component").agg(F.min(F.struct("rep", "digest")).alias("k")).select(F.col("k.rep").alias("doc_id"), "k.digest"), "kept")
+    swept(docs.sparkSession)
     # The same join at every size: neither side is known to stay small.
-    out = docs.join(kept.hint("merge"), "doc_id", "left_semi")
-    known = groups.filter("doc_id is not null")
-    if known.count() != known.select("doc_id").distinct().count():
-        rows = out.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-        first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.asc_nulls_first("text")))
-        out = rows.withColumn("first", first).filter("first = 1").select("row.*")
+    rows = digested(docs, row, F.col("text").isNotNull().alias("some")).join(kept.hint("merge"), ["doc_id", "digest"], "left_semi")
+    first = F.row_number().over(W.partitionBy("doc_id", "digest").orderBy("some"))
+    out = rows.withColumn("first", first).filter("first = 1").select("row.*")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id is null"))

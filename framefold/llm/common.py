@@ -53,6 +53,8 @@ def discard(df: DataFrame) -> None:
     path = getattr(df, "_framefold_path", None)
     if path:
         removed(df.sparkSession, path)
+        if path in (_open.get() or []):
+            _open.get().remove(path)
 
 
 def swept(spark: SparkSession) -> None:
@@ -74,6 +76,38 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             removed(spark, path)
 
 
+#: What the last stage of a pipeline wrote for itself.
+_staged: list[str] = []
+
+
+def _read_by(df: DataFrame) -> str:
+    """The folders that a plan reads, one a line."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for k in range(leaves.size()):
+        if leaves.apply(k).getClass().getSimpleName() == "LogicalRelation" and leaves.apply(k).relation().getClass().getSimpleName() == "HadoopFsRelation":
+            found.append(leaves.apply(k).relation().location().rootPaths().mkString("\n"))
+    return "\n".join(found)
+
+
+@contextmanager
+def staged(spark: SparkSession, docs: DataFrame) -> Iterator[None]:
+    """For a stage of a pipeline, whose result is written and read again before the next stage begins: what the last
+    stage wrote for itself goes now, but for tables that docs read.
+    """
+    read = _read_by(docs)
+    for path in [p for p in _staged if p.rsplit("/", 1)[1] not in read]:
+        removed(spark, path)
+        _staged.remove(path)
+    swept(spark)
+    outer, own = _open.get(), []
+    token = _open.set(own)
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        (_staged if outer is None else outer).extend(own)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that the Python values of few texts exist at a time."""
     for batch in batches:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framefold.llm.common import components, only, sliced, swept, written
+from framefold.llm.common import components, discard, only, sliced, swept, written
 
 BITS = 64
 #: Shingles whose bits are counted at a time; bounds the memory of very long texts.
@@ -43,6 +43,8 @@ BLOCK = 1 << 15
 #: For similar(): how many frequent shingles it knows at most, how many shingles a task counts at a time, and rows of a
 #: frequent shingle in one part.
 FREQUENT, TALLY, CHUNK = 50_000, 1 << 21, 2000
+#: Bits of a text's parity sketch at least.
+SKETCH = 1024
 #: What a shuffled probe costs, in verified candidates.
 PROBE_COST = 400
 
@@ -211,6 +213,21 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.concatenate(blocks)) if blocks else np.array([xxhash.xxh64_intdigest(b"", 42)], "<u8")
 
 
+def parity_sketch(tokens: np.ndarray) -> bytes:
+    """Bit b is whether an odd number of the tokens end in b: a power of two of bits, SKETCH or as many as there are tokens."""
+    width = max(SKETCH, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches_differ(x: bytes, y: bytes) -> int:
+    """Differing bits of two sketches, the longer folded onto the shorter: at most as many as tokens that only one set has."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    n = min(len(a), len(b))
+    a, b = np.bitwise_xor.reduce(a.reshape(-1, n)), np.bitwise_xor.reduce(b.reshape(-1, n))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def digested(docs: DataFrame, *more: str | Column) -> DataFrame:
     """(doc_id, digest, ..) of rows with a doc_id: equal texts have equal digests, and null is as the empty text."""
     text = F.col("text").cast("string")
@@ -259,7 +276,7 @@ def frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixed(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], least: float, width: int) -> DataFrame:
-    """(doc_id, digest, size, prefix, salts): the first shingles of each text's set, rare ones first.
+    """(doc_id, digest, size, prefix, salts, sketch): the first shingles of each text's set, rare ones first.
 
     Of two sets with a Jaccard similarity of `least` or more, these share one.  salts deals the rows of a frequent
     shingle over as many parts as hold some CHUNK each; null if a text has none of these.
@@ -268,7 +285,7 @@ def prefixed(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], least: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sizes, prefixes, salts = [], [], []
+            sizes, prefixes, salts, sketches = [], [], [], []
             for digest, text in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 tokens = shingle_set(text or b"", width)
                 often = np.zeros(len(tokens), np.int64)
@@ -278,15 +295,34 @@ def prefixed(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], least: floa
                 first = np.argsort(often, kind="stable")[: len(tokens) - ceil(least * len(tokens) - 1e-6) + 1]
                 parts = often[first] // CHUNK + 1
                 sizes.append(len(tokens))
+                sketches.append(parity_sketch(tokens))
                 prefixes.append(tokens[first].view(np.int64))
                 salts.append((int.from_bytes(digest[:7], "little") % parts).astype(np.int32) if parts.max() > 1 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))], names=["doc_id", "digest", "size", "prefix", "salts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32())), pa.array(sketches, pa.binary())], names=["doc_id", "digest", "size", "prefix", "salts", "sketch"])
 
-    return rows.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, size int, prefix array<long>, salts array<int>")
+    return rows.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, size int, prefix array<long>, salts array<int>, sketch binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
-    """The pairs (a, b, ..) of nodes whose texts (node, text) have sets of shingles with a Jaccard similarity of `least` or more."""
+def unlike_dropped(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b, ..) that their sketches (node, size, sketch) don't rule out: no pair that is alike goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            x, y, m, n = (batch.column(c).to_pylist() for c in ("sa", "sb", "m", "n"))
+            may = [sketches_differ(*both) * (1 + least) <= (1 - least) * (i + j) + 1e-6 for *both, i, j in zip(x, y, m, n, strict=True)]
+            yield batch.select(names).filter(pa.array(may, pa.bool_()))
+
+    names = pairs.columns
+    b, a = (nodes.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}"), F.col("size").alias(n)) for k, n in (("b", "n"), ("a", "m")))
+    return pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select(*names, "sa", "sb", "m", "n").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, least: float, width: int) -> DataFrame:
+    """The pairs (a, b, ..) of nodes whose sets of shingles have a Jaccard similarity of `least` or more, as a written table.
+
+    nodes: (node, rep, digest, size, sketch); rows: (doc_id, digest, text).  Only texts in a pair that the sketches
+    leave are held against each other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}  # one of two texts is often the same from row to row
@@ -303,9 +339,17 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> Da
             yield batch.select(names).filter(pa.array(held, pa.bool_()))
 
     names = pairs.columns
+    left = written(unlike_dropped(pairs, nodes, least), "alike")
+    wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep", "digest").hint("merge"), "node")
+    texts = rows.join(wanted.select("node", F.col("rep").alias("doc_id"), "digest").hint("merge"), ["doc_id", "digest"])
+    texts = written(texts.dropDuplicates(["node"]).select("node", "text"), "texts")
+    swept(pairs.sparkSession)
     b, a = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    both = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select(*names, "ta", "tb")
-    return both.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    both = left.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select(*names, "ta", "tb")
+    found = written(both.mapInArrow(run, ", ".join(f"{n} long" for n in names)), "verified")
+    discard(texts)
+    swept(pairs.sparkSession)
+    return found
 
 
 def similar_nodes(docs: DataFrame, least: float, width: int) -> DataFrame:
@@ -314,8 +358,9 @@ def similar_nodes(docs: DataFrame, least: float, width: int) -> DataFrame:
     rows = digested(docs, F.col("text").cast("string").alias("text"))
     common = frequent(rows.select("text"), width)
     each = prefixed(rows, common, least, width)
-    nodes = each.groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "prefix", "salts")])
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = each.groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "prefix", "salts", "sketch")])
+    whole = written(nodes.withColumn("node", F.monotonically_increasing_id()), "prefixes")
+    nodes = written(whole.select("node", "rep", "digest", "size", "sketch"), "nodes")
     swept(spark)
 
     def possible(m: str, pos: str, n: str, other: str) -> Column:
@@ -327,14 +372,13 @@ def similar_nodes(docs: DataFrame, least: float, width: int) -> DataFrame:
     # of a frequent shingle first.  The shorter text of a pair has the shingle among the first of its prefix.
     under = W.partitionBy("token", "salt")
     salt = F.coalesce(F.get("salts", F.col("pos")), F.lit(0))
-    met = nodes.select("node", "size", "salts", F.posexplode("prefix").alias("pos", "token")).withColumn("salt", salt).drop("salts")
+    met = whole.select("node", "size", "salts", F.posexplode("prefix").alias("pos", "token")).withColumn("salt", salt).drop("salts")
     short = F.col("size") - F.col("pos") >= 2 * least / (1 + least) * F.col("size") - 1e-6
     met = met.withColumn("n", F.count(F.lit(1)).over(under)).withColumn("s", F.max(short).over(under)).withColumn("l", F.min(F.struct("pos", "node", "size")).over(under))
     hot = F.broadcast(spark.createDataFrame([(int(t),) for t in common[0].view(np.int64)[common[1] >= CHUNK]], "hot long"))  # at most FREQUENT rows
     met = met.join(hot, F.col("token") == F.col("hot"), "left").withColumn("hot", F.col("hot").isNotNull())
     met = written(met.filter("hot or n > 1 and s").select("token", "node", "size", "pos", F.col("l.node").alias("lnode"), F.col("l.pos").alias("lpos"), F.col("l.size").alias("lsize"), "hot"), "met")
-    wanted = met.select("node").distinct().join(nodes.select("node", "rep", "digest").hint("merge"), "node").select("node", F.col("rep").alias("doc_id"), "digest")
-    texts = written(rows.join(wanted.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    discard(whole)
     swept(spark)
     # First each text is held against the one that leads, and the leaders of a frequent shingle's parts against the
     # least of them: stars, not pairs, for groups of copies.
@@ -343,8 +387,7 @@ def similar_nodes(docs: DataFrame, least: float, width: int) -> DataFrame:
     top = leaders.groupBy("token").agg(F.min(F.struct("pos", "node", "size")).alias("t"))
     tops = leaders.join(F.broadcast(top), "token").filter((F.col("node") != F.col("t.node")) & possible("size", "pos", "t.size", "t.pos"))
     pairs = written(led.union(tops.select(F.col("t.node").alias("a"), F.col("node").alias("b"))).distinct(), "led")
-    known = components(written(verified(pairs, texts, least, width), "links")).withColumnRenamed("component", "c")
-    swept(spark)
+    known = components(verified(pairs, nodes, rows, least, width)).withColumnRenamed("component", "c")
     # Then pairs of different components only; the leader's component isn't paired with itself.
     named = met.select("token", "node", "size", "pos", "lnode", "hot").join(known.hint("merge"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     lead = known.select(F.col("node").alias("lnode"), F.col("c").alias("lc"))
@@ -361,10 +404,8 @@ def similar_nodes(docs: DataFrame, least: float, width: int) -> DataFrame:
     swap = F.col("a") > F.col("b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("ca"), F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("cb"))
     pairs = written(pairs.distinct(), "pairs")
-    swept(spark)
-    some = written(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("merge"), "node"), "texts")
     # Components of components, then back to their members.
-    over = components(written(verified(pairs, some, least, width).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")).select(F.col("node").alias("c"), F.col("component").alias("top"))
+    over = components(verified(pairs, nodes, rows, least, width).select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("top"))
     swept(spark)
     named = nodes.select("node", "digest", "rep").join(known.hint("merge"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     return named.join(over.hint("merge"), "c", "left").select("digest", "rep", F.coalesce("top", "c").alias("component"))

@@ -42,7 +42,7 @@ BITS = 64
 BLOCK = 1 << 15
 #: For similar(): how many frequent shingles it knows at most, how many shingles a task counts at a time, and rows of a
 #: frequent shingle in one part.
-FREQUENT, TALLY, CHUNK = 50_000, 1 << 21, 2000
+FREQUENT, TALLY, CHUNK = 1 << 20, 1 << 21, 2000
 #: Bits of a text's parity sketch at least.
 SKETCH = 1024
 #: What a shuffled probe costs, in verified candidates.

@@ -5,25 +5,36 @@ which the first holds the rest.  What is packed are then lengths from 1 to `capa
 histogram with at most `capacity` entries, however many documents there are.  The driver solves that:
 
   Around the largest length left, the undominated fillings of a sequence are enumerated: least waste first,
-  large lengths before small ones; fillings that sum to no more than the largest single length that fits
-  are dominated by it, and one that fits exactly dominates all.  A filling is used as often as the counts
-  allow, so a dive takes about as many steps as there are lengths.  Branches end when their waste can't
-  beat the best packing so far; best-fit decreasing gives the first one.  The search ends when the number of
-  sequences meets the lower bound (all tokens over the capacity, or the pieces of more than half), or after
-  `steps` steps, with the best packing found.
-
-The packing is a list of patterns with counts.  Pieces of one length are numbered (in salted parts, as any
-length may be hot), and a broadcast table with at most capacity * (capacity + 1) / 2 ranges of numbers says
-which pattern, copy and offset a number stands for.
-
-Defined cases: a null text is empty, and an empty text is its end token alone; rows with one doc_id twice
-are packed each; an empty table gives an empty result.
+  large lengths before small ones.  A filling is dominated if its lengths can be dealt into the lengths of
+  one that was enumerated before.  Each filling is tried for as many copies as the counts allow, then for
+  fewer, down to one; so a first dive takes about as many steps as there are lengths, and the search is
+  complete.  Branches end when their waste, or the lengths over half that they leave, can't beat the best
+  packing so far, or when what they leave was met before with no more sequences; best-fit decreasing gives
+  the first packing.  The search ends when the number of sequences meets the lower bound (all tokens over the
+  capacity, or the pieces of more than half), when all is tried, or after `steps` steps, with the best packing
+  found.  `steps` is the only limit: it bounds the driver's time on histograms that can't be settled.
+
+The packing is a list of patterns with counts: at most `steps` of a search, or some two for each length of
+best-fit.  Pieces of one length are numbered (in salted parts, as any length may be hot), and a broadcast table
+of ranges of numbers says which pattern, copy and offset a number stands for.  A pattern holds at most
+sqrt(2 * capacity) different lengths, so at the defaults that table has under 400,000 rows, whatever the input.
+
+Ids are those of the library that a tokenizer's json file is for: its vocabulary and its added tokens, which are
+matched in a text before it is split.  They are found with a faster encoder that is built from the same file
+(a file of ranks without added tokens will do, too); tests hold them against the library.
+
+Defined cases: a null text is empty, and an empty text is its end token alone; a very long text is cut into
+as many pieces as it needs; pieces that are alike in all columns may change places, and each has its own; rows
+with one doc_id twice are packed each; a null doc_id is packed like any other; an empty table gives an empty
+result; other columns aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -38,14 +49,42 @@ from framefold.llm.bpe import read_ranks
 from framefold.llm.common import only, ranked, sliced, written
 
 CAPACITY = 2048
+#: Lengths of a filling, beside those that both have, for which every deal into another's is tried.
+DEALT = 10
 
 Pattern = tuple[tuple[int, ...], int]
 
 
+def byte_names() -> dict[str, int]:
+    """The characters that stand for bytes in a json file's vocabulary: printable Latin-1 ones for themselves, and
+    for the others those from 256 on, in order.
+    """
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+def read_tokenizer(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Ranks and added tokens of a tokenizer's json file, if it is byte-level BPE whose ids follow its merges."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    model, added, names = told["model"], told["added_tokens"], byte_names()
+    plain = told.get("normalizer") is None and told["pre_tokenizer"]["type"] == "ByteLevel" and not told["pre_tokenizer"]["add_prefix_space"]
+    if model["type"] != "BPE" or not plain or any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: only plain byte-level BPE is read")
+    special = {t["content"]: t["id"] for t in added}
+    vocab = {token: rank for token, rank in model["vocab"].items() if token not in special}
+    merges = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merges != sorted(merges):
+        raise ValueError(f"{path}: ids must follow the merges")
+    return {bytes(names[c] for c in token): rank for token, rank in vocab.items()}, special
+
+
 @lru_cache(maxsize=4)
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
-    """The library's encoder for a file of ranks, without special tokens: their strings are ordinary text."""
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+    """The encoder for a tokenizer's json file, or for a file of ranks, which has no added tokens."""
+    ranks, special = read_tokenizer(path) if path.endswith(".json") else (read_ranks(path), {})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def cut(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -63,7 +102,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, e
         for batch in sliced(batches):
             out: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode_to_numpy(text or "", disallowed_special=()).astype("<u4", copy=False).tobytes() + mark
+                ids = encoder.encode_to_numpy(text or "", allowed_special="all", disallowed_special=()).astype("<u4", copy=False).tobytes() + mark
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + length)]
                     for column, value in zip(out, (doc, k, start, length, zlib.crc32(part), part), strict=True):
@@ -108,8 +147,39 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(tuple(content), many) for group in open_.values() for content, many in group]
 
 
-def fillings(room: int, counts: dict[int, int], width: int) -> Iterator[tuple[int, ...]]:
-    """Up to `width` undominated fillings, least waste first, then those with the largest lengths."""
+def dominated(lengths: tuple[int, ...], by: tuple[int, ...]) -> bool:
+    """Whether lengths can be dealt into those of `by`, each holding those dealt to it.
+
+    Equal lengths take each other's place.  Of more than DEALT others only the best-fit deal is tried: a filling
+    that is wrongly held to be undominated costs a step and changes no result.
+    """
+    small, large = Counter(lengths), Counter(by)
+    same = small & large
+    items, rooms = sorted((small - same).elements(), reverse=True), sorted((large - same).elements())
+    if sum(items) > sum(rooms):
+        return False
+    few = len(items) <= DEALT
+
+    def dealt(k: int) -> bool:
+        if k == len(items):
+            return True
+        tried = set()
+        for i in sorted(range(len(rooms)), key=rooms.__getitem__):
+            if rooms[i] >= items[k] and rooms[i] not in tried:
+                tried.add(rooms[i])
+                rooms[i] -= items[k]
+                if dealt(k + 1):
+                    return True
+                rooms[i] += items[k]
+                if not few:
+                    return False
+        return False
+
+    return dealt(0)
+
+
+def fillings(room: int, counts: dict[int, int]) -> Iterator[tuple[int, ...]]:
+    """The undominated fillings, least waste first, then those with the largest lengths."""
     lengths = sorted(x for x in counts if x <= room)
     if not lengths:
         yield ()
@@ -127,44 +197,40 @@ def fillings(room: int, counts: dict[int, int], width: int) -> Iterator[tuple[in
             left, step = left - take, step * 2
         sums.append(bits)
 
-    def taken(goal: int, below: int) -> tuple[int, ...]:
-        """The lengths that add up to goal, the largest first, all from the `below` smallest."""
-        out: list[int] = []
-        for i in range(below, 0, -1):
+    def adding_up(goal: int, below: int) -> Iterator[tuple[int, ...]]:
+        """All ways to add up to goal from the `below` smallest lengths, the largest first."""
+        if not goal:
+            yield ()
+            return
+        for i in range(min(below, bisect_right(lengths, goal)), 0, -1):
+            if not (sums[i] >> goal) & 1:
+                return
             x = lengths[i - 1]
-            many = min(counts[x], goal // x)
-            while not (sums[i - 1] >> (goal - many * x)) & 1:
-                many -= 1
-            out += [x] * many
-            goal -= many * x
-        return tuple(out)
-
-    given, reach, seen = 0, sums[-1], set()
-    while given < width and reach:
+            for many in range(min(counts[x], goal // x), 0, -1):
+                if (sums[i - 1] >> (goal - many * x)) & 1:
+                    for rest in adding_up(goal - many * x, i - 1):
+                        yield (x,) * many + rest
+
+    given: list[tuple[int, ...]] = []
+    reach = sums[-1]
+    while reach:
         goal = reach.bit_length() - 1
         if goal < lengths[-1]:
-            return
-        for below in range(len(lengths), 0, -1):
-            if not (sums[below] >> goal) & 1:
-                break
-            found = taken(goal, below)
-            if found not in seen:
-                seen.add(found)
+            return  # the largest length alone holds these
+        for found in adding_up(goal, len(lengths)):
+            if not any(dominated(found, other) for other in given):
+                given.append(found)
                 yield found
-                given += 1
-                if given >= width:
-                    return
         reach &= (1 << goal) - 1
 
 
 @dataclass
 class Search:
-    """Branch and bound over fillings, by depth; a later choice costs what is left of `steps`."""
+    """Branch and bound over fillings, by depth; each filling that is tried, and each number of copies, is a step."""
 
     counts: dict[int, int]
     capacity: int
     steps: int = 6000
-    width: int = 3
     best: list[Pattern] = field(default_factory=list)
     bins: int = 0
     bound: int = 0
@@ -174,43 +240,52 @@ class Search:
         self.best = best_fit(self.counts, self.capacity)
         self.bins = sum(n for _, n in self.best)
         self.bound = max(-(-total // self.capacity), sum(n for x, n in self.counts.items() if 2 * x > self.capacity))
-        # Each entry: the counts left, the patterns so far, their waste, and the fillings not yet tried.
-        stack: list[tuple[dict[int, int], list[Pattern], int, Iterator[tuple[int, ...]]]] = []
+        # Each entry: the counts left, the sequences and patterns so far, their waste, and what is not yet tried.
+        stack: list[tuple[dict[int, int], int, list[Pattern], int, Iterator[tuple[tuple[int, ...], int]]]] = []
+        met: dict[frozenset, int] = {}
 
-        def enter(counts: dict[int, int], done: list[Pattern], waste: int) -> None:
-            if not counts:
-                bins = sum(n for _, n in done)
-                if bins < self.bins:
-                    self.best, self.bins = done, bins
-                return
+        def options(counts: dict[int, int]) -> Iterator[tuple[tuple[int, ...], int]]:
             largest = max(counts)
             rest = dict(counts)
             rest[largest] -= 1
             if not rest[largest]:
                 del rest[largest]
-            stack.append((counts, done, waste, fillings(self.capacity - largest, rest, self.width)))
+            for found in fillings(self.capacity - largest, rest):
+                pattern = (largest, *found)
+                most = min(counts[x] // n for x, n in Counter(pattern).items())
+                for many in range(most, 0, -1):
+                    yield pattern, many
 
-        enter(self.counts, [], 0)
+        def enter(counts: dict[int, int], used: int, done: list[Pattern], waste: int) -> None:
+            if not counts:
+                if used < self.bins:
+                    self.best, self.bins = done, used
+                return
+            if used + sum(n for x, n in counts.items() if 2 * x > self.capacity) >= self.bins:
+                return
+            state = frozenset(counts.items())
+            if met.get(state, used + 1) > used:
+                met[state] = used
+                stack.append((counts, used, done, waste, options(counts)))
+
+        enter(self.counts, 0, [], 0)
         while stack and self.bins > self.bound and self.steps:
-            counts, done, waste, options = stack[-1]
-            option = next(options, None)
+            counts, used, done, waste, untried = stack[-1]
+            option = next(untried, None)
             if option is None:
                 stack.pop()
                 continue
             self.steps -= 1
-            pattern = (max(counts), *option)
-            need = {x: pattern.count(x) for x in set(pattern)}
-            many = min(counts[x] // n for x, n in need.items())
+            pattern, many = option
             spent = waste + many * (self.capacity - sum(pattern))
             if spent > (self.bins - 1) * self.capacity - total:
-                # Too much for this many copies; no fewer would leave a better packing than the next filling.
-                continue
+                continue  # no better packing with as many copies
             left = dict(counts)
-            for x, n in need.items():
+            for x, n in Counter(pattern).items():
                 left[x] -= n * many
                 if not left[x]:
                     del left[x]
-            enter(left, [*done, (pattern, many)], spent)
+            enter(left, used + many, [*done, (pattern, many)], spent)
         return self.best
 
 

@@ -23,8 +23,7 @@ def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the rank file, which holds the same vocabulary as byte_bpe_50k.json; tests/llm compares the ids with that."""
-    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

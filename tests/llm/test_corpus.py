@@ -23,6 +23,7 @@ from tokenizers import Tokenizer
 from framefold.llm import bpe, chat, common, ego, html, packing, pii, quality, shards, simhash, warc
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+JSON = public_tokenizers.path("byte_bpe_50k.json")
 ENCODING = packing.encoding(RANKS, PATTERN)
 random.seed(5)
 LONG = " ".join(random.choice(["ab", "of", "the", "x1", "é", "word,", "a\n"]) for _ in range(40_000))
@@ -249,6 +250,35 @@ def test_as_few_sequences_as_there_can_be(lengths):
     assert all(sum(p) <= 24 for p, _ in patterns) and sum(n for _, n in patterns) == (brute_bins(lengths, 24) if lengths else 0)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(3, 17), min_size=11, max_size=14))
+def test_as_few_sequences_of_more_lengths(lengths):
+    patterns = packing.packed_counts(dict(collections.Counter(lengths)), 30)
+    assert collections.Counter(x for p, n in patterns for x in p * n) == collections.Counter(lengths)
+    assert all(sum(p) <= 30 for p, _ in patterns) and sum(n for _, n in patterns) == brute_bins(lengths, 30)
+
+
+def test_a_case_that_needs_more_than_three_fillings():
+    lengths = [6, 8, 8, 9, 9, 11, 13, 13, 13, 13, 14, 15, 15]
+    assert sum(n for _, n in packing.packed_counts(dict(collections.Counter(lengths)), 30)) == 5
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 9), min_size=1, max_size=9), st.integers(1, 24))
+def test_fillings_are_undominated_and_whole(lengths, room):
+    """Every filling that fits can be dealt into one that is enumerated, and none of these into an earlier one."""
+
+    def holds(items, rooms):
+        return not items or any(r >= items[0] and holds(items[1:], [*rooms[:i], r - items[0], *rooms[i + 1 :]]) for i, r in enumerate(rooms))
+
+    counts = collections.Counter(lengths)
+    found = list(packing.fillings(room, dict(counts)))
+    fit = {tuple(sorted(c, reverse=True)) for k in range(len(lengths) + 1) for c in itertools.combinations(lengths, k) if sum(c) <= room}
+    assert all(sum(f) <= room and not collections.Counter(f) - counts for f in found)
+    assert all(any(holds(list(c), list(f)) for f in found) for c in fit)
+    assert not any(holds(list(b), list(a)) for a, b in itertools.combinations(found, 2))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 500), max_size=20))
 def test_best_fit_holds_every_length(counts):
@@ -258,8 +288,11 @@ def test_best_fit_holds_every_length(counts):
 
 def test_packing_documents(spark, docs):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
-    got = rows(packing.packed(docs, RANKS, PATTERN, 512, keep_ids=True))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", " <|endoftext|><|endoftext|>\n", "<|endoftext|", "long " * 3000 + "<|endoftext|>"]
+    more = spark.createDataFrame([(500 + i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
+    docs = docs.select("doc_id", "text", F.lit("clash").alias("ids")).unionByName(more)
+    got = rows(packing.packed(docs, JSON, PATTERN, 512, keep_ids=True))
+    assert any(r["doc_id"] == 500 and np.frombuffer(r["ids"], "<u4").tolist() == [64, 220, 50256, 275, 0] for r in got)
     told = []
     for r in docs.collect():
         ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 0]
@@ -271,7 +304,10 @@ def test_packing_documents(spark, docs):
             assert r["offset"] == at
             at += r["length"]
         assert at <= 512
-    assert packing.packed(docs.limit(0), RANKS, PATTERN).count() == 0
+    assert packing.packed(docs.limit(0), JSON, PATTERN).count() == 0
+    # A file of ranks has no added tokens.
+    plain = rows(packing.packed(docs.filter("doc_id = 500"), RANKS, PATTERN, keep_ids=True))
+    assert np.frombuffer(plain[0]["ids"], "<u4").tolist() == [64, 1279, 91, 437, 1659, 5239, 91, 29, 275, 0]
 
 
 def test_cut():

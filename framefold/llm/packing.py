@@ -50,7 +50,7 @@ from framefold.llm.common import only, ranked, sliced, written
 
 CAPACITY = 2048
 #: Lengths of a filling, beside those that both have, for which every deal into another's is tried.
-DEALT = 10
+DEALT = 6
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -180,6 +180,11 @@ def dominated(lengths: tuple[int, ...], by: tuple[int, ...]) -> bool:
 
 def fillings(room: int, counts: dict[int, int]) -> Iterator[tuple[int, ...]]:
     """The undominated fillings, least waste first, then those with the largest lengths."""
+    return (found for found in tried_fillings(room, counts, room) if found is not None)
+
+
+def tried_fillings(room: int, counts: dict[int, int], waste: int) -> Iterator[tuple[int, ...] | None]:
+    """fillings() with no more than `waste`, and None for each that turned out to be dominated."""
     lengths = sorted(x for x in counts if x <= room)
     if not lengths:
         yield ()
@@ -215,10 +220,12 @@ def fillings(room: int, counts: dict[int, int]) -> Iterator[tuple[int, ...]]:
     reach = sums[-1]
     while reach:
         goal = reach.bit_length() - 1
-        if goal < lengths[-1]:
+        if goal < lengths[-1] or room - goal > waste:
             return  # the largest length alone holds these
         for found in adding_up(goal, len(lengths)):
-            if not any(dominated(found, other) for other in given):
+            if any(dominated(found, other) for other in given):
+                yield None
+            else:
                 given.append(found)
                 yield found
         reach &= (1 << goal) - 1
@@ -226,7 +233,7 @@ def fillings(room: int, counts: dict[int, int]) -> Iterator[tuple[int, ...]]:
 
 @dataclass
 class Search:
-    """Branch and bound over fillings, by depth; each filling that is tried, and each number of copies, is a step."""
+    """Branch and bound over fillings, by depth; each filling that is enumerated, and each number of copies, is a step."""
 
     counts: dict[int, int]
     capacity: int
@@ -241,16 +248,19 @@ class Search:
         self.bins = sum(n for _, n in self.best)
         self.bound = max(-(-total // self.capacity), sum(n for x, n in self.counts.items() if 2 * x > self.capacity))
         # Each entry: the counts left, the sequences and patterns so far, their waste, and what is not yet tried.
-        stack: list[tuple[dict[int, int], int, list[Pattern], int, Iterator[tuple[tuple[int, ...], int]]]] = []
+        stack: list[tuple[dict[int, int], int, list[Pattern], int, Iterator[Pattern | None]]] = []
         met: dict[frozenset, int] = {}
 
-        def options(counts: dict[int, int]) -> Iterator[tuple[tuple[int, ...], int]]:
+        def options(counts: dict[int, int], spare: int) -> Iterator[Pattern | None]:
             largest = max(counts)
             rest = dict(counts)
             rest[largest] -= 1
             if not rest[largest]:
                 del rest[largest]
-            for found in fillings(self.capacity - largest, rest):
+            for found in tried_fillings(self.capacity - largest, rest, spare):
+                if found is None:
+                    yield None
+                    continue
                 pattern = (largest, *found)
                 most = min(counts[x] // n for x, n in Counter(pattern).items())
                 for many in range(most, 0, -1):
@@ -261,21 +271,24 @@ class Search:
                 if used < self.bins:
                     self.best, self.bins = done, used
                 return
-            if used + sum(n for x, n in counts.items() if 2 * x > self.capacity) >= self.bins:
+            spare = (self.bins - 1) * self.capacity - total - waste
+            if spare < 0 or used + sum(n for x, n in counts.items() if 2 * x > self.capacity) >= self.bins:
                 return
             state = frozenset(counts.items())
             if met.get(state, used + 1) > used:
                 met[state] = used
-                stack.append((counts, used, done, waste, options(counts)))
+                stack.append((counts, used, done, waste, options(counts, spare)))
 
         enter(self.counts, 0, [], 0)
         while stack and self.bins > self.bound and self.steps:
             counts, used, done, waste, untried = stack[-1]
-            option = next(untried, None)
-            if option is None:
+            option = next(untried, ())
+            if option == ():
                 stack.pop()
                 continue
             self.steps -= 1
+            if option is None:
+                continue
             pattern, many = option
             spent = waste + many * (self.capacity - sum(pattern))
             if spent > (self.bins - 1) * self.capacity - total:

@@ -5,17 +5,26 @@ principal dimensions; cells of width eps on the leading ones, compared lexicogra
 grid order.  The ordered sequence is cut into blocks of `block` vectors, and blocks into a tree of `fan`
 intervals each.  Pairs of intervals are joined recursively from the top: those whose bounding boxes are
 further apart than eps are skipped, others are replaced by the pairs of their children, level by level, as
-joins of small tables of boxes.  Pairs of blocks that are left come together in one task each, which goes on
-with the recursion over halves of the two sequences down to `leaf` vectors and compares those exactly, by
-dot products of unit vectors in double precision.  Boxes only ever skip pairs that provably don't link.
-
-Equal vectors are one vector with a count, so copies make no pairs, and a pair of blocks returns for each
-vector its number of links and one link of a spanning forest: rows stay in proportion to the vectors, while
-links are all counted.
-
-Defined cases: vectors that are null, empty, zero, hold null, NaN or infinite components, or are not of the
-table's most frequent length, link with nothing and are their own component; a null vec_id is counted as a
-link of others but names no component; rows with one vec_id twice are vectors of their own.
+joins of small tables of boxes.
+
+Pairs of blocks that are left are dealt to tasks by intervals of the sequence: a task takes all that is left
+between two intervals, and each block comes to it once.  The sequence has SIDES intervals, or as many as keep one
+under `most` vectors; so up to SIDES * most vectors the shuffle is in proportion to them (at most SIDES copies),
+and beyond that a task's memory stays bounded.  A task goes on with the recursion over halves of two blocks down to
+`leaf` vectors.  Of these, what the leading dimensions and the length of the rest prove to be too far apart is
+skipped, and the others are compared exactly, by dot products of unit vectors in double precision.
+
+Boxes and leading dimensions only ever skip pairs that provably don't link.  Where vectors spread evenly over many
+dimensions no box is far from another, all pairs of blocks are left, and the work is that of all pairs.
+
+Equal vectors are one vector with a count, so copies make no pairs, and a task returns for each vector its number of
+links and one link of a spanning forest: rows stay in proportion to the vectors, while links are all counted.
+Vectors of different lengths don't link; each length is joined by itself.
+
+Defined cases: vectors that are null, empty, zero, or hold null, NaN or infinite components link with nothing and
+are their own component; very long vectors and ties at the threshold are compared like any others; a null vec_id is
+counted as a link of others but names no component; rows with one vec_id twice are vectors of their own; an empty
+table gives an empty result; other columns aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -31,8 +40,10 @@ from framefold.llm.common import components, only, written
 
 #: Leading dimensions of the grid and of the boxes.
 GRID, BOX = 8, 16
-#: What rounding may add to a squared distance.
-SLACK = 1e-9
+#: What rounding may add to a squared distance, and take from a dot product in single precision.
+SLACK, ROUNDING = 1e-9, 1e-4
+#: Intervals of the sequence whose pairs are tasks, at least where there are as many blocks.
+SIDES = 8
 
 
 def usable() -> Column:
@@ -147,22 +158,29 @@ def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-class _Pair:
-    """The recursion inside a pair of blocks; x and y are the same arrays for a block with itself."""
+class _Block:
+    """A block's unit vectors and counts, their leading dimensions, and a vector whose dot products bound theirs from above."""
+
+    def __init__(self, rows: np.ndarray, counts: np.ndarray, turn: np.ndarray, first: int) -> None:
+        self.x, self.n, self.first = units(rows), counts, first
+        self.lead = self.x @ turn[:, :BOX]
+        rest = np.sqrt(np.maximum(0, 1 - (self.lead * self.lead).sum(axis=1)))
+        self.above = np.c_[self.lead, rest].astype(np.float32)
+        self.links = np.zeros(len(rows), np.int64)
+
 
-    def __init__(self, x, y, turn: np.ndarray, least: float, leaf: int) -> None:
-        (self.x, self.wx), (self.y, self.wy), self.same = x, y, x is y
+class _Join:
+    """The recursion inside pairs of blocks, over the nodes of a task."""
+
+    def __init__(self, least: float, leaf: int) -> None:
         self.least, self.leaf, self.limit = least, leaf, 2 - 2 * least + SLACK
-        self.tx = self.x @ turn
-        self.ty = self.tx if self.same else self.y @ turn
-        self.links_x, self.links_y = np.zeros(len(self.x), np.int64), np.zeros(len(self.y), np.int64)
         self.u: list[np.ndarray] = []
         self.v: list[np.ndarray] = []
 
-    def join(self, i: int, ii: int, j: int, jj: int) -> None:
-        if self.same and i >= jj:
+    def join(self, x: _Block, y: _Block, i: int, ii: int, j: int, jj: int) -> None:
+        if x is y and i >= jj:
             return
-        a, b = self.tx[i:ii], self.ty[j:jj]
+        a, b = x.lead[i:ii], y.lead[j:jj]
         gap = np.maximum(0, np.maximum(a.min(axis=0) - b.max(axis=0), b.min(axis=0) - a.max(axis=0)))
         if gap @ gap > self.limit:
             return
@@ -170,68 +188,85 @@ class _Pair:
             im, jm = (i + ii) // 2, (j + jj) // 2
             for p, q in ((i, im), (im, ii)) if ii - i > self.leaf else ((i, ii),):
                 for r, s in ((j, jm), (jm, jj)) if jj - j > self.leaf else ((j, jj),):
-                    self.join(p, q, r, s)
+                    self.join(x, y, p, q, r, s)
             return
-        near = self.x[i:ii] @ self.y[j:jj].T >= self.least
-        if self.same:
-            near &= np.arange(i, ii)[:, None] < np.arange(j, jj)[None, :]
-        u, v = np.nonzero(near)
-        if not len(u):
+        may = x.above[i:ii] @ y.above[j:jj].T >= self.least - ROUNDING
+        if x is y:
+            may &= np.arange(i, ii)[:, None] < np.arange(j, jj)[None, :]
+        rows, columns = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+        if not len(rows):
             return
-        self.links_x[i:ii] += near @ self.wy[j:jj]
-        self.links_y[j:jj] += near.T @ self.wx[i:ii]
-        # Of a leaf's links only a forest is kept; y's nodes are numbered after x's.
-        low = forest(u, v + (ii - i), ii - i + jj - j)
-        node = np.concatenate([np.arange(i, ii), np.arange(j, jj) + (0 if self.same else len(self.x))])
+        near = (x.x[i:ii][rows] @ y.x[j:jj][columns].T >= self.least) & may[np.ix_(rows, columns)]
+        rows, columns = rows + i, columns + j
+        x.links[rows] += near @ y.n[columns]
+        y.links[columns] += near.T @ x.n[rows]
+        u, v = np.nonzero(near)
+        # Of a leaf's links only a forest is kept.
+        low = forest(u, v + len(rows), len(rows) + len(columns))
+        node = np.concatenate([rows + x.first, columns + y.first])
         own = np.flatnonzero(low != np.arange(len(low)))
         self.u.append(node[own])
         self.v.append(node[low[own]])
 
 
-def linked(packed: DataFrame, pairs: DataFrame, turn: np.ndarray, kind: str, least: float, leaf: int) -> DataFrame:
-    """(did, links, root): for each vector of a pair of blocks that has links, their number and a linked vector of its component."""
+def linked(packed: DataFrame, pairs: DataFrame, turn: np.ndarray, kind: str, least: float, leaf: int, span: int) -> DataFrame:
+    """(did, links, root): for each vector of a task that has links, their number and a linked vector of its component.
+
+    A task has the pairs between two intervals of `span` blocks.
+    """
     width, dtype = len(turn), np.float64 if "double" in kind else np.float32
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["idx"])
-        loaded = [(units(np.frombuffer(r["vectors"], dtype).reshape(-1, width)), np.frombuffer(r["counts"], np.int64)) for r in rows]
-        same = len(rows) == 1
-        pair = _Pair(loaded[0], loaded[-1], turn, least, leaf)
-        pair.join(0, len(pair.x), 0, len(pair.y))
-        dids = np.frombuffer(rows[0]["dids"], np.int64) if same else np.concatenate([np.frombuffer(r["dids"], np.int64) for r in rows])
-        links = pair.links_x + pair.links_y if same else np.concatenate([pair.links_x, pair.links_y])
-        low = forest(np.concatenate(pair.u), np.concatenate(pair.v), len(dids)) if pair.u else np.arange(len(dids))
+    def run(table: pa.Table, between: pa.Table) -> pa.Table:
+        held: dict[int, _Block] = {}
+        dids, total = [], 0
+        for r in table.select(["idx", "dids", "counts", "vectors"]).to_pylist():
+            dids.append(np.frombuffer(r["dids"], np.int64))
+            held[r["idx"]] = _Block(np.frombuffer(r["vectors"], dtype).reshape(-1, width), np.frombuffer(r["counts"], np.int64), turn, total)
+            total += len(dids[-1])
+        join = _Join(least, leaf)
+        for a, b in zip(between["a"].to_pylist(), between["b"].to_pylist(), strict=True):
+            join.join(held[a], held[b], 0, len(held[a].x), 0, len(held[b].x))
+        ids, links = np.concatenate(dids), np.concatenate([x.links for x in held.values()])
+        low = forest(np.concatenate(join.u), np.concatenate(join.v), len(ids)) if join.u else np.arange(len(ids))
         own = np.flatnonzero(links)
-        return pa.table([pa.array(dids[own]), pa.array(links[own]), pa.array(dids[low[own]])], names=["did", "links", "root"])
+        return pa.table([pa.array(ids[own]), pa.array(links[own]), pa.array(ids[low[own]])], names=["did", "links", "root"])
+
+    tasks = pairs.select(F.expr(f"a div {span}").alias("ta"), F.expr(f"b div {span}").alias("tb"), "a", "b")
+    needed = tasks.select(F.col("ta").alias("sa"), F.col("tb").alias("sb"), F.explode(F.array("a", "b")).alias("idx")).distinct()
+    both = needed.join(packed.select("idx", "dids", "counts", "vectors"), "idx")
+    return both.groupBy("sa", "sb").cogroup(tasks.groupBy("ta", "tb")).applyInArrow(run, "did long, links long, root long")
 
-    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("idx"))
-    both = sides.join(packed.select("idx", "dids", "counts", "vectors"), "idx")
-    return both.groupBy("a", "b").applyInArrow(run, "did long, links long, root long")
 
+def links_of(vectors: DataFrame, kind: str, width: int, least: float, block: int, fan: int, leaf: int, most: int) -> DataFrame:
+    """linked() of distinct vectors (did, embedding, n) of one length."""
+    eps = float(np.sqrt(2 - 2 * least))
+    turn = principal(vectors, width)
+    packed = written(blocks(in_grid_order(vectors, turn, eps), turn, block), "blocks")
+    pairs = near_pairs(packed, eps, fan, min(BOX, width))
+    n = packed.count()
+    span = max(1, min(-(-n // SIDES), most // block))
+    return written(linked(packed, pairs, turn, kind, least, leaf, span), "links")
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, block: int = 4096, fan: int = 16, leaf: int = 256) -> DataFrame:
+
+def near_vectors(vectors: DataFrame, least: float = 0.95, block: int = 1024, fan: int = 16, leaf: int = 512, most: int = 1 << 16) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each vector."""
     rows = only(vectors, "vec_id", "embedding").withColumn("usable", usable())
     kind = dict(rows.dtypes)["embedding"]
-    common = rows.filter("usable").groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    width = common["width"] if common else 0
-    fit = F.col("usable") & (F.size("embedding") == width)
-    same = rows.filter(fit).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    distinct = written(same.withColumn("did", F.monotonically_increasing_id()), "vectors")
-    own = F.col("vec_id").alias("component_id")
-    if not common:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), own, F.lit(True).alias("kept"))
-    eps = float(np.sqrt(2 - 2 * least))
-    turn = principal(distinct, width)
-    packed = written(blocks(in_grid_order(distinct, turn, eps), turn, block), "blocks")
-    pairs = near_pairs(packed, eps, fan, min(BOX, width))
-    found = written(linked(packed, pairs, turn, kind, least, leaf), "links")
+    same = rows.filter("usable").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    distinct = written(same.withColumn("did", F.monotonically_increasing_id()).withColumn("width", F.size("embedding")), "vectors")
+    found = distinct.select("did", F.lit(0).cast("long").alias("links"), F.col("did").alias("root")).limit(0)
+    for r in distinct.groupBy("width").count().filter("count > 1").collect():  # one row for each length
+        found = found.union(links_of(distinct.filter(F.col("width") == r["width"]), kind, r["width"], least, block, fan, leaf, most))
     counts = found.groupBy("did").agg(F.sum("links").alias("links"))
     joined = written(components(found.filter("did <> root").select(F.col("did").alias("a"), F.col("root").alias("b"))), "components")
     named = joined.join(distinct.select(F.col("did").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("low"))
     member = joined.join(named, "component").select(F.col("node").alias("did"), "low")
     each = distinct.join(counts, "did", "left").join(member, "did", "left")
     each = each.select(F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("low", "rep").alias("low"))
-    out = rows.withColumn("_k", F.when(fit, F.col("embedding"))).join(each, F.col("_k") == F.col("_e"), "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("low", "vec_id"))
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce("vec_id", F.lit(0)).eqNullSafe(F.coalesce(component, F.lit(0))).alias("kept"))
+    kept = F.coalesce("vec_id", F.lit(0)).eqNullSafe(F.coalesce(component, F.lit(0)))
+    out = rows.filter("usable").join(each, F.col("embedding") == F.col("_e"), "left")
+    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"))
+    # Vectors that link with nothing take no part in the join, however many.
+    alone = rows.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)

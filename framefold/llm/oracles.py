@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from framefold.llm.chat import Template
-from framefold.llm.quality import RULES, SCALE, Risk
+from framefold.llm.quality import FIT, MAJORITY, RULES, SCALE, Risk
 
 GRID_ORDER = """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
   u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
@@ -42,19 +42,25 @@ def _without(chars: str) -> str:
 
 def quality(risk: Risk = Risk()) -> str:
     names = list(RULES)
-    scores = ", ".join(f"CAST(least({SCALE}, floor(({e}) * {SCALE})) AS INTEGER) AS s_{k}" for k, (e, _) in RULES.items())
-    tall = " UNION ALL ".join(f"SELECT stratum, {i} AS rule, s_{k} AS score FROM good" for i, k in enumerate(names))
-    floors = " ".join(f"WHEN {i} THEN {f}" for i, (_, f) in enumerate(RULES.values()))
+    scores = ", ".join(f"CAST(least({SCALE}, floor(({e}) * {SCALE})) AS INTEGER) AS s_{k}" for k, e in RULES.items())
+    tall = " UNION ALL ".join(f"SELECT {i} AS rule, s_{k} AS score, good FROM fit" for i, k in enumerate(names))
+    worst = ", ".join(f"(SELECT l FROM scale WHERE rule = {i})[s_{k} + 1]" for i, k in enumerate(names))
     log = f"lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(CAST({risk.risk} AS DOUBLE)) + (n - i) * ln(CAST({1 - risk.risk} AS DOUBLE))"
-    kept = " AND ".join(f"s_{k} <= coalesce((SELECT c FROM cut WHERE cut.stratum = s.stratum AND rule = {i}), {SCALE})" for i, k in enumerate(names))
+    cut = "coalesce((SELECT c FROM best WHERE best.stratum = s.stratum AND s.stratum <> 'other'), (SELECT c FROM best WHERE best.stratum = 'all'))"
+    kept = f"coalesce(greatest({worst}) <= {cut}, true)"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({', '.join(f"'{x}'" for x in risk.strata)}) THEN lang ELSE 'other' END AS stratum FROM documents),
   w AS (SELECT *, regexp_extract_all(t, '{_SPACE}+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_SPACE}')) AS l FROM d),
   x AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w), y AS (SELECT doc_id, i, a, lead(a) OVER q AS b, lead(a, 2) OVER q AS c FROM x WINDOW q AS (PARTITION BY doc_id ORDER BY i)),
   r AS (SELECT doc_id, i FROM y WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1), cov AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r) GROUP BY doc_id),
   m AS (SELECT doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {_without('[#*$%&|<>]')} AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, len(l) AS n_lines, {_without('[A-Z]')} AS n_upper, {_without('[!?]')} AS n_marks FROM w LEFT JOIN cov USING (doc_id)),
   s AS (SELECT *, {scores}, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed FROM m),
-  lab AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(coalesce(toxic, 0)) = 0), good AS (SELECT * FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM lab)),
-  hist AS (SELECT stratum, rule, score, count(*) AS c FROM ({tall}) GROUP BY ALL), lost AS (SELECT stratum, rule, score, sum(c) OVER (PARTITION BY stratum, rule) AS n, sum(c) OVER (PARTITION BY stratum, rule) - sum(c) OVER (PARTITION BY stratum, rule ORDER BY score) AS k FROM hist),
-  tail AS (SELECT stratum, rule, score, CASE WHEN k >= n * {risk.risk} THEN 1.0 ELSE list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda i: exp({log}))) END AS p FROM lost),
-  cut AS (SELECT stratum, rule, greatest(min(score), CASE rule {floors} END) AS c FROM tail WHERE p <= {risk.delta} / {(len(risk.strata) + 1) * len(names)} GROUP BY stratum, rule)
+  lab AS (SELECT doc_id, min(quality) = 1 AND max(coalesce(toxic, 0)) = 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+  known AS (SELECT s.*, good, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) IN ({', '.join(f"'{x}'" for x in FIT)}) AS fitting FROM s JOIN lab USING (doc_id) WHERE NOT base_failed), fit AS (SELECT * FROM known WHERE fitting),
+  seen AS (SELECT rule, score, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE NOT good) AS b FROM ({tall}) GROUP BY ALL), every AS (SELECT rule, score FROM range({len(names)}) r(rule), range({SCALE + 1}) t(score)),
+  sums AS (SELECT rule, score, sum(coalesce(g, 0)) OVER beyond AS g, sum(coalesce(b, 0)) OVER beyond AS b FROM every LEFT JOIN seen USING (rule, score) WINDOW beyond AS (PARTITION BY rule ORDER BY score DESC)),
+  bad AS (SELECT rule, score, max(CAST(floor(b * {SCALE} / (b + g + 1)) AS INTEGER)) OVER (PARTITION BY rule ORDER BY score) AS badness FROM sums), scale AS (SELECT rule, list(badness ORDER BY score) AS l FROM bad GROUP BY rule),
+  held AS (SELECT stratum, greatest({worst}) AS badness FROM known WHERE good AND NOT fitting), hist AS (SELECT stratum, badness, count(*) AS c FROM (SELECT * FROM held WHERE stratum <> 'other' UNION ALL SELECT 'all', badness FROM held) GROUP BY ALL),
+  lost AS (SELECT stratum, badness, sum(c) OVER (PARTITION BY stratum) AS n, sum(c) OVER (PARTITION BY stratum) - sum(c) OVER (PARTITION BY stratum ORDER BY badness) AS k FROM hist),
+  tail AS (SELECT stratum, badness, CASE WHEN k >= n * {risk.risk} THEN 1.0 ELSE list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda i: exp({log}))) END AS p FROM lost),
+  best AS (SELECT stratum, greatest(min(badness), {MAJORITY}) AS c FROM tail WHERE p <= {risk.delta} / {len(risk.strata) + 1} GROUP BY stratum)
   SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND {kept} AS kept, stratum FROM s"""

@@ -1,17 +1,29 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-Every document gets integer text statistics, and from these a few rule scores (0 to SCALE, larger is
-worse).  A rule rejects a document whose score is above its cutoff.  The cutoffs come from labelled
-holdouts: for each stratum and rule, cutoffs are tested from the loosest to the strictest (fixed
-sequence), and a cutoff holds if the exact binomial test rejects "more than `risk` of the good documents
-are lost" at level `delta` / (strata * rules), the Bonferroni share of that stratum and rule.  So with
-probability 1 - delta no rule loses more than `risk` of the good documents of any stratum.  A rule of a
-stratum with too few labels rejects nothing.
-
-Defined cases: null text counts as no text (no words, so the base check fails); null lang or one that
-`strata` doesn't name is in the stratum "other"; a document with several labels is good only if all
-agree; rows with one doc_id twice are judged each by its own text; empty tables give empty results; an
-empty label table certifies nothing, so only the base check rejects.
+Every document gets integer text statistics, and from these a few rule scores (0 to SCALE, larger is worse).  A rule
+rejects a document whose score is above its cutoff, and a document goes if any rule rejects it.  The cutoffs come from
+labels alone:
+
+  A share of the labelled documents (FIT, by a hash of the doc_id) tells how bad a score is: the share of bad ones
+  among those that have this score of the rule or more, one good one added.  So the scores of all rules come to one
+  scale, a document's badness is its worst, and a limit on badness is a cutoff for each rule.
+  The good documents of the others, the holdout, certify limits: for each stratum, limits are tested from the loosest
+  to the strictest (fixed sequence), and one holds if the exact binomial test rejects "more than `risk` of the good
+  documents are lost" for the verdict of all rules together, at level `delta` / (strata + 1), the Bonferroni share.
+  The strictest one that holds is used, but none below MAJORITY: with fewer bad documents than good ones beyond it, a
+  score says nothing against a document.
+
+So with probability 1 - delta, no stratum loses more than `risk` of its good documents (that pass the base check) to
+the rules.  A stratum with too few good labels for any limit gets the one that all labelled documents certify
+together; the bound then holds for the documents of all strata as a whole.  Where even these are too few, rules
+reject nothing.
+
+Defined cases: null text counts as no text (no words, so the base check fails); null lang or one that `strata` doesn't
+name is in the stratum "other", which has the limit of all; a very long text is measured whole, as one row; equal
+scores share a verdict; a document with several labels is good only if all agree, and one whose quality is null has no
+label; rows with one doc_id twice are judged each by its own text; empty tables give empty results; an empty label
+table certifies nothing, so only the base check rejects; quality_rules() reads doc_id, text and lang only, and
+quality_filter() carries a row's own columns in a struct, so no name can clash.
 """
 
 from __future__ import annotations
@@ -32,23 +44,26 @@ SCALE = 1000
 
 @dataclass(frozen=True)
 class Risk:
-    """risk: largest share of good documents that a rule may lose in a stratum; delta: chance of exceeding it anywhere."""
+    """risk: largest share of good documents that the rules may lose in a stratum; delta: chance of exceeding it anywhere."""
 
-    risk: float = 0.01
+    risk: float = 0.02
     delta: float = 0.05
     strata: tuple[str, ...] = ("de", "en", "es", "fr")
 
 
-#: Rule name: its score, from the counts of measured() (0 for empty texts), and the strictest cutoff that is
-#: tried at all.  Below that a score says nothing against a document, however the labels fall.
-RULES: dict[str, tuple[str, int]] = {
-    "symbols": ("n_symbols / greatest(word_chars, 1)", 50),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 500),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", 300),
-    "upper": ("n_upper / greatest(word_chars, 1)", 300),
-    "marks": ("n_marks / greatest(word_chars, 1)", 50),
-    "long_words": ("greatest(0, word_chars / greatest(n_words, 1) - 4) / 40", 200),
+#: Rule name: its score, from the counts of measured() (0 for empty texts).
+RULES: dict[str, str] = {
+    "symbols": "n_symbols / greatest(word_chars, 1)",
+    "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
+    "repeats": "n_repeat_words / greatest(n_words, 1)",
+    "upper": "n_upper / greatest(word_chars, 1)",
+    "marks": "n_marks / greatest(word_chars, 1)",
+    "long_words": "greatest(0, word_chars / greatest(n_words, 1) - 4) / 40",
 }
+#: First hexadecimal digits of the doc_id's MD5 that put a labelled document in the fitting share, a quarter.
+FIT = ("0", "1", "2", "3")
+#: Badness from which on more documents are bad than good.
+MAJORITY = SCALE // 2
 
 
 def _without(col: Column, chars: str) -> Column:
@@ -90,7 +105,7 @@ def base_failed() -> Column:
 
 def scored(stats: DataFrame, risk: Risk) -> DataFrame:
     """Adds the stratum and a score s_<rule> for each rule."""
-    score = {f"s_{k}": F.least(F.lit(SCALE), F.floor(F.expr(e) * SCALE)).cast("int") for k, (e, _) in RULES.items()}
+    score = {f"s_{k}": F.least(F.lit(SCALE), F.floor(F.expr(e) * SCALE)).cast("int") for k, e in RULES.items()}
     lang = F.when(F.col("lang").isin(*risk.strata), F.col("lang")).otherwise(F.lit("other"))
     return stats.withColumn("stratum", lang).withColumns(score)
 
@@ -115,29 +130,51 @@ def binomial_tail(k: str, n: str, p: float) -> Column:
     return F.when(F.col(k) >= F.col(n) * p, F.lit(1.0)).otherwise(F.expr(tail))  # no test at level < 1/2 passes above the mean
 
 
+def badness(fit: DataFrame) -> DataFrame:
+    """(rule, score, badness): what each score of each rule says, never less than a smaller score of it.
+
+    The result has len(RULES) * (SCALE + 1) rows, whatever the input.
+    """
+    tall = fit.select("good", F.posexplode(F.array(*[F.col(f"s_{k}") for k in RULES])).alias("rule", "score"))
+    seen = tall.groupBy("rule", "score").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
+    every = fit.sparkSession.range(len(RULES) * (SCALE + 1)).select(F.expr(f"int(id div {SCALE + 1})").alias("rule"), F.expr(f"int(id % {SCALE + 1})").alias("score"))
+    beyond, up = W.partitionBy("rule").orderBy(F.desc("score")), W.partitionBy("rule").orderBy("score")
+    sums = every.join(seen, ["rule", "score"], "left").na.fill(0, ["g", "b"]).withColumns({c: F.sum(c).over(beyond) for c in ("g", "b")})
+    return sums.select("rule", "score", F.max(F.floor(F.col("b") * SCALE / (F.col("b") + F.col("g") + 1)).cast("int")).over(up).alias("badness"))
+
+
 def cutoffs(labelled: DataFrame, risk: Risk) -> DataFrame:
-    """One row for each stratum: c_<rule>, the strictest certified cutoff (SCALE: the rule rejects nothing).
+    """One row for each stratum: c_<rule>, the cutoff of the strictest certified limit (SCALE: the rule rejects nothing).
 
-    labelled: scored() rows with a boolean `good`.  The result has len(strata) + 1 rows, whatever the input.
+    labelled: scored() rows with a doc_id and a boolean `good`.  The result has len(strata) + 1 rows, whatever the input.
     """
-    names = list(RULES)
-    m = (len(risk.strata) + 1) * len(names)
-    good = labelled.filter("good")
-    tall = good.select("stratum", F.posexplode(F.array(*[F.col(f"s_{k}") for k in names])).alias("rule", "score"))
-    hist = tall.groupBy("stratum", "rule", "score").agg(F.count(F.lit(1)).alias("c"))  # at most SCALE + 1 rows a rule and stratum
-    up = W.partitionBy("stratum", "rule").orderBy("score")
-    lost = hist.withColumn("n", F.sum("c").over(W.partitionBy("stratum", "rule"))).withColumn("k", F.col("n") - F.sum("c").over(up))
-    # A cutoff at an observed score loses the good documents above it; between two of them nothing changes.
-    sure = lost.withColumn("p", binomial_tail("k", "n", risk.risk)).filter(F.col("p") <= risk.delta / m)
-    best = sure.groupBy("stratum").agg(*[F.greatest(F.min(F.when(F.col("rule") == i, F.col("score"))), F.lit(RULES[k][1])).alias(f"c_{k}") for i, k in enumerate(names)])
+    fitting = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1).isin(*FIT)
+    table = written(badness(labelled.filter(fitting)), "badness")
+    held = labelled.filter(~fitting).filter("good").select("stratum", *[f"s_{k}" for k in RULES])
+    for i, k in enumerate(RULES):
+        held = held.join(F.broadcast(table.filter(F.col("rule") == i).select(F.col("score").alias(f"s_{k}"), F.col("badness").alias(f"b_{k}"))), f"s_{k}")
+    held = held.withColumn("badness", F.greatest(*[F.col(f"b_{k}") for k in RULES]))
+    both = held.select(F.explode(F.array("stratum", F.lit("all"))).alias("stratum"), "badness").filter("stratum <> 'other'")
+    hist = both.groupBy("stratum", "badness").agg(F.count(F.lit(1)).alias("c"))  # at most SCALE + 1 rows a stratum
+    lost = hist.withColumn("n", F.sum("c").over(W.partitionBy("stratum"))).withColumn("k", F.col("n") - F.sum("c").over(W.partitionBy("stratum").orderBy("badness")))
+    # A limit at an observed badness loses the good documents above it; between two of them nothing changes.
+    sure = lost.withColumn("p", binomial_tail("k", "n", risk.risk)).filter(F.col("p") <= risk.delta / (len(risk.strata) + 1))
+    best = written(sure.groupBy("stratum").agg(F.greatest(F.min("badness"), F.lit(MAJORITY)).alias("badness")), "limits")
     spark = labelled.sparkSession
-    rows = spark.createDataFrame([(x,) for x in (*risk.strata, "other")], "stratum string")
-    return rows.join(best, "stratum", "left").select("stratum", *[F.when(F.col(f"c_{k}").isNull(), F.lit(SCALE)).otherwise(F.col(f"c_{k}")).alias(f"c_{k}") for k in names])
+    rows = spark.createDataFrame([(x, "all") for x in (*risk.strata, "other")], "stratum string, whole string")
+    whole = best.select(F.col("stratum").alias("whole"), F.col("badness").alias("other"))
+    limits = rows.join(best, "stratum", "left").join(whole, "whole", "left").select("stratum", F.coalesce("badness", "other").alias("limit"))
+    # The highest score whose badness the limit allows, rule by rule.
+    scale = table.groupBy("rule").agg(F.sort_array(F.collect_list("badness")).alias("scale"))
+    each = limits.withColumn("rule", F.explode(F.lit(list(range(len(RULES)))))).join(scale, "rule")
+    each = each.withColumn("cutoff", F.coalesce(F.expr("if(limit is null, null, size(filter(scale, x -> x <= limit)) - 1)"), F.lit(SCALE)))
+    return each.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == i, F.col("cutoff"))).alias(f"c_{k}") for i, k in enumerate(RULES)])
 
 
 def labelled_good(labels: DataFrame) -> DataFrame:
     """One row for each labelled document: good if every label calls it of quality and none toxic."""
-    return only(labels, "doc_id", "quality", "toxic").groupBy("doc_id").agg(((F.min("quality") == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0)).alias("good"))
+    good = (F.min("quality") == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0)
+    return only(labels, "doc_id", "quality", "toxic").filter("quality is not null").groupBy("doc_id").agg(good.alias("good"))
 
 
 def judged(stats: DataFrame, limits: DataFrame, risk: Risk) -> DataFrame:

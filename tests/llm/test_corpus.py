@@ -117,6 +117,19 @@ def test_grid_order(spark):
     assert rows(ego.near_vectors(df.filter("embedding is null"))) == [{"vec_id": 182, "n_links": 0, "component_id": 182, "kept": True}]
 
 
+def test_distant_blocks_are_skipped(spark):
+    angles = np.random.default_rng(6).uniform(0, 2 * math.pi, 600)
+    table = [(i, [math.cos(a), math.sin(a), 0.01, 0.0]) for i, a in enumerate(angles)]
+    df = spark.createDataFrame(table, "did long, embedding array<double>").withColumn("n", F.lit(1).cast("long"))
+    turn, eps = ego.principal(df, 4), math.sqrt(0.1)
+    packed = common.written(ego.blocks(ego.in_grid_order(df, turn, eps), turn, 20), "blocks")
+    n = packed.count()
+    assert n == 30 and ego.near_pairs(packed, eps, 4, 4).count() < 0.5 * n * (n + 1) / 2
+    found = rows(ego.near_vectors(df.withColumnRenamed("did", "vec_id"), block=20, fan=4, leaf=8, most=40))
+    near = np.cos(angles[:, None] - angles) * 1.0
+    assert all(abs(r["n_links"] - (near[r["vec_id"]] >= 0.95).sum() + 1) <= 1 for r in found) and {r["component_id"] for r in found} == {0}
+
+
 # Encoding
 
 
@@ -674,6 +687,50 @@ def test_cutoffs_hold_their_risk(spark):
     assert sum(not got[i] for i in good) <= 0.02 * len(good) and not any(got[i] for i, q, _ in marks if not q)
     few = {r["doc_id"]: r["kept"] for r in rows(quality.quality_rules(df, labels.filter("doc_id < 100"), quality.Risk(risk=0.02, strata=("en",))))}
     assert all(few.values())  # too few labels to certify anything
+    # A stratum with too few labels has the limit of all.
+    mixed = df.withColumn("lang", F.when(F.col("doc_id") < 200, "fr").otherwise("en"))
+    fr = [r for r in rows(quality.quality_rules(mixed, labels, quality.Risk(risk=0.02, strata=("en", "fr")))) if r["stratum"] == "fr"]
+    assert len(fr) == 200 and {r["kept"] for r in fr} == {True, False}
+
+
+def _marked(rng, n, bad_from):
+    """Documents with a growing share of marks; those from `bad_from` on are labelled bad."""
+    table, marks = [], []
+    for i in range(n):
+        share = rng.random()
+        body = [f"w{rng.randrange(10**6)}" + ("#" if rng.random() < share else "") for _ in range(100)]
+        table.append((i, " ".join(body), "en"))
+        marks.append((i, int(share < bad_from), 0))
+    return table, marks
+
+
+def test_cutoffs_move_with_the_labels(spark):
+    """The cutoffs are the labels', and documents that had no part in them lose no more than the risk."""
+    rng = random.Random(5)
+    table, _ = _marked(rng, 4000, 0.5)
+    shares = [t.count("#") / 100 for _, t, _ in table]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string")
+    lost, limits = [], []
+    for bad_from in (0.3, 0.7):
+        marks = [(i, int(s < bad_from), 0) for i, s in enumerate(shares) if i < 3000]
+        labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+        got = rows(quality.quality_rules(df, labels, quality.Risk(risk=0.02, strata=("en",))))
+        limits.append(got[0]["c_symbols"])
+        fresh = [r for r in got if r["doc_id"] >= 3000]
+        good = [r for r in fresh if shares[r["doc_id"]] < bad_from]
+        lost.append(sum(not r["kept"] for r in good) / len(good))
+        assert sum(not r["kept"] for r in fresh if shares[r["doc_id"]] >= bad_from + 0.05) > 0.95 * sum(shares[r["doc_id"]] >= bad_from + 0.05 for r in fresh)
+    assert limits[0] < limits[1] and max(lost) <= 0.02
+
+
+def test_labels_without_a_pattern_reject_little(spark):
+    """Where scores say nothing about the labels, no cutoff has a majority of bad documents beyond it."""
+    rng = random.Random(9)
+    table, _ = _marked(rng, 2000, 0.5)
+    marks = [(i, int(rng.random() < 0.7), 0) for i in range(2000)]
+    df, labels = spark.createDataFrame(table, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = rows(quality.quality_rules(df, labels, quality.Risk(strata=("en",))))
+    assert sum(not r["kept"] for r in got) <= 0.02 * len(got)
 
 
 # The pipeline and the registered queries

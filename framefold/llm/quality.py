@@ -46,7 +46,7 @@ SCALE = 1000
 class Risk:
     """risk: largest share of good documents that the rules may lose in a stratum; delta: chance of exceeding it anywhere."""
 
-    risk: float = 0.02
+    risk: float = 0.025
     delta: float = 0.05
     strata: tuple[str, ...] = ("de", "en", "es", "fr")
 

@@ -1,17 +1,22 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree; what can't be the article goes (scripts, forms, navigation, notices, comments and the
-like, by element, role, and words in class or id), but for a form or container that holds most of the text.  Then every paragraph passes points to its ancestors: one,
-one more for each comma and for each hundred characters up to three; the parent gets all of them, the
-grandparent half, those above (LEVELS at most) a third by level.  A container's points are discounted by its
-link density (the share of its text inside links).  The container with the most points is the article; it is
-taken with those siblings that have a fifth of its points or are long paragraphs with few links.
+A page becomes a tree; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
+go, by element, role, and words in class or id that name one of these, but for a form or container that holds most of
+the text.  Words that only tell a place or may belong to an article (left, top, an alert-story) remove nothing.  Then
+every paragraph passes points to its ancestors: one, one more for each comma and for each hundred characters up to
+three; the parent gets all of them, the grandparent half, those above (LEVELS at most) a third by level.  A
+container's points are discounted by its link density (the share of its text inside links) and weighed by its name:
+a half more at most, or a half less.  The container with the most points is the article; it is taken with those
+siblings that have a fifth of its points or are long paragraphs with few links.
 
 Blocks are the texts of block elements, in page order.  Character references are decoded, white space in a
 block becomes one space, and blocks are joined by an empty line.
 
 Defined cases: null or empty html gives an empty text; a page without any paragraph gives the texts of its
-body; markup that is cut off is read as far as it goes; a missing url stays null.
+body; markup that is cut off is read as far as it goes; a very long page is read whole, in a pass over its tags and
+some over its tree; of containers with equal points the first in page order is taken; a missing url or page_id stays
+null; equal rows and page_ids are extracted each; an empty table gives an empty result; other columns aren't read, so
+their names can't clash.
 """
 
 from __future__ import annotations
@@ -32,17 +37,21 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd h2 h3 h4 h5 h6 div section article main body".split())
-DROPPED = frozenset("nav aside footer form button select input textarea script style noscript template iframe object embed svg canvas audio video dialog menu head title fieldset label map math".split())
+DROPPED = frozenset("nav aside footer form button select input textarea script style noscript template iframe object embed svg canvas audio video dialog menu head title label map".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A group of these is a form's.
+FIELDS = frozenset("input select textarea button".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status".split())
 #: An opening tag ends an open element of these names, up to the nearest of the second set.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words in class or id of what isn't the article.
 UNLIKELY = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|advertising|adsense|adbox|banner|sponsor(?:ed|s)?|promo(?:tion)?s?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|toast|newsletter|subscribe|subscription|signup|sign-up|login|share|sharing|social|follow|comments?|comment-?list|replies|responses|discussion|disqus|respond|related|recommended|recommendations|more-?stories|trending|popular|outbrain|taboola|sidebar|side-?bar|widgets?|rail|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|paging|footer|foot|masthead|site-?header|page-?header|topbar|toolbar|skip-?link|tags?|tag-?list|meta-?data|legal|copyright|disclaimer|paywall|hidden|sr-only|visually-?hidden)(?:$|[^a-z])"
+    r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|advertising|adsense|adbox|banner|sponsor(?:ed|s)?|promo(?:tion)?s?|cookies?|consent|gdpr|notices?|alerts|alert-?(?:box|bar|message|banner|info|warning|danger|success|dismissible)|popup|modal|overlay|toast|newsletter|subscribe|subscription|signup|sign-up|login|share|sharing|social|follow|comments?|comment-?list|replies|responses|discussion|disqus|respond|related|recommended|recommendations|more-?stories|trending|popular|outbrain|taboola|sidebar|side-?bar|widgets?|rail|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|paging|footer|foot|masthead|site-?header|page-?header|topbar|toolbar|skip-?link|tag-?list|tag-?cloud|tags(?=$| )|meta-?data|copyright|disclaimer|paywall|hidden|sr-only|visually-?hidden)(?:$|[^a-z])"
 )
 #: Whole classes or ids of what isn't the article, though they occur inside the names of what is.
-ALONE = frozenset("header top hdr bottom left right meta teaser teasers announcement warning".split())
+ALONE = frozenset("header hdr meta teaser teasers announcement warning alert legal tag".split())
+#: Whole classes or ids that tell a place, where the article seldom stands.
+PLACES = frozenset("top bottom left right".split())
 #: Parts of names that tell what stands beside or isn't there.
 BESIDE = re.compile(r"(?<![a-z])(?:has|no|with|without|hide|show|is|js)-[a-z-]+")
 LIKELY = re.compile(r"(?:^|[^a-z])(?:article|body|content|entry|main|page|post|story|text|blog|column)(?:$|[^a-z])")
@@ -146,6 +155,8 @@ def dropped(node: Node, by_name: bool = True) -> bool:
     tag, attrs = node.tag, node.attrs
     if tag in DROPPED:
         return True
+    if tag == "fieldset" and any(x.tag in FIELDS for x in in_order(node)):
+        return True
     if not attrs:
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in DROPPED_ROLES or HIDDEN.search(attrs.get("style", "")):
@@ -218,6 +229,13 @@ def in_order(node: Node) -> Iterator[Node]:
         stack.extend(x for x in reversed(one.children) if not isinstance(x, str))
 
 
+def weight(node: Node) -> float:
+    """What a container's points are multiplied by, from its element and name."""
+    names = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}" if node.attrs else ""
+    likely = node.tag in ("article", "main") or bool(LIKELY.search(names))
+    return (1.5 if likely else 1.0) * (0.5 if node.tag == "form" or not PLACES.isdisjoint(names.split()) else 1.0)
+
+
 def scored(root: Node) -> Node | None:
     """Sets size, linked and points; the best container, or None without any text."""
     nodes = list(in_order(root))
@@ -254,9 +272,7 @@ def scored(root: Node) -> Node | None:
     for node in nodes:
         if not node.points:
             continue
-        names = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}" if node.attrs else ""
-        bonus = (25 if node.tag == "article" else 15 if node.tag == "main" else 0) + (10 if names.strip() and LIKELY.search(names) else 0)
-        node.points = (node.points + bonus) * (1 - node.linked / max(node.size, 1)) * (0.5 if node.tag == "form" else 1)
+        node.points *= weight(node) * (1 - node.linked / max(node.size, 1))
         if node.tag not in ("html", "ul", "ol", "table", "tbody", "tr", "p") and (best is None or node.points > best.points):
             best = node
     return best or (root if root.size else None)

@@ -11,7 +11,9 @@ character.  Decoding concatenates the tokens' bytes up the same tree.
 
 The ranks come from a file whose path is a parameter; each Python worker reads it once.
 
-Defined cases: a null text is empty; an empty one has no tokens; special tokens' strings are ordinary text.
+Defined cases: a null text is empty; an empty one has no tokens; special tokens' strings are ordinary text; a very long
+text or match is encoded whole; rows with one doc_id twice, or none, are encoded each; an empty table gives an empty
+result; other columns aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from framefold.llm.common import sliced
 
 #: Bytes that are merged directly: a leaf of the tree; and from how many on a window is merged by a heap.
-LEAF, HEAP = 12, 192
+LEAF, HEAP = 4, 192
 #: Distinct matches that a worker remembers, and the longest of them in characters; bounds its memory.
 REMEMBERED, LONGEST = 400_000, 64
 _NONE = sys.maxsize
@@ -155,9 +157,8 @@ def splitter(pattern: str) -> regex.Pattern:
 
 
 @lru_cache(maxsize=4)
-def _decimal(path: str) -> tuple[Matches, dict[str, bytes]]:
-    ranks = loaded(path)
-    return Matches(ranks, lambda ids: " ".join(map(str, ids))), {str(i): t for i, t in ranks.tokens.items()}
+def _decimal(path: str) -> Matches:
+    return Matches(loaded(path), lambda ids: " ".join(map(str, ids)))
 
 
 @lru_cache(maxsize=4)
@@ -194,10 +195,10 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes each text and decodes the ids, both in one pass."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes each text and decodes the ids, up the tree, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matches, tokens = _decimal(path)
+        matches, decode = _decimal(path), loaded(path).decoded
         find = splitter(pattern).findall
         for batch in sliced(batches):
             counts, ids_sha, text_sha = [], [], []
@@ -206,7 +207,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 each = ids.split()
                 counts.append(len(each))
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join(map(tokens.__getitem__, each))).hexdigest())
+                text_sha.append(hashlib.sha256(decode(list(map(int, each)))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -21,11 +21,15 @@ Kinds, and what is permuted:
   secret  values after password=, token = and the like, and hexadecimal runs of 32 or more
 
 Defined cases: a null text stays null with no findings; an empty text stays empty; a candidate that fails
-its validation stays as it is, but for what stands inside it; white space, quotes and separators stay; repeated rows are each replaced.
+its validation stays as it is, but for what stands inside it; white space, quotes and separators stay; repeated
+rows, and equal values in them, are each replaced alike; a very long text is replaced whole; an empty table gives an
+empty result; a doc_id plays no part.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -235,5 +239,10 @@ def pseudonymised(docs: DataFrame, key: Column | str, text: str = "text", back:
 
 
 def secret_key(docs: DataFrame) -> str:
-    """The key that the session names in framefold.pii.key; a fixed one for tests where it names none."""
-    return docs.sparkSession.conf.get("framefold.pii.key", "framefold test key")
+    """The key that the session names in framefold.pii.key.  Where it names none, one is drawn and named there, so that
+    pseudonyms are linked within the session; nobody knows it, so they can't be undone after it.
+    """
+    spark = docs.sparkSession
+    if not spark.conf.get("framefold.pii.key", None):
+        spark.conf.set("framefold.pii.key", secrets.token_hex(32))
+    return spark.conf.get("framefold.pii.key")

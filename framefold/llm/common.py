@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
 import pyarrow as pa
@@ -19,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not named:
         named = f"file://{tempfile.mkdtemp(prefix='framefold-')}"
         spark.sparkContext.setCheckpointDir(named)
@@ -26,17 +29,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _open: ContextVar[list[str] | None] = ContextVar("open", default=None)
+#: What was written outside temporary() and staged(), and not deleted since.
+_left: list[str] = []
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df into the shared folder and read it again: lineage ends here and survives lost executors.
 
-    What a query returns may read such tables, so they stay; within temporary() they go when it ends.
+    What a query returns may read such tables, so they stay until cleared() or the end of the driver's Python; within
+    temporary() they go when it ends.
     """
     path = f"{shared_folder(df.sparkSession)}/framefold-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if (paths := _open.get()) is not None:
-        paths.append(path)
+    paths = _open.get()
+    (_left if paths is None else paths).append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._framefold_path = path  # for discard()
     return out
@@ -53,8 +59,9 @@ def discard(df: DataFrame) -> None:
     path = getattr(df, "_framefold_path", None)
     if path:
         removed(df.sparkSession, path)
-        if path in (_open.get() or []):
-            _open.get().remove(path)
+        for paths in (_left, _open.get() or []):
+            if path in paths:
+                paths.remove(path)
 
 
 def swept(spark: SparkSession) -> None:
@@ -76,6 +83,22 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             removed(spark, path)
 
 
+def cleared(spark: SparkSession) -> None:
+    """Delete all tables that the session's queries wrote and that are left, once no result that reads them is needed."""
+    while _left:
+        removed(spark, _left.pop())
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _left:
+        with suppress(Exception):  # the JVM may be gone
+            cleared(spark)
+
+
+atexit.register(_at_exit)
+
+
 #: What the last stage of a pipeline wrote for itself.
 _staged: list[str] = []
 

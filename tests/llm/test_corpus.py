@@ -80,6 +80,13 @@ def test_temporary_tables_go(spark):
     assert not os.path.exists(outside._framefold_path.removeprefix("file://"))
 
 
+def test_left_tables_are_cleared(spark):
+    at = common.written(spark.range(3), "t")
+    assert at._framefold_path in common._left
+    common.cleared(spark)
+    assert common._left == [] and not os.path.exists(at._framefold_path.removeprefix("file://"))
+
+
 def test_ranked_without_gaps(spark):
     df = spark.range(500).withColumn("g", F.expr("if(id < 400, 0, id % 7)"))
     got = rows(common.ranked(df, ["g"], F.xxhash64("id"), 5, [F.col("id")], "n"))
@@ -493,6 +500,65 @@ def test_main_text(html_):
     assert html.main_text(html_) == "Title & more\n\nFirst, long paragraph with, commas and words that go on for a while. Second line\n\nShort."
 
 
+def test_names_only_weigh():
+    body = "".join(f"<p>Paragraph {i}, with some words, and commas that go on for a good while.</p>" for i in range(6))
+    left = html.main_text(f"<body><div class='content left'>{body}</div><div class='x'><p>Twenty-two characters.</p></div></body>")
+    assert left.split("\n\n") == [f"Paragraph {i}, with some words, and commas that go on for a good while." for i in range(6)]
+    inside = "<div class='alert-story'><p>In an alert story.</p></div><p>Then <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><fieldset><p>In a fieldset.</p></fieldset>"
+    page = f"<article>{body}{inside}<fieldset><legend>Sign in</legend><input name=a></fieldset></article>"
+    assert html.main_text(page).split("\n\n")[6:] == ["In an alert story.", "Then x=1 holds.", "In a fieldset."]
+    assert "Stop" not in html.main_text(f"<article>{body}<div class='alert'><p>Stop.</p></div><div class='alert-box'>Stop.</div></article>")
+
+
+def test_points_against_brute_force():
+    """The points of every container, from the definition: paragraph by paragraph, link density and weight."""
+    rng = random.Random(12)
+
+    def grown(depth):
+        kids = [grown(depth - 1) for _ in range(rng.randint(1, 3))] if depth else []
+        return ("div", rng.choice(["", "left", "story", "xyz"]), kids + [("p", "", [("text " * rng.randint(1, 80) + ", " * rng.randint(0, 4)).strip(), *([("a", "", [("link " * rng.randint(1, 9)).strip()])] if rng.random() < 0.3 else [])]) for _ in range(rng.randint(0, 2))])
+
+    def shown(t):
+        return t if isinstance(t, str) else f"<{t[0]}" + (f" class='{t[1]}'" if t[1] else "") + ">" + "".join(map(shown, t[2])) + f"</{t[0]}>"
+
+    def text_of(t, links):
+        return (t if not links else "") if isinstance(t, str) else "".join(text_of(x, links and t[0] != "a") for x in t[2])
+
+    def length(t, links):
+        if isinstance(t, str):
+            return 0 if links else len(t.strip())
+        return sum(length(x, links and t[0] != "a") for x in t[2])
+
+    for _ in range(40):
+        tree = ("div", "", [grown(3)])
+        told = collections.Counter()
+
+        def walk(t, above):
+            if t[0] == "p":
+                text = text_of(t, False).strip()
+                points = (1 + text.count(",") + min(3.0, len(text) / 100)) / (4 if len(text) < 25 else 1)
+                for level, up in enumerate(reversed(above)):
+                    if level <= html.LEVELS:
+                        told[id(up)] += points * (1 if level == 0 else 0.5 if level == 1 else 1 / (3 * level))
+            for x in t[2]:
+                if not isinstance(x, str):
+                    walk(x, [*above, t])
+
+        walk(tree, [])
+        root = html.parsed(shown(tree))
+        best = html.scored(root)
+        nodes = [n for n in html.in_order(root) if n.tag == "div"]
+        want, flat = [], [tree]
+        while flat:
+            t = flat.pop()
+            flat += [x for x in reversed(t[2]) if not isinstance(x, str)]
+            if t[0] == "div":
+                size = length(t, False)
+                want.append(told[id(t)] * (1 - length(t, True) / max(size, 1)) * {"left": 0.5, "story": 1.5}.get(t[1], 1.0))
+        assert [n.points for n in nodes] == pytest.approx(want)
+        assert not any(want) or best.points >= max(want) - 1e-9
+
+
 def test_main_text_without_article_element():
     page = "<body><div id=menu><a href=1>one</a> <a href=2>two</a></div><div><div class=story><p>Some words, and more of them, in a long first paragraph.<p>Then, as it goes, another one that is long enough.</div><p>Yours</p></div>"
     assert html.main_text(page) == "Some words, and more of them, in a long first paragraph.\n\nThen, as it goes, another one that is long enough."
@@ -544,6 +610,16 @@ def test_archives_round_trip(spark):
     assert warc.archived(df.limit(0)).count() == 0
 
 
+def test_archive_files(spark, tmp_path):
+    """Archives as files, read back by Spark's binaryFile source, give the records that were written."""
+    pages = spark.createDataFrame([(i, f"http://e.org/{i}", f"<p>{i % 3}</p>" * 50) for i in range(12)], "page_id long, url string, html string")
+    for r in warc.archives(warc.with_kinds(pages), archive_bytes=2000).collect():
+        (tmp_path / r.path).write_bytes(r.content)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(str(tmp_path)).select("path", "length", "content")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in rows(warc.read(files))}
+    assert got == {i: ("response" if i < 3 else "revisit", None if i < 3 else i % 3, 400) for i in range(12)} and len(list(tmp_path.glob("*.warc.gz"))) > 1
+
+
 def test_reader_is_strict():
     one = warc.page_record(1, "u", b"hello" * 50_000, warc.base32(hashlib.sha1(b"hello" * 50_000).digest()), None, "d")
     two = warc.page_record(2, "u", b"", warc.base32(hashlib.sha1(b"").digest()), None, "d")
@@ -617,6 +693,37 @@ def test_shards(spark, docs):
     assert shards.sharded(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_dealt(spark, monkeypatch):
+    """A third of the rows without an id, and copies of one row, over any number of parts."""
+    monkeypatch.setattr(shards, "PART", 50)
+    rest = spark.range(2000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.expr("concat('text ', id)").alias("text"))
+    table = rest.unionByName(spark.range(300).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text")))
+    got = rows(shards.sharded(table, 8, 512))
+    assert len(got) == 2300
+    for s in range(8):
+        own = [r for r in got if r["shard"] == s]
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+        load = sum(r["size"] for r in own)
+        assert load <= 1.3 * sum(r["size"] for r in got) / 8
+
+
+def test_stored_map_is_kept_and_edited(spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    first = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', int(id % 90))").alias("text"))
+    later = first.unionByName(spark.range(3000, 4000).select(F.col("id").alias("doc_id"), F.expr("repeat('y', 100)").alias("text")))
+    shards.deal(first, path, 4, 256)
+    one = {r["doc_id"]: r["shard"] for r in rows(shards.placed_by(first, path))}
+    again = {r["doc_id"]: r["shard"] for r in rows(shards.placed_by(later, path))}
+    assert all(again[d] == s for d, s in one.items()) and set(again.values()) == set(range(4))
+    assert shards.add_shard(later, path) == 2
+    two = {r["doc_id"]: (r["shard"], r["map_version"]) for r in rows(shards.placed_by(later, path))}
+    assert all(s in (again[d], 4) and v == 2 for d, (s, v) in two.items()) and {s for s, _ in two.values()} == set(range(5))
+    old = {r["doc_id"]: r["shard"] for r in rows(shards.placed_by(later, path, 1))}
+    assert old == again
+    with pytest.raises(Exception, match="(?i)exists"):
+        shards.deal(first, path, 4, 256)
+
+
 def test_map_versions(spark):
     sizes = spark.createDataFrame([(i, 10 + i % 7, 1) for i in range(64)], "virtual_slot int, bytes long, n long")
     one = shards.first_map(sizes, 4)

@@ -38,6 +38,8 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from hashlib import blake2b
+from itertools import islice
 from math import isqrt
 
 import pyarrow as pa
@@ -51,6 +53,8 @@ from framefold.llm.common import only, ranked, sliced, written
 CAPACITY = 2048
 #: Lengths of a filling, beside those that both have, for which every deal into another's is tried.
 DEALT = 6
+#: Nodes at the end of the search's path that keep what they enumerate.
+LIVE = 64
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -231,6 +235,19 @@ def tried_fillings(room: int, counts: dict[int, int], waste: int) -> Iterator[tu
         reach &= (1 << goal) - 1
 
 
+class _Node:
+    """A place in the search: sequences, patterns and waste so far, the counts left, and what is tried next.
+
+    Far from the end of the path a node keeps no counts and no enumeration; both are made again when it is its turn.
+    """
+
+    __slots__ = ("used", "done", "waste", "taken", "counts", "untried")
+
+    def __init__(self, used: int, done: list[Pattern], waste: int, counts: dict[int, int]) -> None:
+        self.used, self.done, self.waste, self.taken, self.counts = used, done, waste, 0, counts
+        self.untried: Iterator[Pattern | None] | None = None
+
+
 @dataclass
 class Search:
     """Branch and bound over fillings, by depth; each filling that is enumerated, and each number of copies, is a step."""
@@ -242,63 +259,76 @@ class Search:
     bins: int = 0
     bound: int = 0
 
+    def options(self, counts: dict[int, int], spare: int) -> Iterator[Pattern | None]:
+        """Fillings around the largest length, each with as many copies as there can be, and fewer; None for a dominated one."""
+        largest = max(counts)
+        rest = dict(counts)
+        rest[largest] -= 1
+        if not rest[largest]:
+            del rest[largest]
+        for found in tried_fillings(self.capacity - largest, rest, spare):
+            if found is None:
+                yield None
+                continue
+            pattern = (largest, *found)
+            most = min(counts[x] // n for x, n in Counter(pattern).items())
+            for many in range(most, 0, -1):
+                yield pattern, many
+
+    def after(self, counts: dict[int, int], patterns: list[Pattern]) -> dict[int, int]:
+        left = dict(counts)
+        for pattern, many in patterns:
+            for x, n in Counter(pattern).items():
+                left[x] -= n * many
+                if not left[x]:
+                    del left[x]
+        return left
+
     def run(self) -> list[Pattern]:
         total = sum(x * n for x, n in self.counts.items())
         self.best = best_fit(self.counts, self.capacity)
         self.bins = sum(n for _, n in self.best)
         self.bound = max(-(-total // self.capacity), sum(n for x, n in self.counts.items() if 2 * x > self.capacity))
-        # Each entry: the counts left, the sequences and patterns so far, their waste, and what is not yet tried.
-        stack: list[tuple[dict[int, int], int, list[Pattern], int, Iterator[Pattern | None]]] = []
-        met: dict[frozenset, int] = {}
-
-        def options(counts: dict[int, int], spare: int) -> Iterator[Pattern | None]:
-            largest = max(counts)
-            rest = dict(counts)
-            rest[largest] -= 1
-            if not rest[largest]:
-                del rest[largest]
-            for found in tried_fillings(self.capacity - largest, rest, spare):
-                if found is None:
-                    yield None
-                    continue
-                pattern = (largest, *found)
-                most = min(counts[x] // n for x, n in Counter(pattern).items())
-                for many in range(most, 0, -1):
-                    yield pattern, many
-
-        def enter(counts: dict[int, int], used: int, done: list[Pattern], waste: int) -> None:
-            if not counts:
-                if used < self.bins:
-                    self.best, self.bins = done, used
+        stack: list[_Node] = []
+        met: dict[bytes, int] = {}  # digests of counts left, with how many sequences were used
+
+        def spare(waste: int) -> int:
+            return (self.bins - 1) * self.capacity - total - waste
+
+        def enter(node: _Node) -> None:
+            if not node.counts:
+                if node.used < self.bins:
+                    self.best, self.bins = node.done, node.used
                 return
-            spare = (self.bins - 1) * self.capacity - total - waste
-            if spare < 0 or used + sum(n for x, n in counts.items() if 2 * x > self.capacity) >= self.bins:
+            if spare(node.waste) < 0 or node.used + sum(n for x, n in node.counts.items() if 2 * x > self.capacity) >= self.bins:
                 return
-            state = frozenset(counts.items())
-            if met.get(state, used + 1) > used:
-                met[state] = used
-                stack.append((counts, used, done, waste, options(counts, spare)))
-
-        enter(self.counts, 0, [], 0)
+            state = blake2b(repr(sorted(node.counts.items())).encode(), digest_size=16).digest()
+            if met.get(state, node.used + 1) > node.used:
+                met[state] = node.used
+                stack.append(node)
+                if len(stack) > LIVE:
+                    stack[-LIVE - 1].counts = stack[-LIVE - 1].untried = None
+
+        enter(_Node(0, [], 0, dict(self.counts)))
         while stack and self.bins > self.bound and self.steps:
-            counts, used, done, waste, untried = stack[-1]
-            option = next(untried, ())
+            node = stack[-1]
+            if node.counts is None:
+                node.counts = self.after(self.counts, node.done)
+            if node.untried is None:
+                node.untried = islice(self.options(node.counts, self.capacity * self.bins - total - node.waste), node.taken, None)
+            option = next(node.untried, ())
             if option == ():
                 stack.pop()
                 continue
+            node.taken += 1
             self.steps -= 1
             if option is None:
                 continue
             pattern, many = option
-            spent = waste + many * (self.capacity - sum(pattern))
-            if spent > (self.bins - 1) * self.capacity - total:
+            spent = node.waste + many * (self.capacity - sum(pattern))
+            if spare(spent) < 0:
                 continue  # no better packing with as many copies
-            left = dict(counts)
-            for x, n in Counter(pattern).items():
-                left[x] -= n * many
-                if not left[x]:
-                    del left[x]
-            enter(left, used + many, [*done, (pattern, many)], spent)
+            enter(_Node(node.used + many, [*node.done, option], spent, self.after(node.counts, [option])))
         return self.best
 
 

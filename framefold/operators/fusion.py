@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framefold.functions.stencils import saturated
+from framefold.functions.stencils import ELLIPSE11, saturated
 from framefold.operators.sharpness import energy
 from framefold.sources.rasters import exploded
 
-#: The 11 by 11 ellipse of the alpha erosion, as the reach to both sides in each row.
-ELLIPSE11 = (0, 3, 4, 5, 5, 5, 5, 5, 4, 3, 0)
 
 
 def winners(rasters: DataFrame, group: list[str], weight: str = "energy") -> DataFrame:

@@ -12,11 +12,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framefold.functions.stencils import DERIVE3, LAPLACE5, SMOOTH3
+from framefold.functions.stencils import DERIVE3, ELLIPSE11, LAPLACE5, SMOOTH3
 
 BANDS = 7
 
@@ -131,24 +132,54 @@ def linear_taps(t: np.ndarray) -> list[tuple[int, np.ndarray]]:
 
 
 def lanczos_taps(t: np.ndarray, a: int = 4) -> list[tuple[int, np.ndarray]]:
-    """Eight taps, normalised."""
-    weights = [(k, np.sinc(t - k) * np.sinc((t - k) / a)) for k in range(1 - a, a + 1)]
-    total = sum(v for _, v in weights)
-    return [(k, v / total) for k, v in weights]
+    """2 * a taps, normalised.  Their sines follow from those of t alone, by the sums of angles."""
+    ks = range(1 - a, a + 1)
+    whole, part, rest = np.sin(np.pi * t), np.sin(np.pi * t / a), np.cos(np.pi * t / a)
+    weights = []
+    for k in ks:
+        far = t - k
+        near = np.abs(far) < 1e-9
+        wave = (whole if k % 2 == 0 else -whole) * (part * np.cos(np.pi * k / a) - rest * np.sin(np.pi * k / a))
+        weights.append(np.where(near, 1.0, wave * a / np.where(near, 1.0, np.pi * far) ** 2))
+    total = sum(weights)
+    return [(k, v / total) for k, v in zip(ks, weights, strict=True)]
+
+
+#: Pixels that are sampled at a time: what a strip needs stays in the processor's cache.
+STRIP = 1 << 15
+#: Pixels beyond the frame that any tap reaches.
+MARGIN = 8
 
 
 def sampled(image: np.ndarray, y: np.ndarray, x: np.ndarray, taps: Callable, edge: bool = False) -> np.ndarray:
-    """The image at fractional places; outside it is 0, or the nearest edge pixel."""
-    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
-    out = np.zeros((*y.shape, *image.shape[2:]))
+    """The image at fractional places; outside it is 0, or the nearest edge pixel.
+
+    The image has a margin of what is outside, so no tap needs a test, and places are taken in strips.
+    """
     h, w = image.shape[:2]
-    for dy, wy in taps(y - y0):
-        for dx, wx in taps(x - x0):
-            yy, xx = y0 + dy, x0 + dx
-            part = image[np.clip(yy, 0, h - 1), np.clip(xx, 0, w - 1)].astype(float)
-            weight = wy * wx * (1.0 if edge else ((yy >= 0) & (yy < h) & (xx >= 0) & (xx < w)))
-            out += part * (weight[..., None] if image.ndim == 3 else weight)
-    return out
+    pad = [(MARGIN, MARGIN), (MARGIN, MARGIN)] + [(0, 0)] * (image.ndim - 2)
+    kind = np.float32 if image.dtype == np.float32 else np.float64
+    wide = np.pad(np.asarray(image, kind), pad, mode="edge" if edge else "constant")
+    line, flat = w + 2 * MARGIN, wide.reshape(-1, *image.shape[2:])
+    out = np.empty((y.size, *image.shape[2:]), kind)
+    ys, xs = y.ravel(), x.ravel()
+    for k in range(0, y.size, STRIP):
+        # Places beyond the margin see what the margin's middle sees.
+        py = np.clip(np.nan_to_num(ys[k : k + STRIP], nan=-MARGIN), -MARGIN / 2, h - 1 + MARGIN / 2)
+        px = np.clip(np.nan_to_num(xs[k : k + STRIP], nan=-MARGIN), -MARGIN / 2, w - 1 + MARGIN / 2)
+        y0, x0 = np.floor(py).astype(np.intp), np.floor(px).astype(np.intp)
+        base = (y0 + MARGIN) * line + x0 + MARGIN
+        across = [(dx, wx.astype(kind)) for dx, wx in taps(px - x0)]
+        total = 0.0
+        for dy, wy in taps(py - y0):
+            row = 0.0
+            for dx, wx in across:
+                part = flat.take(base + (dy * line + dx), axis=0)
+                row = row + part * (wx[:, None] if image.ndim == 3 else wx)
+            wy = wy.astype(kind)
+            total = total + row * (wy[:, None] if image.ndim == 3 else wy)
+        out[k : k + STRIP] = total
+    return out.reshape(*y.shape, *image.shape[2:])
 
 
 def warped(image: np.ndarray, m: np.ndarray, shape: tuple[int, int] | None = None, taps: Callable = lanczos_taps) -> np.ndarray:
@@ -187,17 +218,25 @@ def equalised(image: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarra
 
 def bilateral(image: np.ndarray, strength: float) -> np.ndarray:
     """Diameter 9, colour spread 50 * strength, space spread 10 * strength; alpha is kept."""
-    colour = image[..., :3].astype(float) if image.ndim == 3 else image.astype(float)[..., None]
-    padded, h, w = reflected(colour, 4), *colour.shape[:2]
-    total, weight = np.zeros_like(colour), np.zeros((h, w, 1))
-    for dy in range(-4, 5):
-        for dx in range(-4, 5):
-            if dy * dy + dx * dx <= 16:
-                near = padded[4 + dy : 4 + dy + h, 4 + dx : 4 + dx + w]
-                far = np.abs(near - colour).sum(axis=2, keepdims=True)
-                k = np.exp(-(dy * dy + dx * dx) / (2 * (10 * strength) ** 2) - far * far / (2 * (50 * strength) ** 2))
-                total, weight = total + k * near, weight + k
-    out = to_bytes(total / weight)
+    colour = image[..., :3] if image.ndim == 3 else image[..., None]
+    padded, h, w = reflected(colour, 4).astype(np.int16), *colour.shape[:2]
+    # Colours are bytes, so their distance is one of a few whole numbers.
+    fade = np.exp(-(np.arange(255 * colour.shape[2] + 1.0) ** 2) / (2 * (50 * strength) ** 2)).astype(np.float32)
+    out = np.empty(colour.shape, np.uint8)
+    lines = max(1, STRIP // max(w, 1))
+    for y in range(0, h, lines):
+        here = padded[4 + y : 4 + min(y + lines, h), 4 : 4 + w]
+        n = len(here)
+        total, weight = np.zeros(here.shape, np.float32), np.zeros((n, w, 1), np.float32)
+        for dy in range(-4, 5):
+            for dx in range(-4, 5):
+                if dy * dy + dx * dx <= 16:
+                    near = padded[4 + y + dy : 4 + y + dy + n, 4 + dx : 4 + dx + w]
+                    far = np.abs(near - here).sum(axis=2, dtype=np.int32)
+                    k = (fade.take(far) * np.float32(np.exp(-(dy * dy + dx * dx) / (2 * (10 * strength) ** 2))))[..., None]
+                    total += k * near
+                    weight += k
+        out[y : y + n] = to_bytes(total / weight)
     return np.dstack([out, image[..., 3:]]) if image.ndim == 3 else out[..., 0]
 
 
@@ -209,6 +248,18 @@ def sharpened(image: np.ndarray, strength: float) -> np.ndarray:
     return to_bytes(real + strength * (real - gaussian(real, 3 * strength)))
 
 
+def eroded(mask: np.ndarray, reach: tuple[int, ...]) -> np.ndarray:
+    """The least value under a structuring element, of rows that reach so far; beyond the border nothing counts."""
+    half, (h, w) = len(reach) // 2, mask.shape
+    out = np.full((h, w), 255, np.uint8)
+    for k, r in enumerate(reach):
+        wide = np.pad(mask, ((0, 0), (r, r)), constant_values=255)
+        least = np.lib.stride_tricks.sliding_window_view(wide, 2 * r + 1, axis=1).min(axis=2) if r else mask
+        dy = k - half
+        np.minimum(out[max(0, -dy) : h - max(0, dy)], least[max(0, dy) : h - max(0, -dy)], out=out[max(0, -dy) : h - max(0, dy)])
+    return out
+
+
 def to_bytes(image: np.ndarray) -> np.ndarray:
     """Rounded half to even, and saturated."""
     return np.clip(np.rint(image), 0, 255).astype(np.uint8)
@@ -219,12 +270,20 @@ def unpacked(data: bytes, h: int, w: int, c: int) -> np.ndarray:
     return flat[..., 0] if c == 1 else flat
 
 
+def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches one by one if they are large, and some at a time if they are small (a million bytes or so)."""
+    for batch in batches:
+        rows = max(1, (1 << 20) * batch.num_rows // max(batch.nbytes, 1))
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def mapped(rasters: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """A kernel on each packed raster (keys..., h, w, c, data); what else a row has stays."""
     schema = rasters.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in single(batches):
             rows = batch.to_pylist()
             for r in rows:
                 out = kernel(unpacked(r["data"], r["h"], r["w"], r["c"]))
@@ -262,9 +321,9 @@ class Stack:
             self.alpha = alpha if self.alpha is None else np.where((self.alpha > 0) & (alpha > 0), 255, 0).astype(np.uint8)
 
     def result(self) -> np.ndarray:
-        """The collapsed pyramid in bytes, with the alpha if there is one."""
+        """The collapsed pyramid in bytes, with the alpha, five pixels narrower, if there is one."""
         out = to_bytes(collapsed(self.bands))
-        return out if self.alpha is None else np.dstack([out, self.alpha])
+        return out if self.alpha is None else np.dstack([out, eroded(self.alpha, ELLIPSE11)])
 
 
 def fused_once(rasters: DataFrame, group: list[str], compat: bool = True) -> DataFrame:
@@ -291,19 +350,25 @@ def fused_once(rasters: DataFrame, group: list[str], compat: bool = True) -> Dat
 def stacked(rasters: DataFrame, group: list[str], size: int = 12, overlap: int = 2, compat: bool = True) -> DataFrame:
     """(group..., ord, h, w, c, data): chunks of `size` frames that overlap are fused, then what they give, until each group is one raster.
 
-    ord is the order in which frames are taken (the last frame first).  A group in one task is a chunk, so
+    ord counts a group's frames from 0 in the order in which they are taken (the last frame first).  A group in one task is a chunk, so
     `size` rasters at most; the number of rounds is the logarithm of the longest stack.
     """
-    from framefold.operators.catalog import overlapping
-
+    if size <= overlap:
+        raise ValueError("a chunk must be larger than the overlap")
+    step = size - overlap
     rows = rasters.select(*group, "ord", "h", "w", "c", "data")
-    longest = rows.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    # Counts alone, without a pixel: how many rounds there are, and where each group's last chunk begins.
+    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    longest = counts.agg(F.max("_n")).first()[0] or 0
     while longest > 1:
         if longest <= size:
             return fused_once(rows, group, compat)
-        chunks = overlapping(rows, group, ["ord"], size, overlap)
-        rows = fused_once(chunks, [*group, "chunk"], compat).withColumn("ord", F.col("chunk").cast("long")).drop("chunk")
-        longest = 1 + -(-(longest - size) // (size - overlap))
+        lowest, last = f"greatest(0L, bigint(ceil((ord - {size - 1}) / {step}D)))", f"greatest(0L, bigint(ceil((_n - {size}) / {step}D)))"
+        dealt = rows.join(counts, group).withColumn("chunk", F.explode(F.expr(f"sequence({lowest}, least({last}, ord div {step}))"))).drop("_n")
+        # Each round is kept, as the next would make it again for every chunk that overlaps.
+        rows = fused_once(dealt, [*group, "chunk"], compat).withColumn("ord", F.col("chunk").cast("long")).drop("chunk").persist(StorageLevel.DISK_ONLY)
+        counts = counts.withColumn("_n", F.expr(f"{last} + 1"))
+        longest = 1 + -(-(longest - size) // step)
     return rows
 
 
@@ -336,7 +401,7 @@ def _per_raster(rasters: DataFrame, kernel: Callable[[np.ndarray], tuple], colum
     kinds = [{"double": pa.float64(), "long": pa.int64()}[t] for t in columns.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in single(batches):
             made = [kernel(unpacked(r["data"], r["h"], r["w"], r["c"])) for r in batch.select(["h", "w", "c", "data"]).to_pylist()]
             found = [pa.array([m[i] for m in made], t) for i, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keys], *found], names=[*[f.name for f in keys], *columns])

@@ -18,15 +18,15 @@ def sorting(order: list[str]) -> list[Column]:
 def numbered(rows: DataFrame, group: list[str], order: list[str], place: str = "place", total: str | None = None, parts: int = PARTS) -> DataFrame:
     """rows plus their place in the group's order, from 0, and the group's size (total).
 
-    The first column of the order, a number, is cut at its approximate quantiles over the whole table, which
-    become constants of the plan.  Rows are numbered in their part of their group; a part starts where the
+    The first column of the order, a number, is cut at its approximate quantiles over the whole table, one row that is
+    broadcast.  Rows are numbered in their part of their group; a part starts where the
     parts before it end.  So a group that holds most rows is spread over as many tasks as there are parts.
     """
     lead, falling = order[0].removeprefix("-"), order[0].startswith("-")
     shares = [k / parts for k in range(1, parts)]
-    cuts = sorted(set(rows.agg(F.percentile_approx(F.col(lead), shares, 10 * parts)).first()[0] or []))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(lead))) if cuts else F.lit(0)
-    cut = rows.withColumn("_part", -part if falling else part)
+    cuts = rows.agg(F.array_distinct(F.percentile_approx(F.col(lead), shares, 10 * parts)).alias("_cuts"))  # one row
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(lead))), F.lit(0))
+    cut = rows.crossJoin(F.broadcast(cuts)).withColumn("_part", -part if falling else part).drop("_cuts")
     within = F.row_number().over(W.partitionBy(*group, "_part").orderBy(*sorting(order))) - 1
     by = W.partitionBy(*group)
     sizes = cut.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_size"))  # `parts` rows a group at most

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ def sharp_frames(frames: DataFrame, settings: Settings = Settings(), cached: Dat
     else:
         todo = slim.join(cached.select("stack", "img"), ["stack", "img"], "left_anti")
         found = scores(todo, settings).select("stack", "img", "score").unionByName(cached.select("stack", "img", "score"))
+    # Quartiles, places and the filter read the scores; pixels are scored once.
+    found = found.persist(StorageLevel.MEMORY_AND_DISK)
     return sharpness.without_outliers(found, ["stack"], settings.sharpness_threshold, settings.iqr_multiplier).select("stack", "img", "score")
 
 
@@ -60,15 +63,15 @@ def warped(frames: DataFrame, chains: DataFrame) -> DataFrame:
     schema = frames.select("stack", "img", "h", "w", "c", "data").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.single(batches):
             out = []
             for r in batch.to_pylist():
                 image = kernels.unpacked(r["data"], r["h"], r["w"], r["c"])
                 colour = np.repeat(image[..., None], 3, axis=2) if image.ndim == 2 else image[..., :3]
                 own = image[..., 3] if image.ndim == 3 and image.shape[2] == 4 else np.full(image.shape[:2], 255, np.uint8)
                 m = np.array([r[c] for c in transforms.M]).reshape(2, 3)
-                nearest = kernels.warped(own.astype(float), m, taps=lambda t: [(0, (t < 0.5) * 1.0), (1, (t >= 0.5) * 1.0)])
-                done = np.dstack([kernels.to_bytes(kernels.warped(colour.astype(float), m)), kernels.to_bytes(nearest)])
+                nearest = kernels.warped(own.astype(np.float32), m, taps=lambda t: [(0, (t < 0.5) * 1.0), (1, (t >= 0.5) * 1.0)])
+                done = np.dstack([kernels.to_bytes(kernels.warped(colour.astype(np.float32), m)), kernels.to_bytes(nearest)])
                 out.append({k: r[k] for k in ("stack", "img", "h", "w")} | {"c": 4, "data": done.tobytes()})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([batch.schema.field(n) for n in ("stack", "img", "h", "w", "c", "data")]))
 
@@ -83,7 +86,7 @@ def common_area(aligned: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.single(batches):
             out = []
             for r in batch.to_pylist():
                 alpha = np.frombuffer(r["data"], np.uint8).reshape(r["h"], r["w"], 4)[..., 3] > 0

@@ -459,18 +459,18 @@ def wta_alpha_weighted(spark: SparkSession, d: str) -> DataFrame:
     return fusion.winners(rows, ["stack"]).select("stack", F.col("y").cast("long"), F.col("x").cast("long"), "p", "img")
 
 
-@query("alpha_and", f"WITH {_PXA} SELECT stack, y, x, CASE WHEN min(a) > 0 THEN 255 ELSE 0 END AS alpha FROM pxa WHERE img % 9 = 0 GROUP BY stack, y, x")
+@query("alpha_and", f"WITH {_PXA} SELECT stack, y, x, CASE WHEN min(a) > 0 THEN 255 ELSE 0 END AS alpha FROM pxa GROUP BY stack, y, x")
 def alpha_and(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.frames_with_alpha(spark, d).filter("img % 9 = 0")
+    rows = views.frames_with_alpha(spark, d)
     return fusion.alpha_and(rows, ["stack"]).select("stack", F.col("y").cast("long"), F.col("x").cast("long"), "alpha")
 
 
 _REACH = ", ".join(f"({i - 5}, {r})" for i, r in enumerate(fusion.ELLIPSE11))
 
 
-@query("alpha_erode", f"WITH {_PXA}, r(dy, reach) AS (VALUES {_REACH}) SELECT c.img, c.y, c.x, min(n.a) AS eroded FROM pxa c JOIN pxa n ON n.img = c.img JOIN r ON n.y - c.y = r.dy AND abs(n.x - c.x) <= r.reach WHERE c.img % 5 = 0 GROUP BY c.img, c.y, c.x")
+@query("alpha_erode", f"WITH {_PXA}, r(dy, reach) AS (VALUES {_REACH}) SELECT c.img, c.y, c.x, min(n.a) AS eroded FROM pxa c JOIN pxa n ON n.img = c.img JOIN r ON n.y - c.y = r.dy AND abs(n.x - c.x) <= r.reach GROUP BY c.img, c.y, c.x")
 def alpha_erode(spark: SparkSession, d: str) -> DataFrame:
-    rows = fusion.eroded(views.frames_with_alpha(spark, d).filter("img % 5 = 0")).select("img", "w", "eroded")
+    rows = fusion.eroded(views.frames_with_alpha(spark, d)).select("img", "w", "eroded")
     return exploded(rows, "eroded").select("img", F.col("y").cast("long"), F.col("x").cast("long"), "eroded")
 
 
@@ -511,7 +511,12 @@ def color_correct(spark: SparkSession, d: str) -> DataFrame:
     return pixels.select("img", "y", "x", b.alias("b"), g.alias("g"), r.alias("r"))
 
 
-@query("mask_warp_nearest", f"WITH {_PXA}, s AS (SELECT img, y, x, CAST(floor(x - 1.5 + 0.5) AS BIGINT) AS sx, CAST(floor(y + 2.25 + 0.5) AS BIGINT) AS sy FROM pxa) SELECT s.img, s.y, s.x, coalesce(n.a, 0) AS warped FROM s LEFT JOIN pxa n ON n.img = s.img AND n.y = s.sy AND n.x = s.sx")
+@query(
+    "mask_warp_nearest",
+    f"""WITH {_PXA}, whole AS MATERIALIZED (SELECT img, list(CAST(a AS INTEGER) ORDER BY y, x) AS m FROM pxa GROUP BY img), places(y, x) AS (SELECT i // 8, i % 8 FROM range(64) t(i)),
+  s AS (SELECT img, m, y, x, CAST(floor(x - 1.5 + 0.5) AS BIGINT) AS sx, CAST(floor(y + 2.25 + 0.5) AS BIGINT) AS sy FROM whole, places)
+  SELECT img, y, x, CASE WHEN sx BETWEEN 0 AND 7 AND sy BETWEEN 0 AND 7 THEN m[sy * 8 + sx + 1] ELSE 0 END AS warped FROM s""",
+)
 def mask_warp_nearest(spark: SparkSession, d: str) -> DataFrame:
     moved = views.frames_with_alpha(spark, d).selectExpr("*", "1D m00", "0D m01", "1.5D m02", "0D m10", "1D m11", "-2.25D m12")
     return exploded(fusion.warped_nearest(moved).select("img", "w", "warped"), "warped").select("img", F.col("y").cast("long"), F.col("x").cast("long"), "warped")

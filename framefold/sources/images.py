@@ -31,31 +31,43 @@ def chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
 
 
 def unfiltered(raw: bytes, h: int, line: int, step: int) -> np.ndarray:
-    """The scan lines without their filters; `step` bytes make a pixel."""
+    """The scan lines without their filters; `step` bytes make a pixel.
+
+    Lines up to one that averages or guesses go one by one.  From there on pixels are taken along diagonals: those of
+    one diagonal need only what the two before it hold, so each is one step over all lines.
+    """
     rows = np.frombuffer(raw, np.uint8, h * (line + 1)).reshape(h, line + 1)
+    kinds = rows[:, 0]
+    if (kinds > 4).any():
+        raise ValueError(f"filter {kinds.max()} is unknown")
     out = np.zeros((h + 1, line), np.uint8)
-    for y in range(h):
-        kind, row, above, here = rows[y, 0], rows[y, 1:], out[y], out[y + 1]
-        if kind == 0:
+    slow = np.flatnonzero(kinds >= 3)
+    first = int(slow[0]) if len(slow) else h
+    for y in range(first):
+        row, above, here = rows[y, 1:], out[y], out[y + 1]
+        if kinds[y] == 0:
             here[:] = row
-        elif kind == 2:
+        elif kinds[y] == 2:
             here[:] = row + above
-        elif kind == 1:
+        else:
             for k in range(step):
                 here[k::step] = np.cumsum(row[k::step], dtype=np.uint64).astype(np.uint8)
-        elif kind in (3, 4):
-            left, corner = [0] * step, [0] * step
-            for x in range(line):
-                a, b, c = left[x % step], int(above[x]), corner[x % step]
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    pa_, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    guess = a if pa_ <= pb and pa_ <= pc else b if pb <= pc else c
-                here[x] = v = (int(row[x]) + guess) & 255
-                left[x % step], corner[x % step] = v, b
-        else:
-            raise ValueError(f"filter {kind} is unknown")
+    if first < h:
+        n, w = h - first, line // step
+        given = rows[first:, 1:].reshape(n, w, step).astype(np.int16)
+        held = np.zeros((n + 1, w + 1, step), np.int16)  # with a pixel of zeros before each line
+        held[0, 1:] = out[first].reshape(w, step)
+        kind = kinds[first:, None]
+        for s in range(n + w - 1):
+            y = np.arange(max(0, s - w + 1), min(n, s + 1))
+            x = s - y
+            left, up, corner, k = held[y + 1, x], held[y, x + 1], held[y, x], kind[y]
+            from_left, from_up = np.abs(up - corner), np.abs(left - corner)
+            from_corner = np.abs(left + up - 2 * corner)
+            nearest = np.where((from_left <= from_up) & (from_left <= from_corner), left, np.where(from_up <= from_corner, up, corner))
+            guess = np.where(k == 4, nearest, np.where(k == 3, (left + up) >> 1, np.where(k == 2, up, np.where(k == 1, left, 0))))
+            held[y + 1, x + 1] = (given[y, x] + guess) & 255
+        out[first + 1 :] = held[1:, 1:].reshape(n, line)
     return out[1:]
 
 
@@ -151,9 +163,9 @@ def as_png(rasters: DataFrame, level: int = 3) -> DataFrame:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys) + ", content binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from framefold.operators.kernels import unpacked
+        from framefold.operators.kernels import single, unpacked
 
-        for batch in batches:
+        for batch in single(batches):
             made = [encoded(unpacked(r["data"], r["h"], r["w"], r["c"]), level) for r in batch.select(["h", "w", "c", "data"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keys], pa.array(made, pa.binary())], names=[*[f.name for f in keys], "content"])
 

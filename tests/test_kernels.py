@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from framefold.functions.stencils import ELLIPSE11
 from framefold.operators import estimation, kernels
 from framefold.plans import previews
 from framefold.sources import images
@@ -85,8 +86,53 @@ def test_alpha_is_opaque_where_all_are():
     stack = kernels.Stack()
     stack.add(a)
     stack.add(b)
-    alpha = stack.result()[..., 3]
-    assert alpha[0, 0] == alpha[3, 3] == 0 and (alpha == 255).sum() == 62
+    assert stack.alpha[0, 0] == stack.alpha[3, 3] == 0 and (stack.alpha == 255).sum() == 62
+    # The result's alpha is eroded by an ellipse of 11 by 11.
+    reach = [(y - 5, x) for y, r in enumerate(ELLIPSE11) for x in range(-r, r + 1)]
+    told = [[min(stack.alpha[y + dy, x + dx] for dy, dx in reach if 0 <= y + dy < 8 and 0 <= x + dx < 8) for x in range(8)] for y in range(8)]
+    assert stack.result()[..., 3].tolist() == told
+    wide = np.full((40, 40), 255, np.uint8)
+    wide[20, 20] = 0
+    assert (kernels.eroded(wide, ELLIPSE11) == 0).sum() == len(reach)
+
+
+def test_sampling_against_brute_force():
+    """Every tap of every place, outside 0 or the edge."""
+    image = picture(7, 9).astype(float)
+    y, x = RNG.uniform(-9, 15, (6, 5)), RNG.uniform(-9, 17, (6, 5))
+    for taps in (kernels.linear_taps, kernels.lanczos_taps):
+        for edge in (False, True):
+            told = np.zeros((6, 5))
+            for i in range(6):
+                for j in range(5):
+                    cy, cx = np.clip(y[i, j], -4, 10), np.clip(x[i, j], -4, 12)
+                    for dy, wy in taps(np.array([cy - np.floor(cy)])):
+                        for dx, wx in taps(np.array([cx - np.floor(cx)])):
+                            yy, xx = int(np.floor(cy)) + dy, int(np.floor(cx)) + dx
+                            if edge or 0 <= yy < 7 and 0 <= xx < 9:
+                                told[i, j] += wy[0] * wx[0] * image[min(max(yy, 0), 6), min(max(xx, 0), 8)]
+            assert np.allclose(kernels.sampled(image, y, x, taps, edge), told)
+    t = np.array([0.0, 1e-12, 0.3, 0.5, 0.999999])
+    plain = np.array([np.sinc(t - k) * np.sinc((t - k) / 4) for k in range(-3, 5)])
+    assert np.allclose([w for _, w in kernels.lanczos_taps(t)], plain / plain.sum(axis=0), atol=1e-6)
+
+
+def test_bilateral_against_brute_force():
+    image = picture(6, 7, 3)
+    padded = kernels.reflected(image.astype(float), 4)
+    told = np.zeros((6, 7, 3))
+    for y in range(6):
+        for x in range(7):
+            total = weight = 0.0
+            for dy in range(-4, 5):
+                for dx in range(-4, 5):
+                    if dy * dy + dx * dx <= 16:
+                        near = padded[4 + y + dy, 4 + x + dx]
+                        far = np.abs(near - image[y, x]).sum()
+                        k = np.exp(-(dy * dy + dx * dx) / (2 * 10**2) - far**2 / (2 * 50**2))
+                        total, weight = total + k * near, weight + k
+            told[y, x] = total / weight
+    assert np.abs(kernels.bilateral(image, 1.0) - told).max() <= 0.501
 
 
 @pytest.mark.parametrize("model", ["similarity", "affine", "homography"])
@@ -162,5 +208,18 @@ def test_png_depths_and_filters():
     assert images.decoded(made_png(2, 1, 8, 3, b"\0\0\1", [(b"PLTE", bytes([1, 2, 3, 4, 5, 6]))])).tolist() == [[[3, 2, 1], [6, 5, 4]]]
     assert images.decoded(made_png(3, 2, 8, 0, b"\1\1\1\1\2\1\1\1")).tolist() == [[1, 2, 3], [2, 3, 4]]
     assert images.decoded(made_png(2, 2, 8, 0, b"\3\2\2\4\1\1")).tolist() == [[2, 3], [3, 4]]
+    lines = [[(k, [RNG.integers(0, 256) for _ in range(12)]) for k in RNG.integers(0, 5, 9)] for _ in range(20)]
+    for rows in lines:
+        got = images.unfiltered(b"".join(bytes([k, *r]) for k, r in rows), 9, 12, 3)
+        above, told = [0] * 12, []
+        for k, r in rows:
+            here = []
+            for i, v in enumerate(r):
+                a, b, c = here[i - 3] if i > 2 else 0, above[i], above[i - 3] if i > 2 else 0
+                near = min((abs(a + b - c - q), n, q) for n, q in enumerate((a, b, c)))[2]
+                here.append((int(v) + [0, a, b, (a + b) // 2, near][k]) % 256)
+            told.append(here)
+            above = here
+        assert got.tolist() == told
     with pytest.raises(ValueError):
         images.decoded(b"nothing")

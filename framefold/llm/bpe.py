@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from framefold.llm.common import sliced
 
 #: Bytes that are merged directly: a leaf of the tree; and from how many on a window is merged by a heap.
-LEAF, HEAP = 4, 192
+LEAF, HEAP = 8, 192
+#: Tokens that decoding joins at once, a leaf of its tree.
+LEAVES = 32
 #: Distinct matches that a worker remembers, and the longest of them in characters; bounds its memory.
 REMEMBERED, LONGEST = 400_000, 64
 _NONE = sys.maxsize
@@ -124,10 +126,15 @@ class Ranks:
         return self.joined(self.encoded(data[:half]), self.encoded(data[half:]))
 
     def decoded(self, ids: list[int]) -> bytes:
-        if len(ids) <= LEAF:
-            return b"".join([self.tokens[i] for i in ids])
-        half = len(ids) // 2
-        return self.decoded(ids[:half]) + self.decoded(ids[half:])
+        return concatenated(list(map(self.tokens.__getitem__, ids)))
+
+
+def concatenated(tokens: list[bytes]) -> bytes:
+    """Tokens' bytes up the tree: runs of LEAVES first, then neighbours, level by level."""
+    parts = [b"".join(tokens[i : i + LEAVES]) for i in range(0, len(tokens), LEAVES)]
+    while len(parts) > 1:
+        parts = [b"".join(parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    return parts[0] if parts else b""
 
 
 @lru_cache(maxsize=4)
@@ -157,8 +164,9 @@ def splitter(pattern: str) -> regex.Pattern:
 
 
 @lru_cache(maxsize=4)
-def _decimal(path: str) -> Matches:
-    return Matches(loaded(path), lambda ids: " ".join(map(str, ids)))
+def _decimal(path: str) -> tuple[Matches, dict[str, bytes]]:
+    ranks = loaded(path)
+    return Matches(ranks, lambda ids: " ".join(map(str, ids))), {str(i): t for i, t in ranks.tokens.items()}
 
 
 @lru_cache(maxsize=4)
@@ -198,7 +206,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes each text and decodes the ids, up the tree, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matches, decode = _decimal(path), loaded(path).decoded
+        matches, tokens = _decimal(path)
         find = splitter(pattern).findall
         for batch in sliced(batches):
             counts, ids_sha, text_sha = [], [], []
@@ -207,7 +215,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 each = ids.split()
                 counts.append(len(each))
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(decode(list(map(int, each)))).hexdigest())
+                text_sha.append(hashlib.sha256(concatenated(list(map(tokens.__getitem__, each)))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

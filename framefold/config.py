@@ -83,3 +83,8 @@ def odd_kernel(size: int) -> int:
 
 def slider_epsilon(exponent: float) -> float:
     return 10.0**exponent
+
+
+def image_megabytes(width: int, height: int, channels: int) -> float:
+    """What a picture takes in memory, with half as much again for what is made of it."""
+    return width * height * channels / 2**20 * 1.5

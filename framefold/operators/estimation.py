@@ -7,13 +7,15 @@ none grows with the collection.  Random choices are seeded by the pair, so resul
 from __future__ import annotations
 
 from collections.abc import Iterator
+from time import monotonic
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from framefold.operators.kernels import filtered, gaussian, grey, linear_taps, sampled, unpacked
+from framefold.operators.kernels import area_resized, equalised, filtered, gaussian, grey, linear_taps, sampled, single, unpacked
 
 MODELS = {"similarity": 2, "affine": 3, "homography": 4}
 MOTIONS = {"translation": 2, "euclidean": 3, "affine": 6, "homography": 8}
@@ -72,6 +74,35 @@ def _best_similarity(a: np.ndarray, b: np.ndarray, threshold: float, rounds: int
     return best, inside
 
 
+#: Trials of a robust fit that are solved at once.
+TRIALS = 128
+
+
+def _trials(model: str, a: np.ndarray, b: np.ndarray, pick: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The exact transform through each pick of points, with the points that it brings near; singular picks are left out."""
+    p, q = a[pick], b[pick]
+    x, y, u, v = p[..., 0], p[..., 1], q[..., 0], q[..., 1]
+    one, zero = np.ones_like(x), np.zeros_like(x)
+    if model == "homography":
+        system = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y], 2), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y], 2)], 1)
+    else:
+        system = np.concatenate([np.stack([x, y, one, zero, zero, zero], 2), np.stack([zero, zero, zero, x, y, one], 2)], 1)
+    # Rows are brought to one scale, so that the determinant tells what is singular.
+    scale = np.abs(system).max(axis=2, keepdims=True)
+    ok = np.abs(np.linalg.det(system / scale)) > 1e-12
+    if not ok.any():
+        return
+    told = np.concatenate([u, v], 1)[ok]
+    found = np.linalg.solve(system[ok], told[..., None])[..., 0]
+    full = np.concatenate([found, np.tile([1.0] if model == "homography" else [0.0, 0.0, 1.0], (len(found), 1))], 1).reshape(-1, 3, 3)
+    out = np.c_[a, np.ones(len(a))] @ full.transpose(0, 2, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = np.linalg.norm(out[..., :2] / out[..., 2:] - b, axis=2)
+    near = np.nan_to_num(far, nan=np.inf) <= threshold
+    for k in np.argsort(-near.sum(axis=1), kind="stable")[:1]:
+        yield full[k], near[k]
+
+
 def ransac(model: str, a: np.ndarray, b: np.ndarray, threshold: float, rounds: int, confidence: float, seed: int) -> tuple[np.ndarray | None, np.ndarray]:
     """The transform with the most points within `threshold`, refined on those; None below four points."""
     need, inside = MODELS[model], np.zeros(len(a), bool)
@@ -81,16 +112,15 @@ def ransac(model: str, a: np.ndarray, b: np.ndarray, threshold: float, rounds: i
     if model == "similarity":
         best, inside = _best_similarity(a, b, threshold, rounds, rng)
     while k < limit and model != "similarity":
-        k += 1
-        pick = rng.choice(len(a), need, replace=False)
-        m = solved(model, a[pick], b[pick])
-        if m is None:
-            continue
-        near = np.nan_to_num(np.linalg.norm(moved(m, a) - b, axis=1), nan=np.inf) <= threshold
-        if near.sum() > inside.sum():
-            best, inside = m, near
-            share = min(max(near.mean() ** need, 1e-12), 1 - 1e-12)
-            limit = min(rounds, int(np.ceil(np.log(1 - confidence) / np.log(1 - share))) + 1)
+        # Some trials at a time: their places are drawn, solved and counted together.
+        n = min(TRIALS, limit - k)
+        k += n
+        pick = rng.random((n, len(a))).argpartition(need - 1, axis=1)[:, :need]
+        for m, near in _trials(model, a, b, pick, threshold):
+            if near.sum() > inside.sum():
+                best, inside = m, near
+        share = min(max(inside.mean() ** need, 1e-12), 1 - 1e-12)
+        limit = min(limit, max(k, int(np.ceil(np.log(1 - confidence) / np.log(1 - share))) + 1))
     for _ in range(10):
         refined = solved(model, a[inside], b[inside]) if inside.sum() >= need else None
         if refined is None:
@@ -108,17 +138,30 @@ def fitted(points: DataFrame, key: list[str], model: str = "similarity", thresho
     """(key..., found, inliers, m00 .. m12) from matched points (key..., qx, qy, tx, ty), from query to train."""
     names = ["m00", "m01", "m02", "m10", "m11", "m12"]
     kinds = points.select(*key).schema
+    points_of = ["qx", "qy", "tx", "ty"]
 
-    def run(table: pa.Table) -> pa.Table:
-        a, b = (np.stack([table[c].to_numpy() for c in cs], 1).astype(float) for cs in (("qx", "qy"), ("tx", "ty")))
-        order = np.lexsort((*b.T, *a.T))  # the shuffle's order must not matter
-        own = [table[k][0].as_py() for k in key]
-        m, inside = ransac(model, a[order], b[order], threshold, rounds, confidence, crc32(repr(own).encode()))
-        values = (np.eye(3) if m is None else m)[:2].ravel()
-        return pa.table([pa.array([v], table[k].type) for k, v in zip(key, own, strict=True)] + [pa.array([m is not None]), pa.array([int(inside.sum())], pa.int64())] + [pa.array([float(v)]) for v in values], names=[*key, "found", "inliers", *names])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.select(key).to_pylist()
+            offsets, flat = batch.column("points").offsets.to_numpy(), batch.column("points").flatten()
+            values = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in points_of], 1).astype(float)
+            found, inliers, ms = [], [], []
+            first = offsets[0]
+            for k, row in enumerate(own):
+                part = values[offsets[k] - first : offsets[k + 1] - first]
+                a, b = part[:, :2], part[:, 2:]
+                order = np.lexsort((*b.T, *a.T))  # the shuffle's order must not matter
+                m, inside = ransac(model, a[order], b[order], threshold, rounds, confidence, crc32(repr(list(row.values())).encode()))
+                found.append(m is not None)
+                inliers.append(int(inside.sum()))
+                ms.append((np.eye(3) if m is None else m)[:2].ravel())
+            columns = np.array(ms).reshape(-1, 6).T
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in key], pa.array(found, pa.bool_()), pa.array(inliers, pa.int64()), *[pa.array(c) for c in columns]], names=[*key, "found", "inliers", *names])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds.fields) + ", found boolean, inliers long, " + ", ".join(f"{n} double" for n in names)
-    return points.groupBy(*key).applyInArrow(lambda table: run(table), schema)
+    # The matches of a pair are bounded by its keypoints, so a pair is a row, and many pairs come to a worker at a time.
+    pairs = points.groupBy(*key).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in points_of])).alias("points"))
+    return pairs.mapInArrow(run, schema)
 
 
 def _warp(motion: str, p: np.ndarray) -> np.ndarray:
@@ -148,10 +191,12 @@ def _jacobian(motion: str, p: np.ndarray, gx: np.ndarray, gy: np.ndarray, x: np.
     return np.stack([gx * x, gx * y, gx, gy * x, gy * y, gy, -(gx * u + gy * v) * x, -(gx * u + gy * v) * y], 1)
 
 
-def ecc(reference: np.ndarray, image: np.ndarray, motion: str = "translation", rounds: int = 100, epsilon: float = 1e-6, blur: int = 5, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+def ecc(reference: np.ndarray, image: np.ndarray, motion: str = "translation", rounds: int = 100, epsilon: float = 1e-6, blur: int = 5, start: np.ndarray | None = None, seconds: float | None = None) -> tuple[np.ndarray, float]:
     """The warp from reference places to image places that maximises the enhanced correlation coefficient
-    (Evangelidis and Psarakis, 2008, forward additive), and the coefficient.  NaN where it doesn't converge.
+    (Evangelidis and Psarakis, 2008, forward additive), and the coefficient.  NaN where it doesn't converge, or not in
+    so many seconds.
     """
+    began = monotonic()
     ref, img = (gaussian(i.astype(float), 0, blur) for i in (reference, image))
     h, w = ref.shape
     yy, xx = (v.ravel() for v in np.mgrid[:h, :w].astype(float))
@@ -161,6 +206,8 @@ def ecc(reference: np.ndarray, image: np.ndarray, motion: str = "translation", r
     rho = float("nan")
     for _ in range(rounds):
         m = _warp(motion, p)
+        if seconds is not None and monotonic() - began > seconds:
+            return m, float("nan")
         z = m[2, 0] * xx + m[2, 1] * yy + 1
         u, v = (m[0, 0] * xx + m[0, 1] * yy + m[0, 2]) / z, (m[1, 0] * xx + m[1, 1] * yy + m[1, 2]) / z
         ok = (u >= 0) & (u <= w - 1) & (v >= 0) & (v <= h - 1)
@@ -197,7 +244,7 @@ def aligned(pairs: DataFrame, key: list[str], motion: str = "translation") -> Da
     kinds = pairs.select(*key).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in single(batches):
             out = []
             for r in batch.to_pylist():
                 image, ref = (grey(unpacked(r[c], r["h"], r["w"], r["c"]).astype(float)) for c in ("data", "ref"))
@@ -210,11 +257,11 @@ def aligned(pairs: DataFrame, key: list[str], motion: str = "translation") -> Da
     return pairs.mapInArrow(run, schema)
 
 
-def fallbacks(ref: np.ndarray, image: np.ndarray, motion: str, rounds: int, epsilon: float, limits: tuple[float, float, float], most: int = 500) -> list[tuple[str, np.ndarray | None]]:
+def fallbacks(ref: np.ndarray, image: np.ndarray, motion: str, rounds: int, epsilon: float, limits: tuple[float, float, float], most: int = 500, blur: int = 3, seconds: float | None = None) -> list[tuple[str, np.ndarray | None]]:
     """Candidates in order: correlation from a start that features give, the features alone, the identity.
 
     Each is None where it isn't found or isn't valid (limits: scale, shift, determinant).  With a start, the
-    correlation gets half of the rounds.
+    correlation gets half of the rounds; one that isn't done in so many seconds counts as not found.
     """
     (qa, _, qc), (ta, _, tc) = corners(ref, most), corners(image, most)
     start = rough = None
@@ -229,7 +276,7 @@ def fallbacks(ref: np.ndarray, image: np.ndarray, motion: str, rounds: int, epsi
             rough, _ = ransac(model, qa[order].astype(float), ta[near[order]].astype(float), 3.0, 2000, 0.995, len(order))
     if rough is not None:
         start = _parameters(motion, rough)
-    fine, rho = ecc(ref, image, motion, rounds // 2 if start is not None else rounds, epsilon, 3, start)
+    fine, rho = ecc(ref, image, motion, rounds // 2 if start is not None else rounds, epsilon, blur, start, seconds)
     ok = lambda m: m if m is not None and np.isfinite(m).all() and _valid(m, *limits) else None
     return [("correlation", ok(fine if np.isfinite(rho) else None)), ("features", ok(rough)), ("identity", np.eye(3))]
 
@@ -250,17 +297,26 @@ def _parameters(motion: str, m: np.ndarray) -> np.ndarray:
     return flat[:6] if motion == "affine" else flat[:8]
 
 
-def registered(pairs: DataFrame, key: list[str], motion: str = "euclidean", rounds: int = 200, epsilon: float = 1e-6, limits: tuple[float, float, float] = (1.5, 500.0, 2.5)) -> DataFrame:
-    """(key..., way, m00 .. m12) of rows (key..., h, w, c, data, ref): the first way of the ladder that is valid."""
+def registered(pairs: DataFrame, key: list[str], motion: str = "euclidean", rounds: int = 200, epsilon: float = 1e-6, limits: tuple[float, float, float] = (1.5, 500.0, 2.5), blur: int = 3, seconds: float | None = None, clahe: bool = False, scale: float = 1.0) -> DataFrame:
+    """(key..., way, m00 .. m12) of rows (key..., h, w, c, data, ref): the first way of the ladder that is valid.
+
+    With clahe the contrast of both is equalised first, and both are made smaller by scale; the transform is that of the
+    whole size.
+    """
     names = ["m00", "m01", "m02", "m10", "m11", "m12"]
     kinds = pairs.select(*key).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in single(batches):
             out = []
             for r in batch.to_pylist():
-                image, ref = (grey(unpacked(r[c], r["h"], r["w"], r["c"]).astype(float)) for c in ("data", "ref"))
-                way, m = next((w, m) for w, m in fallbacks(ref, image, motion, rounds, epsilon, limits) if m is not None)
+                image, ref = (prepared(unpacked(r[c], r["h"], r["w"], r["c"]), clahe, scale) for c in ("data", "ref"))
+                inner = (limits[0], limits[1] * scale, limits[2])
+                way, m = next((w, m) for w, m in fallbacks(ref, image, motion, rounds, epsilon, inner, blur=blur, seconds=seconds) if m is not None)
+                if scale != 1.0:
+                    whole = np.diag([image.shape[1] / r["w"], image.shape[0] / r["h"], 1.0])
+                    m = np.linalg.inv(whole) @ m @ whole
+                    m = m / m[2, 2]
                 out.append({k: r[k] for k in key} | {"way": way} | dict(zip(names, m[:2].ravel().tolist(), strict=True)))
             fields = [batch.schema.field(k) for k in key] + [pa.field("way", pa.string())] + [pa.field(n, pa.float64()) for n in names]
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema(fields))
@@ -269,6 +325,15 @@ def registered(pairs: DataFrame, key: list[str], motion: str = "euclidean", roun
     return pairs.mapInArrow(run, schema)
 
 
+def prepared(image: np.ndarray, clahe: bool = False, scale: float = 1.0) -> np.ndarray:
+    """A raster in grey, its contrast equalised, made smaller by scale."""
+    real = grey(image)
+    if clahe:
+        real = equalised(real)
+    real = real.astype(float)
+    return area_resized(real, max(1, round(real.shape[0] * scale)), max(1, round(real.shape[1] * scale))) if scale != 1.0 else real
+
+
 #: Places, around a keypoint, that its descriptor compares: 256 pairs from a fixed seed, drawn near the middle.
 _PLACES = np.clip(np.rint(np.random.default_rng(7).normal(0, 4, (256, 4))), -9, 9).astype(int)
 
@@ -292,13 +357,19 @@ def corners(image: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.stack([x, y], 1), response[y, x], codes
 
 
-def features(rasters: DataFrame, most: int = 5000) -> DataFrame:
-    """(img, kp_id, x, y, response, desc): one row for each keypoint, its descriptor with it."""
+def features(rasters: DataFrame, most: int = 5000, clahe: bool = False, scale: float = 1.0) -> DataFrame:
+    """(img, kp_id, x, y, response, desc): one row for each keypoint, its descriptor with it.
+
+    With clahe and scale they are found in the prepared() raster; their places are those of the whole size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in single(batches):
             for r in batch.to_pylist():
-                points, response, codes = corners(grey(unpacked(r["data"], r["h"], r["w"], r["c"]).astype(float)), most)
+                image = unpacked(r["data"], r["h"], r["w"], r["c"])
+                small = prepared(image, clahe, scale) if clahe or scale != 1.0 else grey(image.astype(float))
+                points, response, codes = corners(small, most)
+                points = points * np.array([image.shape[1] / small.shape[1], image.shape[0] / small.shape[0]])
                 n = len(points)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r["img"]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(points[:, 0].astype(float)), pa.array(points[:, 1].astype(float)), pa.array(response), pa.array(codes.tolist(), pa.list_(pa.int64()))],

@@ -15,10 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framefold.config import Settings
+from framefold.config import Settings, odd_kernel
 from framefold.operators import estimation, kernels, matching, sharpness, transforms
 
 
+#: What features are found in: rasters made smaller by this.
+SMALLER = 0.85
+
+
 def scores(frames: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(keys..., score, global_score, sharp_areas): a frame's score is that of its best region."""
     return kernels.regional(frames, settings.grid_size).withColumnRenamed("max_regional", "score")
@@ -41,7 +45,7 @@ def pair_transforms(frames: DataFrame, settings: Settings = Settings(), most: in
     """(stack, img, m00 .. m12, missing): each frame's step from its own places to those of the frame before it."""
     if settings.detector != "orb":
         raise NotImplementedError(f"{settings.detector}: only corners with binary descriptors are built in")
-    points = estimation.features(frames.select("img", "h", "w", "c", "data"), most)
+    points = estimation.features(frames.select("img", "h", "w", "c", "data"), most, settings.use_clahe, SMALLER)
     stacks = frames.select("stack", "img")
     keyed = points.join(stacks, "img")
     matches = matching.nearest(matching.consecutive(keyed.select("stack", "img", "kp_id", "desc"), ["stack"]), ["stack"], binary=True)
@@ -102,9 +106,44 @@ def common_area(aligned: DataFrame) -> DataFrame:
     return inner.select("stack", "x", "y", F.greatest(F.col("x1") - F.col("x"), F.lit(0)).alias("width"), F.greatest(F.col("y1") - F.col("y"), F.lit(0)).alias("height"))
 
 
-def align(frames: DataFrame, settings: Settings = Settings(), cached: DataFrame | None = None, most: int = 5000) -> DataFrame:
-    """The sharp frames of each stack in the places of its first one: (stack, img, h, w, c, data)."""
+def ecc_transforms(frames: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(stack, img, way, m00 .. m12): each frame to its stack's first one, by correlation, with the settings'
+    motion, rounds, epsilon, blur, time limit and limits; where that fails by features, and then not at all.
+
+    The first frame of a stack is one raster, which goes to the frames of its stack.
+    """
+    rows = frames.select("stack", "img", "h", "w", "c", "data")
+    first = rows.groupBy("stack").agg(F.min("img").alias("img")).join(rows, ["stack", "img"]).select("stack", F.col("img").alias("first"), F.col("data").alias("ref"), F.col("h").alias("rh"), F.col("w").alias("rw"))
+    pairs = rows.join(first, "stack").filter("h = rh and w = rw").select(*rows.columns, "ref", "first")
+    limits = (settings.max_scale, settings.max_translation, settings.max_determinant)
+    found = estimation.registered(pairs.filter("img <> first").drop("first"), ["stack", "img"], settings.motion, settings.ecc_iterations, settings.ecc_epsilon, limits, odd_kernel(settings.ecc_blur), settings.ecc_timeout_s, settings.use_clahe)
+    own = pairs.filter("img = first").select("stack", "img", F.lit("reference").alias("way"), *[F.lit(float(v)).alias(c) for c, v in zip(transforms.M, (1, 0, 0, 0, 1, 0), strict=True)])
+    return found.unionByName(own)
+
+
+def turned_back(found: DataFrame) -> DataFrame:
+    """The inverses of transforms m00 .. m12: correlation takes reference places to the frame's, warping the other way."""
+    det = F.col("m00") * F.col("m11") - F.col("m01") * F.col("m10")
+    a, b, c, d = F.col("m11") / det, -F.col("m01") / det, -F.col("m10") / det, F.col("m00") / det
+    other = [x for x in found.columns if x not in transforms.M]
+    x, y = -(a * F.col("m02") + b * F.col("m12")), -(c * F.col("m02") + d * F.col("m12"))
+    return found.select(*other, *[v.alias(n) for n, v in zip(transforms.M, (a, b, x, c, d, y), strict=True)])
+
+
+def align(frames: DataFrame, settings: Settings = Settings(), cached: DataFrame | None = None, most: int = 5000, way: str = "features") -> DataFrame:
+    """The sharp frames of each stack in the places of its first one: (stack, img, h, w, c, data).
+
+    way: "features" chains each frame's step to the one before it; "ecc" correlates each with the first.
+    """
     sharp = frames.join(sharp_frames(frames, settings, cached).select("stack", "img"), ["stack", "img"], "left_semi")
+    return warped(sharp, places(sharp, settings, most, way))
+
+
+def places(sharp: DataFrame, settings: Settings = Settings(), most: int = 5000, way: str = "features") -> DataFrame:
+    """(stack, img, m00 .. m12): what brings each frame to its stack's first one."""
+    if way == "ecc":
+        return turned_back(ecc_transforms(sharp, settings)).select("stack", "img", *transforms.M)
+    if way != "features":
+        raise ValueError(f"{way}: features or ecc")
     steps = pair_transforms(sharp, settings, most).withColumnRenamed("img", "seq")
-    chains = transforms.chained(steps.select("stack", "seq", *transforms.M, "missing"), ["stack"]).withColumnRenamed("seq", "img")
-    return warped(sharp, chains)
+    return transforms.chained(steps.select("stack", "seq", *transforms.M, "missing"), ["stack"]).withColumnRenamed("seq", "img")

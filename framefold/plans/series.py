@@ -1,6 +1,6 @@
 """A whole series: from a folder of pictures to the fused one, with tables that let a run resume.
 
-    FOLDER/*.png               the frames
+    FOLDER/*                   the frames: PNG, TIFF and JPEG files
     FOLDER/sharpness/          scores, a table that is replaced
     FOLDER/aligned/            aligned frames, a table that is added to; a frame that is there isn't warped again
     FOLDER/final/result_*.png  results; the smallest free number is taken
@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from framefold.config import Settings
 from framefold.functions import paths
-from framefold.operators import catalog, sharpness, transforms
+from framefold.operators import catalog, kernels, sharpness
 from framefold.plans import align, stack
 from framefold.sources import images
 
 
 def frames_of(spark: SparkSession, folder: str) -> DataFrame:
-    """(stack, img, path, h, w, c, data): a folder's PNG files, numbered by path; pixels don't enter the numbering."""
-    rows = images.read_png(spark, folder)
+    """(stack, img, path, h, w, c, data): a folder's pictures, numbered by path; pixels don't enter the numbering."""
+    rows = images.read_files(spark, folder)
     places = rows.select("path").withColumn("img", F.row_number().over(W.orderBy("path")).cast("long"))  # names of one folder
     return rows.join(places, "path").withColumn("stack", F.lit(0))
 
@@ -43,15 +43,14 @@ def scored(frames: DataFrame, folder: str, settings: Settings = Settings()) -> D
     return frames.sparkSession.read.parquet(path)
 
 
-def aligned(frames: DataFrame, scores: DataFrame, folder: str, settings: Settings, resume: bool, most: int) -> DataFrame:
+def aligned(frames: DataFrame, scores: DataFrame, folder: str, settings: Settings, resume: bool, most: int, way: str = "features") -> DataFrame:
     """K1, K2, K9: the aligned frames; with resume those that are there stay and only the others are warped."""
     spark, path = frames.sparkSession, f"{folder}/aligned"
     if not resume and "aligned" in catalog.reset_targets("align", resume):
         removed(spark, path)
     sharp = sharpness.without_outliers(scores, ["stack"], settings.sharpness_threshold, settings.iqr_multiplier)
     kept = frames.join(sharp.select("stack", "img"), ["stack", "img"], "left_semi")
-    steps = align.pair_transforms(kept, settings, most).withColumnRenamed("img", "seq")
-    chains = transforms.chained(steps.select("stack", "seq", *transforms.M, "missing"), ["stack"]).withColumnRenamed("seq", "img")
+    chains = align.places(kept, settings, most, way)
     inputs = kept.withColumn("out_name", F.format_string("%04d.png", "img"))
     if exists(spark, path):
         inputs = catalog.unfinished(inputs, spark.read.parquet(path))
@@ -69,13 +68,29 @@ def free_name(spark: SparkSession, folder: str) -> str:
     return f"result_{found['n'] if found else 1:04d}.png"
 
 
-def run(spark: SparkSession, folder: str, settings: Settings = Settings(), resume: bool = True, most: int = 5000) -> str:
+def run(spark: SparkSession, folder: str, settings: Settings = Settings(), resume: bool = True, most: int = 5000, way: str = "features") -> str:
     """The path of the picture that was written."""
     frames = frames_of(spark, folder)
-    done = aligned(frames, scored(frames, folder, settings), folder, settings, resume, most)
+    done = aligned(frames, scored(frames, folder, settings), folder, settings, resume, most, way)
     if done.limit(1).count() == 0:
         raise ValueError("no frame is sharp enough")
     result = stack.stack(done.drop("out_name"), settings, align.common_area(done))
     name = free_name(spark, folder)
     images.write_files(images.as_png(result.select(F.lit(name).alias("name"), "h", "w", "c", "data")), f"{folder}/final")
     return f"{folder}/final/{name}"
+
+
+def resized(frames: DataFrame, folder: str, height: int, width: int) -> DataFrame:
+    """K6: the frames in that size, as a table under FOLDER/resized that replaces the last."""
+    path = f"{folder}/resized"
+    kernels.mapped(frames.select("stack", "img", "path", "h", "w", "c", "data"), lambda image: kernels.to_bytes(kernels.resized(image.astype(float), height, width, kernels.lanczos_taps))).write.mode("overwrite").parquet(path)
+    return frames.sparkSession.read.parquet(path)
+
+
+def clear_cache(spark: SparkSession, folder: str) -> bool:
+    """Deletes a folder's thumbnails; whether there were any."""
+    path = f"{folder}/.thumbnails"
+    found = exists(spark, path)
+    if found:
+        removed(spark, path)
+    return found

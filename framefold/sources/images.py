@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +114,97 @@ def decoded(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.dstack([pixels[..., 2::-1], pixels[..., 3:]]))
 
 
+#: TIFF tags, and bytes by field type.
+TAGS = {256: "width", 257: "height", 258: "bits", 259: "packing", 262: "kind", 273: "offsets", 277: "samples", 278: "lines", 279: "sizes", 284: "planar", 317: "predictor", 320: "palette"}
+FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8}
+
+
+def _unpacked_bits(data: bytes) -> bytes:
+    """PackBits: a count and that many bytes, or a count and one byte that is repeated."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += n + 2
+        else:
+            if n > 128:
+                out += data[at + 1 : at + 2] * (257 - n)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def _lzw(data: bytes) -> bytes:
+    """LZW as TIFF has it: codes of 9 to 12 bits from the high end, 256 clears, 257 ends; widths grow one code early."""
+    out, table, width, held, bits, last = bytearray(), [], 9, 0, 0, b""
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & ((1 << bits) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, b""
+            continue
+        if not table:
+            raise ValueError("no clear code")
+        if code < len(table):
+            here = table[code]
+        elif code == len(table) and last:
+            here = last + last[:1]
+        else:
+            raise ValueError("a code is out of range")
+        out += here
+        if last:
+            table.append(last + here[:1])
+        last = here
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return bytes(out)
+
+
+def decoded_tiff(data: bytes) -> np.ndarray:
+    """The pixels of a TIFF file's first picture as 8-bit grey, BGR or BGRA: strips of 8 or 16 bits, whole or packed."""
+    order = {b"II*\0": "<", b"MM\0*": ">"}.get(data[:4])
+    if not order:
+        raise ValueError("no TIFF file")
+    (at,) = struct.unpack_from(order + "I", data, 4)
+    (count,) = struct.unpack_from(order + "H", data, at)
+    tags: dict[str, tuple[int, ...]] = {"samples": (1,), "packing": (1,), "planar": (1,), "predictor": (1,), "bits": (1,)}
+    for k in range(count):
+        tag, kind, n, _ = struct.unpack_from(order + "HHII", data, at + 2 + 12 * k)
+        if tag in TAGS and kind in (1, 3, 4):
+            here = at + 10 + 12 * k
+            if FIELD_BYTES[kind] * n > 4:
+                (here,) = struct.unpack_from(order + "I", data, here)
+            tags[TAGS[tag]] = struct.unpack_from(f"{order}{n}{ {1: 'B', 3: 'H', 4: 'I'}[kind] }", data, here)
+    w, h, c, depth = tags["width"][0], tags["height"][0], tags["samples"][0], tags["bits"][0]
+    if depth not in (8, 16) or len(set(tags["bits"])) > 1 or tags["planar"][0] != 1 or tags["predictor"][0] not in (1, 2) or "offsets" not in tags:
+        raise ValueError("only strips of 8 or 16 bits are read")
+    unpack = {1: bytes, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpacked_bits}.get(tags["packing"][0])
+    if not unpack:
+        raise ValueError(f"packing {tags['packing'][0]} is unknown")
+    kind = np.dtype(np.uint8 if depth == 8 else order + "u2")
+    lines = min(tags.get("lines", (h,))[0], h)
+    pixels = np.zeros((h, w, c), kind)
+    for k, (begin, size) in enumerate(zip(tags["offsets"], tags["sizes"], strict=True)):
+        rows = min(lines, h - k * lines)
+        part = np.frombuffer(unpack(data[begin : begin + size]), kind, rows * w * c).reshape(rows, w, c)
+        pixels[k * lines : k * lines + rows] = np.cumsum(part, axis=1, dtype=kind.newbyteorder("=")) if tags["predictor"][0] == 2 else part
+    shown = (pixels >> 8).astype(np.uint8) if depth == 16 else pixels
+    if tags["kind"][0] == 3:
+        colours = (np.array(tags["palette"]).reshape(3, -1).T >> 8).astype(np.uint8)
+        shown = colours[pixels[..., 0]]
+    elif tags["kind"][0] == 0:
+        shown = 255 - shown
+    elif tags["kind"][0] not in (1, 2):
+        raise ValueError(f"colours {tags['kind'][0]} are unknown")
+    if shown.shape[2] < 3:
+        return np.ascontiguousarray(shown[..., 0])
+    return np.ascontiguousarray(np.dstack([shown[..., 2::-1], shown[..., 3:4]]))
+
+
 def encoded(image: np.ndarray, level: int = 3) -> bytes:
     """A PNG file of 8-bit grey, BGR or BGRA pixels."""
     h, w = image.shape[:2]
@@ -129,16 +220,25 @@ def encoded(image: np.ndarray, level: int = 3) -> bytes:
     return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + chunk(b"IEND", b"")
 
 
-def read_png(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
-    """(path, h, w, c, data) of the folder's PNG files; unreadable ones are left out, or fail the job (strict)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,PNG}").load(folder).select("path", "content")
+def read_files(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
+    """(path, h, w, c, data) of the folder's PNG, TIFF and JPEG files."""
+    whole = spark.read.format("image").option("dropInvalid", str(not strict).lower()).option("pathGlobFilter", "*.{jpg,jpeg,JPG,JPEG,Jpg}").load(folder).select("image.*")
+    jpeg = whole.select(F.col("origin").alias("path"), F.col("height").alias("h"), F.col("width").alias("w"), F.col("nChannels").alias("c"), "data")
+    return read_png(spark, folder, strict).unionByName(read_png(spark, folder, strict, "*.{tif,tiff,TIF,TIFF}", decoded_tiff)).unionByName(jpeg)
+
+
+def read_png(spark: SparkSession, folder: str, strict: bool = False, names: str = "*.{png,PNG}", decode: Callable[[bytes], np.ndarray] = decoded) -> DataFrame:
+    """(path, h, w, c, data) of the folder's PNG files, or others that decode reads; unreadable ones are left out, or
+    fail the job (strict).
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    image = decoded(content)
-                except (ValueError, KeyError, struct.error, zlib.error):
+                    image = decode(content)
+                except (ValueError, KeyError, IndexError, struct.error, zlib.error):
                     if strict:
                         raise
                     continue

@@ -223,3 +223,140 @@ def test_png_depths_and_filters():
         assert got.tolist() == told
     with pytest.raises(ValueError):
         images.decoded(b"nothing")
+
+
+def made_tiff(image, packing=1, depth=8, order="<", predictor=1):
+    """A TIFF file in two strips, put together by hand."""
+    import struct
+    import zlib
+
+    h, w = image.shape[:2]
+    c = 1 if image.ndim == 2 else image.shape[2]
+    rgb = image.reshape(h, w, c) if c == 1 else np.dstack([image[..., 2::-1], image[..., 3:]])
+    values = rgb.astype(np.uint16) * 257 if depth == 16 else rgb
+    if predictor == 2:
+        values = np.diff(values.astype(np.int64), axis=1, prepend=0).astype(values.dtype)
+    half = -(-h // 2)
+    strips = [values[:half], values[half:]] if h > 1 else [values]
+    raw = [np.ascontiguousarray(x.astype(order + ("u2" if depth == 16 else "u1"))).tobytes() for x in strips]
+    if packing == 8:
+        raw = [zlib.compress(x) for x in raw]
+    elif packing == 32773:
+        raw = [b"".join(bytes([len(x[i : i + 100]) - 1]) + x[i : i + 100] for i in range(0, len(x), 100)) + b"\x80" for x in raw]
+    elif packing == 5:
+        packed = []
+        for x in raw:  # a clear code before the table grows past nine bits
+            codes = []
+            for i, byte in enumerate(x):
+                codes += ([256] if i % 200 == 0 else []) + [byte]
+            bits = "".join(f"{v:09b}" for v in [*codes, 257])
+            bits += "0" * (-len(bits) % 8)
+            packed.append(bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)))
+        raw = packed
+    offsets, at = [], 8
+    for x in raw:
+        offsets.append(at)
+        at += len(x)
+    extra = b""
+
+    def field(tag, kind, numbers):
+        nonlocal extra
+        body = struct.pack(f"{order}{len(numbers)}{ {3: 'H', 4: 'I'}[kind] }", *numbers)
+        if len(body) > 4:
+            where, extra = at + len(extra), extra + body
+            body = struct.pack(order + "I", where)
+        return struct.pack(order + "HHI", tag, kind, len(numbers)) + body.ljust(4, b"\0")
+
+    fields = [field(256, 4, [w]), field(257, 4, [h]), field(258, 3, [depth] * c), field(259, 3, [packing]), field(262, 3, [1 if c == 1 else 2]), field(273, 4, offsets), field(277, 3, [c]), field(278, 4, [half]), field(279, 4, [len(x) for x in raw]), field(317, 3, [predictor])]
+    directory = struct.pack(order + "H", len(fields)) + b"".join(fields) + b"\0\0\0\0"
+    return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", at + len(extra)) + b"".join(raw) + extra + directory
+
+
+@pytest.mark.parametrize("packing", [1, 5, 8, 32773])
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("c", [1, 3, 4])
+@pytest.mark.parametrize("depth, predictor", [(8, 1), (8, 2), (16, 1), (16, 2)])
+def test_tiff_files(packing, order, c, depth, predictor):
+    image = picture(5, 13, c)
+    assert (images.decoded_tiff(made_tiff(image, packing, depth, order, predictor)) == image).all()
+
+
+def test_tiff_lzw_with_a_growing_table():
+    """Codes by the rule of the format, from an encoder of our own."""
+    data = bytes(RNG.integers(0, 4, 6000, dtype=np.uint8))
+    table, codes, here = {bytes([k]): k for k in range(256)}, [(256, 9)], b""
+    size, width = 258, 9
+    for b in data:
+        longer = here + bytes([b])
+        if longer in table:
+            here = longer
+            continue
+        codes.append((table[here], width))
+        table[longer], size = size, size + 1
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+        here = bytes([b])
+        if size == 4094:
+            codes.append((table[here], width))
+            codes.append((256, width))
+            table, size, width, here = {bytes([k]): k for k in range(256)}, 258, 9, b""
+    if here:
+        codes.append((table[here], width))
+        size += 1
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+    bits = "".join(f"{v:0{n}b}" for v, n in [*codes, (257, width)])
+    bits += "0" * (-len(bits) % 8)
+    assert images._lzw(bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))) == data
+
+
+def test_broken_tiff():
+    for data in (b"", b"II*\0", b"II*\0\xff\0\0\0", made_tiff(picture(3, 3))[:20]):
+        with pytest.raises((ValueError, KeyError, IndexError, images.struct.error)):
+            images.decoded_tiff(data)
+
+
+def test_sizes():
+    from framefold.config import image_megabytes
+
+    assert image_megabytes(1024, 1024, 4) == 6.0
+
+
+def test_correlation_gives_up_in_time():
+    image = scene()
+    moved = kernels.warped(image, np.array([[1, 0, 1.5], [0, 1, -0.75]]), taps=kernels.linear_taps)
+    assert np.isnan(estimation.ecc(image, moved, "affine", 10**6, 0.0, seconds=0.0)[1])
+
+
+def test_aligning_by_correlation(spark):
+    """Frames that were shifted come back to the first one's places, either way."""
+    from framefold.config import Settings
+    from framefold.plans import align
+
+    base = np.clip(scene(120, 120) + np.kron(RNG.normal(0, 25, (30, 30)), np.ones((4, 4))), 0, 255)
+    shifts = [(0, 0), (2, -1), (-3, 2)]
+    rows = [("s", i, 90, 90, 1, kernels.to_bytes(base[15 + dy : 105 + dy, 15 + dx : 105 + dx]).tobytes()) for i, (dx, dy) in enumerate(shifts)]
+    frames = spark.createDataFrame(rows, "stack string, img long, h int, w int, c int, data binary")
+    settings = Settings(motion="translation", use_clahe=False, ecc_iterations=3000, ecc_blur=5, sharpness_threshold=10)
+    found = {r.img: r for r in align.ecc_transforms(frames, settings).collect()}
+    assert found[0].way == "reference" and found[1].way == found[2].way == "correlation"
+    assert all(abs(found[i].m02 + dx) < 0.1 and abs(found[i].m12 + dy) < 0.1 for i, (dx, dy) in enumerate(shifts))
+    for r in align.align(frames, settings, way="ecc").collect():
+        image = np.frombuffer(r.data, np.uint8).reshape(90, 90, 4)
+        inside = image[10:-10, 10:-10]
+        assert np.abs(inside[..., 0].astype(int) - kernels.to_bytes(base[25:95, 25:95])).mean() < 3 and (inside[..., 3] == 255).all()
+    with pytest.raises(ValueError):
+        align.places(frames, settings, way="guess")
+
+
+def test_folder_of_all_kinds(spark, tmp_path):
+    from framefold.plans import series
+
+    image = picture(6, 8, 3)
+    (tmp_path / "a.png").write_bytes(images.encoded(image))
+    (tmp_path / "b.tif").write_bytes(made_tiff(image, 8))
+    (tmp_path / "c.tif").write_bytes(b"broken")
+    (tmp_path / ".thumbnails").mkdir()
+    frames = series.frames_of(spark, str(tmp_path)).orderBy("img").collect()
+    assert [(r.img, r.path.rsplit("/", 1)[1]) for r in frames] == [(1, "a.png"), (2, "b.tif")] and all(r.data == image.tobytes() for r in frames)
+    small = series.resized(series.frames_of(spark, str(tmp_path)), str(tmp_path), 3, 4).collect()
+    assert {(r.h, r.w, r.c) for r in small} == {(3, 4, 3)} and len(small) == 2
+    assert series.clear_cache(spark, str(tmp_path)) and not series.clear_cache(spark, str(tmp_path))

@@ -354,7 +354,15 @@ def corners(image: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.nd
     at = lambda dy, dx: smooth[np.clip(y[:, None] + dy, 0, h - 1), np.clip(x[:, None] + dx, 0, w - 1)]
     bits = at(_PLACES[:, 0], _PLACES[:, 1]) < at(_PLACES[:, 2], _PLACES[:, 3])
     codes = np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(-1, 4)
-    return np.stack([x, y], 1), response[y, x], codes
+    return np.stack([x + _peak(response, y, x, 0, 1), y + _peak(response, y, x, 1, 0)], 1), response[y, x], codes
+
+
+def _peak(response: np.ndarray, y: np.ndarray, x: np.ndarray, dy: int, dx: int) -> np.ndarray:
+    """How far, half a pixel at most, the top of the parabola through a keypoint and its two neighbours is from it."""
+    h, w = response.shape
+    before, after = (response[np.clip(y + s * dy, 0, h - 1), np.clip(x + s * dx, 0, w - 1)] for s in (-1, 1))
+    bend = before + after - 2 * response[y, x]
+    return np.clip(np.divide(before - after, 2 * bend, out=np.zeros(len(y)), where=bend < 0), -0.5, 0.5)
 
 
 def features(rasters: DataFrame, most: int = 5000, clahe: bool = False, scale: float = 1.0) -> DataFrame:
@@ -369,7 +377,7 @@ def features(rasters: DataFrame, most: int = 5000, clahe: bool = False, scale: f
                 image = unpacked(r["data"], r["h"], r["w"], r["c"])
                 small = prepared(image, clahe, scale) if clahe or scale != 1.0 else grey(image.astype(float))
                 points, response, codes = corners(small, most)
-                points = points * np.array([image.shape[1] / small.shape[1], image.shape[0] / small.shape[0]])
+                points = (points + 0.5) * np.array([image.shape[1] / small.shape[1], image.shape[0] / small.shape[0]]) - 0.5
                 n = len(points)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r["img"]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(points[:, 0].astype(float)), pa.array(points[:, 1].astype(float)), pa.array(response), pa.array(codes.tolist(), pa.list_(pa.int64()))],

@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -365,8 +364,8 @@ def stacked(rasters: DataFrame, group: list[str], size: int = 12, overlap: int =
             return fused_once(rows, group, compat)
         lowest, last = f"greatest(0L, bigint(ceil((ord - {size - 1}) / {step}D)))", f"greatest(0L, bigint(ceil((_n - {size}) / {step}D)))"
         dealt = rows.join(counts, group).withColumn("chunk", F.explode(F.expr(f"sequence({lowest}, least({last}, ord div {step}))"))).drop("_n")
-        # Each round is kept, as the next would make it again for every chunk that overlaps.
-        rows = fused_once(dealt, [*group, "chunk"], compat).withColumn("ord", F.col("chunk").cast("long")).drop("chunk").persist(StorageLevel.DISK_ONLY)
+        # A round is read once by the next: chunks follow from places and counts.
+        rows = fused_once(dealt, [*group, "chunk"], compat).withColumn("ord", F.col("chunk").cast("long")).drop("chunk")
         counts = counts.withColumn("_n", F.expr(f"{last} + 1"))
         longest = 1 + -(-(longest - size) // step)
     return rows

@@ -7,6 +7,7 @@ scores, keypoints and transforms move.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ def sharp_frames(frames: DataFrame, settings: Settings = Settings(), cached: Dat
     else:
         todo = slim.join(cached.select("stack", "img"), ["stack", "img"], "left_anti")
         found = scores(todo, settings).select("stack", "img", "score").unionByName(cached.select("stack", "img", "score"))
-    # Quartiles, places and the filter read the scores; pixels are scored once.
-    found = found.persist(StorageLevel.MEMORY_AND_DISK)
+    # Quartiles, places and the filter read the scores; pixels are scored once in a call (files may change after it).
+    found = found.withColumn("_call", F.lit(uuid4().hex)).persist(StorageLevel.MEMORY_AND_DISK).drop("_call")
     return sharpness.without_outliers(found, ["stack"], settings.sharpness_threshold, settings.iqr_multiplier).select("stack", "img", "score")
 
 

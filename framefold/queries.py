@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil, exp, floor, pi, sin
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -575,19 +576,76 @@ def hierarchical_stack(spark: SparkSession, d: str) -> DataFrame:
     return kernels.stacked(kernels.in_reverse(_packed(spark, d), ["stack"]), ["stack"])
 
 
-def _kernel_query(name: str, kernel: Callable) -> None:
-    query(name)(lambda spark, d: kernels.mapped(_packed(spark, d).select("img", "h", "w", "c", "data"), kernel))
+Weights = list[tuple[int, int, float]]
 
 
+def _kernel_query(name: str, kernel: Callable, sql: str | None = None) -> None:
+    """A kernel over every frame: (img, h, w, c, pixels), the bytes in hexadecimal digits."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = kernels.mapped(_packed(spark, d).select("img", "h", "w", "c", "data"), kernel)
+        return rows.select("img", "h", "w", "c", F.lower(F.hex("data")).alias("pixels"))
+
+    query(name, sql)(run)
+
+
+def _bytes(image: np.ndarray) -> np.ndarray:
+    """Halves that sums in another order would miss by their last digits are halves."""
+    return kernels.to_bytes(np.round(image, 6))
+
+
+def _linear(t: float) -> list[tuple[int, float]]:
+    return [(0, 1 - t), (1, t)]
+
+
+def _lanczos(t: float) -> list[tuple[int, float]]:
+    def wave(x: float) -> float:
+        return 1.0 if x == 0 else sin(pi * x) * sin(pi * x / 4) / (pi * x) ** 2 * 4
+
+    total = sum(wave(t - k) for k in range(-3, 5))
+    return [(k, wave(t - k) / total) for k in range(-3, 5)]
+
+
+def _at(places: list[float], taps: Callable, edge: bool, n: int = 8) -> Weights:
+    """(out, in, weight) of places on a line of n pixels; outside is nothing, or the edge pixel."""
+    out = [(i, floor(x) + k, v) for i, x in enumerate(places) for k, v in taps(x - floor(x))]
+    return [(i, min(max(x, 0), n - 1), v) for i, x, v in out if edge or 0 <= x < n]
+
+
+def _scaled(m: int, n: int = 8) -> list[float]:
+    return [min(max((i + 0.5) * n / m - 0.5, 0), n - 1) for i in range(m)]
+
+
+def _areas(m: int, n: int = 8) -> Weights:
+    return [(i, x, max(0.0, min((i + 1) * n / m, x + 1) - max(i * n / m, x)) * m / n) for i in range(m) for x in range(n)]
+
+
+def _blurred(sigma: float, n: int = 8) -> Weights:
+    reach = ceil(3 * sigma)
+    k = [exp(-(d * d) / (2 * sigma * sigma)) for d in range(-reach, reach + 1)]
+    return [(i, abs((i + d) % (2 * n - 2)) if (i + d) % (2 * n - 2) < n else 2 * n - 2 - (i + d) % (2 * n - 2), v / sum(k)) for i in range(n) for d, v in zip(range(-reach, reach + 1), k, strict=True)]
+
+
+def _separable(rows: Weights, columns: Weights, value: str = "v") -> str:
+    """SQL: sums of pixels by weights along each axis, as a kernel's bytes."""
+    h, w = max(i for i, _, _ in rows) + 1, max(j for j, _, _ in columns) + 1
+    wy, wx = (", ".join(f"({i}, {x}, {v:.17e})" for i, x, v in part) for part in (rows, columns))
+    return f"""WITH {_PX}, wy(i, y, k) AS (VALUES {wy}), wx(j, x, k) AS (VALUES {wx}), o AS (SELECT img, i, j, sum(wy.k * wx.k * p) AS v, max(CASE WHEN wy.i = wy.y AND wx.j = wx.x THEN p END) AS p FROM px JOIN wy USING (y) JOIN wx USING (x) GROUP BY img, i, j)
+  SELECT img, {h} AS h, {w} AS w, 1 AS c, string_agg(printf('%02x', CAST(least(255, greatest(0, round_even(round({value}, 6), 0))) AS INTEGER)), '' ORDER BY i, j) AS pixels FROM o GROUP BY img"""
+
+
+_SHIFT = np.array([[1, 0, 0.5], [0, 1, -0.25]])
+_DOWN, _RIGHT = [y + 0.25 for y in range(8)], [x - 0.5 for x in range(8)]
+
 _kernel_query("clahe", lambda image: kernels.equalised(image, tiles=2))
 _kernel_query("bilateral", lambda image: kernels.bilateral(image, 1.0))
-_kernel_query("unsharp", lambda image: kernels.sharpened(image, 1.0))
-_kernel_query("warp_lanczos", lambda image: kernels.to_bytes(kernels.warped(image.astype(float), np.array([[1, 0, 0.5], [0, 1, -0.25]]))))
-_kernel_query("warp_bilinear", lambda image: kernels.to_bytes(kernels.warped(image.astype(float), np.array([[1, 0, 0.5], [0, 1, -0.25]]), taps=kernels.linear_taps)))
-_kernel_query("resize_bilinear", lambda image: kernels.to_bytes(kernels.resized(image, 5, 6)))
-_kernel_query("resize_lanczos", lambda image: kernels.to_bytes(kernels.resized(image, 12, 10, kernels.lanczos_taps)))
+_kernel_query("unsharp", lambda image: _bytes(2 * image.astype(float) - kernels.gaussian(image.astype(float), 3.0)), _separable(_blurred(3.0), _blurred(3.0), "2 * p - v"))
+_kernel_query("warp_lanczos", lambda image: _bytes(kernels.warped(image.astype(float), _SHIFT)), _separable(_at(_DOWN, _lanczos, False), _at(_RIGHT, _lanczos, False)))
+_kernel_query("warp_bilinear", lambda image: _bytes(kernels.warped(image.astype(float), _SHIFT, taps=kernels.linear_taps)), _separable(_at(_DOWN, _linear, False), _at(_RIGHT, _linear, False)))
+_kernel_query("resize_bilinear", lambda image: _bytes(kernels.resized(image, 5, 6)), _separable(_at(_scaled(5), _linear, True), _at(_scaled(6), _linear, True)))
+_kernel_query("resize_lanczos", lambda image: _bytes(kernels.resized(image, 12, 10, kernels.lanczos_taps)), _separable(_at(_scaled(12), _lanczos, True), _at(_scaled(10), _lanczos, True)))
 _kernel_query("thumbnail_rgba", lambda image: previews.thumbnail(image, 4))
-_kernel_query("thumbnail_area", lambda image: kernels.to_bytes(kernels.area_resized(image, 3, 3)))
+_kernel_query("thumbnail_area", lambda image: _bytes(kernels.area_resized(image, 3, 3)), _separable(_areas(3), _areas(3)))
 
 
 @query("ransac_affine")

@@ -8,6 +8,9 @@ falling order, enumerate the messages of each chosen branch once.  Texts join on
 Defined cases: null role or text is empty; null score is 0; a parent that doesn't exist makes its child a
 root; messages on a parent cycle, or below one, belong to no root-to-leaf path and are left out; messages
 of one tree need distinct node_ids (linear() makes them); empty tables give empty results.
+
+A very long text is formatted whole; paths with equal scores rank by their leaf; columns beside those named aren't
+read, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ them by prefixes of their sets of shingles, and verifies on the sets.
 
 Defined cases: null and empty texts have no words and fingerprint zero, and link like any other; fewer
 than three words are one shingle; a null doc_id gets a fingerprint but no component, and takes no part in
-linking; rows with one doc_id twice are both nodes of that id; empty tables give empty results.
+linking; rows with one doc_id twice are both nodes of that id; a very long text is read whole, in blocks of shingles;
+a bit that is set in exactly half of the shingles' hashes is 0; empty tables give empty results; other columns aren't
+read, or travel in a struct, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ Of records with equal payloads of at least `least` bytes, the one with the small
 and the others are revisits that refer to it; smaller payloads are all responses.
 
 Defined cases: null html is an empty payload; a null url has no target header; rows with the smallest
-page_id twice are both responses; a null page_id comes after all others; empty tables give empty archives.
+page_id twice are both responses; a null page_id comes after all others; equal rows are a record each; a very long
+page is one record, of which the reader holds what it has inflated; empty tables give empty archives; other columns
+aren't read, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -867,6 +867,30 @@ def test_pipeline_stages(spark, tmp_path):
     assert at.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
 
 
+def test_stages_on_odd_documents(spark, tmp_path):
+    """Null and repeated ids, nulls in any column, empty and long texts, clashing columns and empty tables go through every stage."""
+    import corpus_pipeline
+
+    words = " ".join(f"w{i}" for i in range(120))
+    table = [(1, words), (1, words), (1, words + " end"), (2, words + " another end"), (None, words), (None, None), (3, None), (4, ""), (5, "x" * 50000), (6, " ".join(f"v{i}" for i in range(30000))), (1, " ".join(f"u{i}" for i in range(90)))]
+    docs = spark.createDataFrame([(d, t, None if k % 3 else "en", None, None, "c", 1) for k, (d, t) in enumerate(table)], "doc_id long, text string, lang string, source string, n_chars long, digest string, row int")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    for start in (docs, docs.limit(0)):
+        at, seen = start, {}
+        for name, stage in corpus_pipeline.STAGES:
+            at = common.written(stage(spark, at, f"file://{tmp_path}"), "t")
+            seen[name] = at.collect()
+            if name != "packing":
+                assert at.columns == docs.columns
+        if start is docs:
+            # Rules: texts of fewer than 50 words go.  Near duplicates: 1 and 2 have like texts; another text of 1 stays.
+            assert sorted(((r.doc_id, len(r.text)) for r in seen["near duplicates"]), key=repr) == sorted([(1, len(words)), (1, len(table[-1][1])), (6, len(table[9][1])), (None, len(words))], key=repr)
+            assert len(seen["pseudonyms"]) == 4 and all(r.n_chars == len(r.text) for r in seen["pseudonyms"])
+            assert {r.doc_id for r in seen["packing"]} == {1, 6, None}
+        else:
+            assert not any(seen.values())
+
+
 def test_every_operator_is_registered(spark):
     from framefold.llm import queries
 

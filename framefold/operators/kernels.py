@@ -346,11 +346,12 @@ def fused_once(rasters: DataFrame, group: list[str], compat: bool = True) -> Dat
     return rasters.select(*group, "ord", "h", "w", "c", "data").groupBy(*group).applyInArrow(run, schema)
 
 
-def stacked(rasters: DataFrame, group: list[str], size: int = 12, overlap: int = 2, compat: bool = True) -> DataFrame:
+def stacked(rasters: DataFrame, group: list[str], size: int = 12, overlap: int = 2, compat: bool = True, keep: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """(group..., ord, h, w, c, data): chunks of `size` frames that overlap are fused, then what they give, until each group is one raster.
 
     ord counts a group's frames from 0 in the order in which they are taken (the last frame first).  A group in one task is a chunk, so
-    `size` rasters at most; the number of rounds is the logarithm of the longest stack.
+    `size` rasters at most; the number of rounds is the logarithm of the longest stack.  keep gets what each round but
+    the last gives, with the round's number from 0, and returns what the next one reads: a table of it, say.
     """
     if size <= overlap:
         raise ValueError("a chunk must be larger than the overlap")
@@ -358,7 +359,7 @@ def stacked(rasters: DataFrame, group: list[str], size: int = 12, overlap: int =
     rows = rasters.select(*group, "ord", "h", "w", "c", "data")
     # Counts alone, without a pixel: how many rounds there are, and where each group's last chunk begins.
     counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    longest = counts.agg(F.max("_n")).first()[0] or 0
+    longest, level = counts.agg(F.max("_n")).first()[0] or 0, 0
     while longest > 1:
         if longest <= size:
             return fused_once(rows, group, compat)
@@ -366,6 +367,7 @@ def stacked(rasters: DataFrame, group: list[str], size: int = 12, overlap: int =
         dealt = rows.join(counts, group).withColumn("chunk", F.explode(F.expr(f"sequence({lowest}, least({last}, ord div {step}))"))).drop("_n")
         # A round is read once by the next: chunks follow from places and counts.
         rows = fused_once(dealt, [*group, "chunk"], compat).withColumn("ord", F.col("chunk").cast("long")).drop("chunk")
+        rows, level = keep(rows, level) if keep else rows, level + 1
         counts = counts.withColumn("_n", F.expr(f"{last} + 1"))
         longest = 1 + -(-(longest - size) // step)
     return rows

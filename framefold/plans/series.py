@@ -3,11 +3,14 @@
     FOLDER/*                   the frames: PNG, TIFF and JPEG files
     FOLDER/sharpness/          scores, a table that is replaced
     FOLDER/aligned/            aligned frames, a table that is added to; a frame that is there isn't warped again
+    FOLDER/bunches/level=*/    what each round of fusing but the last gave, as L0_B0000.png and so on; a table a level
     FOLDER/final/result_*.png  results; the smallest free number is taken
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,14 +71,45 @@ def free_name(spark: SparkSession, folder: str) -> str:
     return f"result_{found['n'] if found else 1:04d}.png"
 
 
+def bunches(spark: SparkSession, folder: str, level: int) -> DataFrame:
+    """(stack, img, out_name, h, w, c, data): the bunches of a level that are there."""
+    return spark.read.parquet(f"{folder}/bunches/level={level}").withColumnRenamed("ord", "img")
+
+
+def written_bunches(spark: SparkSession, folder: str) -> Callable[[DataFrame, int], DataFrame]:
+    """K3: writes a round's bunches, and gives them as the next round reads them, without their lineage."""
+
+    def keep(rows: DataFrame, level: int) -> DataFrame:
+        path = f"{folder}/bunches/level={level}"
+        rows.withColumn("out_name", F.format_string("L%d_B%04d.png", F.lit(level), "ord")).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path).select(rows.columns)
+
+    return keep
+
+
 def run(spark: SparkSession, folder: str, settings: Settings = Settings(), resume: bool = True, most: int = 5000, way: str = "features") -> str:
     """The path of the picture that was written."""
     frames = frames_of(spark, folder)
     done = aligned(frames, scored(frames, folder, settings), folder, settings, resume, most, way)
     if done.limit(1).count() == 0:
         raise ValueError("no frame is sharp enough")
-    result = stack.stack(done.drop("out_name"), settings, align.common_area(done))
-    name = free_name(spark, folder)
+    for stage in catalog.reset_targets("aligned", resume):
+        removed(spark, f"{folder}/{stage}")
+    result = stack.stack(done.drop("out_name"), settings, align.common_area(done), written_bunches(spark, folder))
+    return finished(result, folder)
+
+
+def restacked(spark: SparkSession, folder: str, settings: Settings = Settings(), level: int = 0) -> str:
+    """The path of a picture that is fused from the bunches of a level; they stay, and no others are written.
+
+    It has the whole frame: bunches are cut to no common area, but clear where a frame is.
+    """
+    return finished(stack.stack(bunches(spark, folder, level), settings), folder)
+
+
+def finished(result: DataFrame, folder: str) -> str:
+    """Writes a fused picture under the smallest free name."""
+    name = free_name(result.sparkSession, folder)
     images.write_files(images.as_png(result.select(F.lit(name).alias("name"), "h", "w", "c", "data")), f"{folder}/final")
     return f"{folder}/final/{name}"
 

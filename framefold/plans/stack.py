@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,10 +52,10 @@ def finished(settings: Settings):
     return run
 
 
-def stack(frames: DataFrame, settings: Settings = Settings(), areas: DataFrame | None = None) -> DataFrame:
-    """One raster for each stack, the last frame taken first."""
+def stack(frames: DataFrame, settings: Settings = Settings(), areas: DataFrame | None = None, keep: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """One raster for each stack, the last frame taken first; keep: see kernels.stacked."""
     rows = kernels.in_reverse(frames.select("stack", "img", "h", "w", "c", "data"), ["stack"]).drop("img")
-    fused = kernels.stacked(rows, ["stack"], settings.stack_batch, settings.stack_overlap)
+    fused = kernels.stacked(rows, ["stack"], settings.stack_batch, settings.stack_overlap, keep=keep)
     if areas is not None:
         fused = cropped(fused, areas)
     if settings.denoise or settings.sharpen or settings.colour:

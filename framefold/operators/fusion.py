@@ -106,21 +106,35 @@ def warped_nearest(rasters: DataFrame, mask: str = "alpha") -> DataFrame:
     return rasters.withColumn("warped", F.expr(f"transform(sequence(0, int(h * w) - 1), i -> {at})"))
 
 
-def demosaiced(mosaics: DataFrame, black: float, white: float, gain: tuple[float, float, float], p: str = "p") -> DataFrame:
-    """(keys..., y, x, b, g, r): half the size, by averages over each 2 by 2 block of an RGGB mosaic.
+def demosaiced(mosaics: DataFrame, black: float | tuple[float, float, float], white: float | tuple[float, float, float], gain: tuple[float, float, float], p: str = "p", layout: str = "RGGB") -> DataFrame:
+    """(keys..., y, x, b, g, r): half the size (a pixel at least), by averages over each 2 by 2 block of a mosaic.
 
-    Averages are scaled by (v - black) / max(white - black, 1), held in 0 .. 1, multiplied by the colour's
-    gain over green's, held again and written as 0 .. 255.
+    layout: the colours of a block, line by line.  black and white: one number, or one for red, green and blue each.
+    Samples are scaled by (v - black) / max(white - black, 1) and held in 0 .. 1; the average of a colour's samples is
+    multiplied by its gain over green's, held again and written as 0 .. 255.  A gain of 0 or less is none, and a colour
+    without a sample is 0.
     """
+    if len(layout) != 4 or set(layout) - set("RGB"):
+        raise ValueError(f"{layout}: four of R, G and B")
     keys = [c for c in mosaics.columns if c not in ("h", "w", p)]
-    at = "element_at({p}, (2 * int(i div int(w div 2)) + {dy}) * w + 2 * int(i % int(w div 2)) + {dx} + 1)"
-    red, blue = at.format(p=p, dy=0, dx=0), at.format(p=p, dy=1, dx=1)
-    green = f"({at.format(p=p, dy=0, dx=1)} + {at.format(p=p, dy=1, dx=0)}) / 2D"
-    span = max(white - black, 1.0)
-
-    def shown(v: str, k: int) -> str:
-        part = f"least(1D, greatest(0D, ({v} - {black!r}D) / {span!r}D))"
-        return f"int(round(least(1D, {part} * {gain[k] / gain[1]!r}D) * 255))"
-
-    cells = mosaics.withColumn("i", F.explode(F.expr("sequence(0, int(h div 2) * int(w div 2) - 1)")))
-    return cells.select(*keys, F.expr("int(i div int(w div 2))").alias("y"), F.expr("int(i % int(w div 2))").alias("x"), F.expr(shown(blue, 2)).alias("b"), F.expr(shown(green, 1)).alias("g"), F.expr(shown(red, 0)).alias("r"))
+    iy, ix = "int(i div greatest(1, int(w div 2)))", "int(i % greatest(1, int(w div 2)))"
+    lows, tops = ([v] * 3 if isinstance(v, (int, float)) else list(v) for v in (black, white))
+    green_gain = gain[1] if gain[1] > 0 else 1.0
+
+    def shown(colour: str) -> str:
+        k = "RGB".index(colour)
+        span = max(float(tops[k] - lows[k]), 1.0)
+        samples = []
+        for place in (n for n, c in enumerate(layout) if c == colour):
+            y, x = f"(2 * {iy} + {place // 2})", f"(2 * {ix} + {place % 2})"
+            held = f"least(1D, greatest(0D, (element_at({p}, {y} * w + {x} + 1) - {float(lows[k])!r}D) / {span!r}D))"
+            samples.append(f"if({y} < h and {x} < w, {held}, null)")
+        if not samples:
+            return "0"
+        total = " + ".join(f"coalesce({s}, 0D)" for s in samples)
+        count = " + ".join(f"if({s} is null, 0, 1)" for s in samples)
+        factor = gain[k] / green_gain if k != 1 and gain[k] > 0 else 1.0
+        return f"int(round(least(1D, ({total}) / greatest(1, {count}) * {factor!r}D) * 255))"
+
+    cells = mosaics.withColumn("i", F.explode(F.expr("sequence(0, greatest(1, int(h div 2)) * greatest(1, int(w div 2)) - 1)")))
+    return cells.select(*keys, F.expr(iy).alias("y"), F.expr(ix).alias("x"), *[F.expr(shown(c)).alias(c.lower()) for c in "BGR"])

@@ -524,12 +524,13 @@ def mask_warp_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cfa(v: str, gain: float) -> str:
-    return f"CAST(round(least(1, least(1, greatest(0, ({v} - 16) / CAST(200 AS DOUBLE))) * CAST({gain} AS DOUBLE)) * 255) AS INTEGER)"
+    return f"CAST(round(least(1, {v} * CAST({gain} AS DOUBLE)) * 255) AS INTEGER)"
 
 
 @query(
     "raw_demosaic_2x2",
-    f"""WITH {_PX}, m AS (SELECT img, y // 2 AS y, x // 2 AS x, CAST(max(p) FILTER (WHERE y % 2 = 0 AND x % 2 = 0) AS DOUBLE) AS r, avg(p) FILTER (WHERE y % 2 <> x % 2) AS g, CAST(max(p) FILTER (WHERE y % 2 = 1 AND x % 2 = 1) AS DOUBLE) AS b FROM px GROUP BY img, px.y // 2, px.x // 2)
+    f"""WITH {_PX}, held AS (SELECT img, y, x, least(1, greatest(0, (CAST(p AS DOUBLE) - 16) / CAST(200 AS DOUBLE))) AS v FROM px),
+  m AS (SELECT img, y // 2 AS y, x // 2 AS x, max(v) FILTER (WHERE y % 2 = 0 AND x % 2 = 0) AS r, avg(v) FILTER (WHERE y % 2 <> x % 2) AS g, max(v) FILTER (WHERE y % 2 = 1 AND x % 2 = 1) AS b FROM held GROUP BY img, held.y // 2, held.x // 2)
   SELECT img, y, x, {_cfa('b', 1.25)} AS b, {_cfa('g', 1.0)} AS g, {_cfa('r', 1.5)} AS r FROM m""",
 )
 def raw_demosaic_2x2(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Image files in and out.  (S9, F5, K1, K3, K6, K7)
 
 Spark's image source reads JPEG and 8-bit PNG and writes nothing; it takes the low byte of 16-bit samples.  So
-PNG files go through a codec of our own on the binaryFile source: every depth but interlaced files, 16-bit
+PNG files go through a codec of our own on the binaryFile source: every depth, interlaced or not, 16-bit
 samples divided by 256, palettes resolved.  Rasters are rows (path, h, w, c, data) with blue, green, red and
 alpha bytes.
 """
@@ -71,6 +71,33 @@ def unfiltered(raw: bytes, h: int, line: int, step: int) -> np.ndarray:
     return out[1:]
 
 
+#: First column and line, and steps along both, of the passes of an interlaced PNG file.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _samples(raw: bytes, h: int, w: int, c: int, depth: int) -> tuple[np.ndarray, int]:
+    """(h, w, c) samples of the scan lines that raw begins with, those of 16 bits by their high byte, and the bytes they took."""
+    line = -(-w * c * depth // 8)
+    lines = unfiltered(raw, h, line, max(1, c * depth // 8))
+    if depth >= 8:
+        pixels = lines.reshape(h, w, c, depth // 8)[..., 0]
+    else:
+        bits = np.unpackbits(lines, axis=1)[:, : w * c * depth].reshape(h, w * c, depth)
+        pixels = (bits @ (1 << np.arange(depth)[::-1])).astype(np.uint8).reshape(h, w, c)
+    return pixels, h * (line + 1)
+
+
+def _interlaced(raw: bytes, h: int, w: int, c: int, depth: int) -> np.ndarray:
+    """The samples of seven passes, each with scan lines of its own; one without a pixel has no bytes."""
+    pixels, at = np.zeros((h, w, c), np.uint8), 0
+    for x, y, across, down in PASSES:
+        rows, columns = -(-(h - y) // down), -(-(w - x) // across)
+        if rows > 0 and columns > 0:
+            pixels[y::down, x::across], taken = _samples(raw[at:], rows, columns, c, depth)
+            at += taken
+    return pixels
+
+
 def decoded(data: bytes) -> np.ndarray:
     """The pixels of a PNG file as 8-bit grey, BGR or BGRA."""
     if not data.startswith(SIGNATURE):
@@ -86,18 +113,12 @@ def decoded(data: bytes) -> np.ndarray:
         elif name == b"tRNS":
             clear = part
     w, h, depth, kind, _, _, interlace = struct.unpack(">IIBBBBB", head)
-    if interlace:
-        raise ValueError("interlaced files aren't read")
-    c = CHANNELS[kind]
-    lines = unfiltered(zlib.decompress(b"".join(body)), h, -(-w * c * depth // 8), max(1, c * depth // 8))
-    if depth == 16:
-        pixels = lines.reshape(h, w, c, 2)[..., 0]  # the high byte is the sample over 256
-    elif depth == 8:
-        pixels = lines.reshape(h, w, c)
-    else:
-        bits = np.unpackbits(lines, axis=1)[:, : w * c * depth].reshape(h, w * c, depth)
-        pixels = (bits @ (1 << np.arange(depth)[::-1])).astype(np.uint8).reshape(h, w, c)
-        pixels = pixels if kind == 3 else (pixels * (255 // ((1 << depth) - 1))).astype(np.uint8)
+    if interlace > 1:
+        raise ValueError(f"interlacing {interlace} is unknown")
+    c, raw = CHANNELS[kind], zlib.decompress(b"".join(body))
+    pixels = _interlaced(raw, h, w, c, depth) if interlace else _samples(raw, h, w, c, depth)[0]
+    if depth < 8 and kind != 3:
+        pixels = (pixels * (255 // ((1 << depth) - 1))).astype(np.uint8)
     if kind == 3:
         if palette is None:
             raise ValueError("a palette is missing")

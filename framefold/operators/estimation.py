@@ -21,8 +21,8 @@ MODELS = {"similarity": 2, "affine": 3, "homography": 4}
 MOTIONS = {"translation": 2, "euclidean": 3, "affine": 6, "homography": 8}
 
 
-def solved(model: str, a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
-    """The least squares transform (3 by 3) that takes points a to b, or None if they don't decide one."""
+def solved(model: str, a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray | None:
+    """The (weighted) least squares transform (3 by 3) that takes points a to b, or None if they don't decide one."""
     n = len(a)
     x, y, one, zero = a[:, 0], a[:, 1], np.ones(n), np.zeros(n)
     if model == "homography":
@@ -32,7 +32,11 @@ def solved(model: str, a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
         rows = np.concatenate([np.stack([x, y, one, zero, zero, zero], 1), np.stack([zero, zero, zero, x, y, one], 1)])
     else:
         rows = np.concatenate([np.stack([x, -y, one, zero], 1), np.stack([y, x, zero, one], 1)])
-    found, _, rank, _ = np.linalg.lstsq(rows, np.concatenate([b[:, 0], b[:, 1]]), rcond=None)
+    told = np.concatenate([b[:, 0], b[:, 1]])
+    if weight is not None:
+        each = np.sqrt(np.concatenate([weight, weight]))
+        rows, told = rows * each[:, None], told * each
+    found, _, rank, _ = np.linalg.lstsq(rows, told, rcond=None)
     if rank < rows.shape[1]:
         return None
     if model == "homography":
@@ -131,6 +135,16 @@ def ransac(model: str, a: np.ndarray, b: np.ndarray, threshold: float, rounds: i
         best, same, inside = refined, (near == inside).all(), near
         if same:
             break
+    if best is None:
+        return best, inside
+    # Points of coarse scales are less exact than those of fine ones: the nearer a point is, the more it counts.
+    for _ in range(10):
+        away = np.linalg.norm(moved(best, a[inside]) - b[inside], axis=1)
+        usual = np.median(away)
+        refined = solved(model, a[inside], b[inside], 1 / (1 + (away / usual) ** 2)) if usual > 1e-9 else None
+        if refined is None:
+            break
+        best = refined
     return best, inside
 
 
@@ -335,12 +349,35 @@ def prepared(image: np.ndarray, clahe: bool = False, scale: float = 1.0) -> np.n
 
 
 #: Places, around a keypoint, that its descriptor compares: 256 pairs from a fixed seed, drawn near the middle.
-_PLACES = np.clip(np.rint(np.random.default_rng(7).normal(0, 4, (256, 4))), -9, 9).astype(int)
+_PLACES = np.clip(np.rint(np.random.default_rng(7).normal(0, 4, (256, 4))), -9, 9)
+
+#: Scales in which corners are looked for: so many, each smaller by this, until a side is shorter than that.
+LEVELS, SMALLER_BY, SHORTEST = 8, 1.2, 32
+
+#: How far from a keypoint its orientation is taken, in pixels of its scale.
+REACH = 15
 
 
 def corners(image: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(points (x, y), responses, descriptors of four 64-bit codes) by the Harris response and binary tests."""
+    """(points (x, y), responses, descriptors of four 64-bit codes) of the strongest corners over all scales, by
+    the Harris response and binary tests that are turned to each corner's orientation.
+    """
     real = image.astype(float)
+    h, w = real.shape
+    found = []
+    for k in range(LEVELS):
+        sides = round(h / SMALLER_BY**k), round(w / SMALLER_BY**k)
+        if k and min(sides) < SHORTEST:
+            break
+        points, response, codes = _corners_at(area_resized(real, *sides) if k else real, most)
+        found.append(((points + 0.5) * (np.array([w, h]) / (sides[1], sides[0])) - 0.5, response, codes))
+    points, response, codes = (np.concatenate(v) for v in zip(*found, strict=True))
+    order = np.lexsort((points[:, 0], points[:, 1], -response))[:most]
+    return points[order], response[order], codes[order]
+
+
+def _corners_at(real: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The corners of one scale."""
     d, s = np.array([-1, 0, 1.0]), np.array([1, 2, 1.0])
     gx, gy = filtered(real, s, d), filtered(real, d, s)
     a, b, c = (gaussian(v, 1.5) for v in (gx * gx, gy * gy, gx * gy))
@@ -352,11 +389,25 @@ def corners(image: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.nd
     y, x = y[order], x[order]
     smooth = gaussian(real, 2.0)
     at = lambda dy, dx: smooth[np.clip(y[:, None] + dy, 0, h - 1), np.clip(x[:, None] + dx, 0, w - 1)]
-    bits = at(_PLACES[:, 0], _PLACES[:, 1]) < at(_PLACES[:, 2], _PLACES[:, 3])
+    turn = _orientation(real, y, x)
+    cos, sin = np.cos(turn)[:, None], np.sin(turn)[:, None]
+    first, second = ((np.rint(sin * _PLACES[:, k + 1] + cos * _PLACES[:, k]).astype(int), np.rint(cos * _PLACES[:, k + 1] - sin * _PLACES[:, k]).astype(int)) for k in (0, 2))
+    bits = at(*first) < at(*second)
     codes = np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(-1, 4)
     return np.stack([x + _peak(response, y, x, 0, 1), y + _peak(response, y, x, 1, 0)], 1), response[y, x], codes
 
 
+def _orientation(real: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The angle from each keypoint to the centre of brightness of the disc around it."""
+    h, w = real.shape
+    reach = min(REACH, min(h, w) // 2)
+    dy, dx = (v.ravel() for v in np.mgrid[-reach : reach + 1, -reach : reach + 1])
+    inside = dy * dy + dx * dx <= reach * reach
+    dy, dx = dy[inside], dx[inside]
+    disc = real[np.clip(y[:, None] + dy, 0, h - 1), np.clip(x[:, None] + dx, 0, w - 1)]
+    return np.arctan2(disc @ dy, disc @ dx)
+
+
 def _peak(response: np.ndarray, y: np.ndarray, x: np.ndarray, dy: int, dx: int) -> np.ndarray:
     """How far, half a pixel at most, the top of the parabola through a keypoint and its two neighbours is from it."""
     h, w = response.shape

@@ -185,6 +185,22 @@ def test_corners_keep_their_descriptors():
     assert (np.diff(response) <= 0).all() and (points[:5] == fewer[0]).all() and (codes[:5] == fewer[2]).all()
 
 
+@pytest.mark.parametrize("angle, scale", [(0.5, 1.0), (2.0, 1.0), (0.0, 1.4), (-1.0, 0.8)])
+def test_corners_turned_and_scaled_are_recognised(angle, scale):
+    """Mutual nearest descriptors of a picture and its turned, scaled copy fit the transform that made it."""
+    base = np.clip(scene(200, 200) + np.kron(np.random.default_rng(3).normal(0, 30, (40, 40)), np.ones((5, 5))), 0, 255)
+    c, s = scale * np.cos(angle), scale * np.sin(angle)
+    m = np.array([[c, -s, 100 - 100 * c + 100 * s], [s, c, 100 - 100 * s - 100 * c]])
+    other = kernels.warped(base, m, taps=kernels.linear_taps)
+    (qa, _, qc), (ta, _, tc) = estimation.corners(base, 500), estimation.corners(other, 500)
+    far = np.bitwise_count(qc.view(np.uint64)[:, None] ^ tc.view(np.uint64)[None]).sum(axis=2, dtype=np.int64)
+    near, back = far.argmin(axis=1), far.argmin(axis=0)
+    mutual = np.flatnonzero(back[near] == np.arange(len(qa)))
+    mutual = mutual[np.argsort(far[mutual, near[mutual]], kind="stable")][: max(10, len(mutual) * 3 // 10)]
+    found, inside = estimation.ransac("similarity", qa[mutual], ta[near[mutual]], 3.0, 2000, 0.995, 1)
+    assert inside.sum() >= 10 and np.allclose(found[:2, :2], m[:, :2], atol=0.05) and np.abs(estimation.moved(found, qa[mutual]) - qa[mutual] @ m[:, :2].T - m[:, 2]).max() < 5
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(1, 9), st.integers(1, 9), st.sampled_from([1, 3, 4]), st.integers(0, 2**32 - 1))
 def test_png_round_trip(h, w, c, seed):
@@ -225,6 +241,33 @@ def test_png_depths_and_filters():
         images.decoded(b"nothing")
 
 
+@pytest.mark.parametrize("w, h, depth, c", [(1, 1, 8, 1), (5, 3, 8, 3), (9, 11, 8, 4), (13, 10, 1, 1), (7, 9, 4, 1), (8, 8, 16, 3)])
+def test_interlaced_png(w, h, depth, c):
+    """The passes as the format has them: the pixel at (y, x) belongs to the pass that an 8 by 8 table names."""
+    import zlib
+
+    names = ["16462646", "77777777", "56565656", "77777777", "36463646", "77777777", "56565656", "77777777"]
+    values = RNG.integers(0, 1 << depth, (h, w, c))
+    raw = b""
+    for name in "1234567":
+        for y in range(h):
+            line = [v for x in range(w) if names[y % 8][x % 8] == name for v in values[y, x]]
+            if line:
+                bits = "".join(f"{v:0{depth}b}" for v in line)
+                bits += "0" * (-len(bits) % 8)
+                raw += b"\0" + int(bits, 2).to_bytes(len(bits) // 8, "big")
+    plain = made_png(w, h, depth, {1: 0, 3: 2, 4: 6}[c], b"")
+    head = bytearray(plain[8 + 8 : 8 + 8 + 13])
+    head[12] = 1
+    import struct
+
+    chunk = lambda name, part: struct.pack(">I", len(part)) + name + part + struct.pack(">I", zlib.crc32(name + part))
+    got = images.decoded(images.SIGNATURE + chunk(b"IHDR", bytes(head)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    told = values >> 8 if depth == 16 else values * (255 // ((1 << depth) - 1))
+    told = told[..., 0] if c == 1 else np.dstack([told[..., 2::-1], told[..., 3:]])
+    assert (got == told).all()
+
+
 def made_tiff(image, packing=1, depth=8, order="<", predictor=1):
     """A TIFF file in two strips, put together by hand."""
     import struct

@@ -175,6 +175,41 @@ def test_a_whole_series(spark, tmp_path):
         series.run(spark, f"{folder}/flat", settings, most=200)
 
 
+def test_bunches_are_kept_and_fused_again(spark, tmp_path):
+    frames, _ = pictures(spark, 9, 48)
+    folder = str(tmp_path)
+    settings = Settings(stack_batch=3, stack_overlap=1)
+    kept = stack.stack(frames, settings, keep=series.written_bunches(spark, folder)).collect()
+    assert kept[0].data == stack.stack(frames, settings).collect()[0].data
+    names = [sorted(r.out_name for r in series.bunches(spark, folder, k).collect()) for k in (0, 1)]
+    assert names == [[f"L0_B{i:04d}.png" for i in range(4)], [f"L1_B{i:04d}.png" for i in range(2)]]
+    assert series.restacked(spark, folder, settings).endswith("final/result_0001.png")
+    assert images.decoded((tmp_path / "final" / "result_0001.png").read_bytes()).shape == (48, 48)
+    assert [series.bunches(spark, folder, k).count() for k in (0, 1)] == [4, 2]  # they stay
+
+
+@pytest.mark.parametrize("layout", ["RGGB", "BGGR", "GRBG", "GBRG"])
+def test_mosaics_of_every_layout(spark, layout):
+    """Against one pixel at a time."""
+    rows = [("a", 6, 4, [(37 * i * i + 11 * i) % 256 for i in range(24)]), ("b", 3, 5, [(91 * i) % 256 for i in range(15)]), ("c", 1, 1, [200]), ("d", 2, 1, [20, 250])]
+    low, top, gain = (10.0, 20.0, 0.0), (200.0, 220.0, 240.0), (2.0, 1.6, 0.0)
+    got = {(r.img, r.y, r.x): (r.b, r.g, r.r) for r in fusion.demosaiced(spark.createDataFrame(rows, "img string, h int, w int, p array<int>"), low, top, gain, layout=layout).collect()}
+    told = {}
+    for name, h, w, p in rows:
+        for y in range(max(1, h // 2)):
+            for x in range(max(1, w // 2)):
+                sums = {c: [] for c in "RGB"}
+                for k, c in enumerate(layout):
+                    v, u, j = 2 * y + k // 2, 2 * x + k % 2, "RGB".index(c)
+                    if v < h and u < w:
+                        sums[c].append(min(1, max(0, (p[v * w + u] - low[j]) / (top[j] - low[j]))))
+                mean = {c: sum(v) / len(v) if v else 0 for c, v in sums.items()}
+                told[name, y, x] = tuple(int(min(1, mean[c] * {"R": 1.25, "G": 1, "B": 1}[c]) * 255 + 0.5) for c in "BGR")
+    assert got == told
+    with pytest.raises(ValueError):
+        fusion.demosaiced(spark.createDataFrame(rows, "img string, h int, w int, p array<int>"), 0, 255, gain, layout="RGBE")
+
+
 def test_records_round_trip(spark, tmp_path):
     rows = [("a.jpg", 8785.1, 1232.63, 5.0, 4, "2024-01-01T00:00:00+01:00", 2624, 1750), ("b.c.png", 1.0, 0.5, 1.0, 8, "t", 10, 20)]
     df = spark.createDataFrame(rows, "image_filename string, max_regional_sharpness double, global_sharpness double, sharp_region_count double, grid_size long, timestamp string, width int, height int")

@@ -24,14 +24,22 @@ MOTIONS = {"translation": 2, "euclidean": 3, "affine": 6, "homography": 8}
 def solved(model: str, a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray | None:
     """The (weighted) least squares transform (3 by 3) that takes points a to b, or None if they don't decide one."""
     n = len(a)
+    if model == "similarity":  # as complex numbers v = c z + t, in closed form
+        z, v = a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1]
+        share = np.full(n, 1 / n) if weight is None else weight / weight.sum()
+        middle, to = share @ z, share @ v
+        spread = share @ np.abs(z - middle) ** 2
+        if not spread > 1e-18 * (1 + abs(middle) ** 2):
+            return None
+        c = (share * (z - middle).conj()) @ (v - to) / spread
+        t = to - c * middle
+        return np.array([[c.real, -c.imag, t.real], [c.imag, c.real, t.imag], [0, 0, 1.0]])
     x, y, one, zero = a[:, 0], a[:, 1], np.ones(n), np.zeros(n)
     if model == "homography":
         u, v = b[:, 0], b[:, 1]
         rows = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y], 1), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y], 1)])
-    elif model == "affine":
-        rows = np.concatenate([np.stack([x, y, one, zero, zero, zero], 1), np.stack([zero, zero, zero, x, y, one], 1)])
     else:
-        rows = np.concatenate([np.stack([x, -y, one, zero], 1), np.stack([y, x, zero, one], 1)])
+        rows = np.concatenate([np.stack([x, y, one, zero, zero, zero], 1), np.stack([zero, zero, zero, x, y, one], 1)])
     told = np.concatenate([b[:, 0], b[:, 1]])
     if weight is not None:
         each = np.sqrt(np.concatenate([weight, weight]))
@@ -41,10 +49,7 @@ def solved(model: str, a: np.ndarray, b: np.ndarray, weight: np.ndarray | None =
         return None
     if model == "homography":
         return np.append(found, 1).reshape(3, 3)
-    if model == "affine":
-        return np.vstack([found.reshape(2, 3), [0, 0, 1]])
-    c, s, tx, ty = found
-    return np.array([[c, -s, tx], [s, c, ty], [0, 0, 1.0]])
+    return np.vstack([found.reshape(2, 3), [0, 0, 1]])
 
 
 def moved(m: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -144,7 +149,9 @@ def ransac(model: str, a: np.ndarray, b: np.ndarray, threshold: float, rounds: i
         refined = solved(model, a[inside], b[inside], 1 / (1 + (away / usual) ** 2)) if usual > 1e-9 else None
         if refined is None:
             break
-        best = refined
+        best, settled = refined, np.abs(refined - best).max() < 1e-6
+        if settled:
+            break
     return best, inside
 
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framefold.operators import matching, scales
 from framefold.operators.kernels import area_resized, equalised, filtered, gaussian, grey, linear_taps, sampled, single, unpacked
 
 MODELS = {"similarity": 2, "affine": 3, "homography": 4}
@@ -278,28 +279,36 @@ def aligned(pairs: DataFrame, key: list[str], motion: str = "translation") -> Da
     return pairs.mapInArrow(run, schema)
 
 
-def fallbacks(ref: np.ndarray, image: np.ndarray, motion: str, rounds: int, epsilon: float, limits: tuple[float, float, float], most: int = 500, blur: int = 3, seconds: float | None = None) -> list[tuple[str, np.ndarray | None]]:
-    """Candidates in order: correlation from a start that features give, the features alone, the identity.
+def fallbacks(ref: np.ndarray, image: np.ndarray, motion: str, rounds: int, epsilon: float, limits: tuple[float, float, float], most: int = 500, blur: int = 3, seconds: float | None = None) -> Iterator[tuple[str, np.ndarray | None]]:
+    """Candidates in order: correlation from a start that SIFT gives, corners alone, the identity.
 
-    Each is None where it isn't found or isn't valid (limits: scale, shift, determinant).  With a start, the
-    correlation gets half of the rounds; one that isn't done in so many seconds counts as not found.
+    Each is None where it isn't found or isn't valid (limits: scale, shift, determinant), and is looked for when it is
+    asked for.  With a start, the correlation gets half of the rounds; one that isn't done in so many seconds counts as
+    not found.
     """
-    (qa, _, qc), (ta, _, tc) = corners(ref, most), corners(image, most)
-    start = rough = None
-    if len(qa) >= 10 and len(ta) >= 10:
-        distance = np.bitwise_count(qc.view(np.uint64)[:, None] ^ tc.view(np.uint64)[None]).sum(axis=2, dtype=np.int64)
-        near, back = distance.argmin(axis=1), distance.argmin(axis=0)
-        mutual = np.flatnonzero(back[near] == np.arange(len(qa)))
-        order = mutual[np.argsort(distance[mutual, near[mutual]], kind="stable")]
-        order = order[: min(len(order), max(10, int(0.3 * len(order))))]
-        if len(order) >= 10:
-            model = "homography" if motion == "homography" else "similarity"
-            rough, _ = ransac(model, qa[order].astype(float), ta[near[order]].astype(float), 3.0, 2000, 0.995, len(order))
-    if rough is not None:
-        start = _parameters(motion, rough)
-    fine, rho = ecc(ref, image, motion, rounds // 2 if start is not None else rounds, epsilon, blur, start, seconds)
     ok = lambda m: m if m is not None and np.isfinite(m).all() and _valid(m, *limits) else None
-    return [("correlation", ok(fine if np.isfinite(rho) else None)), ("features", ok(rough)), ("identity", np.eye(3))]
+    rough = by_features(ref, image, "sift", motion, most)
+    start = None if rough is None else _parameters(motion, rough)
+    fine, rho = ecc(ref, image, motion, rounds // 2 if start is not None else rounds, epsilon, blur, start, seconds)
+    yield "correlation", ok(fine if np.isfinite(rho) else None)
+    yield "features", ok(by_features(ref, image, "orb", motion, most))
+    yield "identity", np.eye(3)
+
+
+def by_features(ref: np.ndarray, image: np.ndarray, detector: str, motion: str, most: int) -> np.ndarray | None:
+    """The fit of the best 30 % of mutual matches, ten at least; None with fewer keypoints or matches."""
+    (qa, _, qc), (ta, _, tc) = (FINDERS[detector](i, most) for i in (ref, image))
+    if len(qa) < 10 or len(ta) < 10:
+        return None
+    distance = matching.hamming(qc, tc) if detector in BINARY else matching.squared(qc, tc)
+    near, back = distance.argmin(axis=1), distance.argmin(axis=0)
+    mutual = np.flatnonzero(back[near] == np.arange(len(qa)))
+    order = mutual[np.argsort(distance[mutual, near[mutual]], kind="stable")]
+    order = order[: min(len(order), max(10, int(0.3 * len(order))))]
+    if len(order) < 10:
+        return None
+    model = "homography" if motion == "homography" else "similarity"
+    return ransac(model, qa[order].astype(float), ta[near[order]].astype(float), 3.0, 2000, 0.995, len(order))[0]
 
 
 def _valid(m: np.ndarray, scale: float, shift: float, determinant: float) -> bool:
@@ -391,7 +400,7 @@ def _corners_at(real: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np
     response = a * b - c * c - 0.04 * (a + b) ** 2
     h, w = real.shape
     near = np.max([np.pad(response, 1, constant_values=-np.inf)[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0)
-    y, x = np.nonzero((response >= near) & (response > 0))
+    y, x = np.nonzero((response >= near) & (response > 1e-6))  # less is rounding of flat areas
     order = np.lexsort((x, y, -response[y, x]))[:most]
     y, x = y[order], x[order]
     smooth = gaussian(real, 2.0)
@@ -423,8 +432,14 @@ def _peak(response: np.ndarray, y: np.ndarray, x: np.ndarray, dy: int, dx: int)
     return np.clip(np.divide(before - after, 2 * bend, out=np.zeros(len(y)), where=bend < 0), -0.5, 0.5)
 
 
-def features(rasters: DataFrame, most: int = 5000, clahe: bool = False, scale: float = 1.0) -> DataFrame:
-    """(img, kp_id, x, y, response, desc): one row for each keypoint, its descriptor with it.
+#: What finds keypoints, by the settings' name; which of them have binary descriptors.
+FINDERS = {"orb": corners, "sift": scales.sift, "akaze": scales.akaze}
+BINARY = ("orb", "akaze")
+
+
+def features(rasters: DataFrame, most: int = 5000, clahe: bool = False, scale: float = 1.0, detector: str = "orb") -> DataFrame:
+    """(img, kp_id, x, y, response, desc): one row for each keypoint, its descriptor with it: 64-bit codes (orb, akaze)
+    or numbers of 0 .. 255 (sift).
 
     With clahe and scale they are found in the prepared() raster; their places are those of the whole size.
     """
@@ -434,11 +449,11 @@ def features(rasters: DataFrame, most: int = 5000, clahe: bool = False, scale: f
             for r in batch.to_pylist():
                 image = unpacked(r["data"], r["h"], r["w"], r["c"])
                 small = prepared(image, clahe, scale) if clahe or scale != 1.0 else grey(image.astype(float))
-                points, response, codes = corners(small, most)
+                points, response, codes = FINDERS[detector](small, most)
                 points = (points + 0.5) * np.array([image.shape[1] / small.shape[1], image.shape[0] / small.shape[0]]) - 0.5
                 n = len(points)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["img"]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(points[:, 0].astype(float)), pa.array(points[:, 1].astype(float)), pa.array(response), pa.array(codes.tolist(), pa.list_(pa.int64()))],
+                    [pa.array([r["img"]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(points[:, 0].astype(float)), pa.array(points[:, 1].astype(float)), pa.array(response), pa.array(codes.astype(np.int64).tolist(), pa.list_(pa.int64()))],
                     names=["img", "kp_id", "x", "y", "response", "desc"],
                 )
 

@@ -44,12 +44,10 @@ def sharp_frames(frames: DataFrame, settings: Settings = Settings(), cached: Dat
 
 def pair_transforms(frames: DataFrame, settings: Settings = Settings(), most: int = 5000) -> DataFrame:
     """(stack, img, m00 .. m12, missing): each frame's step from its own places to those of the frame before it."""
-    if settings.detector != "orb":
-        raise NotImplementedError(f"{settings.detector}: only corners with binary descriptors are built in")
-    points = estimation.features(frames.select("img", "h", "w", "c", "data"), most, settings.use_clahe, SMALLER)
+    points = estimation.features(frames.select("img", "h", "w", "c", "data"), most, settings.use_clahe, SMALLER, settings.detector)
     stacks = frames.select("stack", "img")
     keyed = points.join(stacks, "img")
-    matches = matching.nearest(matching.consecutive(keyed.select("stack", "img", "kp_id", "desc"), ["stack"]), ["stack"], binary=True)
+    matches = matching.nearest(matching.consecutive(keyed.select("stack", "img", "kp_id", "desc"), ["stack"]), ["stack"], binary=settings.detector in estimation.BINARY)
     best = matching.best_matches(matches, ["stack", "query_img"])
     before = stacks.withColumn("train_img", F.lag("img").over(W.partitionBy("stack").orderBy("img"))).select("stack", F.col("img").alias("query_img"), "train_img")
     at = keyed.select("stack", "img", "kp_id", "x", "y")

@@ -666,7 +666,7 @@ def ecc_translation(spark: SparkSession, d: str) -> DataFrame:
 
 @query("corner_features")
 def corner_features(spark: SparkSession, d: str) -> DataFrame:
-    """A25, in the form that we have: corners with binary descriptors."""
+    """Corners at many scales with binary descriptors."""
     return estimation.features(_packed(spark, d).select("img", "h", "w", "c", "data"), 20)
 
 

@@ -185,20 +185,27 @@ def test_corners_keep_their_descriptors():
     assert (np.diff(response) <= 0).all() and (points[:5] == fewer[0]).all() and (codes[:5] == fewer[2]).all()
 
 
+@pytest.mark.parametrize("detector", list(estimation.FINDERS))
 @pytest.mark.parametrize("angle, scale", [(0.5, 1.0), (2.0, 1.0), (0.0, 1.4), (-1.0, 0.8)])
-def test_corners_turned_and_scaled_are_recognised(angle, scale):
+def test_keypoints_turned_and_scaled_are_recognised(angle, scale, detector):
     """Mutual nearest descriptors of a picture and its turned, scaled copy fit the transform that made it."""
     base = np.clip(scene(200, 200) + np.kron(np.random.default_rng(3).normal(0, 30, (40, 40)), np.ones((5, 5))), 0, 255)
     c, s = scale * np.cos(angle), scale * np.sin(angle)
     m = np.array([[c, -s, 100 - 100 * c + 100 * s], [s, c, 100 - 100 * s - 100 * c]])
     other = kernels.warped(base, m, taps=kernels.linear_taps)
-    (qa, _, qc), (ta, _, tc) = estimation.corners(base, 500), estimation.corners(other, 500)
-    far = np.bitwise_count(qc.view(np.uint64)[:, None] ^ tc.view(np.uint64)[None]).sum(axis=2, dtype=np.int64)
-    near, back = far.argmin(axis=1), far.argmin(axis=0)
-    mutual = np.flatnonzero(back[near] == np.arange(len(qa)))
-    mutual = mutual[np.argsort(far[mutual, near[mutual]], kind="stable")][: max(10, len(mutual) * 3 // 10)]
-    found, inside = estimation.ransac("similarity", qa[mutual], ta[near[mutual]], 3.0, 2000, 0.995, 1)
-    assert inside.sum() >= 10 and np.allclose(found[:2, :2], m[:, :2], atol=0.05) and np.abs(estimation.moved(found, qa[mutual]) - qa[mutual] @ m[:, :2].T - m[:, 2]).max() < 5
+    found = estimation.by_features(base, other, detector, "euclidean", 500)
+    places = RNG.uniform(40, 160, (50, 2))
+    assert np.allclose(found[:2, :2], m[:, :2], atol=0.01) and np.abs(estimation.moved(found, places) - places @ m[:, :2].T - m[:, 2]).max() < 1
+    fewer, more = estimation.FINDERS[detector](base, 5), estimation.FINDERS[detector](base, 200)
+    assert all((f == v[:5]).all() for f, v in zip(fewer, more, strict=True)) and (np.diff(more[1]) <= 0).all()
+
+
+@pytest.mark.parametrize("detector", list(estimation.FINDERS))
+def test_flat_and_tiny_rasters_have_no_keypoints(detector):
+    for shape in ((1, 1), (5, 40), (64, 48)):
+        points, response, codes = estimation.FINDERS[detector](np.full(shape, 90.0), 10)
+        assert len(points) == len(response) == len(codes) == 0
+    assert estimation.by_features(np.zeros((40, 40)), np.zeros((40, 40)), detector, "affine", 10) is None
 
 
 @settings(max_examples=30, deadline=None)

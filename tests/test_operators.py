@@ -175,6 +175,13 @@ def test_a_whole_series(spark, tmp_path):
         series.run(spark, f"{folder}/flat", settings, most=200)
 
 
+@pytest.mark.parametrize("detector", ["sift", "akaze"])
+def test_steps_by_every_detector(spark, detector):
+    frames, _ = pictures(spark, 3)
+    steps = {r.img: r for r in align.pair_transforms(frames, Settings(detector=detector), most=300).collect()}
+    assert steps[0].missing and all(abs(steps[i].m02 + 1) < 0.2 and abs(steps[i].m12 - 1) < 0.2 for i in (1, 2))
+
+
 def test_bunches_are_kept_and_fused_again(spark, tmp_path):
     frames, _ = pictures(spark, 9, 48)
     folder = str(tmp_path)

@@ -4,6 +4,7 @@
     FOLDER/sharpness/          scores, a table that is replaced
     FOLDER/aligned/            aligned frames, a table that is added to; a frame that is there isn't warped again
     FOLDER/bunches/level=*/    what each round of fusing but the last gave, as L0_B0000.png and so on; a table a level
+    FOLDER/.thumbnails/        previews, which clear_cache deletes
     FOLDER/final/result_*.png  results; the smallest free number is taken
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from framefold.config import Settings
 from framefold.functions import paths
 from framefold.operators import catalog, kernels, sharpness
-from framefold.plans import align, stack
+from framefold.plans import align, previews, stack
 from framefold.sources import images
 
 
@@ -121,6 +122,13 @@ def resized(frames: DataFrame, folder: str, height: int, width: int) -> DataFram
     return frames.sparkSession.read.parquet(path)
 
 
+def cached_previews(frames: DataFrame, folder: str, width: int = 1920, height: int = 1080) -> DataFrame:
+    """K7: (path, content): the frames fitted to a screen, as JPEG files, in a table under FOLDER/.thumbnails that replaces the last."""
+    path = f"{folder}/.thumbnails/previews"
+    images.as_jpeg(previews.previews(frames.select("path", "h", "w", "c", "data"), width, height)).write.mode("overwrite").parquet(path)
+    return frames.sparkSession.read.parquet(path)
+
+
 def clear_cache(spark: SparkSession, folder: str) -> bool:
     """Deletes a folder's thumbnails; whether there were any."""
     path = f"{folder}/.thumbnails"

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framefold.sources import jpeg
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Channels by colour type.
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
@@ -278,8 +280,17 @@ def read_spark(spark: SparkSession, folder: str, strict: bool = False) -> DataFr
     return rows.select(F.col("origin").alias("path"), F.col("height").alias("h"), F.col("width").alias("w"), F.col("nChannels").alias("c"), "data")
 
 
+def as_jpeg(rasters: DataFrame, quality: int = 92) -> DataFrame:
+    """K7: (keys..., content): each raster as the bytes of a JPEG file."""
+    return as_files(rasters, lambda image: jpeg.encoded(image, quality))
+
+
 def as_png(rasters: DataFrame, level: int = 3) -> DataFrame:
     """K1, K3, K7: (keys..., content): each raster as the bytes of a PNG file, ready for any sink."""
+    return as_files(rasters, lambda image: encoded(image, level))
+
+
+def as_files(rasters: DataFrame, encode: Callable[[np.ndarray], bytes]) -> DataFrame:
     keys = [f for f in rasters.schema.fields if f.name not in ("h", "w", "c", "data")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys) + ", content binary"
 
@@ -287,7 +298,7 @@ def as_png(rasters: DataFrame, level: int = 3) -> DataFrame:
         from framefold.operators.kernels import single, unpacked
 
         for batch in single(batches):
-            made = [encoded(unpacked(r["data"], r["h"], r["w"], r["c"]), level) for r in batch.select(["h", "w", "c", "data"]).to_pylist()]
+            made = [encode(unpacked(r["data"], r["h"], r["w"], r["c"])) for r in batch.select(["h", "w", "c", "data"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keys], pa.array(made, pa.binary())], names=[*[f.name for f in keys], "content"])
 
     return rasters.mapInArrow(run, schema)

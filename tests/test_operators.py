@@ -11,7 +11,7 @@ from framefold.functions import paths
 from framefold.operators import catalog, fusion, kernels, sharpness, transforms
 from framefold.operators.ranking import numbered
 from framefold.plans import align, control, series, stack
-from framefold.sources import images, scores
+from framefold.sources import images, jpeg, scores
 from framefold.streaming import ingest
 
 
@@ -182,6 +182,24 @@ def test_steps_by_every_detector(spark, detector):
     assert steps[0].missing and all(abs(steps[i].m02 + 1) < 0.2 and abs(steps[i].m12 - 1) < 0.2 for i in (1, 2))
 
 
+def test_jpeg_files(spark, tmp_path):
+    """Spark's own reader gives back what was written; at the best quality but for rounding."""
+    y, x = np.mgrid[:41, :67]
+    wave = np.clip(128 + 90 * np.sin(x / 9)[..., None] * np.cos(y[..., None] / [7, 5, 11]) + np.random.default_rng(5).normal(0, 6, (41, 67, 3)), 0, 255).astype(np.uint8)
+    rows = [("grey", wave[..., 0]), ("colour", wave), ("clear", np.dstack([wave, wave[..., 0]])), ("dot", wave[:1, :1]), ("flat", np.full((8, 24), 77, np.uint8)), ("rough", np.random.default_rng(6).integers(0, 256, (33, 40), np.uint8))]
+    made = [(f"{n}.jpg", *i.shape[:2], 1 if i.ndim == 2 else i.shape[2], bytearray(i.tobytes())) for n, i in rows]
+    frames = spark.createDataFrame(made, "path string, h int, w int, c int, data binary")
+    images.write_files(images.as_jpeg(frames, 100).withColumnRenamed("path", "name"), str(tmp_path))
+    back = {r.path.rsplit("/", 1)[1]: np.frombuffer(r.data, np.uint8).reshape(r.h, r.w, r.c) for r in images.read_files(spark, str(tmp_path)).collect()}
+    assert set(back) == {m[0] for m in made}
+    for n, i in rows:
+        told = i[..., None] if i.ndim == 2 else i[..., :3]
+        assert np.abs(back[f"{n}.jpg"].astype(int) - told).mean() < 1, n
+        assert len(jpeg.encoded(i)) <= len(jpeg.encoded(i, 100)) and jpeg.encoded(i) != jpeg.encoded(i, 20), n
+    kept = series.cached_previews(frames, str(tmp_path), 30, 30).collect()
+    assert len(kept) == 6 and all(bytes(r.content[:2]) == b"\xff\xd8" for r in kept) and series.clear_cache(spark, str(tmp_path))
+
+
 def test_bunches_are_kept_and_fused_again(spark, tmp_path):
     frames, _ = pictures(spark, 9, 48)
     folder = str(tmp_path)

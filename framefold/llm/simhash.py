@@ -13,8 +13,10 @@ Equal fingerprints are one node, so copies cost one row each and no pairs.  Link
 distributed stars; nothing but statistics of 64 * 64 numbers and a few counts reaches the driver.
 
 near_duplicates() links by fingerprints of 64 bits.  similar() is for documents that are alike by a share of their
-shingles, which differ in more bits than a search can afford, and which fingerprints only estimate: it finds
-them by prefixes of their sets of shingles, and verifies on the sets.
+shingles, and searches the same way with fingerprints of WORDS words: each word has its groups and thresholds, what
+meets in a part of any word is held against CLOSE bits, and then verified on the sets of shingles, exactly.  Texts
+that differ in more bits than thresholds can afford may meet in no part; the pairs that are left are found by
+prefixes of the sets, so that none is lost.
 
 Defined cases: null and empty texts have no words and fingerprint zero, and link like any other; fewer
 than three words are one shingle; a null doc_id gets a fingerprint but no component, and takes no part in
@@ -47,6 +49,9 @@ BLOCK = 1 << 15
 FREQUENT, TALLY, CHUNK = 1 << 20, 1 << 21, 2000
 #: Bits of a text's parity sketch at least.
 SKETCH = 1024
+#: Words of a wide fingerprint; in how many bits one of them may differ and is sure to meet; and in how many bits of the
+#: first two words a pair may differ that is verified: texts with a similarity of 0.8 differ in 19 of 128, unlike ones in 64.
+WORDS, SURE, CLOSE = 8, 3, 32
 #: What a shuffled probe costs, in verified candidates.
 PROBE_COST = 400
 
@@ -278,7 +283,7 @@ def frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixed(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], least: float, width: int) -> DataFrame:
-    """(doc_id, digest, size, prefix, salts, sketch): the first shingles of each text's set, rare ones first.
+    """(doc_id, digest, size, prefix, salts, sketch, fps): the first shingles of each text's set, rare ones first; fps its wide fingerprint.
 
     Of two sets with a Jaccard similarity of `least` or more, these share one.  salts deals the rows of a frequent
     shingle over as many parts as hold some CHUNK each; null if a text has none of these.
@@ -287,7 +292,7 @@ def prefixed(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], least: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sizes, prefixes, salts, sketches = [], [], [], []
+            sizes, prefixes, salts, sketches, fps = [], [], [], [], []
             for digest, text in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 tokens = shingle_set(text or b"", width)
                 often = np.zeros(len(tokens), np.int64)
@@ -298,11 +303,12 @@ def prefixed(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], least: floa
                 parts = often[first] // CHUNK + 1
                 sizes.append(len(tokens))
                 sketches.append(parity_sketch(tokens))
+                fps.append(wide_fingerprint(tokens))
                 prefixes.append(tokens[first].view(np.int64))
                 salts.append((int.from_bytes(digest[:7], "little") % parts).astype(np.int32) if parts.max() > 1 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32())), pa.array(sketches, pa.binary())], names=["doc_id", "digest", "size", "prefix", "salts", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32())), pa.array(sketches, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "digest", "size", "prefix", "salts", "sketch", "fps"])
 
-    return rows.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, size int, prefix array<long>, salts array<int>, sketch binary")
+    return rows.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, size int, prefix array<long>, salts array<int>, sketch binary, fps array<long>")
 
 
 def unlike_dropped(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -354,13 +360,115 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, least: float,
     return found
 
 
+def wide_fingerprint(tokens: np.ndarray) -> np.ndarray:
+    """WORDS fingerprints of a set of hashes, as signed longs: each word by other hashes, mixed from the set's."""
+    total = np.zeros(WORDS * BITS, np.int64)
+    for begin in range(0, len(tokens), 255):  # so many sums fit a byte
+        z = tokens[begin : begin + 255, None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        total += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(total * 2 > len(tokens), bitorder="little").view("<i8")
+
+
+def together_by_word(nodes: DataFrame) -> tuple[int, np.ndarray]:
+    """As together(), for each word of nodes (fps): WORDS * 64 * 64 numbers, summed on the executors in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros((WORDS, BITS, BITS)), 0
+        for batch in sliced(batches):
+            words = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, WORDS, 1)
+            bits = np.unpackbits(words.view(np.uint8), axis=2, bitorder="little").astype(np.float32)
+            sums += np.matmul(bits.transpose(1, 2, 0), bits.transpose(1, 0, 2))
+            n += len(words)
+        cells = np.flatnonzero(sums)
+        counts = np.concatenate([[n], sums.ravel()[cells]]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], cells]).astype(np.int32)), pa.array(counts)], names=["cell", "n"])
+
+    got = nodes.select("fps").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells, counts = got["cell"].to_numpy(), got["n"].to_numpy()
+    both = np.zeros(WORDS * BITS * BITS)
+    both[cells[cells >= 0]] = counts[cells >= 0]
+    return int(counts[cells < 0].sum()), both.reshape(WORDS, BITS, BITS)
+
+
+def planned_by_word(nodes: DataFrame, distance: int, choices: tuple[int, ...] = (3, 4)) -> list[Plan]:
+    """A plan for each word of nodes (fps), all with the number of parts that is the cheapest over all words."""
+    n, both = together_by_word(nodes)
+    ways = [[grouped(n, both[w], m) for w in range(WORDS)] for m in choices]
+    parts = [(way, w, k, as_mask(g)) for way, words in enumerate(ways) for w, groups in enumerate(words) for k, g in enumerate(groups)]
+    keys = F.array(*[F.struct(F.lit(i).alias("i"), F.get("fps", F.lit(w)).bitwiseAND(F.lit(m)).alias("key")) for i, (_, w, _, m) in enumerate(parts)])
+    each = nodes.select(F.explode(keys).alias("e")).groupBy("e.i", "e.key").count()
+    found = {r["i"]: int(r["pairs"]) for r in each.groupBy("i").agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs")).collect()}
+    pairs = {part[:3]: found.get(i, 0) for i, part in enumerate(parts)}
+    plans = [[allocated(n, both[w], groups, [pairs[way, w, k] for k in range(len(groups))], distance) for w, groups in enumerate(words)] for way, words in enumerate(ways)]
+    return min(plans, key=lambda x: sum(p.cost for p in x))
+
+
+def indexed(nodes: DataFrame, plans: list[Plan]) -> DataFrame:
+    """(part, key, node, c, f0, f1): nodes (node, c, fps) under their bits of each part, for parts with a threshold of 0 or more."""
+    used = [(i, w, as_mask(g)) for i, (w, g, _) in enumerate(searched(plans))]
+    keys = F.array(*[F.struct(F.lit(i).alias("part"), F.get("fps", F.lit(w)).bitwiseAND(F.lit(m)).alias("key")) for i, w, m in used])
+    first = [F.get("fps", F.lit(w)).alias(f"f{w}") for w in (0, 1)]
+    return nodes.select("node", "c", *first, F.explode(keys).alias("e")).select("e.part", "e.key", "node", "c", "f0", "f1")
+
+
+def searched(plans: list[Plan]) -> list[tuple[int, tuple[int, ...], int]]:
+    """(word, bits, threshold) of all parts that are probed."""
+    return [(w, g, t) for w, plan in enumerate(plans) for g, t in zip(plan.groups, plan.thresholds, strict=True) if t >= 0]
+
+
+def close(x: str, y: str) -> Column:
+    """Whether x.f0, x.f1 and y.f0, y.f1 differ in at most CLOSE bits."""
+    return F.bit_count(F.col(f"{x}.f0").bitwiseXOR(F.col(f"{y}.f0"))) + F.bit_count(F.col(f"{x}.f1").bitwiseXOR(F.col(f"{y}.f1"))) <= CLOSE
+
+
+def star_links(nodes: DataFrame, plans: list[Plan]) -> DataFrame:
+    """(a, b): each of nodes (node, c, fps) with the least that shares a part's bits: stars, not pairs, for large groups."""
+    lead = F.min(F.struct("node", "f0", "f1")).over(W.partitionBy("part", "key"))
+    led = indexed(nodes, plans).select(F.struct("node", "f0", "f1").alias("x"), lead.alias("y"))
+    return led.filter((F.col("x.node") != F.col("y.node")) & close("x", "y")).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
+
+
+def wide_links(nodes: DataFrame, plans: list[Plan]) -> DataFrame:
+    """(a, b, ca, cb), once each: nodes (node, c, fps) of different c that meet within a part's threshold and are close."""
+    stored = indexed(nodes, plans)
+    flips = [(i, as_mask(x)) for i, (_, g, t) in enumerate(searched(plans)) for k in range(t + 1) for x in combinations(g, k)]
+    near = stored
+    if any(x for _, x in flips):  # as many as the plans have, whatever the input: at most a few thousand rows
+        table = nodes.sparkSession.createDataFrame(flips, "part int, flip long")
+        near = stored.join(F.broadcast(table), "part").withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
+    x, y = near.alias("x"), stored.alias("y")
+    meeting = (F.col("x.part") == F.col("y.part")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
+    return x.join(y, meeting & close("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct()
+
+
+def joined(named: DataFrame, found: DataFrame) -> DataFrame:
+    """named (node, c) after its components have been linked by the pairs found (.., ca, cb)."""
+    over = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("top"))
+    return written(named.join(over.hint("merge"), "c", "left").select("node", F.coalesce("top", "c").alias("c")), "joined")
+
+
+def met_by_fingerprints(whole: DataFrame, nodes: DataFrame, rows: DataFrame, least: float, width: int) -> DataFrame:
+    """(node, c): components of the pairs that wide fingerprints find, each verified.  whole: (node, fps, ..)."""
+    plans = planned_by_word(whole, SURE)
+    alone = whole.select("node", F.col("node").alias("c"), "fps")
+    stars = written(star_links(alone, plans).select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), "stars")
+    swept(whole.sparkSession)
+    known = joined(alone.select("node", "c"), verified(stars, nodes, rows, least, width))
+    pairs = written(wide_links(whole.select("node", "fps").join(known.hint("merge"), "node"), plans), "pairs")
+    swept(whole.sparkSession)
+    return joined(known, verified(pairs, nodes, rows, least, width))
+
+
 def similar_nodes(docs: DataFrame, least: float, width: int) -> DataFrame:
     """(digest, rep, component): each text with its smallest doc_id and the group of texts that it belongs to."""
     spark = docs.sparkSession
     rows = digested(docs, F.col("text").cast("string").alias("text"))
     common = frequent(rows.select("text"), width)
     each = prefixed(rows, common, least, width)
-    nodes = each.groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "prefix", "salts", "sketch")])
+    nodes = each.groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "prefix", "salts", "sketch", "fps")])
     whole = written(nodes.withColumn("node", F.monotonically_increasing_id()), "prefixes")
     nodes = written(whole.select("node", "rep", "digest", "size", "sketch"), "nodes")
     swept(spark)
@@ -370,31 +478,21 @@ def similar_nodes(docs: DataFrame, least: float, width: int) -> DataFrame:
         m, pos, n, other = F.col(m), F.col(pos), F.col(n), F.col(other)
         return (F.least(m, n) >= least * F.greatest(m, n) - 1e-6) & (F.least(m - pos, n - other) >= least / (1 + least) * (m + n) - 1e-6)
 
-    # Under a shingle that several texts have in their prefixes, that with the fewest rarer ones leads: in each part
-    # of a frequent shingle first.  The shorter text of a pair has the shingle among the first of its prefix.
+    known = met_by_fingerprints(whole, nodes, rows, least, width)
+    # The rest: under a shingle that several texts have in their prefixes, that with the fewest rarer ones leads: in each
+    # part of a frequent shingle.  The shorter text of a pair has the shingle among the first of its prefix.
     under = W.partitionBy("token", "salt")
     salt = F.coalesce(F.get("salts", F.col("pos")), F.lit(0))
-    met = whole.select("node", "size", "salts", F.posexplode("prefix").alias("pos", "token")).withColumn("salt", salt).drop("salts")
+    met = whole.select("node", "size", "salts", "prefix").join(known.hint("merge"), "node").select("node", "size", "c", "salts", F.posexplode("prefix").alias("pos", "token"))
+    met = met.withColumn("salt", salt).drop("salts")
     short = F.col("size") - F.col("pos") >= 2 * least / (1 + least) * F.col("size") - 1e-6
-    met = met.withColumn("n", F.count(F.lit(1)).over(under)).withColumn("s", F.max(short).over(under)).withColumn("l", F.min(F.struct("pos", "node", "size")).over(under))
+    met = met.withColumn("n", F.count(F.lit(1)).over(under)).withColumn("s", F.max(short).over(under)).withColumn("lc", F.min(F.struct("pos", "node", "c")).over(under)["c"])
     hot = F.broadcast(spark.createDataFrame([(int(t),) for t in common[0].view(np.int64)[common[1] >= CHUNK]], "hot long"))  # at most FREQUENT rows
     met = met.join(hot, F.col("token") == F.col("hot"), "left").withColumn("hot", F.col("hot").isNotNull())
-    met = written(met.filter("hot or n > 1 and s").select("token", "node", "size", "pos", F.col("l.node").alias("lnode"), F.col("l.pos").alias("lpos"), F.col("l.size").alias("lsize"), "hot"), "met")
+    stored = written(met.filter("hot or n > 1 and s").select("token", "node", "size", "pos", "c", "lc", "hot"), "met")
     discard(whole)
     swept(spark)
-    # First each text is held against the one that leads, and the leaders of a frequent shingle's parts against the
-    # least of them: stars, not pairs, for groups of copies.
-    led = met.filter((F.col("node") != F.col("lnode")) & possible("size", "pos", "lsize", "lpos")).select(F.col("lnode").alias("a"), F.col("node").alias("b"))
-    leaders = met.filter("hot and node = lnode")
-    top = leaders.groupBy("token").agg(F.min(F.struct("pos", "node", "size")).alias("t"))
-    tops = leaders.join(F.broadcast(top), "token").filter((F.col("node") != F.col("t.node")) & possible("size", "pos", "t.size", "t.pos"))
-    pairs = written(led.union(tops.select(F.col("t.node").alias("a"), F.col("node").alias("b"))).distinct(), "led")
-    known = components(verified(pairs, nodes, rows, least, width)).withColumnRenamed("component", "c")
-    # Then pairs of different components only; the leader's component isn't paired with itself.
-    named = met.select("token", "node", "size", "pos", "lnode", "hot").join(known.hint("merge"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    lead = known.select(F.col("node").alias("lnode"), F.col("c").alias("lc"))
-    stored = named.join(lead.hint("merge"), "lnode", "left").withColumn("lc", F.coalesce("lc", "lnode"))
-    stored = written(stored.select("token", "node", "size", "pos", "c", "lc", "hot"), "named")
+    # Pairs of different components only; the leader's component isn't paired with itself.
     # A token whose rows are all of one component has no such pair; a frequent one's parts have leaders of their own.
     mixed = stored.filter("hot or c <> lc").select("token").distinct()
     # Of several components under a frequent shingle any one may be the leader's.
@@ -407,18 +505,17 @@ def similar_nodes(docs: DataFrame, least: float, width: int) -> DataFrame:
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("ca"), F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("cb"))
     pairs = written(pairs.distinct(), "pairs")
     # Components of components, then back to their members.
-    over = components(verified(pairs, nodes, rows, least, width).select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("top"))
+    named = joined(known, verified(pairs, nodes, rows, least, width)).withColumnRenamed("c", "component")
     swept(spark)
-    named = nodes.select("node", "digest", "rep").join(known.hint("merge"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    return named.join(over.hint("merge"), "c", "left").select("digest", "rep", F.coalesce("top", "c").alias("component"))
+    return nodes.select("node", "digest", "rep").join(named.hint("merge"), "node").select("digest", "rep", "component")
 
 
 def similar(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
     """(doc_id, component_id): documents whose sets of `width` words' shingles have a Jaccard similarity of `least` or more.
 
-    By prefixes: in any one order of all shingles, two sets that are so alike share one of their first
-    size - ceil(least * size) + 1 each.  Rare ones come first, so few sets meet.  All pairs are found, and each
-    is verified on the whole sets (of 64-bit hashes).  Texts are the nodes, not doc_ids: a doc_id with different
+    First by fingerprints, as planned_by_word() has them.  What they miss by prefixes: in any one order of all shingles,
+    two sets that are so alike share one of their first size - ceil(least * size) + 1 each.  Rare ones come first, so few
+    sets meet.  All pairs are found, and each is verified on the whole sets (of 64-bit hashes).  Texts are the nodes, not doc_ids: a doc_id with different
     texts links none of them.  A group's component_id is its smallest doc_id.
 
     Defined cases: null and empty texts are one text, without words, and those of fewer than `width` words are one

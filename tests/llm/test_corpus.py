@@ -471,6 +471,68 @@ def test_no_link_is_lost(spark, distance):
         assert found == {(i, j) for i, j in itertools.combinations(range(len(order)), 2) if bin(order[i] ^ order[j]).count("1") <= distance}
 
 
+def brute_wide(tokens):
+    out = []
+    for w in range(1, simhash.WORDS + 1):
+        hashes = []
+        for t in map(int, tokens):
+            z = (t + w * 0x9E3779B97F4A7C15) % 2**64
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+            hashes.append(z ^ z >> 31)
+        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 255, 256, 700])
+def test_wide_fingerprints(n):
+    tokens = np.unique(np.random.default_rng(n).integers(0, 2**64, n, np.uint64))
+    assert simhash.wide_fingerprint(tokens).view(np.uint64).tolist() == brute_wide(tokens)
+
+
+@pytest.mark.parametrize("choices", [(2,), (3,), (4,)])
+def test_no_wide_link_is_lost(spark, choices):
+    """Thresholds of any kind: who is within SURE bits in any word, and close, is met."""
+    rng = random.Random(13)
+    flipped = lambda f, most: f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, most)))
+    centres = [[rng.getrandbits(64) for _ in range(simhash.WORDS)] for _ in range(5)]
+    fps = [[flipped(f, 6) for f in c] for c in centres for _ in range(8)]
+    table = [(i, i // 2, np.array(f, np.uint64).view(np.int64).tolist()) for i, f in enumerate(fps)]
+    nodes = spark.createDataFrame(table, "node long, c long, fps array<long>")
+    plans = simhash.planned_by_word(nodes, simhash.SURE, choices)
+    assert all(sum(t + 1 for t in p.thresholds) == simhash.SURE + 1 for p in plans)
+    apart = {(a, b): [(x ^ y).bit_count() for x, y in zip(fps[a], fps[b], strict=True)] for a, b in itertools.combinations(range(len(fps)), 2) if a // 2 != b // 2}
+    near = {p for p, d in apart.items() if d[0] + d[1] <= simhash.CLOSE}
+    found = [(r["a"], r["b"]) for r in rows(simhash.wide_links(nodes, plans))]
+    assert {p for p in near if min(apart[p]) <= simhash.SURE} <= set(found) <= near and len(found) == len(set(found)) > 20
+
+
+def test_pipeline_searches_by_fingerprints(spark, monkeypatch):
+    """The stage's pairs come from fingerprints, grouped bits and thresholds; prefixes add only what these miss."""
+    import corpus_pipeline
+
+    rng = random.Random(33)
+    table = []
+    for i in range(0, 300, 2):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(100, 300))]
+        table += [(i, " ".join(words)), (i + 1, edited(words, rng.choice([0.01, 0.02, 0.025]), rng))]
+    alike = {i for i in range(0, 300, 2) if jaccard(table[i][1], table[i + 1][1]) >= 0.8}
+    seen = {}
+    found = simhash.met_by_fingerprints
+
+    def kept(whole, nodes, *more):
+        out = found(whole, nodes, *more)
+        for r in out.join(nodes, "node").groupBy("c").agg(F.sort_array(F.collect_list("rep")).alias("g")).filter("size(g) > 1").collect():
+            seen[r["g"][0]] = r["g"]
+        return out
+
+    monkeypatch.setattr(simhash, "met_by_fingerprints", kept)
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    left = {r["doc_id"] for r in rows(corpus_pipeline.near_duplicate_stage(spark, docs, ""))}
+    assert left == set(range(300)) - {i + 1 for i in alike}
+    assert all(g == [i, i + 1] for i, g in seen.items()) and set(seen) <= alike and len(seen) >= 0.9 * len(alike) > 80
+
+
 # Main text
 
 ARTICLE = "<article><h1>Title &amp; more</h1><p>First, long paragraph with, commas and words that go on for a while.<br>Second\n  line</p><p>Short.</p></article>"

@@ -70,6 +70,15 @@ def swept(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def rested(spark: SparkSession) -> None:
+    """Executors collect their garbage and return heap to the system, which a stage before may have grown to its limit:
+    the Python workers of the next one need it.  One short task a core; those that share an executor do no harm.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    collected = F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("gc")
+    spark.range(0, cores, 1, cores).select(collected).write.format("noop").mode("overwrite").save()
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end all that was written() inside.  What is to stay is written after it, or by other means."""
@@ -122,6 +131,7 @@ def staged(spark: SparkSession, docs: DataFrame) -> Iterator[None]:
         removed(spark, path)
         _staged.remove(path)
     swept(spark)
+    rested(spark)
     outer, own = _open.get(), []
     token = _open.set(own)
     try:

@@ -241,12 +241,11 @@ def digested(docs: DataFrame, *more: str | Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("digest"), *more).filter("doc_id is not null")
 
 
-def tallied(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each token once, ascending, with the sum of its counts."""
-    order = np.argsort(tokens)
-    tokens, n = tokens[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
-    return tokens[first], np.add.reduceat(n, first) if len(first) else n
+def tallied(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each token once, ascending, with its count.  Sorts tokens where they are."""
+    tokens.sort()
+    edges = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]])) if len(tokens) else np.zeros(1, np.int64)
+    return tokens[edges[:-1]], np.diff(edges)
 
 
 def frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,19 +258,32 @@ def frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        new: list[np.ndarray] = []
+        new, filled = np.empty(2 * TALLY, np.uint64), 0  # one buffer, sorted in place
 
         def settled() -> tuple[np.ndarray, np.ndarray]:
-            tokens, n = tallied(np.concatenate([known, *new]), np.concatenate([counts, np.ones(sum(map(len, new)), np.int64)]))
+            tokens, n = tallied(new[:filled])
+            at = np.minimum(np.searchsorted(tokens, known), max(len(tokens) - 1, 0))
+            again = tokens[at] == known if len(tokens) else np.zeros(len(known), bool)
+            counts[again] += n[at[again]]
+            n[at[again]] = 1
             often = n > 1
-            return tokens[often], n[often]
+            all_tokens, all_counts = np.concatenate([known, tokens[often]]), np.concatenate([counts, n[often]])
+            order = np.argsort(all_tokens)
+            return all_tokens[order], all_counts[order]
 
         for batch in sliced(batches):
             for text in batch.column(0).cast(pa.binary()).to_pylist():
-                new.append(shingle_set(text or b"", width))
-            if sum(map(len, new)) >= TALLY:
+                tokens = shingle_set(text or b"", width)
+                for begin in range(0, len(tokens), TALLY):
+                    part = tokens[begin : begin + TALLY]
+                    if filled + len(part) > len(new):
+                        known, counts = settled()
+                        filled = 0
+                    new[filled : filled + len(part)] = part
+                    filled += len(part)
+            if filled >= TALLY:
                 known, counts = settled()
-                new = []
+                filled = 0
         known, counts = settled()
         yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(counts)], names=["token", "n"])
 

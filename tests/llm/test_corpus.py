@@ -471,6 +471,41 @@ def test_no_link_is_lost(spark, distance):
         assert found == {(i, j) for i, j in itertools.combinations(range(len(order)), 2) if bin(order[i] ^ order[j]).count("1") <= distance}
 
 
+def test_shingles_are_counted_in_one_buffer(monkeypatch):
+    """Counts are those of a plain count, and no copies of all that was counted are made for them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Table:
+        def mapInArrow(self, f, schema):
+            self.run = f
+            raise StopIteration
+
+    tokens = np.arange(1, 40_001, dtype=np.uint64)
+    monkeypatch.setattr(simhash, "shingle_set", lambda text, width: tokens)
+    monkeypatch.setattr(simhash, "TALLY", 400_000)
+    table = Table()
+    with pytest.raises(StopIteration):
+        simhash.frequent(table, 5)
+    batch = pa.RecordBatch.from_arrays([pa.array(["t"] * 15)], names=["text"])
+    list(table.run(iter([batch])))  # what is imported on first use doesn't count
+    tracemalloc.start()
+    (got,) = table.run(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.column(0).to_pylist() == tokens.tolist() and set(got.column(1).to_pylist()) == {15}
+    assert peak < 20 * 600_000, peak
+
+
+def test_executors_rest_before_a_stage(spark, monkeypatch):
+    seen, rested = [], common.rested
+    monkeypatch.setattr(common, "rested", lambda s: seen.append(rested(s)))
+    with common.staged(spark, spark.range(1)):
+        pass
+    assert seen == [None]
+
+
 def brute_wide(tokens):
     out = []
     for w in range(1, simhash.WORDS + 1):

@@ -14,7 +14,9 @@ distributed stars; nothing but statistics of 64 * 64 numbers and a few counts re
 
 near_duplicates() links by fingerprints of 64 bits.  similar() is for documents that are alike by a share of their
 shingles, and searches the same way with fingerprints of WORDS words: each word has its groups and thresholds, what
-meets in a part of any word is held against CLOSE bits, and then verified on the sets of shingles, exactly.  Texts
+meets in a part of any word is held against CLOSE bits, and then verified on the sets of shingles, exactly.  Where more
+than CROWD share a part's bits they meet only if they also share a shingle of their prefixes, as all do that are alike,
+and only after each has met the leaders of its shingles: a large group of near copies makes no square of pairs.  Texts
 that differ in more bits than thresholds can afford may meet in no part; the pairs that are left are found by
 prefixes of the sets, so that none is lost.
 
@@ -29,8 +31,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 from math import ceil, comb
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +56,8 @@ SKETCH = 1024
 #: Words of a wide fingerprint; in how many bits one of them may differ and is sure to meet; and in how many bits of the
 #: first two words a pair may differ that is verified: texts with a similarity of 0.8 differ in 19 of 128, unlike ones in 64.
 WORDS, SURE, CLOSE = 8, 3, 32
+#: Rows of one part's bits that meet each other by these alone.  Of more, those meet that share a shingle of their prefixes.
+CROWD = 20
 #: What a shuffled probe costs, in verified candidates.
 PROBE_COST = 400
 
@@ -443,34 +449,134 @@ def star_links(nodes: DataFrame, plans: list[Plan]) -> DataFrame:
     return led.filter((F.col("x.node") != F.col("y.node")) & close("x", "y")).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
 
 
-def wide_links(nodes: DataFrame, plans: list[Plan]) -> DataFrame:
-    """(a, b, ca, cb), once each: nodes (node, c, fps) of different c that meet within a part's threshold and are close."""
+def probing(nodes: DataFrame, plans: list[Plan]) -> DataFrame:
+    """As indexed(), under all bits within each part's threshold."""
     stored = indexed(nodes, plans)
     flips = [(i, as_mask(x)) for i, (_, g, t) in enumerate(searched(plans)) for k in range(t + 1) for x in combinations(g, k)]
-    near = stored
-    if any(x for _, x in flips):  # as many as the plans have, whatever the input: at most a few thousand rows
-        table = nodes.sparkSession.createDataFrame(flips, "part int, flip long")
-        near = stored.join(F.broadcast(table), "part").withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
+    if not any(x for _, x in flips):
+        return stored
+    # As many as the plans have, whatever the input: at most a few thousand rows.
+    table = nodes.sparkSession.createDataFrame(flips, "part int, flip long")
+    return stored.join(F.broadcast(table), "part").withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
+
+
+def crowded(nodes: DataFrame, plans: list[Plan]) -> DataFrame:
+    """(part, key) that more than CROWD of nodes (node, fps) have, as a written table."""
+    return written(indexed(nodes.select("node", F.col("node").alias("c"), "fps"), plans).groupBy("part", "key").count().filter(F.col("count") > CROWD).select("part", "key"), "crowded")
+
+
+def wide_links(nodes: DataFrame, plans: list[Plan], crowds: DataFrame | None = None) -> DataFrame:
+    """(a, b, ca, cb), once each: nodes (node, c, fps) of different c that meet within a part's threshold and are close.
+
+    Without those that meet in crowds (part, key) only, where they would be a square of rows: for these see crowd_links().
+    """
+    near, stored = probing(nodes, plans), indexed(nodes, plans)
+    if crowds is not None:
+        stored = stored.join(crowds, ["part", "key"], "left_anti")
     x, y = near.alias("x"), stored.alias("y")
     meeting = (F.col("x.part") == F.col("y.part")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
     return x.join(y, meeting & close("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct()
 
 
+def by_prefix(nodes: DataFrame, *more: str) -> DataFrame:
+    """(token, salt, pos, node, size, c, lead, ..): nodes (node, c, size, salts, prefix, ..) under each shingle of their prefixes.
+
+    Under each that with the fewest rarer ones leads: in each part of a frequent shingle.
+    """
+    salt = F.coalesce(F.get("salts", F.col("pos")), F.lit(0))
+    met = nodes.select("node", "size", "c", *more, "salts", F.posexplode("prefix").alias("pos", "token"))
+    return met.withColumn("salt", salt).drop("salts").withColumn("lead", F.min(F.struct("pos", "node", "c")).over(W.partitionBy("token", "salt")))
+
+
+def prefix_stars(nodes: DataFrame) -> DataFrame:
+    """(a, b, ca, cb): each of nodes (node, c, size, salts, prefix) with those of other components that lead its shingles: no more pairs than shingles."""
+    led = by_prefix(nodes).filter(F.col("c") != F.col("lead.c"))
+    return led.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.c").alias("ca"), F.col("c").alias("cb")).distinct()
+
+
+def under_prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray], least: float, *more: str) -> DataFrame:
+    """(token, node, size, pos, c, lc, hot, ..), written: nodes as by_prefix() has them, under shingles of several; lc: the leader's component.
+
+    hot: whether the shingle is frequent.  The shorter text of a pair has the shingle among the first of its prefix.
+    """
+    under = W.partitionBy("token", "salt")
+    short = F.col("size") - F.col("pos") >= 2 * least / (1 + least) * F.col("size") - 1e-6
+    met = by_prefix(nodes, *more).withColumn("lc", F.col("lead.c")).withColumn("n", F.count(F.lit(1)).over(under)).withColumn("s", F.max(short).over(under))
+    tokens = [(int(t),) for t in common[0].view(np.int64)[common[1] >= CHUNK]]
+    hot = F.broadcast(nodes.sparkSession.createDataFrame(tokens, "hot long"))  # at most FREQUENT rows
+    met = met.join(hot, F.col("token") == F.col("hot"), "left").withColumn("hot", F.col("hot").isNotNull())
+    return written(met.filter("hot or n > 1 and s").select("token", "node", "size", "pos", "c", "lc", "hot", *more), "met")
+
+
+def prefix_links(stored: DataFrame, least: float, also: Column | None = None) -> DataFrame:
+    """(a, b, ca, cb), once each: nodes of different components that share a shingle, whose sizes, and what is left after
+    its places, allow the similarity, and for whose rows x and y the condition `also` holds.  stored: as under_prefixes() has it.
+    """
+
+    def possible(m: str, pos: str, n: str, other: str) -> Column:
+        m, pos, n, other = F.col(m), F.col(pos), F.col(n), F.col(other)
+        return (F.least(m, n) >= least * F.greatest(m, n) - 1e-6) & (F.least(m - pos, n - other) >= least / (1 + least) * (m + n) - 1e-6)
+
+    # Pairs of different components only; the leader's component isn't paired with itself.
+    # A token whose rows are all of one component has no such pair; a frequent one's parts have leaders of their own.
+    mixed = stored.filter("hot or c <> lc").select("token").distinct()
+    # Of several components under a frequent shingle any one may be the leader's.
+    one = stored.filter("hot").groupBy("token").agg(F.min("lc").alias("hc"))
+    left = stored.join(mixed.hint("merge"), "token", "left_semi").join(F.broadcast(one), "token", "left").withColumn("lc", F.coalesce("hc", "lc")).drop("hc", "hot")
+    x, y = left.filter("c <> lc").alias("x"), left.alias("y")
+    meeting = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & possible("x.size", "x.pos", "y.size", "y.pos")
+    if also is not None:
+        meeting &= also
+    pairs = x.join(y.hint("merge"), meeting).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
+    swap = F.col("a") > F.col("b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("ca"), F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("cb"))
+    return pairs.distinct()
+
+
+def crowd(whole: DataFrame, plans: list[Plan], crowds: DataFrame) -> DataFrame:
+    """(node, size, salts, prefix, fps): those of whole that meet others in crowds (part, key), as a written table."""
+    inside = probing(whole.select("node", F.col("node").alias("c"), "fps"), plans).join(crowds, ["part", "key"], "left_semi")
+    return written(whole.select("node", "size", "salts", "prefix", "fps").join(inside.select("node").distinct(), "node", "left_semi"), "crowd")
+
+
+def crowd_links(nodes: DataFrame, plans: list[Plan], common: tuple[np.ndarray, np.ndarray], least: float) -> DataFrame:
+    """(a, b, ca, cb), once each: as wide_links(), for nodes (node, c, size, salts, prefix, fps) that also share a shingle of their prefixes.
+
+    Two sets with a similarity of `least` share one, so no pair that is alike goes.
+    """
+    first = [F.get("fps", F.lit(w)).alias(f"f{w}") for w in (0, 1)]
+    stored = under_prefixes(nodes.select("*", *first), common, least, "f0", "f1", "fps")
+    within = [F.bit_count(F.get("x.fps", F.lit(w)).bitwiseXOR(F.get("y.fps", F.lit(w))).bitwiseAND(F.lit(as_mask(g)))) <= t for w, g, t in searched(plans)]
+    return prefix_links(stored, least, close("x", "y") & reduce(or_, within))
+
+
 def joined(named: DataFrame, found: DataFrame) -> DataFrame:
     """named (node, c) after its components have been linked by the pairs found (.., ca, cb)."""
     over = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("top"))
     return written(named.join(over.hint("merge"), "c", "left").select("node", F.coalesce("top", "c").alias("c")), "joined")
 
 
-def met_by_fingerprints(whole: DataFrame, nodes: DataFrame, rows: DataFrame, least: float, width: int) -> DataFrame:
-    """(node, c): components of the pairs that wide fingerprints find, each verified.  whole: (node, fps, ..)."""
+def met_by_fingerprints(whole: DataFrame, nodes: DataFrame, rows: DataFrame, common: tuple[np.ndarray, np.ndarray], least: float, width: int) -> DataFrame:
+    """(node, c): components of the pairs that wide fingerprints find, each verified.  whole: (node, size, prefix, salts, fps, ..)."""
     plans = planned_by_word(whole, SURE)
     alone = whole.select("node", F.col("node").alias("c"), "fps")
     stars = written(star_links(alone, plans).select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), "stars")
     swept(whole.sparkSession)
     known = joined(alone.select("node", "c"), verified(stars, nodes, rows, least, width))
-    pairs = written(wide_links(whole.select("node", "fps").join(known.hint("merge"), "node"), plans), "pairs")
+    # Large groups of near copies would be a square of rows under their bits.  There the leaders of shingles link most of a
+    # group, and of the components that are left those meet that share a shingle of their prefixes.
+    crowds = crowded(whole, plans)
+    some = None if crowds.isEmpty() else crowd(whole, plans, crowds)
     swept(whole.sparkSession)
+    if some is not None:
+        stars = written(prefix_stars(some.join(known.hint("merge"), "node")), "stars")
+        swept(whole.sparkSession)
+        known = joined(known, verified(stars, nodes, rows, least, width))
+    pairs = written(wide_links(whole.select("node", "fps").join(known.hint("merge"), "node"), plans, crowds), "pairs")
+    swept(whole.sparkSession)
+    if some is not None:
+        pairs = written(pairs.union(crowd_links(some.join(known.hint("merge"), "node"), plans, common, least)).distinct(), "pairs")
+        swept(whole.sparkSession)
     return joined(known, verified(pairs, nodes, rows, least, width))
 
 
@@ -485,37 +591,12 @@ def similar_nodes(docs: DataFrame, least: float, width: int) -> DataFrame:
     nodes = written(whole.select("node", "rep", "digest", "size", "sketch"), "nodes")
     swept(spark)
 
-    def possible(m: str, pos: str, n: str, other: str) -> Column:
-        """Whether sizes m and n, and what is left after the places of the first common shingle, allow the similarity."""
-        m, pos, n, other = F.col(m), F.col(pos), F.col(n), F.col(other)
-        return (F.least(m, n) >= least * F.greatest(m, n) - 1e-6) & (F.least(m - pos, n - other) >= least / (1 + least) * (m + n) - 1e-6)
-
-    known = met_by_fingerprints(whole, nodes, rows, least, width)
-    # The rest: under a shingle that several texts have in their prefixes, that with the fewest rarer ones leads: in each
-    # part of a frequent shingle.  The shorter text of a pair has the shingle among the first of its prefix.
-    under = W.partitionBy("token", "salt")
-    salt = F.coalesce(F.get("salts", F.col("pos")), F.lit(0))
-    met = whole.select("node", "size", "salts", "prefix").join(known.hint("merge"), "node").select("node", "size", "c", "salts", F.posexplode("prefix").alias("pos", "token"))
-    met = met.withColumn("salt", salt).drop("salts")
-    short = F.col("size") - F.col("pos") >= 2 * least / (1 + least) * F.col("size") - 1e-6
-    met = met.withColumn("n", F.count(F.lit(1)).over(under)).withColumn("s", F.max(short).over(under)).withColumn("lc", F.min(F.struct("pos", "node", "c")).over(under)["c"])
-    hot = F.broadcast(spark.createDataFrame([(int(t),) for t in common[0].view(np.int64)[common[1] >= CHUNK]], "hot long"))  # at most FREQUENT rows
-    met = met.join(hot, F.col("token") == F.col("hot"), "left").withColumn("hot", F.col("hot").isNotNull())
-    stored = written(met.filter("hot or n > 1 and s").select("token", "node", "size", "pos", "c", "lc", "hot"), "met")
+    known = met_by_fingerprints(whole, nodes, rows, common, least, width)
+    # The rest, by prefixes.
+    stored = under_prefixes(whole.join(known.hint("merge"), "node"), common, least)
     discard(whole)
     swept(spark)
-    # Pairs of different components only; the leader's component isn't paired with itself.
-    # A token whose rows are all of one component has no such pair; a frequent one's parts have leaders of their own.
-    mixed = stored.filter("hot or c <> lc").select("token").distinct()
-    # Of several components under a frequent shingle any one may be the leader's.
-    one = stored.filter("hot").groupBy("token").agg(F.min("lc").alias("hc"))
-    left = stored.join(mixed.hint("merge"), "token", "left_semi").join(F.broadcast(one), "token", "left").withColumn("lc", F.coalesce("hc", "lc")).drop("hc", "hot")
-    x, y = left.filter("c <> lc").alias("x"), left.alias("y")
-    meeting = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & possible("x.size", "x.pos", "y.size", "y.pos")
-    pairs = x.join(y.hint("merge"), meeting).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
-    swap = F.col("a") > F.col("b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("ca"), F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("cb"))
-    pairs = written(pairs.distinct(), "pairs")
+    pairs = written(prefix_links(stored, least), "pairs")
     # Components of components, then back to their members.
     named = joined(known, verified(pairs, nodes, rows, least, width)).withColumnRenamed("c", "component")
     swept(spark)

@@ -994,3 +994,30 @@ def test_every_operator_is_registered(spark):
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     for name, f in queries.QUERIES.items():
         assert f(spark, "/root/testdata/sf0.001").count() > 0, name
+
+
+def test_near_copies_make_no_square_of_pairs(spark, monkeypatch):
+    """A large group of near copies, many of them not alike among each other: few pairs are tried, and no link is lost."""
+    rng = random.Random(17)
+    base = [f"b{i}" for i in range(150)]
+    table = [(500 + i, " ".join(f"w{rng.randrange(3000)}" for _ in range(120))) for i in range(40)]
+    for i in range(240):
+        words = list(base)
+        for k in rng.sample(range(150), rng.choice([1, 2, 3, 4])):
+            words[k] = f"new{rng.randrange(10**6)}"
+        table.append((i, " ".join(words)))
+    sets = {d: brute_shingles(t) for d, t in table}
+    alike = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    told = brute_components(alike)
+    tried, verified = [], simhash.verified
+
+    def counted(pairs, *more):
+        tried.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    monkeypatch.setattr(simhash, "CROWD", 8, raising=False)
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in rows(simhash.similar(df))}
+    assert got == {d: told.get(d, d) for d in sets} and 41 < len(set(got.values())) < 200
+    assert len(alike) > 3000 and sum(tried) < 20 * 240, tried

@@ -6,7 +6,7 @@ none grows with the collection.  Random choices are seeded by the pair, so resul
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from time import monotonic
 from zlib import crc32
 
@@ -156,6 +156,142 @@ def ransac(model: str, a: np.ndarray, b: np.ndarray, threshold: float, rounds: i
     return best, inside
 
 
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The scalar product of each row of a with the same row of b."""
+    return np.matmul(a[:, None, :], b[:, :, None])[:, 0, 0]
+
+
+def _solved_each(a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """solved("similarity") of each of many sets (sets, points, 2), to the last bit, and whether its points decide it."""
+    z, v = a[..., 0] + 1j * a[..., 1], b[..., 0] + 1j * b[..., 1]
+    share = np.full(z.shape, 1 / z.shape[1]) if weight is None else weight / weight.sum(axis=1, keepdims=True)
+    middle, to = _dots(share, z), _dots(share, v)
+    spread = _dots(share, np.abs(z - middle[:, None]) ** 2)
+    ok = spread > 1e-18 * (1 + np.abs(middle) ** 2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        c = _dots(share * (z - middle[:, None]).conj(), v - to[:, None]) / spread
+        out = np.zeros((len(a), 3, 3))
+        out[:, 0, 0] = out[:, 1, 1] = c.real
+        out[:, 0, 1], out[:, 1, 0] = -c.imag, c.imag
+        # In parts, as products of complex arrays are rounded otherwise than those of single numbers.
+        out[:, 0, 2] = to.real - (c.real * middle.real - c.imag * middle.imag)
+        out[:, 1, 2] = to.imag - (c.real * middle.imag + c.imag * middle.real)
+        out[:, 2, 2] = 1.0
+    return out, ok
+
+
+def _away(m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far each transform takes the points of its set in a from those in b."""
+    out = np.concatenate([a, np.ones((*a.shape[:2], 1))], 2) @ m.transpose(0, 2, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.linalg.norm(out[..., :2] / out[..., 2:] - b, axis=2)
+
+
+def _alike(counts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each count with the places that have it."""
+    order = np.argsort(counts, kind="stable")
+    first = np.flatnonzero(np.diff(counts[order], prepend=-1))
+    return ((int(counts[part[0]]), part) for part in np.split(order, first[1:]) if len(part))
+
+
+#: What similarities are tried on at once: pairs of points, by points, by sets; and the most of one set for that.
+TRIED, SMALL = 1 << 18, 1 << 14
+
+
+def similarities(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ransac("similarity") of many sets of equally many points (sets, points, 2), with the same results: (whether one is
+    found, transforms, points within the threshold).  Each set has all its pairs of points tried.
+
+    Sets that have equally many points left are solved together.
+    """
+    sets, n = a.shape[:2]
+    found, best, inside = np.zeros(sets, bool), np.tile(np.eye(3), (sets, 1, 1)), np.zeros((sets, n), bool)
+    if n < 4:
+        return found, best, inside
+    i, j = np.triu_indices(n, 1)
+    step = max(1, TRIED // (len(i) * n))
+    for k in range(0, sets, step):
+        z, w = (v[k : k + step, :, 0] + 1j * v[k : k + step, :, 1] for v in (a, b))
+        with np.errstate(all="ignore"):
+            c = (w[:, j] - w[:, i]) / (z[:, j] - z[:, i])
+            t = w[:, i] - c * z[:, i]
+            near = np.abs(c[..., None] * z[:, None, :] + t[..., None] - w[:, None, :]) <= threshold
+        counts = np.where(z[:, j] != z[:, i], near.sum(axis=2), 0)
+        every, at = np.arange(len(z)), counts.argmax(axis=1)
+        some = counts[every, at] > 0
+        c, t = c[every, at], t[every, at]
+        m = np.stack([c.real, -c.imag, t.real, c.imag, c.real, t.imag, *np.broadcast_to([[0.0], [0.0], [1.0]], (3, len(c)))], 1).reshape(-1, 3, 3)
+        found[k : k + step], inside[k : k + step] = some, near[every, at] & some[:, None]
+        best[k : k + step][some] = m[some]
+
+    def of(sets: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(v[sets][inside[sets]].reshape(len(sets), count, 2) for v in (a, b))
+
+    open_ = np.flatnonzero(found)
+    for _ in range(10):
+        left = []
+        for count, part in _alike(inside[open_].sum(axis=1)):
+            part = open_[part]
+            if count < MODELS["similarity"]:
+                continue
+            refined, ok = _solved_each(*of(part, count))
+            near = np.nan_to_num(_away(refined, a[part], b[part]), nan=np.inf) <= threshold
+            ok &= near.sum(axis=1) >= count
+            part, refined, near = part[ok], refined[ok], near[ok]
+            best[part], same = refined, (near == inside[part]).all(axis=1)
+            inside[part] = near
+            left.append(part[~same])
+        open_ = np.concatenate([*left, np.zeros(0, np.intp)])
+        if not len(open_):
+            break
+    held = np.flatnonzero(found)
+    for count, part in _alike(inside[held].sum(axis=1)):
+        part = held[part]
+        p, q = of(part, count)
+        for _ in range(10):
+            away = _away(best[part], p, q)
+            usual = np.median(away, axis=1)
+            some = usual > 1e-9
+            part, p, q, away, usual = (v[some] for v in (part, p, q, away, usual))
+            if not len(part):
+                break
+            refined, ok = _solved_each(p, q, 1 / (1 + (away / usual[:, None]) ** 2))
+            part, p, q, refined = (v[ok] for v in (part, p, q, refined))
+            moving = ~(np.abs(refined - best[part]).max(axis=(1, 2)) < 1e-6)
+            best[part] = refined
+            part, p, q = part[moving], p[moving], q[moving]
+            if not len(part):
+                break
+    return found, best, inside
+
+
+def fits(values: np.ndarray, ends: np.ndarray, model: str, threshold: float, rounds: int, confidence: float, seed: Callable[[int], int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(found, inliers, transforms) of each set of matched points: rows (qx, qy, tx, ty) that are up to `ends`.
+
+    Similarities of sets with equally many points, few enough that all pairs of points are tried, are fitted together.
+    """
+    counts = np.diff(ends, prepend=0)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    values = values[np.lexsort((*values[:, 2:].T, *values[:, :2].T, owner))]  # the shuffle's order must not matter
+    found, inliers, ms = np.zeros(len(counts), bool), np.zeros(len(counts), np.int64), np.tile(np.eye(3), (len(counts), 1, 1))
+    for n, part in _alike(counts):
+        pairs = n * (n - 1) // 2
+        if n < 4:
+            continue
+        if model == "similarity" and pairs <= rounds and pairs * n <= SMALL:
+            own = values[(ends[part] - n)[:, None] + np.arange(n)]
+            found[part], ms[part], inside = similarities(own[..., :2], own[..., 2:], threshold)
+            inliers[part] = inside.sum(axis=1)
+            continue
+        for k in part.tolist():
+            own = values[ends[k] - n : ends[k]]
+            m, inside = ransac(model, own[:, :2], own[:, 2:], threshold, rounds, confidence, seed(k))
+            inliers[k] = inside.sum()
+            if m is not None:
+                found[k], ms[k] = True, m
+    return found, inliers, ms
+
+
 def fitted(points: DataFrame, key: list[str], model: str = "similarity", threshold: float = 1.5, rounds: int = 5000, confidence: float = 0.995) -> DataFrame:
     """(key..., found, inliers, m00 .. m12) from matched points (key..., qx, qy, tx, ty), from query to train."""
     names = ["m00", "m01", "m02", "m10", "m11", "m12"]
@@ -164,20 +300,11 @@ def fitted(points: DataFrame, key: list[str], model: str = "similarity", thresho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.select(key).to_pylist()
             offsets, flat = batch.column("points").offsets.to_numpy(), batch.column("points").flatten()
             values = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in points_of], 1).astype(float)
-            found, inliers, ms = [], [], []
-            first = offsets[0]
-            for k, row in enumerate(own):
-                part = values[offsets[k] - first : offsets[k + 1] - first]
-                a, b = part[:, :2], part[:, 2:]
-                order = np.lexsort((*b.T, *a.T))  # the shuffle's order must not matter
-                m, inside = ransac(model, a[order], b[order], threshold, rounds, confidence, crc32(repr(list(row.values())).encode()))
-                found.append(m is not None)
-                inliers.append(int(inside.sum()))
-                ms.append((np.eye(3) if m is None else m)[:2].ravel())
-            columns = np.array(ms).reshape(-1, 6).T
+            seed = lambda k: crc32(repr([batch.column(c)[k].as_py() for c in key]).encode())  # noqa: B023, E731
+            found, inliers, ms = fits(values, offsets[1:] - offsets[0], model, threshold, rounds, confidence, seed)
+            columns = ms[:, :2].reshape(-1, 6).T
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in key], pa.array(found, pa.bool_()), pa.array(inliers, pa.int64()), *[pa.array(c) for c in columns]], names=[*key, "found", "inliers", *names])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds.fields) + ", found boolean, inliers long, " + ", ".join(f"{n} double" for n in names)

@@ -146,6 +146,28 @@ def test_ransac_finds_the_transform(model):
     assert estimation.ransac(model, a[:3], b[:3], 1.0, 10, 0.9, 7)[0] is None
 
 
+def test_similarities_of_many_pairs_are_fitted_together(monkeypatch):
+    rng, sets = np.random.default_rng(11), []
+    for k in range(300):
+        a = rng.uniform(0, 60, (k % 14, 2))
+        b = estimation.moved(np.array([[0.98, -0.1, 5], [0.1, 0.98, -3], [0, 0, 1.0]]), a) + rng.normal(0, 0.6, a.shape)
+        b[: len(b) // 3] += 30
+        if k % 5 == 0 and len(a) > 3:
+            a[1], b[2] = a[0], b[0]
+        if k % 7 == 0:
+            a[:] = 4.0
+        sets.append(np.c_[a, b])
+    told = []
+    for v in sets:
+        v = v[np.lexsort((*v[:, 2:].T, *v[:, :2].T))]
+        told.append(estimation.ransac("similarity", v[:, :2], v[:, 2:], 1.5, 5000, 0.995, 7))
+    monkeypatch.setattr(estimation, "ransac", None)  # no set has a fit of its own
+    found, inliers, ms = estimation.fits(np.concatenate(sets), np.cumsum([len(v) for v in sets]), "similarity", 1.5, 5000, 0.995, lambda k: 7)
+    assert found.tolist() == [m is not None for m, _ in told] and 100 < found.sum() < 300
+    assert inliers.tolist() == [inside.sum() for _, inside in told]
+    assert all(np.allclose(m, np.eye(3) if t is None else t, rtol=1e-12, atol=1e-12) for m, (t, _) in zip(ms, told))
+
+
 @pytest.mark.parametrize("motion", list(estimation.MOTIONS))
 def test_ecc_recovers_a_shift(motion):
     image = scene()

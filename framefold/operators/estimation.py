@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framefold.operators import matching, scales
-from framefold.operators.kernels import area_resized, equalised, filtered, gaussian, grey, linear_taps, sampled, single, unpacked
+from framefold.operators.kernels import STRIP, area_resized, equalised, filtered, gaussian, grey, single, unpacked
 
 MODELS = {"similarity": 2, "affine": 3, "homography": 4}
 MOTIONS = {"translation": 2, "euclidean": 3, "affine": 6, "homography": 8}
@@ -313,31 +313,67 @@ def fitted(points: DataFrame, key: list[str], model: str = "similarity", thresho
     return pairs.mapInArrow(run, schema)
 
 
-def _warp(motion: str, p: np.ndarray) -> np.ndarray:
+def _warps(motion: str, p: np.ndarray) -> np.ndarray:
+    """The transforms (3 by 3) of rows of parameters."""
+    m = np.tile(np.eye(3), (len(p), 1, 1))
     if motion == "translation":
-        return np.array([[1, 0, p[0]], [0, 1, p[1]], [0, 0, 1.0]])
-    if motion == "euclidean":
-        c, s = np.cos(p[0]), np.sin(p[0])
-        return np.array([[c, -s, p[1]], [s, c, p[2]], [0, 0, 1.0]])
-    if motion == "affine":
-        return np.array([[1 + p[0], p[1], p[2]], [p[3], 1 + p[4], p[5]], [0, 0, 1.0]])
-    return np.array([[1 + p[0], p[1], p[2]], [p[3], 1 + p[4], p[5]], [p[6], p[7], 1.0]])
+        m[:, :2, 2] = p
+    elif motion == "euclidean":
+        c, s = np.cos(p[:, 0]), np.sin(p[:, 0])
+        m[:, 0, 0], m[:, 0, 1], m[:, 1, 0], m[:, 1, 1], m[:, :2, 2] = c, -s, s, c, p[:, 1:]
+    else:
+        m[:, 0, 0], m[:, 0, 1:], m[:, 1, 0], m[:, 1, 1], m[:, 1, 2] = 1 + p[:, 0], p[:, 1:3], p[:, 3], 1 + p[:, 4], p[:, 5]
+        if motion == "homography":
+            m[:, 2, :2] = p[:, 6:]
+    return m
 
 
-def _jacobian(motion: str, p: np.ndarray, gx: np.ndarray, gy: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Derivatives of the warped image by the parameters, one column each."""
+def _jacobians(motion: str, p: np.ndarray, gx: np.ndarray, gy: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Derivatives of the warped images (rows of pixels) by their parameters, in the last axis."""
     if motion == "translation":
-        return np.stack([gx, gy], 1)
+        return np.stack([gx, gy], 2)
     if motion == "euclidean":
-        c, s = np.cos(p[0]), np.sin(p[0])
-        return np.stack([gx * (-s * x - c * y) + gy * (c * x - s * y), gx, gy], 1)
+        c, s = np.cos(p[:, :1]), np.sin(p[:, :1])
+        return np.stack([gx * (-s * x - c * y) + gy * (c * x - s * y), gx, gy], 2)
     if motion == "affine":
-        return np.stack([gx * x, gx * y, gx, gy * x, gy * y, gy], 1)
-    m = _warp(motion, p)
-    z = m[2, 0] * x + m[2, 1] * y + 1
-    u, v = (m[0, 0] * x + m[0, 1] * y + m[0, 2]) / z, (m[1, 0] * x + m[1, 1] * y + m[1, 2]) / z
+        return np.stack([gx * x, gx * y, gx, gy * x, gy * y, gy], 2)
+    m = _warps(motion, p)[..., None]
+    z = m[:, 2, 0] * x + m[:, 2, 1] * y + 1
+    u, v = (m[:, 0, 0] * x + m[:, 0, 1] * y + m[:, 0, 2]) / z, (m[:, 1, 0] * x + m[:, 1, 1] * y + m[:, 1, 2]) / z
     gx, gy = gx / z, gy / z
-    return np.stack([gx * x, gx * y, gx, gy * x, gy * y, gy, -(gx * u + gy * v) * x, -(gx * u + gy * v) * y], 1)
+    return np.stack([gx * x, gx * y, gx, gy * x, gy * y, gy, -(gx * u + gy * v) * x, -(gx * u + gy * v) * y], 2)
+
+
+def _between(images: list[np.ndarray], of: np.ndarray, v: np.ndarray, u: np.ndarray) -> list[np.ndarray]:
+    """Each array (images, h, w), with its last line and column twice, at places (v, u) from 0 of image `of`, bilinear; in
+    strips.
+    """
+    _, h, w = images[0].shape
+    out = [np.empty(len(v)) for _ in images]
+    for k in range(0, len(v), STRIP):
+        part = slice(k, k + STRIP)
+        y, x = np.floor(v[part]), np.floor(u[part])
+        ty, tx = v[part] - y, u[part] - x
+        base = (of[part] * h + np.minimum(y, h - 2).astype(np.intp)) * w + np.minimum(x, w - 2).astype(np.intp)
+        for image, to in zip(images, out):
+            flat = image.reshape(-1)
+            upper, lower = ((0.0 + flat.take(row) * (1 - tx)) + flat.take(row + 1) * tx for row in (base, base + w))
+            to[part] = (0.0 + upper * (1 - ty)) + lower * ty
+    return out
+
+
+def _solutions(systems: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The solution of each system, and whether there is one."""
+    try:
+        return np.linalg.solve(systems, told[..., None])[..., 0], np.ones(len(systems), bool)
+    except np.linalg.LinAlgError:
+        out, ok = np.zeros(told.shape), np.ones(len(systems), bool)
+        for k, (system, t) in enumerate(zip(systems, told)):
+            try:
+                out[k] = np.linalg.solve(system, t)
+            except np.linalg.LinAlgError:
+                ok[k] = False
+        return out, ok
 
 
 def ecc(reference: np.ndarray, image: np.ndarray, motion: str = "translation", rounds: int = 100, epsilon: float = 1e-6, blur: int = 5, start: np.ndarray | None = None, seconds: float | None = None) -> tuple[np.ndarray, float]:
@@ -345,46 +381,89 @@ def ecc(reference: np.ndarray, image: np.ndarray, motion: str = "translation", r
     (Evangelidis and Psarakis, 2008, forward additive), and the coefficient.  NaN where it doesn't converge, or not in
     so many seconds.
     """
-    began = monotonic()
-    ref, img = (gaussian(i.astype(float), 0, blur) for i in (reference, image))
-    h, w = ref.shape
+    ms, rhos = ecc_each(reference[None], image[None], motion, rounds, epsilon, blur, None if start is None else start[None], seconds)
+    return ms[0], float(rhos[0])
+
+
+def ecc_each(references: np.ndarray, images: np.ndarray, motion: str = "translation", rounds: int | np.ndarray = 100, epsilon: float = 1e-6, blur: int = 5, starts: np.ndarray | None = None, seconds: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """ecc() of many pairs of one size (pairs, h, w), each with its own rounds and start: (warps, coefficients).
+
+    Pairs go round by round together until each is done.  Those that see equally many pixels are solved together, so a
+    pair's result doesn't depend on the others, to the last bit.  Of the time each has its share.
+    """
+    then, spent = monotonic(), 0.0
+    n, h, w = references.shape
+    rows = lambda stack: np.ascontiguousarray(np.moveaxis(stack, 2, 0))
+    wide = lambda stack: np.pad(rows(stack), ((0, 0), (0, 1), (0, 1)), mode="edge")
+    ref, img = (gaussian(np.moveaxis(i, 0, 2).astype(float), 0, blur) for i in (references, images))
     yy, xx = (v.ravel() for v in np.mgrid[:h, :w].astype(float))
     half = np.array([-0.5, 0, 0.5]), np.array([0, 1.0, 0])
-    gy, gx = filtered(img, half[0], half[1]), filtered(img, half[1], half[0])
-    p, last = np.zeros(MOTIONS[motion]) if start is None else start.astype(float), -1.0
-    rho = float("nan")
-    for _ in range(rounds):
-        m = _warp(motion, p)
-        if seconds is not None and monotonic() - began > seconds:
-            return m, float("nan")
-        z = m[2, 0] * xx + m[2, 1] * yy + 1
-        u, v = (m[0, 0] * xx + m[0, 1] * yy + m[0, 2]) / z, (m[1, 0] * xx + m[1, 1] * yy + m[1, 2]) / z
-        ok = (u >= 0) & (u <= w - 1) & (v >= 0) & (v <= h - 1)
-        if ok.sum() <= len(p):
-            return m, float("nan")
-        take = lambda a: sampled(a, v[ok], u[ok], linear_taps, edge=True)
-        i, r = take(img), ref.ravel()[ok]
-        i, r = i - i.mean(), r - r.mean()
-        size = np.sqrt((i @ i) * (r @ r))
-        if not size:
-            return m, float("nan")
-        rho = float(i @ r / size)
-        if abs(rho - last) < epsilon:
+    seen = [wide(v) for v in (img, filtered(img, half[1], half[0]), filtered(img, half[0], half[1]))]
+    ref = rows(ref).reshape(n, -1)
+    p = np.zeros((n, MOTIONS[motion])) if starts is None else starts.astype(float)
+    rounds = np.broadcast_to(rounds, n)
+    rho, last, going = np.full(n, np.nan), np.full(n, -1.0), np.arange(n)
+    for k in range(int(rounds.max(initial=0))):
+        if seconds is not None:
+            now = monotonic()
+            then, spent = now, spent + (now - then) / max(1, len(going))
+        going = going[rounds[going] > k]
+        if seconds is not None and spent > seconds:
+            rho[going] = np.nan
             break
-        last = rho
-        g = _jacobian(motion, p, take(gx), take(gy), xx[ok], yy[ok])
-        hessian = g.T @ g
-        try:
-            gi, gr = np.linalg.solve(hessian, g.T @ i), np.linalg.solve(hessian, g.T @ r)
-        except np.linalg.LinAlgError:
-            return m, float("nan")
-        bottom = r @ i - (g.T @ r) @ gi
-        top = i @ i - (g.T @ i) @ gi
-        if bottom <= 0:
-            return m, float("nan")
-        error = top / bottom * r - i
-        p = p + np.linalg.solve(hessian, g.T @ error)
-    return _warp(motion, p), rho
+        if not len(going):
+            break
+        m = _warps(motion, p[going])[..., None]
+        with np.errstate(all="ignore"):
+            z = m[:, 2, 0] * xx + m[:, 2, 1] * yy + 1
+            u, v = (m[:, 0, 0] * xx + m[:, 0, 1] * yy + m[:, 0, 2]) / z, (m[:, 1, 0] * xx + m[:, 1, 1] * yy + m[:, 1, 2]) / z
+        ok = (u >= 0) & (u <= w - 1) & (v >= 0) & (v <= h - 1)
+        counts = ok.sum(axis=1)
+        enough = counts > p.shape[1]
+        if not enough.all():
+            rho[going[~enough]] = np.nan
+            going, counts, ok, u, v = (c[enough] for c in (going, counts, ok, u, v))
+        of, at = np.nonzero(ok)
+        pixels = [*_between(seen, going[of], v[ok], u[ok]), ref[going[of], at], xx[at], yy[at]]
+        first = np.cumsum(counts) - counts
+        left = []
+        for count, part in _alike(counts):
+            pick = slice(None) if len(part) == len(going) else (first[part][:, None] + np.arange(count)).ravel()
+            left.append(_stepped(motion, going[part], *[c[pick].reshape(-1, count) for c in pixels], p, rho, last, epsilon))
+        going = np.sort(np.concatenate([*left, np.zeros(0, np.intp)]))
+    return _warps(motion, p), rho
+
+
+def _stepped(motion: str, going: np.ndarray, i: np.ndarray, gx: np.ndarray, gy: np.ndarray, r: np.ndarray, x: np.ndarray, y: np.ndarray, p: np.ndarray, rho: np.ndarray, last: np.ndarray, epsilon: float) -> np.ndarray:
+    """One round of the pairs `going`, of which equally many pixels are seen: their p, rho and last are set; those that
+    go on are returned.
+    """
+    i, r = i - i.mean(axis=1, keepdims=True), r - r.mean(axis=1, keepdims=True)
+    size = np.sqrt(_dots(i, i) * _dots(r, r))
+    with np.errstate(all="ignore"):
+        rho[going] = np.where(size == 0, np.nan, _dots(i, r) / size)
+    on = ~((size == 0) | (np.abs(rho[going] - last[going]) < epsilon))
+    going, i, gx, gy, r, x, y = (c[on] for c in (going, i, gx, gy, r, x, y))
+    last[going] = rho[going]
+    g = _jacobians(motion, p[going], gx, gy, x, y)
+    across = g.transpose(0, 2, 1)
+    by = lambda c: (across @ c[..., None])[..., 0]
+    hessian, gi, gr = across @ g, by(i), by(r)
+    solution, ok = _solutions(hessian, gi)
+    bottom, top = _dots(r, i) - _dots(gr, solution), _dots(i, i) - _dots(gi, solution)
+    ok &= ~(bottom <= 0)
+    rho[going[~ok]] = np.nan
+    going, i, r, hessian, across, bottom, top = (c[ok] for c in (going, i, r, hessian, across, bottom, top))
+    p[going] += _solutions(hessian, by((top / bottom)[:, None] * r - i))[0]
+    return going
+
+
+def _of_one_size(images: list[np.ndarray]) -> list[list[int]]:
+    """The places of images of the same shape."""
+    sizes: dict[tuple[int, ...], list[int]] = {}
+    for k, image in enumerate(images):
+        sizes.setdefault(image.shape, []).append(k)
+    return list(sizes.values())
 
 
 def aligned(pairs: DataFrame, key: list[str], motion: str = "translation") -> DataFrame:
@@ -394,11 +473,13 @@ def aligned(pairs: DataFrame, key: list[str], motion: str = "translation") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in single(batches):
-            out = []
-            for r in batch.to_pylist():
-                image, ref = (grey(unpacked(r[c], r["h"], r["w"], r["c"]).astype(float)) for c in ("data", "ref"))
-                m, rho = ecc(ref, image, motion, blur=3)
-                out.append({k: r[k] for k in key} | {"rho": rho} | dict(zip(names, m[:2].ravel().tolist(), strict=True)))
+            rows = batch.to_pylist()
+            images, refs = ([grey(unpacked(r[c], r["h"], r["w"], r["c"]).astype(float)) for r in rows] for c in ("data", "ref"))
+            out: list[dict] = [{}] * len(rows)
+            for same in _of_one_size(images):
+                ms, rhos = ecc_each(np.stack([refs[k] for k in same]), np.stack([images[k] for k in same]), motion, blur=3)
+                for k, m, rho in zip(same, ms, rhos):
+                    out[k] = {c: rows[k][c] for c in key} | {"rho": float(rho)} | dict(zip(names, m[:2].ravel().tolist(), strict=True))
             fields = [batch.schema.field(k) for k in key] + [pa.field(n, pa.float64()) for n in ("rho", *names)]
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema(fields))
 
@@ -406,26 +487,50 @@ def aligned(pairs: DataFrame, key: list[str], motion: str = "translation") -> Da
     return pairs.mapInArrow(run, schema)
 
 
-def fallbacks(ref: np.ndarray, image: np.ndarray, motion: str, rounds: int, epsilon: float, limits: tuple[float, float, float], most: int = 500, blur: int = 3, seconds: float | None = None) -> Iterator[tuple[str, np.ndarray | None]]:
+#: Keypoints of a raster that the ladder matches at most, and pixels of references that a worker remembers.
+MATCHED, HELD = 500, 1 << 20
+#: The keypoints of a reference by detector, so that they are found once for all its frames.
+Known = dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def fallbacks(ref: np.ndarray, image: np.ndarray, motion: str, rounds: int, epsilon: float, limits: tuple[float, float, float], most: int = MATCHED, blur: int = 3, seconds: float | None = None) -> Iterator[tuple[str, np.ndarray | None]]:
     """Candidates in order: correlation from a start that SIFT gives, corners alone, the identity.
 
     Each is None where it isn't found or isn't valid (limits: scale, shift, determinant), and is looked for when it is
     asked for.  With a start, the correlation gets half of the rounds; one that isn't done in so many seconds counts as
     not found.
     """
+    known: Known = {}
+    fine = _correlations([ref], [image], [known], motion, rounds, epsilon, most, blur, seconds)[0]
+    return _candidates(ref, image, known, fine, motion, limits, most)
+
+
+def _candidates(ref: np.ndarray, image: np.ndarray, known: Known, fine: np.ndarray | None, motion: str, limits: tuple[float, float, float], most: int) -> Iterator[tuple[str, np.ndarray | None]]:
     ok = lambda m: m if m is not None and np.isfinite(m).all() and _valid(m, *limits) else None
-    rough = by_features(ref, image, "sift", motion, most)
-    start = None if rough is None else _parameters(motion, rough)
-    fine, rho = ecc(ref, image, motion, rounds // 2 if start is not None else rounds, epsilon, blur, start, seconds)
-    yield "correlation", ok(fine if np.isfinite(rho) else None)
-    yield "features", ok(by_features(ref, image, "orb", motion, most))
+    yield "correlation", ok(fine)
+    yield "features", ok(by_features(ref, image, "orb", motion, most, known))
     yield "identity", np.eye(3)
 
 
-def by_features(ref: np.ndarray, image: np.ndarray, detector: str, motion: str, most: int) -> np.ndarray | None:
+def _correlations(refs: list[np.ndarray], images: list[np.ndarray], known: list[Known], motion: str, rounds: int, epsilon: float, most: int, blur: int, seconds: float | None) -> list[np.ndarray | None]:
+    """The correlation of each pair of rasters, all of one size, from the start that SIFT gives; None where it fails."""
+    rough = [by_features(*pair, "sift", motion, most, k) for *pair, k in zip(refs, images, known)]
+    starts = np.array([np.zeros(MOTIONS[motion]) if m is None else _parameters(motion, m) for m in rough])
+    limits = np.array([rounds if m is None else rounds // 2 for m in rough])
+    ms, rhos = ecc_each(np.stack(refs), np.stack(images), motion, limits, epsilon, blur, starts, seconds)
+    return [m if np.isfinite(rho) else None for m, rho in zip(ms, rhos)]
+
+
+def by_features(ref: np.ndarray, image: np.ndarray, detector: str, motion: str, most: int, known: Known | None = None) -> np.ndarray | None:
     """The fit of the best 30 % of mutual matches, ten at least; None with fewer keypoints or matches."""
-    (qa, _, qc), (ta, _, tc) = (FINDERS[detector](i, most) for i in (ref, image))
-    if len(qa) < 10 or len(ta) < 10:
+    known = {} if known is None else known
+    if detector not in known:
+        known[detector] = FINDERS[detector](ref, most)
+    qa, _, qc = known[detector]
+    if len(qa) < 10:
+        return None
+    ta, _, tc = FINDERS[detector](image, most)
+    if len(ta) < 10:
         return None
     distance = matching.hamming(qc, tc) if detector in BINARY else matching.squared(qc, tc)
     near, back = distance.argmin(axis=1), distance.argmin(axis=0)
@@ -464,17 +569,34 @@ def registered(pairs: DataFrame, key: list[str], motion: str = "euclidean", roun
     kinds = pairs.select(*key).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, tuple[np.ndarray, Known]] = {}
+        held = 0
         for batch in single(batches):
-            out = []
-            for r in batch.to_pylist():
-                image, ref = (prepared(unpacked(r[c], r["h"], r["w"], r["c"]), clahe, scale) for c in ("data", "ref"))
-                inner = (limits[0], limits[1] * scale, limits[2])
-                way, m = next((w, m) for w, m in fallbacks(ref, image, motion, rounds, epsilon, inner, blur=blur, seconds=seconds) if m is not None)
-                if scale != 1.0:
-                    whole = np.diag([image.shape[1] / r["w"], image.shape[0] / r["h"], 1.0])
-                    m = np.linalg.inv(whole) @ m @ whole
-                    m = m / m[2, 2]
-                out.append({k: r[k] for k in key} | {"way": way} | dict(zip(names, m[:2].ravel().tolist(), strict=True)))
+            rows = batch.to_pylist()
+            images, refs, found = [], [], []
+            for r in rows:
+                images.append(prepared(unpacked(r["data"], r["h"], r["w"], r["c"]), clahe, scale))
+                of = r["ref"], r["h"], r["w"], r["c"]
+                if of not in known:
+                    if held > HELD:
+                        known.clear()
+                        held = 0
+                    known[of] = prepared(unpacked(*of), clahe, scale), {}
+                    held += known[of][0].size
+                refs.append(known[of][0])
+                found.append(known[of][1])
+            inner = (limits[0], limits[1] * scale, limits[2])
+            out: list[dict] = [{}] * len(rows)
+            for same in _of_one_size(images):
+                fine = _correlations(*([v[k] for k in same] for v in (refs, images, found)), motion, rounds, epsilon, MATCHED, blur, seconds)
+                for k, f in zip(same, fine):
+                    r, image = rows[k], images[k]
+                    way, m = next((w, m) for w, m in _candidates(refs[k], image, found[k], f, motion, inner, MATCHED) if m is not None)
+                    if scale != 1.0:
+                        whole = np.diag([image.shape[1] / r["w"], image.shape[0] / r["h"], 1.0])
+                        m = np.linalg.inv(whole) @ m @ whole
+                        m = m / m[2, 2]
+                    out[k] = {c: r[c] for c in key} | {"way": way} | dict(zip(names, m[:2].ravel().tolist(), strict=True))
             fields = [batch.schema.field(k) for k in key] + [pa.field("way", pa.string())] + [pa.field(n, pa.float64()) for n in names]
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema(fields))
 

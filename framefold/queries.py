@@ -551,6 +551,18 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
     return kernels.packed(frames(spark, d))
 
 
+def _dealt(rasters: DataFrame) -> DataFrame:
+    """Rasters over all cores: they cost more to work on than to move, and a table may come as one task, or joined as one a stack."""
+    return rasters.repartition(4 * rasters.sparkSession.sparkContext.defaultParallelism, "img")
+
+
+def _with_first(spark: SparkSession, d: str) -> DataFrame:
+    """Each frame with the pixels (ref) of the first of its stack."""
+    rows = _packed(spark, d).select("stack", "img", "h", "w", "c", "data")
+    first = rows.groupBy("stack").agg(F.min_by("data", "img").alias("ref"))
+    return _dealt(rows.join(first, "stack"))
+
+
 @query("packed_laplacian_variance", f"WITH {_PX}, {_MEASURES} SELECT img, round(lap_var, 4) AS lap_var FROM measures")
 def packed_laplacian_variance(spark: SparkSession, d: str) -> DataFrame:
     """The packed form of laplacian_variance, which real rasters take."""
@@ -659,20 +671,16 @@ def ransac_affine(spark: SparkSession, d: str) -> DataFrame:
 @query("ecc_translation")
 def ecc_translation(spark: SparkSession, d: str) -> DataFrame:
     """Each frame against the first of its stack."""
-    rows = _packed(spark, d).select("stack", "img", "h", "w", "c", "data")
-    first = rows.groupBy("stack").agg(F.min_by("data", "img").alias("ref"))
-    return estimation.aligned(rows.join(first, "stack"), ["stack", "img"], "translation")
+    return estimation.aligned(_with_first(spark, d), ["stack", "img"], "translation")
 
 
 @query("corner_features")
 def corner_features(spark: SparkSession, d: str) -> DataFrame:
     """Corners at many scales with binary descriptors."""
-    return estimation.features(_packed(spark, d).select("img", "h", "w", "c", "data"), 20)
+    return estimation.features(_dealt(_packed(spark, d).select("img", "h", "w", "c", "data")), 20)
 
 
 @query("registration_ladder")
 def registration_ladder(spark: SparkSession, d: str) -> DataFrame:
     """A22-A24 over each frame and the first of its stack."""
-    rows = _packed(spark, d).select("stack", "img", "h", "w", "c", "data")
-    first = rows.groupBy("stack").agg(F.min_by("data", "img").alias("ref"))
-    return estimation.registered(rows.join(first, "stack"), ["stack", "img"])
+    return estimation.registered(_with_first(spark, d), ["stack", "img"])

@@ -177,6 +177,28 @@ def test_ecc_recovers_a_shift(motion):
     assert np.isnan(estimation.ecc(np.full((16, 16), 5.0), np.full((16, 16), 5.0))[1])
 
 
+@pytest.mark.parametrize("motion", list(estimation.MOTIONS))
+def test_pairs_correlated_together_are_as_alone(motion):
+    rng = np.random.default_rng(5)
+    big = kernels.gaussian(rng.uniform(0, 255, (60, 60)), 2.0)
+    refs = np.stack([big[8:32, 8:36]] * 12 + [rng.uniform(0, 255, (24, 28))] * 12)
+    images = np.stack([big[8 + k % 3 : 32 + k % 3, 8 + k % 5 : 36 + k % 5] for k in range(12)] + list(rng.uniform(0, 255, (12, 24, 28))))
+    images[3], images[5] = 7.0, refs[5]
+    starts, rounds = rng.normal(0, 1e-3, (24, estimation.MOTIONS[motion])), np.arange(24) * 3
+    ms, rhos = estimation.ecc_each(refs, images, motion, rounds, 1e-6, 5, starts)
+    alone = [estimation.ecc(*v[:2], motion, v[2], 1e-6, 5, v[3]) for v in zip(refs, images, rounds, starts)]
+    assert np.array_equal(rhos, [rho for _, rho in alone], equal_nan=True) and 5 < np.isfinite(rhos).sum() < 24
+    assert np.array_equal(ms, [m for m, _ in alone])
+
+
+def test_keypoints_of_a_reference_are_found_once(monkeypatch):
+    seen = []
+    monkeypatch.setitem(estimation.FINDERS, "orb", lambda image, most: seen.append(image.mean()) or (np.zeros((0, 2)), np.zeros(0), np.zeros((0, 4), np.int64)))
+    known = {}
+    assert all(estimation.by_features(np.ones((9, 9)), np.zeros((9, 9)), "orb", "affine", 10, known) is None for _ in range(3))
+    assert seen == [1.0]  # and none of the other raster, where the reference has too few
+
+
 def test_ladder():
     image = scene(96, 96) + RNG.normal(0, 2, (96, 96))
     moved = kernels.warped(image, np.array([[1, 0, 3.0], [0, 1, -2.0]]), taps=kernels.linear_taps)

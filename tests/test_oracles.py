@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from framefold import queries
 
@@ -51,3 +52,8 @@ def test_every_frame_is_processed(spark):
     for name in ("ecc_translation", "registration_ladder"):
         assert {(r.stack, r.img) for r in queries.QUERIES[name](spark, DATA).select("stack", "img").collect()} == frames, name
     assert {r.stack for r in queries.QUERIES["pyramid_stack"](spark, DATA).select("stack").collect()} == {s for s, _ in frames}
+
+
+@pytest.mark.parametrize("name", ["ecc_translation", "corner_features", "registration_ladder"])
+def test_frames_of_one_file_are_worked_on_in_many_tasks(spark, name):
+    assert queries.QUERIES[name](spark, DATA).select(F.spark_partition_id()).distinct().count() > 1
